@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, sharding
+from podia.llm import exact_dedup, mixing, sharding, simhash
 from podia.llm.common import load
 
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(load(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(load(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard among 128 shards, and the shard once the last of them is gone."""
     docs = load(spark, sf_dir, "documents").select("doc_id", sharding.slot_of(F.col("doc_id"), 65537).alias("slot"))
@@ -23,6 +31,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
 }
