@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, mixing, sharding, simhash
+from podia.llm import exact_dedup, langid, licences, mixing, sharding, simhash
 from podia.llm.common import load
 
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -30,11 +30,23 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(load(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language": op7_language,
+    "op8_licences": op8_licences,
 }
 
 ORACLE = {
