@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, langid, licences, mixing, sharding, simhash
+from podia.llm import exact_dedup, langid, licences, mixing, sharding, simhash, unigram
 from podia.llm.common import load
 
+#: The file of pieces; set PODIA_PIECES where it lies elsewhere.
+PIECES = os.environ.get("PODIA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 
@@ -40,6 +44,13 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(load(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded: doc_id, n_chars, n_pieces, a digest of the ids, and of what they decode to."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = unigram.decode(unigram.encode(docs, PIECES), PIECES)
+    return coded.select("doc_id", F.length("text").alias("n_chars"), F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxh64"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -47,6 +58,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language": op7_language,
     "op8_licences": op8_licences,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE = {
