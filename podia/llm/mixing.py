@@ -1,10 +1,10 @@
 """Mixing sources to target weights: fixed-length blocks, multinomial draws per output shard, permuted block indices."""
 
-from __future__ import annotations
-
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,15 +23,15 @@ RUN_ROWS = 20_000
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size): the number of words of each row's whole text, null 0."""
+    """(id, source, size, digest): the number of words of each row's whole text, null 0, and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count = [len(words_of(t.as_py() or b"")) for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64())], ["id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), batch.column(3)], ["id", "source", "size", "digest"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "id long, source string, size long")
+    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("digest"))
+    return cols.mapInArrow(run, "id long, source string, size long, digest long")
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -70,7 +70,7 @@ def _plan(per_source: DataFrame, block_words: int, min_blocks: int) -> DataFrame
 
 
 def _pieces(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, block, id, row, from_word, words): the stretch of each document in each block of its source's stream.
+    """(source, block, row, id, digest, from_word, words): the stretch of each document in each block of its source's stream.
 
     The stream has a source's documents in runs: a keyed hash deals the rows of
     a large source to as many runs as keep a run near RUN_ROWS, and each run is
@@ -87,7 +87,7 @@ def _pieces(rows: DataFrame, plan: DataFrame) -> DataFrame:
     first, last = F.floor(F.col("start") / F.col("block_words")), F.floor((F.col("stop") - 1) / F.col("block_words"))
     cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     lo, hi = F.greatest("start", F.col("block") * F.col("block_words")), F.least("stop", (F.col("block") + 1) * F.col("block_words"))
-    return cut.select("source", "block", "id", "row", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("words"))
+    return cut.select("source", "block", "row", "id", "digest", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("words"))
 
 
 def slots(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 7) -> DataFrame:
@@ -122,8 +122,8 @@ def slots(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 7) -> D
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, min_blocks: int = MIN_BLOCKS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The parts of a mix: rows (id, row, source, size), the plan by source, and drawn pieces.
 
-    Drawn pieces are (shard, source, slot, epoch, block, id, row, from_word, words):
-    the blocks of each shard joined by index with the documents' stretches.
+    Drawn pieces are (shard, source, slot, epoch, block, row, id, digest, from_word,
+    words): the blocks of each shard joined by index with the documents' stretches.
     Null sources are a source of their own, last in order; null or empty texts
     have size 0 and no pieces; repeated rows are documents of their own, told
     apart by `row`; an empty table gives empty parts.
@@ -144,3 +144,41 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = plan.select(F.col("source").alias("s"), "source_size", "target")
     out = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).join(taken, "row", "left")
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut(text: str, pieces: list[tuple[int, int, int]]) -> str:
+    """The words of the pieces (epoch, from_word, words), in this order; neighbours in an epoch keep the white space between them."""
+    runs: list[list[int]] = []
+    for epoch, start, n in sorted(pieces):
+        if runs and runs[-1][0] == epoch and runs[-1][2] == start:
+            runs[-1][2] += n
+        else:
+            runs.append([epoch, start, start + n])
+    spans = [m.span() for m in _WORD.finditer(text)]
+    whole = [text if (lo, hi) == (0, len(spans)) else text[spans[lo][0] : spans[hi - 1][1]] for _, lo, hi in runs]
+    return "\n".join(whole)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", seed: int = 7) -> DataFrame:
+    """The mix as documents: each with just the words that the mix takes of it, repeats included, and its new length.
+
+    Documents of which nothing is taken go; the other columns stay. Rows equal
+    in id and text become one, with what is taken of all of them. The pieces
+    of a document are gathered; they are as many as its blocks, thrice at most.
+    """
+    drawn = mix(docs, id_col, text_col, source_col, seed=seed)[2]
+    pieces = drawn.groupBy("id", "digest").agg(F.collect_list(F.struct("epoch", "from_word", "words")).alias("__pieces")).withColumnsRenamed({"id": "__id", "digest": "__digest"})
+    own = docs.withColumn("__own", F.xxhash64(text_col))
+    met = own.join(pieces, own[id_col].eqNullSafe(pieces["__id"]) & (own["__own"] == pieces["__digest"])).dropDuplicates([id_col, "__own"])
+
+    @F.pandas_udf("string")
+    def taken(texts: pd.Series, pieces: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, [(p["epoch"], p["from_word"], p["words"]) for p in own]) for t, own in zip(texts, pieces, strict=True)])
+
+    met = met.withColumn(text_col, taken(F.col(text_col).cast("string"), "__pieces"))
+    if length_col in docs.columns:
+        met = met.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col]))
+    return met.select(docs.columns)
