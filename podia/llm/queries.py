@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, langid, licences, mixing, sharding, simhash, unigram
+from podia.llm import exact_dedup, iblt, langid, licences, mixing, sharding, simhash, unigram
 from podia.llm.common import load
 
 #: The file of pieces; set PODIA_PIECES where it lies elsewhere.
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(load(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_with_edits(load(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard among 128 shards, and the shard once the last of them is gone."""
     docs = load(spark, sf_dir, "documents").select("doc_id", sharding.slot_of(F.col("doc_id"), 65537).alias("slot"))
@@ -54,6 +58,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language": op7_language,
