@@ -16,7 +16,7 @@ from podia.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Bits of the three segments of a fingerprint, low to high.
-SEGMENTS = (22, 21, 21)
+SEGMENTS = (23, 23, 18)
 #: Fingerprints compared at once in one task; larger buckets are dealt out in blocks of this size.
 BLOCK = 2048
 
@@ -62,18 +62,16 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Any two fingerprints that differ in 4 bits or fewer share a key. By the
     pigeonhole principle over three segments, either
-    - a segment is equal and another differs in 2 bits or fewer: key of the
-      equal segment and of each codeword near the other, for all six choices; or
-    - each segment differs, and then two of them differ in one bit each: key
-      of a codeword near either, for all three choices. Words one bit apart
-      have unlike parity, so it is enough that the even one takes the codeword
-      it decodes to and the odd one all near codewords.
+    - a segment is equal, and one of the other two differs in 2 bits or fewer:
+      key of the equal segment and of each codeword near the other, for all
+      six choices; or
+    - each segment differs, in 2 bits at most: key of a codeword near the
+      first, one near the second, and a third of the last segment, of whose
+      three thirds one is equal.
     """
     shifts = np.cumsum((0, *SEGMENTS[:-1]))
     part = [((fps >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in zip(shifts, SEGMENTS, strict=True)]
     near = [golay.nearby(p) for p in part]
-    odd = [(np.bitwise_count(p) & 1).astype(bool) for p in part]
-    one = [there & (odd[i][:, None] | (np.arange(6) == 0)) for i, (_, there) in enumerate(near)]
     keys, places = [], []
     for i in range(3):
         for j in range(3):
@@ -81,11 +79,13 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 word, there = near[j]
                 keys.append(((np.int64(3 * i + j) << 56) | (part[i][:, None] << 12) | word)[there])
                 places.append(np.nonzero(there)[0])
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        there = one[i][:, :, None] & one[j][:, None, :]
-        unlike = (odd[i] ^ odd[j]).astype(np.int64)
-        keys.append(((np.int64(9 + i + j) << 56) | (unlike << 24)[:, None, None] | (near[i][0][:, :, None] << 12) | near[j][0][:, None, :])[there])
-        places.append(np.nonzero(there)[0])
+    both = near[0][1][:, :, None] & near[1][1][:, None, :]
+    pair = (near[0][0][:, :, None] << 12) | near[1][0][:, None, :]
+    third = SEGMENTS[2] // 3
+    for i in range(3):
+        own = (part[2] >> (third * i)) & ((1 << third) - 1)
+        keys.append(((np.int64(9 + i) << 56) | (own << 24)[:, None, None] | pair)[both])
+        places.append(np.nonzero(both)[0])
     return np.concatenate(keys), np.concatenate(places)
 
 
@@ -145,7 +145,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, fingerprint, component_id): fingerprints at 4 differing bits or fewer link; a component has its smallest id.
 
     Rows with equal fingerprints are one node, so copies never meet in pairs.
-    Each distinct fingerprint has about 60 fuzzy keys; what shares a key is
+    Each distinct fingerprint has about 115 fuzzy keys; what shares a key is
     first linked to the key's smallest fingerprint, one row each. Only keys
     whose fingerprints are then still in several components are compared
     further, in blocks of bounded size, giving as few links as join them.
