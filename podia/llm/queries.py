@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, iblt, langid, licences, mixing, sharding, simhash, unigram
+from podia.llm import exact_dedup, iblt, langid, licences, mixing, sharding, simhash, toolcalls, unigram
 from podia.llm.common import load
 
 #: The file of pieces; set PODIA_PIECES where it lies elsewhere.
@@ -23,6 +23,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(load(spark, sf_dir, "documents"))
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all conversations, the record as a digest."""
+    links = toolcalls.link(toolcalls.as_calls(load(spark, sf_dir, "conversations")), toolcalls.DIALOGUE)
+    return links.select("conv_id", "call_id", "call_turn", "level", "result_turn", "status", "n_calls", "n_results", F.size("dangling").alias("n_dangling"), F.size("violations").alias("n_violations"), F.length("record").alias("record_chars"), F.sha2("record", 256).alias("record_sha256"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.compare_with_edits(load(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op3_tool_calls": op3_tool_calls,
     "op4_fingerprints": op4_fingerprints,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
