@@ -7,11 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, iblt, langid, licences, mixing, sharding, simhash, toolcalls, unigram
-from podia.llm.common import load
+from podia.llm import exact_dedup, iblt, langid, licences, mixing, sharding, simhash, token_shards, toolcalls, unigram
+from podia.llm.common import load, scratch
 
-#: The file of pieces; set PODIA_PIECES where it lies elsewhere.
+#: Vocabulary files; set PODIA_PIECES and PODIA_RANKS where they lie elsewhere.
 PIECES = os.environ.get("PODIA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+RANKS = os.environ.get("PODIA_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 
@@ -61,6 +62,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.length("text").alias("n_chars"), F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxh64"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token shards in training order and read back: one row a sequence, the ids as a digest."""
+    path = scratch(spark, "token-shards")
+    token_shards.write_shards(load(spark, sf_dir, "documents"), path, RANKS)
+    return token_shards.read_slots(spark, path).withColumn("tokens_xxh64", F.xxhash64("tokens")).drop("tokens")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -71,6 +79,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_licences": op8_licences,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_shards": op10_token_shards,
 }
 
 ORACLE = {
