@@ -133,7 +133,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = materialise(_plan(targets(rows, weights), block_words, min_blocks), "plan")
     pieces = _pieces(rows, plan)
     drawn = slots(plan, seed=seed).withColumnRenamed("source", "s").withColumnRenamed("block", "b")
-    drawn = drawn.join(pieces, drawn["s"].eqNullSafe(pieces["source"]) & (drawn["b"] == pieces["block"])).drop("s", "b")
+    # Both grow with the corpus, the draws unseen by the optimiser's estimate: never broadcast.
+    drawn = drawn.join(pieces.hint("merge"), drawn["s"].eqNullSafe(pieces["source"]) & (drawn["b"] == pieces["block"])).drop("s", "b")
     return rows, plan, drawn
 
 
