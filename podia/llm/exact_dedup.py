@@ -26,8 +26,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whose text was never contested.
 
     Only id, length and hashes are shuffled, never texts, except that without
-    digest_all the contested texts are met by id. Counts are partial
-    aggregates, joins on a hot text are left to AQE's skew split.
+    digest_all the contested texts are met by id. Copies are aggregated before
+    they are shuffled; the last join, on a hot text, is left to AQE's skew split.
 
     Null or empty text: equal to each other. Null id: a row like any other;
     keep_id is the smallest non-null id of the group (null if none). Rows that
@@ -40,18 +40,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         narrow.append(F.unhex(F.sha2("text", 256)).alias("sha"))
     rows = materialise(text.select(*narrow), "dedup-keys")
 
-    by_length = rows.groupBy("n").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    round1 = rows.join(by_length, "n", "left_semi")
-    by_prefix = round1.groupBy("n", "prefix").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    round2 = round1.join(by_prefix, ["n", "prefix"], "left_semi")
-    if not digest_all:
-        contested = round2.select("id").distinct()
-        sha = text.join(contested, text["id"].eqNullSafe(contested["id"]), "left_semi").select("id", F.length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha"))
-        round2 = sha = materialise(sha, "dedup-sha")
-    groups = round2.groupBy("n", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("size")).filter("size > 1")
-    if not digest_all:
-        free = rows.join(sha.select(F.col("id").alias("other")).distinct(), F.col("id").eqNullSafe(F.col("other")), "left_anti").select("id", "n", F.lit(None).cast("binary").alias("sha"))
+    per_prefix = rows.groupBy("n", "prefix").agg(F.count("*").alias("c"))
+    by_length = per_prefix.groupBy("n").agg(F.sum("c").alias("c")).filter("c > 1").drop("c")
+    open_ = per_prefix.filter("c > 1").drop("c").join(by_length, "n", "left_semi")
+    if digest_all:
+        texts = rows.groupBy("n", "prefix", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("size"))
+        groups = texts.join(open_, ["n", "prefix"], "left_semi")
+    else:
+        contested = rows.join(open_, ["n", "prefix"], "left_semi").select(F.col("id").alias("other"))
+        sha = text.join(contested, F.col("id").eqNullSafe(F.col("other")), "left_semi").select("id", F.length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha"))
+        sha = materialise(sha, "dedup-sha")
+        groups = sha.groupBy("n", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("size"))
+        free = rows.join(contested, F.col("id").eqNullSafe(F.col("other")), "left_anti").select("id", "n", F.lit(None).cast("binary").alias("sha"))
         rows = sha.unionByName(free)
+    groups = groups.filter("size > 1").select("n", "sha", "keep_id", "size")
     out = rows.join(groups, ["n", "sha"], "left")
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
