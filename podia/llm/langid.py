@@ -28,7 +28,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def grams(word: str, n: int) -> list[str]:
-    framed = f"<{word}>"
+    """Stretches of n characters of a word framed by < and >; of one character, those of the word itself."""
+    framed = f"<{word}>" if n > 1 else word
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
