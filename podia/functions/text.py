@@ -21,6 +21,33 @@ DISCIPLINES = [
     ("crit", "繞圈|criterium|crit"),
     ("tt", "計時|個人計時|ITT|時間賽"),
 ]
+# Series by words of a race's name, first match wins.
+SERIES = [
+    ("台灣登山大滿貫(雪巴)", "登山大滿貫|大滿貫"),
+    ("96聯賽", "96聯賽|96CyclingRace|96Heroes|96 "),
+    ("瘋系列環台賽", "瘋系列"),
+    ("TIS崇越盃系列", "崇越盃|TIS|石羅佛|石門環湖|羅馬公路|佛陀KOM"),
+    ("臺灣KOM太平洋經典賽", "KOM太平洋經典|太平洋經典賽"),
+    ("臺灣KOM登山王之路", "登山王之路"),
+    ("臺灣KOM登山王挑戰", "登山王挑戰|Taiwan KOM Challenge"),
+    ("臺灣自行車聯賽(TCL)", "太平山王|陽明山王|臺灣自行車聯賽|台灣自行車聯賽"),
+    ("環花東國際自行車賽", "環花東|花東縱谷|East Taiwan"),
+    ("花蓮太平洋盃", "花蓮太平洋盃|太平洋盃"),
+    ("環大臺北自行車挑戰", "環大臺北|環大台北"),
+    ("L'Étape 環法日月潭", "L['’]?Étape|L['’]?Etape|環法"),
+    ("銅礦88經典挑戰賽", "銅礦88|銅礦"),
+    ("LAVA 落日飛車350", "落日飛車|350自行車挑戰|LAVanLife|LAVA"),
+    ("自由車錦標賽/選拔", "自由車錦標賽|市長盃自由車|國手選拔|青年盃|全國公路"),
+    ("捷安特自行車嘉年華", "自行車嘉年華|GIANT CUP|LIVDAY"),
+    ("TBA 長途認證", "北高360|雙塔520|四極|TBA.*認證|認證"),
+    ("戀戀197", "戀戀197"),
+    ("仙山單車挑戰賽", "仙山|一輪盃"),
+    ("世界自行車日", "鵬灣|世界自行車日"),
+    ("屏東四重溪自行車挑戰賽", "四重溪"),
+    ("GravelFundo 礫石越野系列", r"Gravel\s?Fundo"),
+    ("TCU 台中城市繞圈賽", "台中城市繞圈"),
+]
+CERTIFIED = "TBA 長途認證"
 # Age bands by their upper age.
 AGE_BANDS = [(18, "U19"), (29, "19-29"), (39, "30-39"), (49, "40-49"), (59, "50-59")]
 AGE_MIDDLE = {"U19": 17, "19-29": 24, "30-39": 34, "40-49": 44, "50-59": 54, "60+": 64}

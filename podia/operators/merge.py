@@ -18,8 +18,8 @@ def without_copies(rows: DataFrame) -> DataFrame:
     """The first row of each result that several sources have: same year, name and whole seconds.
 
     Where a source hides names, masked forms are compared: a hidden row is a
-    copy of any earlier row of its masked form, and an open row is one of an
-    earlier hidden row. "Earlier" is by (source_ord, row_ord). Firsts are
+    copy of any earlier row of its masked form, and an open row is one of a
+    hidden row that stays, which is then the first of its form. "Earlier" is by (source_ord, row_ord). Firsts are
     aggregates by key, which no hot key overloads; rows without name or time stay.
     """
     name, hidden = F.col("name_raw"), X.is_source_masked(F.col("name_raw"))
@@ -29,7 +29,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumns({"__m": X.mask_name(name), "__s": seconds, "__hidden": hidden, "__at": at})
     candidates = keyed.filter(checked)
     by_name = candidates.filter("not __hidden").groupBy("year", "name_raw", "__s").agg(F.min("__at").alias("first_named"))
-    by_mask = candidates.groupBy("year", "__m", "__s").agg(F.min("__at").alias("first_masked"), F.min(F.when(F.col("__hidden"), F.col("__at"))).alias("first_hidden"))
+    by_mask = candidates.groupBy("year", "__m", "__s").agg(F.min(F.struct("__at", "__hidden")).alias("first_masked"))
 
     def met(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
         right = right.withColumnsRenamed({c: f"r_{c}" for c in cols})
@@ -40,7 +40,8 @@ def without_copies(rows: DataFrame) -> DataFrame:
         return left.join(right, on, "left").drop(*[f"r_{c}" for c in cols])
 
     seen = met(met(candidates, by_name, ["year", "name_raw", "__s"]), by_mask, ["year", "__m", "__s"])
-    copy = F.when(F.col("__hidden"), F.col("first_masked") < F.col("__at")).otherwise((F.col("first_named") < F.col("__at")) | F.coalesce(F.col("first_hidden") < F.col("__at"), F.lit(False)))
+    later = F.col("first_masked.__at") < F.col("__at")
+    copy = F.when(F.col("__hidden"), later).otherwise((F.col("first_named") < F.col("__at")) | (F.col("first_masked.__hidden") & later))
     kept = seen.filter(~copy).select(rows.columns)
     return kept.unionByName(rows.filter(~checked))
 

@@ -40,7 +40,7 @@ def make_records(rows: DataFrame) -> DataFrame:
 
 
 def enrich(rows: DataFrame, canonical: dict[str, str] | None = None) -> DataFrame:
-    """rows with race_class, gender and age_band; gender and age come from the category where they are missing.
+    """rows with series (unless they have it), race_class, gender and age_band; gender and age come from the category where they are missing.
 
     canonical renames race keys of one event that sources call differently; the
     table is curated by hand, so it is a small map inside the plan.
@@ -51,9 +51,12 @@ def enrich(rows: DataFrame, canonical: dict[str, str] | None = None) -> DataFram
         table = F.create_map(*[F.lit(x) for pair in canonical.items() for x in pair])
         known = F.try_element_at(table, F.col("race_key"))
         rows = rows.withColumns({"race_name_canonical": F.coalesce(known, "race_name_canonical"), "race_key": F.coalesce(known, "race_key")})
+    if "series" not in rows.columns:
+        rows = rows.withColumn("series", X.by_pattern(X.filled(F.col("race_name_raw"), F.col("race_name_canonical")), X.SERIES))
+    certified = F.coalesce(F.col("series") == X.CERTIFIED, F.lit(False))
     return rows.withColumns(
         {
-            "race_class": X.race_class(F.col("result_label"), category),
+            "race_class": F.when(certified, "認證").otherwise(X.race_class(F.col("result_label"), category)),
             "gender": F.when(gender.isin("M", "F"), gender).otherwise(F.coalesce(X.gender_from_category(category), gender)),
             "age_band": X.age_band(X.filled(age, X.age_from_category(category))),
         }

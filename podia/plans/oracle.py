@@ -116,16 +116,15 @@ ORACLE: dict[str, str] = {
           SELECT source_ord, row_ord, name_raw, year, name_masked, finish_seconds, status FROM results
           UNION ALL SELECT 9, row_ord, CASE WHEN row_ord % 3 = 0 THEN substr(name_raw, 1, 1) || '*' ELSE name_raw END, year, name_masked, finish_seconds, status FROM results WHERE row_ord % 4 = 0),
         masked AS (
-          SELECT *, substr(name_raw, 1, 1) || '○' AS m, CAST(floor(finish_seconds) AS BIGINT) AS s, name_raw LIKE '%*%' AS hidden, source_ord * 1e18 + row_ord AS at_ FROM both_rows
+          SELECT *, substr(name_raw, 1, 1) || '○' AS m, CAST(floor(finish_seconds) AS BIGINT) AS s, name_raw LIKE '%*%' AS hidden FROM both_rows
           WHERE status IN ('DNF', 'DNS') OR finish_seconds IS NULL OR finish_seconds > 0),
         seen AS (
           SELECT *, min(CASE WHEN NOT hidden THEN (source_ord, row_ord) END) OVER (PARTITION BY year, name_raw, s) AS first_named,
-                 min((source_ord, row_ord)) OVER (PARTITION BY year, m, s) AS first_masked,
-                 min(CASE WHEN hidden THEN (source_ord, row_ord) END) OVER (PARTITION BY year, m, s) AS first_hidden
-          FROM masked)
+                 first_value(hidden) OVER w AS first_is_hidden, (first_value(source_ord) OVER w, first_value(row_ord) OVER w) AS first_masked
+          FROM masked WINDOW w AS (PARTITION BY year, m, s ORDER BY source_ord, row_ord))
         SELECT source_ord, row_ord, name_raw FROM seen
         WHERE s IS NULL OR NOT (CASE WHEN hidden THEN first_masked < (source_ord, row_ord)
-                                ELSE first_named < (source_ord, row_ord) OR coalesce(first_hidden < (source_ord, row_ord), false) END)""",
+                                ELSE first_named < (source_ord, row_ord) OR (first_is_hidden AND first_masked < (source_ord, row_ord)) END)""",
         _BASE,
     ),
     "merge_summary": _q(
@@ -168,8 +167,8 @@ ORACLE: dict[str, str] = {
         _KEYED,
     ),
     "athletes_climbs": _q(
-        """SELECT id, substr(arg_max(name_raw, (vam, -row_ord)), 1, 0) || arg_min(nm, row_ord) AS nm, max(vam) AS best_vam, arg_max(wkg, (vam, -row_ord)) AS best_wkg,
-                  arg_max(race_key, (vam, -row_ord)) AS climb, arg_max(year, (vam, -row_ord)) AS y, arg_max(gender, (vam, -row_ord)) AS g
+        """SELECT id, any_value(nm) AS nm, max(vam) AS best_vam, arg_max(wkg, (vam, -row_ord)) AS best_wkg,
+                  arg_max(race_key, (vam, -row_ord)) AS climb, arg_max(year, (vam, -row_ord)) AS y, nullif(arg_max(coalesce(gender, ''), (vam, -row_ord)), '') AS g
            FROM ascent JOIN names USING (gk) WHERE gn >= 2 GROUP BY id""",
         _KEYED, _INDEX, _CLIMBS,
     ),
@@ -250,7 +249,7 @@ ORACLE: dict[str, str] = {
                        WHEN finisher_delta >= 0 AND time_delta <= -5 THEN '偏易' ELSE '正常' END AS verdict FROM d""",
         _BASE, _DIFF,
     ),
-    "races_benchmarks": _q("SELECT * FROM bench", _BASE, _BENCH),
+    "races_benchmarks": _q("SELECT rk, label, cohort, type, n, array_to_string(bp, ',') AS bp FROM bench", _BASE, _BENCH),
     "races_spread": _q("SELECT rk, y, min(t) AS winner, median(t) AS median, count(*) AS n, round(median(t) / CAST(min(t) AS DOUBLE), 6) AS ratio FROM slim WHERE t IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10", _BASE, _SLIM),
     "races_boxes": _q("SELECT ag, min(t) AS min, quantile_cont(t, 0.25) AS q1, quantile_cont(t, 0.5) AS median, quantile_cont(t, 0.75) AS q3, max(t) AS max, count(*) AS n FROM slim WHERE ag IS NOT NULL AND t IS NOT NULL GROUP BY 1 HAVING count(*) >= 8", _BASE, _SLIM),
     "races_histogram": _q(

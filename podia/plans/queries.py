@@ -184,7 +184,7 @@ QUERIES = {
     "races_crossyear": lambda s, d: races.crossyear(results(s, d)),
     "races_difficulty": lambda s, d: races.difficulty(results(s, d)),
     "races_severity": lambda s, d: races.severity(races.difficulty(results(s, d))),
-    "races_benchmarks": lambda s, d: races.benchmarks(results(s, d)),
+    "races_benchmarks": lambda s, d: races.benchmarks(results(s, d)).withColumn("bp", F.array_join("bp", ",")),
     "races_benchmark_lookup": climb_bench,
     "races_dna": lambda s, d: races.dna(keyed(s, d)),
     "races_similar": similar,
