@@ -350,3 +350,79 @@ ORACLE["insights_boards"] = _q(
     _KEYED, _INDEX, _CAREER,
 )
 ORACLE["course_records_women"] = f"SELECT * REPLACE (row_number() OVER (PARTITION BY rk ORDER BY rank) AS rank) FROM ({ORACLE['course_records']}) WHERE g = 'F'"
+
+_PRINTS = """,
+kinds AS (
+  SELECT *, CASE WHEN race_name_raw LIKE '%hot%' THEN 'climb' WHEN race_name_raw LIKE '%ring%' THEN 'flat' WHEN race_name_raw LIKE '%red%' THEN 'tt' ELSE 'flat' END AS kind FROM track
+),
+per AS (
+  SELECT gk, id, median(pct) AS overall, median(pct) FILTER (WHERE kind = 'climb') AS climb, median(pct) FILTER (WHERE kind = 'flat') AS flat, median(pct) FILTER (WHERE kind = 'tt') AS tt,
+         CASE WHEN count(*) FILTER (WHERE gender = 'M') > count(*) FILTER (WHERE gender = 'F') THEN 'M' WHEN count(*) FILTER (WHERE gender = 'F') > count(*) FILTER (WHERE gender = 'M') THEN 'F' END AS g
+  FROM kinds GROUP BY gk, id HAVING count(pct) >= 2
+),
+bands AS (SELECT gk, arg_min(age_band, (-n, f)) AS band FROM (SELECT gk, age_band, count(*) AS n, min(row_ord) AS f FROM track WHERE age_band IS NOT NULL GROUP BY 1, 2) GROUP BY gk),
+pool AS (
+  SELECT per.*, CASE band WHEN 'U19' THEN 17 WHEN '19-29' THEN 24 WHEN '30-39' THEN 34 WHEN '40-49' THEN 44 WHEN '50-59' THEN 54 WHEN '60+' THEN 64 END::DOUBLE AS age
+  FROM per LEFT JOIN bands USING (gk) WHERE g IS NOT NULL
+),
+z AS (
+  SELECT id, g, (climb - avg(climb) OVER w) / nullif(stddev_pop(climb) OVER w, 0) AS climb, (flat - avg(flat) OVER w) / nullif(stddev_pop(flat) OVER w, 0) AS flat,
+         (tt - avg(tt) OVER w) / nullif(stddev_pop(tt) OVER w, 0) AS tt, (overall - avg(overall) OVER w) / nullif(stddev_pop(overall) OVER w, 0) AS overall,
+         (age - avg(age) OVER w) / nullif(stddev_pop(age) OVER w, 0) AS age
+  FROM pool WINDOW w AS (PARTITION BY g)
+),
+prints AS (
+  SELECT id, g, round(coalesce(climb, overall), 2) + 0.0 AS climb, round(coalesce(flat, overall), 2) + 0.0 AS flat, round(coalesce(tt, overall), 2) + 0.0 AS tt, round(overall, 2) + 0.0 AS overall, round(coalesce(age, 0), 2) + 0.0 AS age FROM z
+)"""
+ORACLE["athletes_features"] = _q("SELECT * FROM prints", _KEYED, _PRINTS)
+ORACLE["athletes_doppelgangers"] = _q(
+    """, me AS (SELECT * FROM prints ORDER BY id LIMIT 1),
+    near AS (SELECT p.id, sqrt(power(p.climb - me.climb, 2) + power(p.flat - me.flat, 2) + 0.8::DOUBLE * power(p.tt - me.tt, 2) + 1.3::DOUBLE * power(p.overall - me.overall, 2) + 0.5::DOUBLE * power(p.age - me.age, 2)) AS dist
+             FROM prints p JOIN me ON p.g = me.g AND p.id <> me.id)
+    SELECT id, round(dist, 6) AS dist, CAST(round(100 * exp(-dist / 2.5)) AS BIGINT) AS sim FROM near ORDER BY near.dist, id LIMIT 6""",
+    _KEYED, _PRINTS,
+)
+
+
+def _percentile(axis: str) -> str:
+    place = f"row_number() OVER (PARTITION BY {axis} IS NULL ORDER BY round({axis}, 9), rk, y) - 1"
+    n = f"count(*) OVER (PARTITION BY {axis} IS NULL)"
+    return f"CAST(round_even(CASE WHEN {axis} IS NULL OR {n} = 1 THEN 50 ELSE ({place}) / CAST({n} - 1 AS DOUBLE) * 100 END, 0) AS BIGINT) AS {axis}"
+
+
+_DNA = f""",
+ridden AS (SELECT DISTINCT gk, race_key AS rk, year AS y FROM keyed WHERE gk NOT IN ('n:', 'u:', 't:')),
+habits AS (SELECT rk, y, count(*) AS riders, count(*) FILTER (WHERE here > 1) AS again, count(*) FILTER (WHERE editions >= 3) AS regular
+           FROM (SELECT *, count(*) OVER (PARTITION BY gk) AS editions, count(*) OVER (PARTITION BY gk, rk) AS here FROM ridden) GROUP BY 1, 2),
+spread AS (SELECT rk, y, sum(cov * c) / sum(c) AS sel FROM (SELECT race_key AS rk, year AS y, result_label, count(*) AS c, stddev_pop(finish_seconds) / avg(finish_seconds) AS cov
+           FROM keyed WHERE finish_seconds > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 10) GROUP BY 1, 2),
+traits AS (
+  SELECT k.*, sel, CAST(NULL AS DOUBLE) AS climb, n::DOUBLE AS size, regular / CAST(riders AS DOUBLE) * 100 AS prest, again / CAST(riders AS DOUBLE) * 100 AS repeat, CASE WHEN gn / CAST(n AS DOUBLE) >= 0.3 THEN f / CAST(gn AS DOUBLE) * 100 END AS women
+  FROM (SELECT race_key AS rk, year AS y, count(*) AS n, count(gender) AS gn, count(*) FILTER (WHERE gender = 'F') AS f FROM keyed GROUP BY 1, 2 HAVING count(*) >= 20) k
+  LEFT JOIN habits USING (rk, y) LEFT JOIN spread USING (rk, y)
+),
+dna AS (SELECT rk, y, n, {", ".join(_percentile(a) for a in ("sel", "size", "climb", "prest", "repeat", "women"))} FROM traits)"""
+ORACLE["races_dna"] = _q("SELECT * FROM dna", _KEYED, _DNA)
+ORACLE["races_similar"] = _q(
+    """, me AS (SELECT * FROM dna WHERE rk = 'Brand#7' AND y = 1998),
+    sims AS (SELECT d.rk, d.y, CAST(round(100 * exp(-sqrt(power(d.sel - me.sel, 2) + power(d.size - me.size, 2) + power(d.climb - me.climb, 2) + power(d.prest - me.prest, 2) + power(d.repeat - me.repeat, 2) + power(d.women - me.women, 2)) / 90)) AS BIGINT) AS sim
+             FROM dna d JOIN me ON d.rk <> me.rk)
+    SELECT rk, y, sim FROM (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY sim DESC, y) AS k FROM sims) WHERE k = 1 ORDER BY sim DESC, rk LIMIT 5""",
+    _KEYED, _DNA,
+)
+_BEAT = "CAST(round_even(length(list_filter(bp, lambda t: t > {0})) / 101.0::DOUBLE * 100, 0) AS BIGINT) AS percentile_beat"
+ORACLE["races_benchmark_lookup"] = _q(
+    f"""SELECT * FROM (SELECT rk, label, cohort, n, {_BEAT.format(30000)} FROM bench WHERE rk = 'Brand#7' AND cohort IN ('age:30-39|g:M', 'age:30-39', 'all')
+      ORDER BY label <> 'PROMO', max(CASE WHEN cohort = 'all' THEN n END) OVER (PARTITION BY label) DESC, label, length(cohort) DESC LIMIT 1)
+    UNION ALL SELECT * FROM (SELECT rk, label, cohort, n, {_BEAT.format(9000)} FROM bench WHERE rk = 'Brand#7' AND cohort = 'all' ORDER BY n DESC, label LIMIT 1)""",
+    _BASE, _BENCH,
+)
+ORACLE["merge_cross_listed"] = _q(
+    """, own AS (SELECT race_key, year, race_key || '|' || result_label AS t, name_raw AS nm, CAST(floor(finish_seconds) AS BIGINT) AS s, rank_overall AS r FROM results WHERE finish_seconds > 0 AND (status IS NULL OR status = 'FIN')),
+    every AS (SELECT DISTINCT race_key, year, t, nm, s FROM own UNION SELECT 'Brand#3b', year, t || 'b', nm, s FROM own WHERE race_key = 'Brand#3' AND r > 1),
+    sizes AS (SELECT race_key, year, t, count(*) AS n FROM every GROUP BY 1, 2, 3),
+    shared AS (SELECT a.year, a.t AS a, b.t AS b, count(*) AS k FROM every a JOIN every b ON a.year = b.year AND a.nm = b.nm AND a.s = b.s AND a.t <> b.t GROUP BY 1, 2, 3)
+    SELECT DISTINCT CAST(0 AS BIGINT) AS source_ord, k.year, k.a AS table_id FROM shared k JOIN sizes x ON x.t = k.a AND x.year = k.year JOIN sizes y ON y.t = k.b AND y.year = k.year
+    WHERE x.n >= 10 AND x.race_key <> y.race_key AND y.n > x.n AND k.k >= 0.95 * x.n""",
+    _BASE,
+)
