@@ -31,9 +31,9 @@ _PARAGRAPH = rf"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){{0,{P
 
 
 def paragraphs(text: str) -> str:
-    """SQL: the distinct digests (XXH64) of a text's paragraphs."""
+    """SQL: the distinct digests (the upper 63 bits of XXH64, so never negative) of a text's paragraphs."""
     pattern = _PARAGRAPH.replace("\\", "\\\\")
-    return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), p -> xxhash64(p)))"
+    return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), p -> shiftrightunsigned(xxhash64(p), 1)))"
 
 
 def _check(digest: str) -> str:
@@ -41,12 +41,24 @@ def _check(digest: str) -> str:
 
 
 def _entry(digest: str, sign: str, cells: int) -> str:
-    """SQL: a digest with its cell in each sub-table, for tables of this size (each size has hashes of its own)."""
-    place = [f"cast({t * cells} + pmod(shiftrightunsigned(xxhash64({digest}, {cells}), {20 * t}), {cells}) as int)" for t in range(3)]
+    """SQL: a digest with its cell in each sub-table, for tables of this size.
+
+    Tables of the least size take the lower bits of the digest itself, as
+    dealing goes by the upper ones; larger ones take those of a hash of their own.
+    """
+    bits = digest if cells == CELLS else f"xxhash64({digest}, {cells})"
+    place = [f"cast(((shiftright({bits}, {15 * t}) & 32767) % {cells}) as int)" for t in range(3)]
     return f"named_struct('d', {digest}, 's', {sign}, 'p0', {place[0]}, 'p1', {place[1]}, 'p2', {place[2]}, 'h', {_check(digest)})"
 
 
 _EMPTY = "named_struct('c', 0, 'k', 0L, 'h', 0)"
+_ADD = "(s, x) -> named_struct('c', s.c + x.s, 'k', s.k ^ x.d, 'h', s.h ^ x.h)"
+_TAKE = "(s, y) -> named_struct('c', s.c - y.s, 'k', s.k ^ y.d, 'h', s.h ^ y.h)"
+
+
+def _three(of) -> str:
+    """SQL: a struct of the three sub-tables t0, t1, t2, each of(t)."""
+    return "named_struct(" + ", ".join(f"'t{t}', {of(t)}" for t in range(3)) + ")"
 
 
 def entries(digests: str, sign: int, cells: int) -> str:
@@ -55,22 +67,26 @@ def entries(digests: str, sign: int, cells: int) -> str:
 
 def table(these: str, cells: int) -> str:
     """SQL: the cells of a table that holds the entries."""
-    add = "(s, x) -> named_struct('c', s.c + x.s, 'k', s.k ^ x.d, 'h', s.h ^ x.h)"
-    parts = [f"transform(sequence({t * cells}, {t * cells + cells - 1}), j -> aggregate(filter(e0, x -> x.p{t} = j), {_EMPTY}, {add}))" for t in range(3)]
-    return f"transform(array({these}), e0 -> concat({', '.join(parts)}))[0]"
+    tables = _three(lambda t: f"transform(sequence(0, {cells - 1}), j -> aggregate(filter(e0, x -> x.p{t} = j), {_EMPTY}, {_ADD}))")
+    return f"transform(array({these}), e0 -> {tables})[0]"
 
 
 def subtract(left: str, right: str) -> str:
-    return f"zip_with({left}, {right}, (a, b) -> named_struct('c', a.c - b.c, 'k', a.k ^ b.k, 'h', a.h ^ b.h))"
+    return _three(lambda t: f"zip_with({left}.t{t}, {right}.t{t}, (a, b) -> named_struct('c', a.c - b.c, 'k', a.k ^ b.k, 'h', a.h ^ b.h))")
 
 
-def peel(cells_of: str, cells: int) -> str:
-    """SQL: how many digests peeling recovers from a table; null if cells are left over."""
-    pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.c) = 1 and x.h = {_check('x.k')}), x -> {_entry('x.k', 'x.c', cells)}))"
-    out = "(x, j) -> aggregate(filter(pure, y -> y.p0 = j or y.p1 = j or y.p2 = j), x, (s, y) -> named_struct('c', s.c - y.s, 'k', s.k ^ y.d, 'h', s.h ^ y.h))"
-    step = f"transform(array({pure}), pure -> named_struct('cells', if(size(pure) = 0, st.cells, transform(st.cells, {out})), 'n', st.n + size(pure), 'go', size(pure) > 0))[0]"
-    done = "exists(st.cells, x -> x.c <> 0 or x.k <> 0L or x.h <> 0)"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells_of}, 'n', 0, 'go', true), (st, i) -> if(st.go, {step}, st), st -> if({done}, cast(null as int), st.n))"
+def peel(table_of: str, cells: int) -> str:
+    """SQL: how many digests peeling recovers from a table; null if cells are left over.
+
+    A round takes every digest that is alone in some cell out of all of its cells.
+    """
+    alone = lambda sign: f"array_distinct(transform(filter(every, x -> x.c = {sign} and x.h = {_check('x.k')}), x -> x.k))"
+    pure = f"concat(transform({alone(1)}, d -> {_entry('d', '1', cells)}), transform({alone(-1)}, d -> {_entry('d', '-1', cells)}))"
+    pure = f"transform(array(concat(st.t.t0, st.t.t1, st.t.t2)), every -> {pure})[0]"
+    rest = _three(lambda t: f"transform(st.t.t{t}, (x, j) -> aggregate(filter(pure, y -> y.p{t} = j), x, {_TAKE}))")
+    step = f"transform(array({pure}), pure -> if(size(pure) = 0, named_struct('t', st.t, 'n', st.n, 'go', false), named_struct('t', {rest}, 'n', st.n + size(pure), 'go', true)))[0]"
+    left = "exists(concat(st.t.t0, st.t.t1, st.t.t2), x -> x.c <> 0 or x.k <> 0L or x.h <> 0)"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('t', {table_of}, 'n', 0, 'go', true), (st, i) -> if(st.go, {step}, st), st -> if({left}, cast(null as int), st.n))"
 
 
 def _table_difference(ours: str, theirs: str) -> str:
@@ -86,26 +102,38 @@ def _table_difference(ours: str, theirs: str) -> str:
     return f"coalesce({', '.join(tries)})"
 
 
-def difference(ours: str, theirs: str, our_sketch: str, their_sketch: str) -> str:
-    """SQL: the number of digests that only one of two texts has, from their sketches, or from larger tables if they fail.
+def _dealt(above: str, low: str, span: str, ways: str, level: int, inner: str) -> str:
+    """SQL: the sum of `inner` over the digests of `above` (a, b), dealt by ranges of equal width, `ways` of them.
 
-    Larger tables are dealt by three groups of six bits of the digest, so that
-    the work grows with the number of paragraphs, not with its square.
+    Each list is sorted together with the lower ends of all ranges but the
+    first, and cut there.
     """
-    need = f"ceil((size({ours}) + size({theirs})) / {PER_TABLE})"
-    ways = [f"cast(greatest(1, least(64, ceil({need} / {64**k}))) as int)" for k in range(3)]
+    s, g = f"s{level}", f"g{level}"
+    marks = "transform(sequence(1, v.w - 1), i -> v.low + i * v.step)"
+    sort = lambda side: f"if(v.w = 1, {above}.{side}, sort_array(concat({above}.{side}, {marks})))"
+    bound = f"named_struct('w', {ways}, 'low', {low}, 'step', {span} div {ways})"
+    sorted_ = f"transform(array({bound}), v -> named_struct('a', {sort('a')}, 'b', {sort('b')}, 'w', v.w, 'low', v.low, 'step', v.step))[0]"
+
+    def part(side: str) -> str:
+        at = lambda i: f"cast(array_position({s}.{side}, {s}.low + {i} * {s}.step) as int)"
+        stop = f"if(i{level} = {s}.w - 1, size({s}.{side}) + 1, {at(f'(i{level} + 1)')})"
+        return f"if({s}.w = 1, {s}.{side}, transform(array(if(i{level} = 0, 0, {at(f'i{level}')})), o -> slice({s}.{side}, o + 1, {stop} - o - 1))[0])"
 
-    def deal(level: int, inner: str) -> str:
-        pick = f"d -> pmod(shiftright(d, {6 * level}) & 63, w.w{level}) = i{level}"
-        name = f"g{level}"
-        above = f"g{level + 1}" if level < 2 else "g3"
-        split = f"named_struct('a', filter({above}.a, {pick}), 'b', filter({above}.b, {pick}))"
-        return f"aggregate(sequence(0, w.w{level} - 1), 0, (n{level}, i{level}) -> n{level} + transform(array({split}), {name} -> {inner})[0])"
+    each = f"transform(array(named_struct('a', {part('a')}, 'b', {part('b')}, 'low', {s}.low + i{level} * {s}.step, 'step', {s}.step)), {g} -> {inner})[0]"
+    return f"transform(array({sorted_}), {s} -> aggregate(sequence(0, {s}.w - 1), 0, (n{level}, i{level}) -> n{level} + {each}))[0]"
 
+
+def difference(ours: str, theirs: str, our_sketch: str, their_sketch: str) -> str:
+    """SQL: the number of digests that only one of two texts has, from their sketches, or from larger tables if they fail.
+
+    For those the digests are dealt by ranges, to 64 tables at most at a time.
+    """
+    need = f"cast(greatest(1, ceil((size({ours}) + size({theirs})) / {PER_TABLE})) as int)"
     leaf = f"if(size(g0.a) + size(g0.b) = 0, 0, {_table_difference('g0.a', 'g0.b')})"
-    nested = deal(2, deal(1, deal(0, leaf)))
-    widths = f"named_struct('w0', {ways[0]}, 'w1', {ways[1]}, 'w2', {ways[2]})"
-    larger = f"transform(array({widths}), w -> transform(array(named_struct('a', {ours}, 'b', {theirs})), g3 -> {nested})[0])[0]"
+    inner = _dealt("g1", "g1.low", "g1.step", "t.w0", 0, leaf)
+    outer = _dealt("t", "0L", "9223372036854775807L", "t.w1", 1, inner)
+    ways = f"transform(array({need}), n -> named_struct('a', {ours}, 'b', {theirs}, 'w1', cast(ceil(n / 64) as int), 'w0', cast(ceil(n / ceil(n / 64)) as int)))[0]"
+    larger = f"transform(array({ways}), t -> {outer})[0]"
     return f"coalesce({peel(subtract(our_sketch, their_sketch), CELLS)}, {larger})"
 
 
@@ -113,9 +141,9 @@ def sketch(digests: str) -> str:
     return table(entries(digests, 1, CELLS), CELLS)
 
 
-def as_text(cells: str) -> str:
-    """SQL: a sketch as text, 28 hex digits a cell: count, digests, check values."""
-    return f"lower(array_join(transform({cells}, x -> concat(lpad(hex(x.c), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(right(hex(x.h), 8), 8, '0'))), ''))"
+def as_text(sketch_of: str) -> str:
+    """SQL: a sketch as text, for each sub-table the cells with count, digests, check values."""
+    return f"cast({sketch_of} as string)"
 
 
 def likeness(difference: str, ours: str, theirs: str) -> str:
