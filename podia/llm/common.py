@@ -34,6 +34,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most (some 64 MB as a hash table); more are met by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+#: Text that a Python worker gets at once, or one row that has more.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches bounded by BATCH_BYTES, so that a worker's memory doesn't hang on how long 10,000 texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def few(ids: DataFrame, name: str) -> DataFrame:
+    """A table of ids, written and counted; marked for broadcast if there are MAX_BROADCAST_IDS of them at most.
+
+    So texts needn't be shuffled to meet a few ids, and many ids are never broadcast.
+    """
+    ids = materialise(ids, name)
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podia.llm.common import SPACE_RUN, materialise
+from podia.llm.common import SPACE_RUN, few, materialise
 
 PREFIX_CHARS = 256
 
@@ -26,7 +26,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whose text was never contested.
 
     Only id, length and hashes are shuffled, never texts, except that without
-    digest_all the contested texts are met by id. Copies are aggregated before
+    digest_all texts meet the contested ids if these are too many to broadcast. Copies are aggregated before
     they are shuffled; the last join, on a hot text, is left to AQE's skew split.
 
     Null or empty text: equal to each other. Null id: a row like any other;
@@ -47,7 +47,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = rows.groupBy("n", "prefix", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("size"))
         groups = texts.join(open_, ["n", "prefix"], "left_semi")
     else:
-        contested = rows.join(open_, ["n", "prefix"], "left_semi").select(F.col("id").alias("other"))
+        contested = few(rows.join(open_, ["n", "prefix"], "left_semi").select(F.col("id").alias("other")), "contested")
         sha = text.join(contested, F.col("id").eqNullSafe(F.col("other")), "left_semi").select("id", F.length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha"))
         sha = materialise(sha, "dedup-sha")
         groups = sha.groupBy("n", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("size"))
@@ -68,4 +68,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another row with a smaller id has; all columns stay as they are."""
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = few(gone, "exact-copies")
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from podia.llm.common import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the model is fitted on, as expected by a hash of the id; fewer if there are fewer.
@@ -150,15 +152,20 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     Repeated rows get equal answers; an empty table stays empty; columns that
     have the names of the new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    docs = docs.drop(pred_col, score_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for texts in batches:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
+        for batch in batches:
+            found = [own.predict(t.as_py()) for t in batch.column(at)]
+            said = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *said], [*batch.schema.names, pred_col, score_col])
 
-    return docs.drop(pred_col, score_col).withColumn("__said", run(F.col(text_col))).withColumns({pred_col: F.col("__said.lang"), score_col: F.col("__said.score")}).drop("__said")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
 
 
 def accept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

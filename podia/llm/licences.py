@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podia.llm.common import small_batches
+
 #: Phrases that count only word for word, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Notices that may be misspelt, with their labels.
@@ -129,5 +131,6 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [scan(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[n] for x in found], k) for n, k in zip(names, kinds, strict=True))], [id_col, *names])
 
+    small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return cols.mapInArrow(run, f"{id_col} long, {SCHEMA}")

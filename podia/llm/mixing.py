@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podia.llm.common import materialise, words_of
+from podia.llm.common import materialise, small_batches, words_of
 from podia.llm.feistel import permute
 
 #: Weights of the sources by rank, repeating; no source gives more than EPOCHS times its size.
@@ -30,6 +30,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             count = [len(words_of(t.as_py() or b"")) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), batch.column(3)], ["id", "source", "size", "digest"])
 
+    small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("digest"))
     return cols.mapInArrow(run, "id long, source string, size long, digest long")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podia.llm import golay
-from podia.llm.common import materialise
+from podia.llm.common import few, materialise, small_batches
 from podia.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
+    small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return cols.mapInArrow(run, "id long, fp long")
 
@@ -187,4 +188,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one row of each near-duplicate group: the one whose id is the component's."""
     groups = near_groups(docs, id_col, text_col, shingle)
     gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
+    gone = few(gone, "near-copies")
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")

@@ -7,15 +7,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from podia.llm.common import small_batches
+
 #: Stands for a space in pieces.
 MARKER = "▁"
 #: A run of markers and what follows up to the next marker: no piece goes beyond one.
 UNIT = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 #: Distinct units whose pieces a worker remembers before it forgets them all.
-REMEMBER = 400_000
+REMEMBER = 250_000
 #: Characters of text that are encoded together, and cells of the Viterbi table.
 TEXT_AT_ONCE, CELLS = 2_000_000, 500_000
 #: Units longer than this (bytes) are encoded one at a time.
@@ -225,41 +228,47 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary.of([model.id_to_piece(i) for i in every], scores, [i for i in every if model.is_byte(i)])
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of rows with TEXT_AT_ONCE characters, or a row that has more alone."""
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with TEXT_AT_ONCE bytes, or a row that has more alone."""
     start = total = 0
-    for i, t in enumerate(texts):
-        size = len(t or "")
-        if i > start and total + size > TEXT_AT_ONCE:
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and total + (size or 0) > TEXT_AT_ONCE:
             yield start, i
             start, total = i, 0
-        total += size
+        total += size or 0
     if start < len(texts):
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """docs with the ids of each whole text, an array of int (replacing a column of that name).
 
+    With decoded_col what the ids decode to comes with them, as decode() gives it.
+
     No shuffle: the vocabulary (its size is the model file's, not the data's)
     is broadcast, units of text are met by a bounded memory of each worker and
     encoded together if they are new. Null and empty texts have no ids;
     repeated rows get equal ids; an empty table stays empty.
     """
-    docs = docs.drop(ids_col)
+    small_batches(docs.sparkSession)
+    docs = docs.drop(*[c for c in (ids_col, decoded_col) if c])
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).fresh())
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for lo, hi in _parts(texts):
-                found, ends = own.encode(texts[lo:hi])
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(found))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, ids], [*batch.schema.names, ids_col])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+            for lo, hi in _parts(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                found, ends = own.encode(part.column(at).to_pylist())
+                bounds = np.concatenate([[0], ends])
+                new = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))]
+                if decoded_col:
+                    new.append(pa.array([own.decode(found[s:e].tolist()) for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*batch.schema.names, *[c for c in (ids_col, decoded_col) if c]])
+
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
