@@ -4,6 +4,8 @@ import base64
 import json
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -13,40 +15,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podia.llm.common import small_batches
 from podia.llm.feistel import permute
 
 #: How byte-level BPE cuts a text before it merges bytes (a fixed value of these vocabularies).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker remembers before it forgets them all.
-REMEMBER = 500_000
+REMEMBER = 1_000_000
 #: A record: the number of tokens, the sequence's number before the permutation, the ids (uint16); and a guard byte,
 #: which Spark's text sink puts after each line: so any store that Spark writes to can hold shards.
 HEADER = "<Iq"
 HEADER_BYTES = struct.calcsize(HEADER)
 GUARD = b"\n"
-BEFORE_WORD = re.compile(r"(?= \S)")
+BEFORE_WORD = re.compile(r" (?=\S)")
 
 
 class Ids(dict):
-    """Ids (uint16, little endian) of stretches of text that begin with a word's space: encoded once, then remembered."""
+    """Ids (uint16, little endian) of words with the space before them: encoded once, then remembered.
+
+    What was met since the last but one time that half of REMEMBER was reached
+    is kept, so frequent words are never encoded again.
+    """
 
     def __init__(self, encoding):
-        self.encoding = encoding
+        self.encoding, self.older = encoding, {}
+
+    def encode(self, part: str) -> bytes:
+        found = array("H", self.encoding.encode_ordinary(part))
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBER:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBER // 2:
+            self.older = dict(self)
             self.clear()
-        found = self[part] = np.array(self.encoding.encode_ordinary(part), "<u2").tobytes()
+        known = self.older.get(word)
+        found = self[word] = self.encode(f" {word}") if known is None else known
         return found
 
     def of(self, text: str) -> bytes:
         """A space before a word always begins a piece of the pattern, so texts may be cut there."""
-        if "  " in text:
-            parts = BEFORE_WORD.split(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[f" {w}" for w in rest]]
-        return b"".join(map(self.__getitem__, parts))
+        first, *rest = BEFORE_WORD.split(text) if "  " in text else text.split(" ")
+        return self.encode(first) + b"".join(map(self.__getitem__, rest))
 
 
 @cache
@@ -91,6 +102,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, seq_len: int = 102
     empty table gives a manifest of no shards.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
