@@ -4,13 +4,12 @@ import base64
 import json
 import re
 import struct
-import sys
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,37 +26,46 @@ REMEMBER = 1_000_000
 HEADER = "<Iq"
 HEADER_BYTES = struct.calcsize(HEADER)
 GUARD = b"\n"
+#: A space with white space after it: only texts without may be cut before every space.
+SPACES = r" [\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BEFORE_WORD = re.compile(r" (?=\S)")
 
 
-class Ids(dict):
+class Ids:
     """Ids (uint16, little endian) of words with the space before them: encoded once, then remembered.
 
-    What was met since the last but one time that half of REMEMBER was reached
-    is kept, so frequent words are never encoded again.
+    Of what was met, the words of the last two generations stay, so frequent ones are never encoded again.
     """
 
-    def __init__(self, encoding):
-        self.encoding, self.older = encoding, {}
+    def __init__(self, encoding, ranks: dict[bytes, int]):
+        self.encoding, self.known, self.older = encoding, {}, {}
+        self.begins = np.zeros(len(ranks), bool)
+        self.begins[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
 
     def encode(self, part: str) -> bytes:
-        found = array("H", self.encoding.encode_ordinary(part))
-        if sys.byteorder == "big":
-            found.byteswap()
-        return found.tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBER // 2:
-            self.older = dict(self)
-            self.clear()
-        known = self.older.get(word)
-        found = self[word] = self.encode(f" {word}") if known is None else known
-        return found
+        return np.array(self.encoding.encode_ordinary(part), "<u2").tobytes()
 
     def of(self, text: str) -> bytes:
-        """A space before a word always begins a piece of the pattern, so texts may be cut there."""
-        first, *rest = BEFORE_WORD.split(text) if "  " in text else text.split(" ")
-        return self.encode(first) + b"".join(map(self.__getitem__, rest))
+        """The ids of any text, cut before the spaces that begin a word: there a piece of the pattern always begins."""
+        first, *rest = BEFORE_WORD.split(text)
+        return self.encode(first) + b"".join(self.encode(f" {part}") for part in rest)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, none with a space in it or white space first.
+
+        New ones are encoded in one go: only a word's first token begins with a space.
+        """
+        if len(self.known) >= REMEMBER // 2:
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, words))
+        missing = {w: self.older.get(w) for w, f in zip(words, found, strict=True) if f is None}
+        if new := [w for w, f in missing.items() if f is None]:
+            ids = np.array(self.encoding.encode_ordinary(" " + " ".join(new)), "<u2")
+            at = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 2).tolist()
+            data = ids.tobytes()
+            missing.update(zip(new, (data[i:j] for i, j in zip(at, at[1:])), strict=True))
+        self.known.update(missing)
+        return [missing[w] if f is None else f for w, f in zip(words, found, strict=True)]
 
 
 @cache
@@ -69,16 +77,43 @@ def ids_of(path: str) -> tuple[Ids, int]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     if len(ranks) > 65_535:
         raise ValueError("ids must fit 16 bits, with one to spare")
-    return Ids(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})), len(ranks)
+    return Ids(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks), len(ranks)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[bytes]:
-    """Each document's ids with the end id, in the order of the partition."""
+def _words(texts: pa.Array, vocabulary: str) -> tuple[pa.Array, np.ndarray]:
+    """(entries, index): the ids of a batch of texts, each ended by the end id, are entries[index] end to end.
+
+    Texts are split at spaces by Arrow, and each distinct word is looked up
+    once. A text's first word has an entry of its own, as no space comes before
+    it; so has a whole text with runs of white space, which is cut by
+    BEFORE_WORD instead. The end id of the text before stands in that entry too.
+    """
     ids, end = ids_of(vocabulary)
     stop = struct.pack("<H", end)
-    for batch in batches:
-        for text in batch.column(0):
-            yield (ids.of(text.as_py()) if text.is_valid else b"") + stop
+    texts = pc.fill_null(texts, "")
+    spaced = pc.match_substring_regex(texts, SPACES)
+    parts = pc.split_pattern(pc.if_else(spaced, "", texts), " ")
+    firsts = parts.offsets.to_numpy()[:-1]
+    words = parts.flatten().dictionary_encode()
+    index = words.indices.to_numpy().astype(np.int64)
+    entries = ids.words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+    index[firsts] = np.arange(len(entries), len(entries) + len(firsts))
+    for k, (at, runs) in enumerate(zip(firsts.tolist(), spaced.to_pylist(), strict=True)):
+        own = ids.of(texts[k].as_py()) if runs else ids.encode(words[at].as_py())
+        entries.append(stop + own if k else own)
+    return pa.array([*entries, stop], pa.large_binary()), np.append(index, len(entries))
+
+
+def _count(texts: pa.Array, vocabulary: str) -> int:
+    """How many ids a batch of texts has, end ids included."""
+    entries, index = _words(texts, vocabulary)
+    return int(pc.binary_length(entries).to_numpy()[index].sum()) // 2
+
+
+def _stream(texts: pa.Array, vocabulary: str) -> memoryview:
+    """The ids of a batch of texts, end to end, each text's ended by the end id."""
+    entries, index = _words(texts, vocabulary)
+    return memoryview(entries.take(pa.array(index)).buffers()[2])
 
 
 def _stride(seq_len: int) -> int:
@@ -106,7 +141,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, seq_len: int = 102
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(s) // 2 for s in _streams(batches, vocabulary))
+        n = sum(_count(batch.column(0), vocabulary) for batch in batches if batch.num_rows)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["part", "n"])
 
     tokens = {r["part"]: r["n"] for r in texts.mapInArrow(count, "part long, n long").filter("n > 0").collect()}
@@ -119,30 +154,31 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, seq_len: int = 102
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        fill = struct.pack("<H", ids_of(vocabulary)[1])
-        size, at, seen = 2 * seq_len, first.get(part, 0), 0
+        record = np.dtype([("n", "<u4"), ("number", "<i8"), ("ids", "V", 2 * seq_len)])  # HEADER, then the ids
 
-        def out(sequences: list[tuple[int, bytes]], at: int) -> pa.RecordBatch:
-            numbers = np.arange(at, at + len(sequences))
-            slots = permute(numbers, total, key)
-            records = [struct.pack(HEADER, n, i) + ids for (n, ids), i in zip(sequences, numbers.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // per_shard, pa.int32()), pa.array(records, pa.binary())], ["slot", "shard", "record"])
+        def out(ids: bytes, at: int, n: int = seq_len) -> pa.RecordBatch:
+            rows = np.empty(len(ids) // (2 * seq_len), record)
+            rows["n"], rows["number"], rows["ids"] = n, np.arange(at, at + len(rows)), np.frombuffer(ids, record["ids"])
+            slots = permute(rows["number"].astype(np.int64), total, key)
+            ends = np.arange(0, (len(rows) + 1) * record.itemsize, record.itemsize, np.int32)
+            records = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // per_shard, pa.int32()), records], ["slot", "shard", "record"])
 
-        held, ready = bytearray(), []
-        for stream in _streams(batches, vocabulary):
+        held, at, seen = bytearray(), first.get(part, 0), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            stream = _stream(batch.column(0), vocabulary)
             seen += len(stream) // 2
             held += stream
-            if len(held) >= size:
-                whole = len(held) // size * size
-                ready += [(seq_len, bytes(held[i : i + size])) for i in range(0, whole, size)]
-                del held[:whole]
-            if len(ready) >= 1024:
-                yield out(ready, at)
-                at, ready = at + len(ready), []
+            while len(held) >= 2 * seq_len:
+                n = min(len(held) // (2 * seq_len), 1024)
+                yield out(bytes(held[: n * 2 * seq_len]), at)
+                at += n
+                del held[: n * 2 * seq_len]
         if held:
-            ready.append((len(held) // 2, bytes(held) + fill * (seq_len - len(held) // 2)))
-        if ready:
-            yield out(ready, at)
+            n = len(held) // 2
+            yield out(bytes(held) + struct.pack("<H", ids_of(vocabulary)[1]) * (seq_len - n), at, n)
         if seen != tokens.get(part, 0):
             raise RuntimeError(f"partition {part} had {tokens.get(part, 0)} ids when counted, {seen} when written")
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,25 @@ def test_parts_encode_like_the_whole():
     for _ in range(3000):
         text = "".join(rng.choice(" \n\t ab'sé1  \x1c\x85.!日") for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(ids.of(text), "<u2").tolist() == ids.encoding.encode_ordinary(text)
+
+
+def test_batches_encode_like_each_text():
+    ids, end = token_shards.ids_of(RANKS)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(" \n\t ab'sé1  \x1c\x85\u3000.!日") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += [None, "", " ", "  ", "a ", " a", *(t for _, t, _, _ in TEXTS)]
+    for few in (texts, texts[:1], texts[-1:], texts[::7]):
+        want = [x for t in few for x in [*ids.encoding.encode_ordinary(t or ""), end]]
+        assert np.frombuffer(token_shards._stream(pa.array(few, pa.string()), RANKS), "<u2").tolist() == want
+        assert token_shards._count(pa.array(few, pa.string()), RANKS) == len(want)
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    ids, _ = token_shards.ids_of(RANKS)
+    monkeypatch.setattr(token_shards, "REMEMBER", 20)
+    own = token_shards.Ids(ids.encoding, {})
+    own.begins = ids.begins
+    for i in range(0, 60, 3):
+        words = [f"word{j}" for j in range(i % 30, i % 30 + 9)] + ["the"]
+        assert own.words(words) == [own.encode(f" {w}") for w in words]
+        assert len(own.known) < 30 and len(own.older) < 30
