@@ -34,6 +34,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Name of the column that tells rows apart, whatever their ids.
+ROW = "__row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of its own for each row in ROW, written once so that every later read sees the same ones."""
+    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 #: Ids that are broadcast at most (some 64 MB as a hash table); more are met by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -56,6 +65,16 @@ def few(ids: DataFrame, name: str) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
+def one_of_each(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Numbered rows with just one of each group of named (ROW, __group, __id): one with the smallest non-null id.
+
+    Rows that named doesn't hold stay.
+    """
+    first = named.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", ROW)).alias("first"))
+    gone = named.join(first, "__group").filter(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW)
+    return rows.join(few(gone, "copies"), ROW, "left_anti").drop(ROW)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

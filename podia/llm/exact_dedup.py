@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podia.llm.common import SPACE_RUN, few, materialise
+from podia.llm.common import ROW, SPACE_RUN, few, materialise, numbered, one_of_each
 
 PREFIX_CHARS = 256
 
@@ -66,7 +66,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text another row with a smaller id has; all columns stay as they are."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    gone = few(gone, "exact-copies")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs with just one row of each text: one with the smallest non-null id; all columns stay as they are.
+
+    Rows are told apart by numbers written once, never by their ids, so null
+    and repeated ids cost no row its text and save none that is a copy.
+    """
+    rows = numbered(docs, "exact-rows")
+    groups = exact_groups(rows.select(F.col(ROW), F.col(text_col)), ROW, text_col).filter("group_size > 1")
+    groups = groups.select(F.col(ROW), F.col("keep_id").alias("__group"))
+    named = few(groups, "exact-groups").join(rows.select(ROW, F.col(id_col).alias("__id")), ROW)
+    return one_of_each(rows, materialise(named, "exact-named"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podia.llm import golay
-from podia.llm.common import few, materialise, small_batches
+from podia.llm.common import ROW, materialise, numbered, one_of_each, small_batches
 from podia.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -185,8 +185,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one whose id is the component's."""
-    groups = near_groups(docs, id_col, text_col, shingle)
-    gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    gone = few(gone, "near-copies")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs with just one row of each near-duplicate group: one with the smallest non-null id.
+
+    Rows are told apart by numbers written once, so null and repeated ids do no harm.
+    """
+    rows = numbered(docs, "near-rows")
+    groups = near_groups(rows.select(ROW, text_col), ROW, text_col, shingle)
+    named = groups.select(ROW, F.col("component_id").alias("__group")).join(rows.select(ROW, F.col(id_col).alias("__id")), ROW)
+    return one_of_each(rows, materialise(named, "near-groups"))

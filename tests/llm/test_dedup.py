@@ -153,3 +153,14 @@ def test_components(spark):
     assert len({found[i] for i in range(31)}) == 1 and len({found[i] for i in range(100, 140)}) == 1
     assert len(set(found.values())) == 3
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_null_and_repeated_ids_lose_no_text_and_save_no_copy(spark):
+    words = lambda seed: " ".join(str(random.Random(seed).getrandbits(40)) for _ in range(60))
+    rows = [(1, words(1), "en", "a"), (None, words(1), "en", "b"), (None, words(2), "en", "c"), (None, words(2), "en", "c"), (2, words(3), "en", "a"), (3, words(3), "en", "a"), (3, words(4), "en", "a"), (5, words(5), "en", "a"), (5, words(5), "en", "b")]
+    want = sorted(((1, words(1)), (None, words(2)), (2, words(3)), (3, words(4)), (5, words(5))), key=str)
+    for drop in (exact_dedup.drop_exact_copies, simhash.drop_near_copies):
+        kept = drop(documents(spark, rows))
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
+        texts = [r.text for r in drop(documents(spark)).collect()]
+        assert "nobody knows this text at all" in texts and texts.count("one") == 1
