@@ -14,6 +14,9 @@ from podia.llm.queries import PIECES
 #: SQL can't express the language model, the fingerprints' components or the draws.
 ORACLE_SQL = None
 
+#: What near copies are: texts whose sets of so many words in a row have at least this Jaccard similarity.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and those without a letter go."""
@@ -27,8 +30,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near fingerprints, the document with the smallest doc_id."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of texts whose five-word shingles are alike to 0.8 or more (Jaccard), the document with the smallest doc_id."""
+    return simhash.drop_near_copies(docs, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podia.llm import golay
-from podia.llm.common import ROW, materialise, numbered, one_of_each, small_batches
+from podia.llm.common import ROW, few, materialise, numbered, one_of_each, small_batches
 from podia.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -184,12 +185,163 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(answer, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with just one row of each near-duplicate group: one with the smallest non-null id.
+def shingle_hashes(data: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of a text's word shingles; A-Z count as a-z, fewer words are one shingle."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    k = min(shingle, len(words))
+    line = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size + 1) - size - 1
+    end = (start + size)[k - 1 :].tolist()
+    start = start[: len(words) - k + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[s:e], seed) for s, e in zip(start, end, strict=True)), np.uint64, len(start)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of distinct shingle hashes: repeated lines weigh no more than others."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+#: Bands of minimum hashes, and hashes in each: at similarity 0.8 all but one pair in 1,500 share a band.
+BANDS, BAND_ROWS = 40, 8
+_DRAWN = np.random.default_rng(SEED)
+_FACTORS = _DRAWN.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _DRAWN.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band: two sets share a band's key with probability similarity ** BAND_ROWS; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[None, at : at + 1024] * _FACTORS[:, None] + _OFFSETS[:, None]).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _sketches(shingle: int):
+    """Of rows (number, text): a digest of the shingle set, its size, its fingerprint and its band keys."""
 
-    Rows are told apart by numbers written once, so null and repeated ids do no harm.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(1).cast(pa.binary()):
+                hashes = shingle_hashes(text.as_py() or b"", shingle)
+                sets.append((xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), set_fingerprint(hashes), band_keys(hashes)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([x[0] for x in sets], pa.binary()),
+                    pa.array([x[1] for x in sets], pa.int64()),
+                    pa.array(np.array([x[2] for x in sets], np.uint64).view(np.int64)),
+                    pa.array([x[3] for x in sets], pa.list_(pa.int64())),
+                ],
+                [ROW, "digest", "n", "fp", "bands"],
+            )
+
+    return run
+
+
+def _sets(shingle: int):
+    """Of rows (node, text): the node's shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_hashes(t.as_py() or b"", shingle).view(np.int64) for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return run
+
+
+def _node_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Golay keys of each node's fingerprint (band false) and its band keys (band true)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            node, n, fp, bands = batch.slice(at, 4096).columns
+            keys, places = fuzzy_keys(fp.to_numpy(zero_copy_only=False).view(np.uint64))
+            places = np.concatenate([places, pa.compute.list_parent_indices(bands).to_numpy(zero_copy_only=False)])
+            band = np.arange(len(places)) >= len(keys)
+            keys = np.concatenate([keys, pa.compute.list_flatten(bands).to_numpy(zero_copy_only=False)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), *(c.take(pa.array(places)) for c in (node, n, fp))], ["key", "band", "node", "n", "fp"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(ROW, component_id) of numbered rows: texts whose sets of word shingles have a Jaccard similarity of at least
+    similarity link; a component is named by the number of one of its rows.
+
+    Candidates share a Golay key of the sets' SimHash (exact for 4 bits) or one
+    of BANDS keys of minimum hashes; each link is verified on the whole sets.
+    Rows with equal sets are one node. What shares a key is first compared with
+    two of the key's nodes; only keys whose nodes are then still in several
+    components are compared pair by pair, in blocks.
+    """
+    small_batches(rows.sparkSession)
+    texts = rows.select(ROW, F.col(text_col).cast("string").alias("text"))
+    sketch = texts.mapInArrow(_sketches(shingle), f"{ROW} long, digest binary, n long, fp long, bands array<long>")
+    sketch = materialise(sketch, "sketches")
+    nodes = sketch.groupBy("digest").agg(F.min(ROW).alias("node"))
+    of_row = materialise(sketch.select(ROW, "digest").join(nodes, "digest").select(ROW, "node"), "nodes")
+    single = sketch.join(of_row.filter(F.col(ROW) == F.col("node")).select(ROW), ROW).select(F.col(ROW).alias("node"), "n", "fp", "bands")
+    by_key = Window.partitionBy("key", "band")
+    keyed = single.mapInArrow(_node_keys, "key long, band boolean, node long, n long, fp long")
+    keyed = materialise(keyed.distinct().withColumn("many", F.count("*").over(by_key)).filter("many > 1").drop("many"), "shared-keys")
+    wanted = few(keyed.select("node").distinct(), "shared-nodes")
+    sets = texts.join(wanted.withColumnRenamed("node", ROW), ROW, "left_semi").mapInArrow(_sets(shingle), "node long, hashes array<long>")
+    sets = materialise(sets, "shingle-sets")
+
+    def may(left: str, right: str) -> Column:
+        """Whether sizes allow the similarity and, for Golay keys, the fingerprints are near."""
+        size = F.least(f"{left}.n", f"{right}.n") >= F.lit(similarity) * F.greatest(f"{left}.n", f"{right}.n")
+        return size & (F.col("band") | (F.bit_count(F.col(f"{left}.fp").bitwiseXOR(F.col(f"{right}.fp"))) <= DISTANCE))
+
+    links, roots, open_ = None, None, keyed.withColumn("root", F.col("node"))
+    for turn in range(2):
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "fp", "root")
+        star = open_.select("key", "band", F.struct("node", "n", "fp", "root").alias("one"), F.min(order).over(by_key).alias("hub"))
+        star = star.filter((F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
+        star = star.select(F.least("one.node", "hub.node").alias("a"), F.greatest("one.node", "hub.node").alias("b")).distinct()
+        found = materialise(_alike(star, sets, similarity), "links")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        open_ = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = open_.withColumn("least", F.min("root").over(by_key)).withColumn("most", F.max("root").over(by_key)).filter("least <> most").drop("least", "most")
+        open_ = materialise(open_, "open-keys")
+
+    blocks = F.ceil(F.count("*").over(by_key) / block).cast("int")
+    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    here = dealt.select("key", "band", F.col("own").alias("block"), F.struct("node", "n", "fp", "root").alias("one"))
+    there = dealt.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("node", "n", "fp", "root").alias("hub"))
+    pairs = here.join(there, ["key", "band", "block"]).filter((F.col("one.node") < F.col("hub.node")) & (F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
+    pairs = pairs.select(F.col("one.node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    roots = components(links.unionByName(materialise(_alike(pairs, sets, similarity), "links")))
+    linked = of_row.join(roots, "node", "left").select(ROW, F.coalesce("root", "node").alias("component_id"))
+    return linked
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with just one row of each group of similar_groups: one with the smallest non-null id.
+
+    Rows are told apart by numbers written once, so null and repeated ids do no
+    harm. Texts without words are alike. All columns stay as they are.
     """
     rows = numbered(docs, "near-rows")
-    groups = near_groups(rows.select(ROW, text_col), ROW, text_col, shingle)
-    named = groups.select(ROW, F.col("component_id").alias("__group")).join(rows.select(ROW, F.col(id_col).alias("__id")), ROW)
-    return one_of_each(rows, materialise(named, "near-groups"))
+    groups = materialise(similar_groups(rows, text_col, shingle, similarity).select(ROW, F.col("component_id").alias("__group")), "near-groups")
+    several = groups.groupBy("__group").agg(F.count("*").alias("c")).filter("c > 1").select("__group")
+    named = groups.join(several, "__group", "left_semi").join(rows.select(ROW, F.col(id_col).alias("__id")), ROW)
+    return one_of_each(rows, materialise(named, "near-named"))

@@ -164,3 +164,45 @@ def test_null_and_repeated_ids_lose_no_text_and_save_no_copy(spark):
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
         texts = [r.text for r in drop(documents(spark)).collect()]
         assert "nobody knows this text at all" in texts and texts.count("one") == 1
+
+
+def jaccard_components(texts, shingle=5, similarity=0.8):
+    def grams(t):
+        words = t.lower().split()
+        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+    sets, up = [grams(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
+def test_near_copies_by_five_word_similarity(spark):
+    """Copies just above and below 0.8, beyond four bits too, and unlike texts that share one often repeated line."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(20):
+        words = [word() for _ in range(rng.randint(80, 160))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 4):
+            other = list(words)
+            for at in rng.sample(range(len(words)), edits):
+                other[at] = word()
+            texts.append(" ".join(other))
+    line = "all rights reserved by the makers of this page " * 40
+    texts += [line + " ".join(word() for _ in range(60)) for _ in range(10)]
+    want = {i for i, top in enumerate(jaccard_components(texts)) if i == top}
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
+    far = [bin(simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(t.encode())).count("1") for t in texts[1:5]]
+    assert max(far) > simhash.DISTANCE
