@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from podia.llm.common import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows that the model is fitted on, as expected by a hash of the id; fewer if there are fewer.
+#: Labelled rows that the model is fitted on, as expected by a hash of the id and dealt out evenly among the
+#: languages: all rows of a language that has fewer than its quota.
 SAMPLE_ROWS = 20_000
 #: Words and n-grams of each length that the model keeps, the most frequent first: the bound of what is broadcast.
 MAX_WORDS, MAX_GRAMS, LONGEST = 50_000, 20_000, 5
@@ -100,7 +101,20 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "size", "word", "n"])
 
 
+def quotas(by_lang: dict[str, int], rows: int) -> dict[str, float]:
+    """Rows to sample of each language, `rows` in all: equal quotas; what small languages leave goes to the others."""
+    found, left = {}, float(rows)
+    for i, lang in enumerate(sorted(by_lang, key=by_lang.get)):
+        found[lang] = min(by_lang[lang], left / (len(by_lang) - i))
+        left -= found[lang]
+    return found
+
+
 def _table(rows: list, langs: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
+    """Places of words and their log frequencies, as if each language had as many words as the largest.
+
+    So a word that a language lacks scores the same in all languages, however few of their words were sampled.
+    """
     at = {lang: i for i, lang in enumerate(langs)}
     index: dict[str, int] = {}
     for r in rows:
@@ -108,37 +122,50 @@ def _table(rows: list, langs: list[str], totals: dict[str, int]) -> tuple[dict[s
     counts = np.zeros((len(index), len(langs)))
     for r in rows:
         counts[index[r["word"]], at[r["lang"]]] = r["n"]
-    whole = np.array([totals.get(lang, 0) for lang in langs], float)
-    return index, np.log((counts + 0.5) / (whole + 0.5 * max(1, len(index))))
+    whole = np.array([max(1, totals.get(lang, 0)) for lang in langs], float)
+    common = whole.max(initial=1)
+    return index, np.log((counts * (common / whole) + 0.5) / (common + 0.5 * max(1, len(index))))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the rows whose text and language are not null.
 
-    It is fitted on about sample_rows of them, chosen by a hash of the id;
-    words and n-grams are counted by Spark, and the driver receives only the
-    MAX_WORDS and MAX_GRAMS most frequent with their counts by language.
+    It is fitted on about sample_rows of them, with an equal quota for each
+    language (all rows of one that has fewer), chosen by a hash of the id, or
+    of the text where the id is null. Languages without a sampled word aren't
+    learned. Words and n-grams are counted by Spark, and the driver receives
+    only MAX_WORDS and MAX_GRAMS of them with their counts by language: those
+    with the largest share of a language's own.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not by_lang:
         return Model([], np.zeros(0), {}, np.zeros((0, 0)), {}, {})
-    share = min(1.0, sample_rows / sum(by_lang.values()))
-    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("lang", "text")
+    spark, whole = labelled.sparkSession, 1 << 40
+    limits = [(lang, math.ceil(quota / by_lang[lang] * whole)) for lang, quota in quotas(by_lang, sample_rows).items()]
+    limits = F.broadcast(spark.createDataFrame(limits, "lang string, most long"))
+    sample = rows.join(limits, "lang").filter(F.pmod(F.xxhash64(F.coalesce("id", "text"), F.lit("fit")), F.lit(whole)) < F.col("most")).select("lang", "text")
     counts = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    langs = sorted(by_lang)
-    prior = np.log(np.array([by_lang[x] for x in langs]) / sum(by_lang.values()))
+    word_totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(word_totals)
+    if not langs:
+        counts.unpersist()
+        return Model([], np.zeros(0), {}, np.zeros((0, 0)), {}, {})
+    prior = np.log(np.array([by_lang[x] for x in langs]) / sum(by_lang[x] for x in langs))
 
-    def kept(frame: DataFrame, most: int, least: int) -> list:
-        top = frame.groupBy("word").agg(F.sum("n").alias("all")).filter(F.col("all") >= least).orderBy(F.desc("all"), "word").limit(most)
+    def kept(frame: DataFrame, most: int, least: int, totals: dict[str, int]) -> list:
+        own = F.broadcast(spark.createDataFrame(list(totals.items()), "lang string, own long"))
+        top = frame.join(own, "lang").groupBy("word").agg(F.sum("n").alias("all"), F.max(F.col("n") / F.col("own")).alias("share"))
+        top = top.filter(F.col("all") >= least).orderBy(F.desc("share"), "word").limit(most)
         return frame.join(top, "word").select("lang", "word", "n").orderBy("word", "lang").collect()
 
-    words, word_scores = _table(kept(counts, MAX_WORDS, 2), langs, {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()})
+    words, word_scores = _table(kept(counts, MAX_WORDS, 2, word_totals), langs, word_totals)
     per_gram = counts.mapInArrow(_count_grams, "lang string, size int, word string, n long").groupBy("lang", "size", "word").agg(F.sum("n").alias("n")).persist()
     totals = {(r["size"], r["lang"]): r["n"] for r in per_gram.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     index, scores = {}, {}
     for size in range(1, LONGEST + 1):
-        index[size], scores[size] = _table(kept(per_gram.filter(F.col("size") == size), MAX_GRAMS, 1), langs, {x: totals.get((size, x), 0) for x in langs})
+        own = {x: totals.get((size, x), 0) for x in langs}
+        index[size], scores[size] = _table(kept(per_gram.filter(F.col("size") == size), MAX_GRAMS, 1, {x: max(1, n) for x, n in own.items()}), langs, own)
     per_gram.unpersist()
     counts.unpersist()
     return Model(langs, prior, words, word_scores, index, scores)

@@ -182,3 +182,22 @@ def test_memory_of_units_is_bounded(vocab, monkeypatch):
         ids, ends = own.encode(texts[at : at + 10])
         assert [own.decode(x.tolist()) for x in np.split(ids, ends[:-1])] == texts[at : at + 10]
         assert len(own.seen) <= 50
+
+
+def test_rare_languages_are_learned_and_draw_no_others(spark):
+    rng = random.Random(2)
+    rows = [(i, t, lang, s) for i, t, lang, s in corpus(3000) if lang != "zz"]
+    rows += [(10_000 + i, " ".join(rng.choice(WORD["zz"].split()) for _ in range(10)), "zz", "s") for i in range(6)]
+    rows += [(20_000 + i, "rari tantum nantes", "qq", "s") for i in range(2)] + [(30_000, "12 34", "no", "s")]
+    model = langid.fit(documents(spark, rows), sample_rows=120)
+    assert model.langs == ["qq", "xx", "yy", "zz"]
+    assert model.predict("лес дом")[0] == "zz" and model.predict("nantes rari")[0] == "qq"
+    assert model.predict("uno dos")[0] == "yy" and model.predict("alpha betas")[0] == "xx"
+    lacking = [model.word_scores[model.words["alpha"], model.langs.index(x)] for x in ("qq", "yy", "zz")]
+    assert lacking == pytest.approx(lacking[:1] * 3)
+    assert sum(langid.quotas({"a": 3, "b": 10**9, "c": 10**6}, 1000).values()) == pytest.approx(1000)
+
+
+def test_rows_without_an_id_are_sampled_one_by_one(spark):
+    model = langid.fit(documents(spark, [(None, *r[1:]) for r in corpus(900)]), sample_rows=300)
+    assert model.langs == sorted(WORD) and model.predict("uno dos")[0] == "yy"
