@@ -20,6 +20,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_ROWS = 20_000
 #: Words and n-grams of each length that the model keeps, the most frequent first: the bound of what is broadcast.
 MAX_WORDS, MAX_GRAMS, LONGEST = 50_000, 20_000, 5
+#: Letters of a run that are one word at most, and how many of them the next stretch of a longer run repeats.
+LONG_RUN, OVERLAP = 64, 4
 #: Unseen words whose scores a worker remembers before it forgets them all.
 REMEMBER = 200_000
 UNKNOWN = "und"
@@ -36,6 +38,15 @@ def grams(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
+def runs(text: str) -> list[str]:
+    """Runs of letters in lower case; one of over LONG_RUN as stretches of that length, each OVERLAP into the one before."""
+    found = WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= LONG_RUN:
+        return found
+    step = LONG_RUN - OVERLAP
+    return [w[i : i + LONG_RUN] for w in found for i in range(0, max(1, len(w) - OVERLAP), step)]
+
+
 @dataclass
 class Model:
     """Log frequencies by language of words, and of n-grams by length."""
@@ -52,7 +63,7 @@ class Model:
     def of_unseen(self, word: str) -> np.ndarray:
         """The mean over the word's longest known n-grams; zeros if none is known."""
         for n in range(LONGEST, 0, -1):
-            known = [self.grams[n][g] for g in grams(word[:64], n) if g in self.grams[n]]
+            known = [self.grams[n][g] for g in grams(word, n) if g in self.grams[n]]
             if known:
                 return self.gram_scores[n][known].mean(axis=0)
         return np.zeros(len(self.langs))
@@ -65,7 +76,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood of all; `und` and 0 for null and texts without a letter."""
-        found = WORD.findall(text.lower()) if text else []
+        found = runs(text) if text else []
         if not self.langs or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
         total = self.prior.copy()
@@ -85,7 +96,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found.update((lang, w) for w in WORD.findall(text.as_py().lower()) if len(w) <= 64)
+            found.update((lang, w) for w in runs(text.as_py()))
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 

@@ -201,3 +201,14 @@ def test_rare_languages_are_learned_and_draw_no_others(spark):
 def test_rows_without_an_id_are_sampled_one_by_one(spark):
     model = langid.fit(documents(spark, [(None, *r[1:]) for r in corpus(900)]), sample_rows=300)
     assert model.langs == sorted(WORD) and model.predict("uno dos")[0] == "yy"
+
+
+def test_every_letter_of_a_long_run_counts(spark):
+    for n in (1, 63, 64, 65, 124, 125, 500):
+        word = "".join(chr(0x3042 + i % 80) for i in range(n))
+        parts = langid.runs(word)
+        assert parts[0] + "".join(p[langid.OVERLAP :] for p in parts[1:]) == word and all(0 < len(p) <= 64 for p in parts)
+    rows = [(i, ("abcde" if i % 2 else "vwxyz") * 40, "xx" if i % 2 else "yy", "s") for i in range(20)]
+    model = langid.fit(documents(spark, rows))
+    assert model.langs == ["xx", "yy"]
+    assert model.predict("abcde" * 10 + "vwxyz" * 60)[0] == "yy"
