@@ -254,7 +254,7 @@ def as_calls(conversations: DataFrame) -> DataFrame:
     that are messages with calls or results already stay as they are.
     """
     turn = F.col("turn")
-    is_message = F.coalesce(F.col("text"), F.lit("")).rlike(r'^\s*\{.*"(tool_calls|tool_call_id)"')
+    is_message = F.coalesce(F.col("text"), F.lit("")).rlike(r'(?s)^\s*\{.*"(tool_calls|tool_call_id)"')
     name = lambda t: F.concat(F.lit("c"), t.cast("string"))
     after = F.when(turn >= 2, F.struct(name(turn - 2).alias("$call")))
     call = F.struct(name(turn).alias("id"), F.lit("answer").alias("name"), F.struct(F.col("text"), turn.alias("turn"), after.alias("after")).alias("arguments"))

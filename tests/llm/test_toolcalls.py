@@ -99,3 +99,10 @@ def test_awkward_messages(spark):
     assert "x" not in got and "deep" not in got
     for r in got.values():
         json.loads(r.record)
+
+
+def test_messages_with_line_breaks_stay_as_they_are(spark):
+    text = '{\n  "tool_calls": [\n    {"id": "a", "name": "f", "arguments": {}}\n  ]\n}'
+    rows = [("k", 0, "user", "hello"), ("k", 1, "assistant", text)]
+    got = tc.as_calls(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()
+    assert text in {r.text for r in got}
