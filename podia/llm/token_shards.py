@@ -1,4 +1,11 @@
-"""Token ids in training order: a keyed permutation gives every sequence a slot, and shards of fixed stride hold them in order."""
+"""Token ids in training order: a keyed permutation gives every sequence a place, and shards of fixed stride hold them in order.
+
+Texts are encoded once. A sequence's number is its partition's and its place
+in it, so it needs no count of what comes before; the permutation acts on all
+numbers there can be, and shards are equal ranges of its values. How many
+sequences a shard holds is known once it is written: slots, from 0 without
+gaps, are the ranks of the values.
+"""
 
 import base64
 import json
@@ -11,16 +18,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from podia.llm.common import small_batches
+from podia.llm.common import MAX_BROADCAST_IDS, small_batches
 from podia.llm.feistel import permute
 
 #: How byte-level BPE cuts a text before it merges bytes (a fixed value of these vocabularies).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker remembers before it forgets them all.
-REMEMBER = 1_000_000
+#: Words whose ids a worker remembers, and the longest of them: 50 MB or so, however long words are.
+REMEMBER, LONGEST = 200_000, 64
+#: Partitions that a table may have, and sequences that one may give; the permutation acts on their product.
+PARTS, PER_PART = 1 << 21, 1 << 32
+#: Bytes of text that give one id, as guessed to set the number of shards.
+BYTES_PER_ID = 3
 #: A record: the number of tokens, the sequence's number before the permutation, the ids (uint16); and a guard byte,
 #: which Spark's text sink puts after each line: so any store that Spark writes to can hold shards.
 HEADER = "<Iq"
@@ -64,7 +75,7 @@ class Ids:
             at = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 2).tolist()
             data = ids.tobytes()
             missing.update(zip(new, (data[i:j] for i, j in zip(at, at[1:])), strict=True))
-        self.known.update(missing)
+        self.known.update((w, i) for w, i in missing.items() if len(w) <= LONGEST)
         return [missing[w] if f is None else f for w, f in zip(words, found, strict=True)]
 
 
@@ -104,12 +115,6 @@ def _words(texts: pa.Array, vocabulary: str) -> tuple[pa.Array, np.ndarray]:
     return pa.array([*entries, stop], pa.large_binary()), np.append(index, len(entries))
 
 
-def _count(texts: pa.Array, vocabulary: str) -> int:
-    """How many ids a batch of texts has, end ids included."""
-    entries, index = _words(texts, vocabulary)
-    return int(pc.binary_length(entries).to_numpy()[index].sum()) // 2
-
-
 def _stream(texts: pa.Array, vocabulary: str) -> memoryview:
     """The ids of a batch of texts, end to end, each text's ended by the end id."""
     entries, index = _words(texts, vocabulary)
@@ -120,57 +125,51 @@ def _stride(seq_len: int) -> int:
     return HEADER_BYTES + 2 * seq_len + len(GUARD)
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, seq_len: int = 1024, per_shard: int = 8192, key: int = 20_24, text_col: str = "text") -> dict:
+def write_shards(docs: DataFrame, path: str, vocabulary: str, seq_len: int = 1024, per_shard: int = 8192, key: int = 20_24, text_col: str = "text", shards: int | None = None) -> dict:
     """Write the whole texts of docs as shuffled token shards under path, and return the manifest written beside them.
 
     Each partition's documents, ended by the end id, are one stream, cut into
-    sequences of seq_len ids; the last is filled with the end id. A first pass
-    counts the ids of each partition, so that the second can number sequences
-    from 0 to n - 1 as they come. The permutation that key names gives each
-    its slot; slots go by ranges of per_shard to partitions, which sort them
-    and write one file each, of equal records: a Feistel network on numbers,
-    one shuffle, and no sampling of ranges, as slots are evenly spread.
-
-    Partitions of docs must come the same in both passes, as those of a table
-    do (write anything else first); the second pass stops if they don't. Null and empty texts are
+    sequences of seq_len ids; the last is filled with the end id. The
+    permutation that key names (a Feistel network with cycle-walking on
+    PARTS * PER_PART numbers) gives each sequence's number a value. Values go
+    by equal ranges to shards, which sort them and write one file each, of
+    equal records: one pass over the texts, one shuffle, and no sampling of
+    ranges, as values are evenly spread. There are about per_shard sequences
+    in a shard, or as many shards as told. The index has each shard's number
+    of sequences, as its file's length says, and the slot of its first.
+
+    docs must be a table, whose partitions come the same when a lost executor's
+    work is done again; write anything else first. Null and empty texts are
     documents without ids; repeated rows are written as often as they come; an
     empty table gives a manifest of no shards.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(_count(batch.column(0), vocabulary) for batch in batches if batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["part", "n"])
-
-    tokens = {r["part"]: r["n"] for r in texts.mapInArrow(count, "part long, n long").filter("n > 0").collect()}
-    first, total = {}, 0
-    for part in sorted(tokens):
-        first[part] = total
-        total += -(-tokens[part] // seq_len)
-    shards = -(-total // per_shard)
-    manifest = {"sequences": total, "seq_len": seq_len, "per_shard": per_shard, "shards": shards, "stride": _stride(seq_len), "key": key, "tokens": sum(tokens.values())}
+    if shards is None:
+        whole = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        shards = -(-(whole["n"] + (whole["bytes"] or 0) // BYTES_PER_ID) // (seq_len * per_shard))
+    width = -(-PARTS * PER_PART // max(1, shards))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        if part >= PARTS:
+            raise ValueError(f"more than {PARTS} partitions")
         record = np.dtype([("n", "<u4"), ("number", "<i8"), ("ids", "V", 2 * seq_len)])  # HEADER, then the ids
 
         def out(ids: bytes, at: int, n: int = seq_len) -> pa.RecordBatch:
             rows = np.empty(len(ids) // (2 * seq_len), record)
             rows["n"], rows["number"], rows["ids"] = n, np.arange(at, at + len(rows)), np.frombuffer(ids, record["ids"])
-            slots = permute(rows["number"].astype(np.int64), total, key)
+            values = permute(rows["number"].astype(np.int64), PARTS * PER_PART, key)
             ends = np.arange(0, (len(rows) + 1) * record.itemsize, record.itemsize, np.int32)
             records = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // per_shard, pa.int32()), records], ["slot", "shard", "record"])
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(values // width, pa.int32()), records], ["value", "shard", "record"])
 
-        held, at, seen = bytearray(), first.get(part, 0), 0
+        held, at = bytearray(), part * PER_PART
         for batch in batches:
             if not batch.num_rows:
                 continue
-            stream = _stream(batch.column(0), vocabulary)
-            seen += len(stream) // 2
-            held += stream
+            held += _stream(batch.column(0), vocabulary)
             while len(held) >= 2 * seq_len:
                 n = min(len(held) // (2 * seq_len), 1024)
                 yield out(bytes(held[: n * 2 * seq_len]), at)
@@ -179,16 +178,27 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, seq_len: int = 102
         if held:
             n = len(held) // 2
             yield out(bytes(held) + struct.pack("<H", ids_of(vocabulary)[1]) * (seq_len - n), at, n)
-        if seen != tokens.get(part, 0):
-            raise RuntimeError(f"partition {part} had {tokens.get(part, 0)} ids when counted, {seen} when written")
-
-    if total:
-        records = texts.mapInArrow(pack, "slot long, shard int, record binary").repartitionById(shards, F.col("shard"))
-        records.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("record"), "shard").write.partitionBy("shard").option("lineSep", GUARD.decode()).text(f"{path}/shards")
+        if at - part * PER_PART >= PER_PART:
+            raise ValueError(f"more than {PER_PART} sequences in a partition")
+
+    total = 0
+    if shards:
+        records = texts.mapInArrow(pack, "value long, shard int, record binary").repartitionById(shards, F.col("shard"))
+        records = records.sortWithinPartitions("shard", "value").select(F.col("record").cast("string").alias("record"), "shard")
+        records.write.partitionBy("shard").options(lineSep=GUARD.decode(), maxRecordsPerFile=0).text(f"{path}/shards")
+        files = _files(spark, path).select("shard", (F.col("length") / _stride(seq_len)).cast("long").alias("n"))
+        before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+        files.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).write.parquet(f"{path}/index")
+        total = spark.read.parquet(f"{path}/index").agg(F.sum("n")).first()[0]
+    manifest = {"sequences": total, "seq_len": seq_len, "shards": shards, "stride": _stride(seq_len), "key": key}
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.text(f"{path}/manifest")
     return manifest
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard int").load(f"{path}/shards")
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest").first()[0])
 
@@ -196,21 +206,24 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """(slot, shard, place, sequence, n_tokens, tokens) of the slots from start up to stop, tokens as little-endian uint16.
 
-    Only the shards of that range are opened, and in them only its records
-    are decoded: training resumes at any slot.
+    sequence is the number from which the permutation's value came. Training
+    resumes at any slot: the index says which shards to open and, as strides
+    are fixed, where in the first and the last the range begins and ends; only
+    its records are decoded. Spark's reader hands over a file as a whole, so a
+    resumed read loads less than a shard (17 MB by default) in vain at each end.
     """
     m = read_manifest(spark, path)
     stop = m["sequences"] if stop is None else min(stop, m["sequences"])
     schema = "slot long, shard int, place int, sequence long, n_tokens int, tokens binary"
     if start >= stop:
         return spark.createDataFrame([], schema)
-    stride, per_shard = m["stride"], m["per_shard"]
+    stride = m["stride"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for shard, first, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = memoryview(content.as_buffer())
-                lo, hi = max(start - shard * per_shard, 0), min(stop - shard * per_shard, len(data) // stride)
+                lo, hi = max(start - first, 0), min(stop - first, len(data) // stride)
                 for at in range(lo, hi, 1024):
                     places = range(at, min(at + 1024, hi))
                     rows = [data[p * stride : (p + 1) * stride] for p in places]
@@ -218,9 +231,12 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
                         raise ValueError(f"shard {shard} has a record out of line")
                     heads = [struct.unpack(HEADER, r[:HEADER_BYTES]) for r in rows]
                     bodies = [bytes(r[HEADER_BYTES : HEADER_BYTES + 2 * n]) for r, (n, _) in zip(rows, heads, strict=True)]
-                    slots = np.array(places) + shard * per_shard
+                    slots = np.array(places) + first
                     yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([shard] * len(rows), pa.int32()), pa.array(list(places), pa.int32()), pa.array([h[1] for h in heads]), pa.array([h[0] for h in heads], pa.int32()), pa.array(bodies, pa.binary())], ["slot", "shard", "place", "sequence", "n_tokens", "tokens"])
 
-    files = spark.read.format("binaryFile").load(f"{path}/shards").select("shard", "content")
-    files = files.filter(F.col("shard").between(start // per_shard, (stop - 1) // per_shard))
-    return files.mapInArrow(run, schema)
+    wanted = spark.read.parquet(f"{path}/index").filter((F.col("first") < stop) & (F.col("first") + F.col("n") > start))
+    ends = wanted.agg(F.count("*").alias("n"), F.min("shard").alias("lo"), F.max("shard").alias("hi")).first()
+    wanted = wanted.select("shard", "first")
+    files = _files(spark, path).filter(F.col("shard").between(ends["lo"], ends["hi"])).select("shard", "content")
+    files = files.join(F.broadcast(wanted) if ends["n"] <= MAX_BROADCAST_IDS else wanted, "shard")
+    return files.select("shard", "first", "content").mapInArrow(run, schema)
