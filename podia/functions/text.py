@@ -6,6 +6,7 @@ they must be just these for results to agree with published ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -94,17 +95,32 @@ def first_of(rules: list[tuple[str, Column]], otherwise: Column | None = None) -
     return out.otherwise(otherwise) if otherwise is not None else out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def whole(digits: Column) -> Column:
+    """The number that a text of digits writes; null for the empty text (a failed cast is far dearer than a null)."""
+    return F.nullif(digits, F.lit("")).try_cast("int")
+
+
 def mask_name(name: Column) -> Column:
     """A name with its middle hidden: CJK keeps the first and last character (two: the first); of other scripts
     each word keeps its first letter. Text with < or >, or without letters, becomes empty; null and empty stay."""
-    bare = stripped(name)
-    tight = F.regexp_replace(bare, r"(?U)\s", "")
-    n = F.length(tight)
-    middle = F.when(n <= 2, F.lit(MASK)).otherwise(F.repeat(F.lit(MASK), n - 2))
-    cjk = F.when(n <= 1, bare).otherwise(F.concat(F.substring(tight, 1, 1), middle, F.when(n > 2, F.substring(tight, -1, 1)).otherwise(F.lit(""))))
-    initials = F.transform(F.split(bare, r"(?U)\s+"), lambda w: F.regexp_extract(w, r"\p{L}", 0))
-    latin = F.concat_ws(" ", F.transform(F.filter(initials, lambda c: c != ""), lambda c: F.concat(c, F.lit(MASK))))
-    return F.when(blank(name), name).when(bare.rlike(CJK), cjk).when(bare.rlike("[<>]"), F.lit("")).otherwise(latin)
+
+    def cjk(tight: Column) -> Column:
+        n = F.length(tight)
+        middle = F.when(n <= 2, F.lit(MASK)).otherwise(F.repeat(F.lit(MASK), n - 2))
+        return F.when(n <= 1, tight).otherwise(F.concat(F.substring(tight, 1, 1), middle, F.when(n > 2, F.substring(tight, -1, 1)).otherwise(F.lit(""))))
+
+    def masked(bare: Column) -> Column:
+        initials = F.transform(F.split(bare, r"(?U)\s+"), lambda w: F.regexp_extract(w, r"\p{L}", 0))
+        latin = F.concat_ws(" ", F.transform(F.filter(initials, lambda c: c != ""), lambda c: F.concat(c, F.lit(MASK))))
+        tight = let(F.regexp_replace(bare, r"(?U)\s", ""), cjk)
+        return F.when(bare.rlike(CJK), tight).when(bare.rlike("[<>]"), F.lit("")).otherwise(latin)
+
+    return F.when(blank(name), name).otherwise(let(stripped(name), masked))
 
 
 def is_source_masked(name: Column) -> Column:
@@ -112,8 +128,7 @@ def is_source_masked(name: Column) -> Column:
 
 
 def extract_year(text: Column) -> Column:
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"20[0-2]\d", 0)
-    return F.when(found != "", found.try_cast("int"))
+    return whole(F.regexp_extract(F.coalesce(text, F.lit("")), r"20[0-2]\d", 0))
 
 
 def canonical_race_name(raw: Column) -> Column:
@@ -135,9 +150,9 @@ def race_key(raw: Column) -> Column:
 def time_to_seconds(text: Column) -> Column:
     """Seconds of the first h:mm:ss[.ff] in a text."""
     part = lambda i: F.regexp_extract(text, r"(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,2}))?", i)
-    whole = part(1).try_cast("int") * 3600 + part(2).try_cast("int") * 60 + part(3).try_cast("int")
+    seconds = whole(part(1)) * 3600 + whole(part(2)) * 60 + whole(part(3))
     fraction = F.when(part(4) != "", F.concat(F.lit("0."), part(4)).try_cast("double")).otherwise(0.0)
-    return F.when(part(0) != "", whole + fraction)
+    return F.when(part(0) != "", seconds + fraction)
 
 
 def finish_input(text: Column) -> Column:
@@ -178,22 +193,25 @@ def division_age(division: Column) -> Column:
 def gender_from_category(category: Column) -> Column:
     """M or F of a category code or word; null if it names none or both."""
     man, woman = category.contains("男"), category.contains("女")
-    code = F.regexp_extract(category, r"[Rr]?([MWＭＷ])\s?\d", 1)
-    return F.when(category.contains("混") | (man & woman), None).when(woman, "F").when(man, "M").when(code.isin("M", "Ｍ"), "M").when(code != "", "F")
+    by_code = let(F.regexp_extract(category, r"[Rr]?([MWＭＷ])\s?\d", 1), lambda code: F.when(code.isin("M", "Ｍ"), "M").when(code != "", "F"))
+    return F.when(category.contains("混") | (man & woman), None).when(woman, "F").when(man, "M").otherwise(by_code)
 
 
 def age_from_category(category: Column) -> Column:
-    age = F.regexp_extract(category, r"[Rr]?[MWＭＷ]\s?(\d{1,2})", 1)
-    return F.when(age != "", age)
+    return F.nullif(F.regexp_extract(category, r"[Rr]?[MWＭＷ]\s?(\d{1,2})", 1), F.lit(""))
 
 
 def age_band(age_group: Column) -> Column:
     """The decade band of an age group by its first number; null below 13."""
-    s = F.upper(stripped(age_group))
-    n = F.regexp_extract(s, r"\d+", 0).try_cast("int")
-    bands = [(label, n <= top) for top, label in AGE_BANDS]
-    by_age = first_of(bands, F.lit("60+"))
-    return F.when(blank(age_group), None).when(s == "MASTER", "MASTER").when(s.startswith("U"), "U19").when(n.isNull() | (n < 13), None).otherwise(by_age)
+
+    def by_age(n: Column) -> Column:
+        return F.when(n >= 13, first_of([(label, n <= top) for top, label in AGE_BANDS], F.lit("60+")))
+
+    def band(s: Column) -> Column:
+        n = whole(F.regexp_extract(s, r"\d+", 0))
+        return F.when(s == "MASTER", "MASTER").when(s.startswith("U"), "U19").otherwise(let(n, by_age))
+
+    return let(age_group, lambda a: F.when(~blank(a), let(F.upper(stripped(a)), band)))
 
 
 def race_class(label: Column, category: Column) -> Column:
@@ -237,18 +255,17 @@ def county(name: Column, region: Column, rules: list[tuple[str, str]] = COUNTIES
 
 def distance_km(*fields: Column) -> Column:
     """The first plausible distance (5 to 700 km) named in the fields."""
-    km = [F.regexp_extract(f, r"(\d{2,3})\s*(?:公里|[KkＫ]\s*[Mm]?|公?里)", 1).try_cast("int") for f in fields]
-    return F.coalesce(*(F.when(k.between(5, 700), k) for k in km))
+    km = [whole(F.regexp_extract(f, r"(\d{2,3})\s*(?:公里|[KkＫ]\s*[Mm]?|公?里)", 1)) for f in fields]
+    return F.coalesce(*(let(k, lambda x: F.when(x.between(5, 700), x)) for k in km))
 
 
 def speed_kmh(km: Column, seconds: Column) -> Column:
-    v = km / (seconds / 3600)
-    return F.when((seconds > 0) & (km > 0) & (v <= 80), F.round(v, 1))
+    v = let(km / (seconds / 3600), lambda v: F.when(v <= 80, F.round(v, 1)))
+    return F.when((seconds > 0) & (km > 0), v)
 
 
 def month_of(date: Column) -> Column:
-    m = F.regexp_extract(date, r"^\d{4}-(\d{2})", 1)
-    return F.when(m != "", m.try_cast("int"))
+    return whole(F.regexp_extract(date, r"^\d{4}-(\d{2})", 1))
 
 
 def race_file(key: Column, year: Column) -> Column:
