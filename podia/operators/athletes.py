@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from podia.functions import measures as M
 from podia.functions import text as X
 from podia.operators import identity as I
+from podia.operators.meetings import pairs
 
 FEATURE_WEIGHTS = [1.0, 1.0, 0.8, 1.3, 0.5]
 AXES = ("climb", "flat", "tt", "overall", "age")
@@ -96,14 +97,13 @@ def features(keyed: DataFrame, rules=X.DISCIPLINES, least: int = 2) -> DataFrame
     middle = F.create_map(*[F.lit(x) for pair in X.AGE_MIDDLE.items() for x in pair])
     age = I.most_common(rows, "age_band", F.col("age_band").isin(*X.AGE_MIDDLE)).select("gk", F.try_element_at(middle, F.col("age_band")).cast("double").alias("age"))
     per = per.join(I.dominant_gender(rows).filter("g is not null"), "gk").join(age, "gk", "left")
-    pool = Window.partitionBy("g")
+    pool = per.groupBy("g").agg(*[f(a).alias(f"{n}_{a}") for a in AXES for f, n in ((F.avg, "mean"), (F.stddev_pop, "spread"))])
 
     def z(name: str) -> Column:
-        spread = F.stddev_pop(name).over(pool)
-        score = F.when(spread > 0, (F.col(name) - F.avg(name).over(pool)) / spread).otherwise(0.0)
+        score = F.when(F.col(f"spread_{name}") > 0, (F.col(name) - F.col(f"mean_{name}")) / F.col(f"spread_{name}")).otherwise(0.0)
         return F.when(F.col(name).isNotNull(), score)
 
-    scored = per.select("gk", "g", *[z(a).alias(a) for a in AXES])
+    scored = per.join(F.broadcast(pool), "g").select("gk", "g", *[z(a).alias(a) for a in AXES])  # a row a gender
     filled = {a: F.round(F.coalesce(a, F.col("overall") if a != "age" else F.lit(0.0)), 2) for a in AXES}
     return scored.select(I.athlete_id(F.col("gk")).alias("id"), "g", *[c.alias(a) for a, c in filled.items()])
 
@@ -168,31 +168,29 @@ def gender_records(board: DataFrame, gender: str) -> DataFrame:
     return board.filter(F.col("g") == gender).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def ledger(keyed: DataFrame, least_results: int = 6, least_meets: int = 3) -> DataFrame:
-    """(a, b, a_wins, meets) for pairs a < b of active athletes who met often enough in a race-year; equal ranks don't count.
-
-    Pairs are an athlete's own rows against those of the race-year's other
-    athletes: the join is on the race-year, and counts are combined before
-    they are shuffled by pair.
-    """
+def _active(keyed: DataFrame, least_results: int, who: Column) -> DataFrame:
+    """(who, race, rank): the ranked rows of athletes who have enough of them; a race is a race-year."""
     ranked = I.resolved(keyed).filter(F.col("rank_overall") > 0)
     active = ranked.groupBy("gk").agg(F.count("*").alias("n")).filter(F.col("n") >= least_results).select("gk")
-    rows = ranked.join(active, "gk", "left_semi").select("gk", "race_key", "year", "rank_overall")
-    a = rows.select(F.col("gk").alias("a"), F.col("race_key").alias("rk"), F.col("year").alias("y"), F.col("rank_overall").alias("ra"))
-    b = rows.select(F.col("gk").alias("b"), F.col("race_key").alias("rkb"), F.col("year").alias("yb"), F.col("rank_overall").alias("rb"))
-    met = a.join(b, F.col("rk").eqNullSafe(F.col("rkb")) & F.col("y").eqNullSafe(F.col("yb")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    pairs = met.groupBy("a", "b").agg(F.count_if(F.col("ra") < F.col("rb")).alias("a_wins"), F.count("*").alias("meets"))
-    return pairs.filter(F.col("meets") >= least_meets)
+    return ranked.join(active, "gk", "left_semi").select(who.alias("who"), F.struct("race_key", "year").alias("race"), F.col("rank_overall").alias("rank"))
+
+
+def ledger(keyed: DataFrame, least_results: int = 6, least_meets: int = 3) -> DataFrame:
+    """(a, b, a_wins, meets) for pairs a < b of active athletes who met often enough in a race-year; equal ranks don't count."""
+    return pairs(_active(keyed, least_results, F.col("gk")), least_meets)
 
 
 def rivals(keyed: DataFrame, least_results: int = 6, least_meets: int = 3, top: int = 6) -> DataFrame:
-    """(id, place, rival, w, l, meets): each athlete's most frequent opponents with wins and losses."""
-    pairs = ledger(keyed, least_results, least_meets)
-    one = pairs.select(F.col("a").alias("me"), F.col("b").alias("other"), F.col("a_wins").alias("w"), "meets")
-    two = pairs.select(F.col("b").alias("me"), F.col("a").alias("other"), (F.col("meets") - F.col("a_wins")).alias("w"), "meets")
-    both = one.unionByName(two).select(I.athlete_id(F.col("me")).alias("id"), I.athlete_id(F.col("other")).alias("rival"), "w", (F.col("meets") - F.col("w")).alias("l"), "meets")
-    order = Window.partitionBy("id").orderBy(F.desc("meets"), F.desc("w"), "rival")
-    return both.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= top)
+    """(id, place, rival, w, l, meets): each athlete's most frequent opponents with wins and losses.
+
+    Tasks give only rows that can be among an athlete's first, so that few are ranked here.
+    """
+    who = F.concat(I.athlete_id(F.col("gk")), F.lit(" "), "gk")  # in order of the id; ids of one length
+    met = pairs(_active(keyed, least_results, who), least_meets, top)
+    order = Window.partitionBy("a").orderBy(F.desc("meets"), F.desc("a_wins"), "b")
+    ranked = met.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= top)
+    id_ = lambda c: F.substring_index(c, " ", 1)
+    return ranked.select(id_("a").alias("id"), "place", id_("b").alias("rival"), F.col("a_wins").alias("w"), (F.col("meets") - F.col("a_wins")).alias("l"), "meets")
 
 
 def career(hist: DataFrame) -> DataFrame:

@@ -142,11 +142,19 @@ def benchmarks(rows: DataFrame, least: int = 20) -> DataFrame:
     each = timed.select("race_key", group_label(), F.floor("finish_seconds").alias("t"), F.explode(cohorts).alias("c")).select("race_key", "label", "c.cohort", "c.type", "t")
     keys = ["race_key", "label", "cohort", "type"]
     times = each.groupBy(*keys, "t").agg(F.count("*").alias("c"))
-    of = Window.partitionBy(*keys)
-    run = times.withColumn("n", F.sum("c").over(of)).withColumn("upto", F.sum("c").over(of.orderBy("t"))).filter(F.col("n") >= least)
-    run = run.withColumn("places", F.transform(F.sequence(F.lit(0), F.lit(100)), lambda p: F.struct(p.alias("p"), F.bround(p / 100 * (F.col("n") - 1)).cast("long").alias("at"))))
-    own = F.filter("places", lambda x: (x["at"] < F.col("upto")) & (x["at"] >= F.col("upto") - F.col("c")))
-    points = run.select(*keys, "n", "t", F.explode(own).alias("x")).groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("x.p", "t"))).alias("points"))
+    of = Window.partitionBy(*keys).orderBy("t")
+    run = times.withColumn("n", F.sum("c").over(of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("upto", F.sum("c").over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.filter(F.col("n") >= least)
+    place = lambda p: F.bround(p / 100 * (F.col("n") - 1))
+
+    def first_percentile(at: Column) -> Column:
+        """The least percentile whose place is `at` or beyond; 101 if none. Rounding leaves one of three neighbours."""
+        guess = F.ceil((at - 0.5) * 100 / F.greatest(F.col("n") - 1, F.lit(1))).cast("int")
+        near = F.when(place(guess - 1) >= at, guess - 1).when(place(guess) >= at, guess).otherwise(guess + 1)
+        return F.when(at <= 0, 0).when(at >= F.col("n"), 101).otherwise(near)
+
+    run = run.withColumn("from", first_percentile(F.col("upto") - F.col("c"))).withColumn("to", first_percentile(F.col("upto")) - 1).filter("from <= to")
+    points = run.select(*keys, "n", "t", F.explode(F.sequence("from", "to")).alias("p")).groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("p", "t"))).alias("points"))
     out = points.withColumn("bp", F.transform("points", lambda x: x["t"]))
     kept = out.filter("cohort = 'all'").select("race_key", "label")
     return out.join(kept, ["race_key", "label"], "left_semi").select(F.col("race_key").alias("rk"), "label", "cohort", "type", "n", "bp")

@@ -1,7 +1,11 @@
+import itertools
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from podia.operators import athletes, coverage, identity, merge, publish, quality, races
+from podia.operators import athletes, coverage, identity, meetings, merge, publish, quality, races
 from podia.operators.normalise import RECORD, enrich, make_records, union_sources
 
 
@@ -62,6 +66,27 @@ def test_ledger_and_rivals(spark):
     assert athletes.rivals(keyed).count() == 6
 
 
+@pytest.mark.parametrize(("blocks", "at_once"), [(1, 10**6), (7, 10**6), (3, 5)])
+def test_meetings_are_counted_like_a_join(spark, monkeypatch, blocks, at_once):
+    """Whatever the number of tasks and stretches; a rider may have several rows in a race, and ranks may tie."""
+    monkeypatch.setattr(meetings, "TASK_ROWS", 2 * 400 / blocks)
+    monkeypatch.setattr(meetings, "AT_ONCE", at_once)
+    rng = random.Random(5)
+    rows = [(f"w{rng.randint(0, 30)}", rng.choice(["A", "A", "A", "B", "C", None]), rng.randint(1, 9)) for _ in range(400)]
+    table = spark.createDataFrame(rows, "who string, race string, rank int")
+    want = Counter()
+    for (a, r, x), (b, s, y) in itertools.product(rows, rows):
+        if r == s and a < b and x != y:
+            want[a, b] += 1
+            want[a, b, "won"] += x < y
+    full = {(a, b, want[a, b, "won"], n) for (a, b, *won), n in want.items() if not won and n >= 4}
+    assert {tuple(r) for r in meetings.pairs(table, 4).collect()} == full
+    both = sorted([*full, *((b, a, n - w, n) for a, b, w, n in full)], key=lambda x: (x[0], -x[3], -x[2], x[1]))
+    first = {x for i, x in enumerate(both) if sum(y[0] == x[0] for y in both[:i]) < 2}
+    got = {tuple(r) for r in meetings.pairs(table, 4, top=2).collect()}
+    assert first <= got <= set(both)
+
+
 def test_features_and_doppelgangers(spark):
     rows = [row(f"p{p} x", p + 1, race=f"R{i}", race_name_raw="KOM" if i % 2 else "road", gender="M", age_group="35") for p in range(5) for i in range(4)]
     v = athletes.features(identity.with_group_keys(records(spark, rows))).persist()
