@@ -4,29 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from podia.operators.merge import without_zero_times
+from podia.operators.merge import without_copies, without_zero_times
 from podia.operators.normalise import RECORD, enrich, make_records
 
+#: The rank of what is written already among the sources: before all others.
+WRITTEN = -1
 
-def new_records(spark: SparkSession, path: str, lateness: str = "400 days") -> DataFrame:
-    """A stream of normalised records from JSON-lines files under path, each result once.
 
-    A result is its year, name and whole seconds; how long a result is
-    remembered follows the race days seen, `lateness` behind the latest.
-    """
+def new_records(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of normalised records from JSON-lines files under path, timeless rows dropped, with their `race_day`."""
     raw = spark.readStream.schema(RECORD).json(path)
-    rows = enrich(make_records(without_zero_times(raw)))
-    timed = rows.withColumn("race_day", F.coalesce(F.to_timestamp(F.substring("date", 1, 10)), F.make_timestamp(F.coalesce("year", F.lit(1970)).cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))))
-    timed = timed.withColumn("result", F.sha1(F.concat_ws("|", F.col("year").cast("string"), "name_raw", F.floor("finish_seconds").cast("string"), "race_key")))
-    return timed.withWatermark("race_day", lateness).dropDuplicatesWithinWatermark(["result"]).drop("result")
+    first_of_year = F.make_timestamp(F.coalesce("year", F.lit(1970)).cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return enrich(make_records(without_zero_times(raw))).withColumn("race_day", F.coalesce(F.try_to_timestamp(F.substring("date", 1, 10)), first_of_year))
+
+
+def without_known(rows: DataFrame, written: DataFrame | None) -> DataFrame:
+    """rows without copies of each other or of written rows, by the rules of the batch merge: all that is written came before."""
+    if written is None:
+        return without_copies(rows)
+    keys = rows.select("year", F.col("name_masked").alias("m"), F.floor("finish_seconds").alias("s")).distinct().withColumnRenamed("year", "y")
+    near = F.col("year").eqNullSafe(F.col("y")) & (F.col("name_masked") == F.col("m")) & (F.floor("finish_seconds") == F.col("s"))
+    before = written.join(keys, near, "left_semi").withColumn("source_ord", F.lit(WRITTEN).cast("long"))
+    own = rows.columns
+    return without_copies(rows.unionByName(before.select(own))).filter(F.col("source_ord") != WRITTEN)
 
 
 def ingest(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Take in the files that are there now and stop; run again for the next. Written by year, exactly once."""
-    rows = new_records(spark, path)
-    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).partitionBy("year").trigger(availableNow=True).start(out)
+    """Take in the files that are there now and stop; run again for the next.
+
+    Each batch is held against what is written, however old a season is, so
+    nothing is dropped for being late and rows without a name or a time stay,
+    as in the batch merge. It is written under out/batch=N by year; a batch
+    that is run again after a failure replaces its own folder, so every result
+    is there exactly once.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        order = {"source_ord": F.coalesce("source_ord", F.lit(0).cast("long")), "row_ord": F.coalesce("row_ord", F.monotonically_increasing_id())}
+        staged = f"{checkpoint}/staged"  # numbered once, so that every later read sees the same rows
+        batch.withColumns(order).write.mode("overwrite").parquet(staged)
+        rows = session.read.schema(batch.schema).parquet(staged)
+        written = read_ingested(session, out, rows.schema, before=number) if number else None
+        without_known(rows, written).write.mode("overwrite").partitionBy("year").parquet(f"{out}/batch={number}")
+
+    return new_records(spark, path).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+
+
+def read_ingested(spark: SparkSession, out: str, schema: T.StructType | None = None, before: int | None = None) -> DataFrame:
+    """What ingest() has written; with before, by the batches before that one."""
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    rows = reader.parquet(out)
+    return rows if before is None else rows.filter(F.col("batch") < before)
 
 
 def finishers_by_month(rows: DataFrame) -> DataFrame:

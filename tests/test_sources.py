@@ -1,6 +1,8 @@
 import json
+import os
 
-from podia.operators.normalise import RECORD
+from podia.operators.merge import without_copies, without_zero_times
+from podia.operators.normalise import RECORD, enrich, make_records
 from podia.sources import readers
 from podia.streaming import ingest
 
@@ -29,6 +31,37 @@ def test_calendar(spark):
     assert sorted((r.race, r.date) for r in readers.calendar_races(df, 2026).collect()) == [("武嶺賽", "2026-03-05"), ("跨年", "2026-12-31")]
 
 
+def _result(name, seconds, year=2026, source=0, order=0, **kw):
+    return {"name_raw": name, "finish_seconds": seconds, "year": year, "date": f"{year}-03-01", "race_key": "A", "source_ord": source, "row_ord": order} | kw
+
+
+FILES = [
+    [_result("王小明", 3600.0, order=0), _result(None, None, order=1, status="DNF"), _result(None, None, order=2, status="DNF"), _result("李*", 4000.0, order=3)],
+    [_result("王小明", 3600.4, 2026, 1), _result("陳大文", 3700.0, 2015, 1, 1), _result("陳大文", 3700.0, 2015, 1, 2), _result("李四", 4000.0, 2026, 1, 3), _result("林", 0.0, 2026, 1, 4)],
+    [_result("王○", None, 2015, 2, 0, status="DNS"), _result("王*明", 3600.0, 2026, 2, 1), _result("陳大文", 3700.9, 2015, 2, 2), _result("陳大文", 3701.0, 2015, 2, 3)],
+]
+
+
+def test_ingest_equals_the_batch_merge(spark, tmp_path):
+    """An old season that comes late stays, so do rows without a name or a time; copies go as they do in the batch."""
+    src, out, point = (str(tmp_path / n) for n in ("in", "out", "point"))
+    os.makedirs(src)
+    for i, rows in enumerate(FILES):
+        with open(f"{src}/{i}.json", "w", encoding="utf-8") as f:
+            f.write("\n".join(json.dumps(r, ensure_ascii=False) for r in rows))
+        ingest.ingest(spark, src, out, point).awaitTermination()
+    got = sorted((r.source_ord, r.row_ord) for r in ingest.read_ingested(spark, out).collect())
+    every = enrich(make_records(without_zero_times(spark.read.schema(RECORD).json(src))))
+    assert got == sorted((r.source_ord, r.row_ord) for r in without_copies(every).collect())
+    assert {(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (2, 0), (2, 3)} == set(got)
+    ingest.ingest(spark, src, out, point).awaitTermination()
+    assert ingest.read_ingested(spark, out).count() == len(got)
+    again = spark.read.parquet(f"{out}/batch=2").count()
+    known = ingest.read_ingested(spark, out, before=2)
+    third = enrich(make_records(spark.read.schema(RECORD).json(f"{src}/2.json")))
+    assert ingest.without_known(third, known).count() == again
+
+
 def test_incremental_ingest(spark, tmp_path):
     src, out, point = (str(tmp_path / n) for n in ("in", "out", "cp"))
     (tmp_path / "in").mkdir()
