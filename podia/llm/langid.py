@@ -18,7 +18,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the model is fitted on, as expected by a hash of the id and dealt out evenly among the
 #: languages: all rows of a language that has fewer than its quota.
 SAMPLE_ROWS = 20_000
-#: Words and n-grams of each length that the model keeps, the most frequent first: the bound of what is broadcast.
+#: Words and n-grams of each length that the model keeps, those with the largest share of a language first: the bound
+#: of what is broadcast. Words beyond it are scored like any unseen word, by their n-grams.
 MAX_WORDS, MAX_GRAMS, LONGEST = 50_000, 20_000, 5
 #: Letters of a run that are one word at most, and how many of them the next stretch of a longer run repeats.
 LONG_RUN, OVERLAP = 64, 4
@@ -138,15 +139,15 @@ def _table(rows: list, langs: list[str], totals: dict[str, int]) -> tuple[dict[s
     return index, np.log((counts * (common / whole) + 0.5) / (common + 0.5 * max(1, len(index))))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """A model of the rows whose text and language are not null.
 
     It is fitted on about sample_rows of them, with an equal quota for each
     language (all rows of one that has fewer), chosen by a hash of the id, or
     of the text where the id is null. Languages without a sampled word aren't
     learned. Words and n-grams are counted by Spark, and the driver receives
-    only MAX_WORDS and MAX_GRAMS of them with their counts by language: those
-    with the largest share of a language's own.
+    only max_words words and max_grams n-grams of each length with their counts
+    by language: those with the largest share of a language's own.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -164,19 +165,19 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return Model([], np.zeros(0), {}, np.zeros((0, 0)), {}, {})
     prior = np.log(np.array([by_lang[x] for x in langs]) / sum(by_lang[x] for x in langs))
 
-    def kept(frame: DataFrame, most: int, least: int, totals: dict[str, int]) -> list:
+    def kept(frame: DataFrame, most: int, totals: dict[str, int]) -> list:
         own = F.broadcast(spark.createDataFrame(list(totals.items()), "lang string, own long"))
-        top = frame.join(own, "lang").groupBy("word").agg(F.sum("n").alias("all"), F.max(F.col("n") / F.col("own")).alias("share"))
-        top = top.filter(F.col("all") >= least).orderBy(F.desc("share"), "word").limit(most)
+        top = frame.join(own, "lang").groupBy("word").agg(F.max(F.col("n") / F.col("own")).alias("share"))
+        top = top.orderBy(F.desc("share"), "word").limit(most)
         return frame.join(top, "word").select("lang", "word", "n").orderBy("word", "lang").collect()
 
-    words, word_scores = _table(kept(counts, MAX_WORDS, 2, word_totals), langs, word_totals)
+    words, word_scores = _table(kept(counts, max_words, word_totals), langs, word_totals)
     per_gram = counts.mapInArrow(_count_grams, "lang string, size int, word string, n long").groupBy("lang", "size", "word").agg(F.sum("n").alias("n")).persist()
     totals = {(r["size"], r["lang"]): r["n"] for r in per_gram.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     index, scores = {}, {}
     for size in range(1, LONGEST + 1):
         own = {x: totals.get((size, x), 0) for x in langs}
-        index[size], scores[size] = _table(kept(per_gram.filter(F.col("size") == size), MAX_GRAMS, 1, {x: max(1, n) for x, n in own.items()}), langs, own)
+        index[size], scores[size] = _table(kept(per_gram.filter(F.col("size") == size), max_grams, {x: max(1, n) for x, n in own.items()}), langs, own)
     per_gram.unpersist()
     counts.unpersist()
     return Model(langs, prior, words, word_scores, index, scores)
