@@ -52,13 +52,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licence_scan(load(spark, sf_dir, "documents")).drop("spans")
+    """The scan's digest columns, and its spans as JSON: label, notice, start, stop (code points of the text), edits."""
+    return licences.licence_scan(load(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: doc_id, n_chars, n_pieces, a digest of the ids, and of what they decode to."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = unigram.encode(docs, PIECES, decoded_col="decoded")
+    coded = unigram.encode(docs, PIECES, decoded_col="decoded", zipf=True)
     return coded.select("doc_id", F.length("text").alias("n_chars"), F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxh64"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 

@@ -209,20 +209,28 @@ class Vocabulary:
 
 
 @cache
-def load_vocabulary(path: str) -> Vocabulary:
-    """The pieces of a SentencePiece model file with byte fallback.
+def load_vocabulary(path: str, zipf: bool = False) -> Vocabulary:
+    """The pieces of a SentencePiece model file with byte fallback, and their log scores.
 
-    The scores of a model that isn't unigram are ranks, not log probabilities:
-    there a piece of rank r counts as having Zipf's frequency, 1 / r in proportion.
+    A unigram model has log probabilities, which count as they are. Those of
+    other kinds (BPE) have ranks: they are refused, unless zipf is asked for,
+    by which the piece of rank r has Zipf's frequency, 1 / r in proportion.
+    The file says of which kind it is.
     """
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    with open(path, "rb") as file:
+        spec = proto.ModelProto.FromString(file.read()).trainer_spec
+    if spec.model_type != proto.TrainerSpec.UNIGRAM and not zipf:
+        raise ValueError(f"{path} is no unigram model: its scores are no log probabilities; ask for zipf to read them as ranks")
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = range(model.get_piece_size())
     plain = [i for i in every if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     scores = {i: model.get_score(i) for i in plain}
     ranked = sorted(plain, key=lambda i: (-scores[i], i))
-    if sum(np.exp(min(s, 0.0)) for s in scores.values()) > 1.5 or min(scores.values()) < -100:
+    if zipf:
         whole = np.log(sum(1 / r for r in range(1, len(ranked) + 1)))
         scores = {i: float(-np.log(r) - whole) for r, i in enumerate(ranked, 1)}
     return Vocabulary.of([model.id_to_piece(i) for i in every], scores, [i for i in every if model.is_byte(i)])
@@ -240,10 +248,10 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, zipf: bool = False) -> DataFrame:
     """docs with the ids of each whole text, an array of int (replacing a column of that name).
 
-    With decoded_col what the ids decode to comes with them, as decode() gives it.
+    With decoded_col what the ids decode to comes with them, as decode() gives it. zipf: see load_vocabulary().
 
     No shuffle: the vocabulary (its size is the model file's, not the data's)
     is broadcast, units of text are met by a bounded memory of each worker and
@@ -252,7 +260,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in (ids_col, decoded_col) if c])
-    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).fresh())
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path, zipf).fresh())
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +285,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     It undoes encode for every text without U+2581, which reads as a space.
     """
     docs = docs.drop(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).fresh())
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path, True).fresh())  # decoding needs no scores
     at = docs.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

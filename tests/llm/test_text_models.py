@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +53,49 @@ def test_und_and_empty_tables(spark):
     assert langid.identify(empty(spark), model).count() == 0
 
 
+def brute_language(rows, text):
+    """The prediction from counts of all rows, written anew from the definition: (language, share of the likelihood)."""
+    langs = sorted({lang for _, _, lang, _ in rows})
+    words = {x: Counter() for x in langs}
+    for _, t, lang, _ in rows:
+        words[lang].update(re.findall(r"[^\W\d_]+", t.lower()))
+    pieces = lambda w, n: [w] if n == 0 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+
+    def scores(n):
+        counts = {x: Counter() for x in langs}
+        for x in langs:
+            for w, k in words[x].items():
+                for g in pieces(w, n):
+                    counts[x][g] += k
+        total = {x: max(1, sum(counts[x].values())) for x in langs}
+        top, every = max(total.values()), set().union(*counts.values())
+        return {g: {x: math.log((counts[x][g] * top / total[x] + 0.5) / (top + 0.5 * len(every))) for x in langs} for g in every}
+
+    tables = [scores(n) for n in range(6)]
+    total = {x: math.log(sum(r[2] == x for r in rows) / len(rows)) for x in langs}
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [tables[n][g] for g in pieces(w, n) if g in tables[n]]
+            if known:
+                for x in langs:
+                    total[x] += sum(k[x] for k in known) / len(known)
+                break
+    best = max(langs, key=lambda x: total[x])
+    return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+def test_predictions_match_brute_force(spark):
+    rng = random.Random(11)
+    rows = corpus(200)
+    model = langid.fit(documents(spark, rows))
+    letters = "aeinorsu йкот"
+    texts = [r[1] for r in corpus(30, 5)] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) + "x" for _ in range(60)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    for r in langid.identify(docs, model).collect():
+        lang, share = brute_language(rows, r.text)
+        assert r.score == pytest.approx(share) and (r.lang_pred == lang or share < 0.51)
+
+
 def test_sample_is_bounded(spark):
     docs = documents(spark, corpus(2000))
     model = langid.fit(docs, sample_rows=100)
@@ -123,7 +168,12 @@ def brute_viterbi(vocab, pieces, text):
 
 @pytest.fixture(scope="module")
 def vocab():
-    return unigram.load_vocabulary(PIECES).fresh()
+    return unigram.load_vocabulary(PIECES, zipf=True).fresh()
+
+
+def test_ranks_are_no_scores_unless_asked_for(spark):
+    with pytest.raises(ValueError, match="no unigram model"):
+        unigram.encode(documents(spark), PIECES)
 
 
 def test_viterbi_by_brute_force(vocab):
@@ -164,14 +214,14 @@ def test_double_array():
 
 def test_round_trip(spark):
     docs = documents(spark)
-    out = unigram.decode(unigram.encode(docs, PIECES), PIECES)
+    out = unigram.decode(unigram.encode(docs, PIECES, zipf=True), PIECES)
     assert out.columns == [*docs.columns, "ids", "decoded"]
     got = out.collect()
     assert len(got) == len(TEXTS)
     for r in got:
         assert r.decoded == (r.text or "").replace("▁", " ")
         assert (r.ids == []) == (not r.text)
-    assert unigram.encode(empty(spark), PIECES).count() == 0
+    assert unigram.encode(empty(spark), PIECES, zipf=True).count() == 0
 
 
 def test_memory_of_units_is_bounded(vocab, monkeypatch):
