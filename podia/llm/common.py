@@ -16,11 +16,14 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table, in the folder that spark.checkpoint.dir names.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder made.
+    Only a local master, which has no other machine, may leave it unset (tests,
+    a laptop): there a temporary folder is made. Elsewhere that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     base = conf or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="podia-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
