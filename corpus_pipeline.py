@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the ids of each whole text, their number, and whether they decode to it."""
-    coded = unigram.encode(docs.select("doc_id", "source", "text"), PIECES, decoded_col="decoded")
+    coded = unigram.encode(docs.select("doc_id", "source", "text"), PIECES, decoded_col="decoded", zipf=True)
     return coded.select("doc_id", "source", "ids", F.size("ids").alias("n_pieces"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
