@@ -60,33 +60,106 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 def canonical(value) -> str:
     """JSON with keys in order of code points, no white space, and numbers without a needless fraction."""
 
-    def whole(v):
-        if isinstance(v, float) and v.is_integer() and abs(v) < 1 << 53:
-            return int(v)
-        if isinstance(v, dict):
-            return {k: whole(x) for k, x in v.items()}
-        return [whole(x) for x in v] if isinstance(v, list) else v
-
-    return json.dumps(whole(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    out, todo = [], [(value, False)]
+    while todo:  # an explicit stack: values nest as deep as they like
+        v, done = todo.pop()
+        if done:
+            out.append(v)
+        elif isinstance(v, dict):
+            out.append("{")
+            todo.append(("}", True))
+            for i, k in reversed(list(enumerate(sorted(v)))):
+                todo += [(v[k], False), (f"{',' if i else ''}{_scalar(k)}:", True)]
+        elif isinstance(v, list):
+            out.append("[")
+            todo.append(("]", True))
+            for i in range(len(v) - 1, -1, -1):
+                todo += [(v[i], False), ("," if i else "", True)]
+        else:
+            out.append(_scalar(v))
+    return "".join(out)
+
+
+def _scalar(v) -> str:
+    if isinstance(v, float) and v.is_integer() and abs(v) < 1 << 53:
+        v = int(v)
+    return json.dumps(v, ensure_ascii=False, allow_nan=False)
 
 
 def references(value) -> list[str]:
     """Identifiers that arguments name as {"$call": id}, wherever they stand."""
-    if isinstance(value, dict):
-        own = [value["$call"]] if isinstance(value.get("$call"), str) else []
-        return own + [r for v in value.values() for r in references(v)]
-    return [r for v in value for r in references(v)] if isinstance(value, list) else []
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if isinstance(v.get("$call"), str):
+                out.append(v["$call"])
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return out
 
 
-def parsed(text: str):
-    """A text as JSON; ValueError if it isn't, or has a number that no JSON text can have (NaN, or beyond a double)."""
+def _finite(number: str) -> float:
+    if math.isinf(found := float(number)):
+        raise ValueError(number)
+    return found
+
 
-    def finite(number: str) -> float:
-        if math.isinf(found := float(number)):
-            raise ValueError(number)
-        return found
+#: Scalars and marks of JSON, each with the white space before it.
+_TOKEN = re.compile(r'[ \t\n\r]*("(?:[^"\\\x00-\x1f]|\\.)*"|-?\d[\d.eE+-]*|true|false|null|[\[\]{}:,])')
 
-    return json.loads(text, parse_float=finite, parse_constant=lambda name: finite("inf"))
+
+def _deep(text: str):
+    """A text as JSON, by an explicit stack: what json.loads does for texts that nest deeper than Python recurses."""
+    loads = lambda t: json.loads(t, parse_float=_finite)
+    stack: list = []  # open containers; of an object with a key that waits for its value, the key after it
+    root, at, wanted = None, 0, "value"  # wanted: value, first (value or end), key, first key, colon, more (comma or end), nothing
+    for _ in iter(int, 1):
+        m = _TOKEN.match(text, at)
+        if m is None:
+            break
+        at, t = m.end(), m[1]
+        if t in "{[" and wanted in ("value", "first"):
+            stack.append({} if t == "{" else [])
+            wanted = "first key" if t == "{" else "first"
+            continue
+        if t in "}]" and wanted in ("more", "first" if t == "]" else "first key") and stack and isinstance(stack[-1], dict if t == "}" else list):
+            value = stack.pop()
+        elif t == "," and wanted == "more":
+            wanted = "key" if isinstance(stack[-1], dict) else "value"
+            continue
+        elif t == ":" and wanted == "colon":
+            wanted = "value"
+            continue
+        elif t[0] == '"' and wanted in ("key", "first key"):
+            stack.append(loads(t))
+            wanted = "colon"
+            continue
+        elif wanted in ("value", "first") and t not in "}]:,":
+            value = loads(t)
+        else:
+            raise ValueError(f"{t} at {at}")
+        if not stack:
+            root, wanted = value, "nothing"
+            break
+        if isinstance(stack[-1], str):
+            key = stack.pop()
+            stack[-1][key] = value
+        else:
+            stack[-1].append(value)
+        wanted = "more"
+    if wanted != "nothing" or text[at:].strip(" \t\n\r"):
+        raise ValueError(f"no JSON beyond {at}")
+    return root
+
+
+def parsed(text: str):
+    """A text as JSON, however deep; ValueError if it isn't, or has a number that no JSON text can have (NaN, or beyond a double)."""
+    try:
+        return json.loads(text, parse_float=_finite, parse_constant=lambda name: _finite("inf"))
+    except RecursionError:
+        return _deep(text)
 
 
 def plain(text: str) -> str:
@@ -99,14 +172,14 @@ def events(text: str | None, schemas: dict[str, dict]) -> list[tuple]:
 
     A message with calls is an object with `tool_calls`, a list of objects with id, name
     and arguments (an object, or one as text); one with a result has
-    `tool_call_id` and content. Anything else has no events, nor has a message
-    nested deeper than Python recurses. Halves of surrogate pairs are escaped.
+    `tool_call_id` and content. Anything else has no events. Values may nest
+    as deep as they like. Halves of surrogate pairs are escaped.
     """
     if not text or not text.lstrip().startswith("{"):
         return []
     try:
         return _events(parsed(text), schemas)
-    except (ValueError, RecursionError):
+    except ValueError:
         return []
 
 

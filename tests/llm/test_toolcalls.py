@@ -1,5 +1,7 @@
 import json
+import math
 import random
+from collections import defaultdict
 
 from podia.llm import toolcalls as tc
 
@@ -96,9 +98,39 @@ def test_awkward_messages(spark):
     assert got["none"].violations == ["$: no such tool"] and got["none"].n_calls == 2
     half = got["half \\ud800"]
     assert half.dangling == ["\\udc00"] and '"\\ud800":' in half.record
-    assert "x" not in got and "deep" not in got
+    assert "x" not in got
+    assert got["deep"].violations == ["$: not of type object"] and got["deep"].record.startswith('{"arguments":' + deep)
+    assert got["nested"].record.endswith(f',"name":null,"result":{nested}}}')
     for r in got.values():
-        json.loads(r.record)
+        tc.parsed(r.record)
+
+
+def test_deep_texts_read_like_json():
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randint(0, 5 if depth else 3)
+        if kind == 4:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        if kind == 5:
+            return {rng.choice(["a", "b", "é\n", '"', "$call"]): value(depth - 1) for _ in range(rng.randint(0, 3))}
+        return rng.choice([None, True, False, 0, -3, 1.5, 2e10, "", "x\\y", "é\u2028", '"'])
+
+    def outcome(read, text):
+        try:
+            return read(text)
+        except ValueError:
+            return "no JSON"
+
+    for _ in range(3000):
+        v = value(4)
+        text = json.dumps(v, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        assert tc._deep(text) == v
+        assert json.loads(tc.canonical(v)) == v
+        at = rng.randrange(len(text))
+        broken = text[:at] + rng.choice(["", ",", "]", "}", ":", '"', "1", " ", "[", "tru"]) + text[at + rng.randint(0, 1) :]
+        assert outcome(tc._deep, broken) == outcome(json.loads, broken), broken
+    assert tc.canonical({"b": [], "a": {}}) == '{"a":{},"b":[]}'
 
 
 def test_messages_with_line_breaks_stay_as_they_are(spark):
@@ -106,3 +138,49 @@ def test_messages_with_line_breaks_stay_as_they_are(spark):
     rows = [("k", 0, "user", "hello"), ("k", 1, "assistant", text)]
     got = tc.as_calls(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()
     assert text in {r.text for r in got}
+
+
+def brute_links(rows):
+    """{(conv, id): (call_turn, result_turn, status, n_calls, n_results, level, dangling, violations, record)} by plain loops."""
+    first = lambda found: min(found, key=lambda x: (math.inf if x[0] is None else x[0], x[1]))
+    calls, results = defaultdict(list), defaultdict(list)
+    for conv, turn, text in rows:
+        for pos, (kind, i, name, body, wrong, refs) in enumerate(tc.events(text, SCHEMAS)):
+            (calls if kind == "call" else results)[conv, i].append((turn, pos, name, body, wrong, refs))
+    calls, results = ({k: (first(v), len(v)) for k, v in x.items()} for x in (calls, results))
+    at = lambda turn: math.inf if turn is None else turn
+
+    def level(conv, i, above=()):
+        if i in above:
+            return None
+        turn, *_, refs = calls[conv, i][0]
+        deeper = [level(conv, r, (*above, i)) for r in refs if (conv, r) in calls and at(calls[conv, r][0][0]) == at(turn)]
+        return None if None in deeper else max((d + 1 for d in deeper), default=0)
+
+    out = {}
+    for conv, i in calls.keys() | results.keys():
+        (c, n), (r, k) = calls.get((conv, i), (None, 0)), results.get((conv, i), (None, 0))
+        status = "no call" if c is None else "no result" if r is None else "early" if (at(r[0]), r[1]) < (at(c[0]), c[1]) else "linked"
+        dangling = sorted(x for x in c[5] if (conv, x) not in calls or at(calls[conv, x][0][0]) > at(c[0])) if c else []
+        record = {"arguments": c and json.loads(c[3]), "id": i, "name": c and c[2], "result": r and json.loads(r[3])}
+        out[conv, i] = (c and c[0], r and r[0], status, n, k, level(conv, i) if c else None, dangling, c[4] if c else [], tc.canonical(record))
+    return out
+
+
+def test_links_match_brute_force(spark):
+    rng = random.Random(7)
+    rows = []
+    for conv in [None, *range(40)]:
+        ids = [f"c{i}" for i in range(rng.randint(1, 5))]
+        for turn in [*range(rng.randint(0, 8)), None]:
+            kind = rng.random()
+            if kind < 0.5:
+                text = call(*[(i, {"a": rng.randint(-1, 3), "b": {"$call": rng.choice([*ids, "gone"])}} if rng.random() < 0.7 else rng.choice(["{", '{"a": 2}', 3])) for i in rng.sample(ids, rng.randint(1, len(ids)))])
+            else:
+                text = result(rng.choice([*ids, "nobody"]), rng.choice([None, 1.0, "x", {"k": [turn]}])) if kind < 0.9 else rng.choice(["words", None, ""])
+            rows.append((conv, turn, text))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)
+    got = {(r.conv_id, r.call_id): (r.call_turn, r.result_turn, r.status, r.n_calls, r.n_results, r.level, r.dangling, r.violations, r.record) for r in tc.link(df, SCHEMAS).collect()}
+    want = brute_links(rows)
+    assert got.keys() == want.keys()
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
