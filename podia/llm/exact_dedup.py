@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from podia.llm.common import ROW, SPACE_RUN, few, materialise, numbered, one_of_each
 
 PREFIX_CHARS = 256
+#: Rows of a large group of copies, and how many such groups there are at most: the bound of what is broadcast.
+LARGE_ROWS, MAX_LARGE = 1000, 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -27,7 +29,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Only id, length and hashes are shuffled, never texts, except that without
     digest_all texts meet the contested ids if these are too many to broadcast. Copies are aggregated before
-    they are shuffled; the last join, on a hot text, is left to AQE's skew split.
+    they are shuffled; rows of groups of over LARGE_ROWS copies, of which there
+    are MAX_LARGE at most, learn their keep_id by a broadcast.
 
     Null or empty text: equal to each other. Null id: a row like any other;
     keep_id is the smallest non-null id of the group (null if none). Rows that
@@ -53,8 +56,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = sha.groupBy("n", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("size"))
         free = rows.join(contested, F.col("id").eqNullSafe(F.col("other")), "left_anti").select("id", "n", F.lit(None).cast("binary").alias("sha"))
         rows = sha.unionByName(free)
-    groups = groups.filter("size > 1").select("n", "sha", "keep_id", "size")
-    out = rows.join(groups, ["n", "sha"], "left")
+    groups = materialise(groups.filter("size > 1").select("n", "sha", "keep_id", "size"), "dedup-groups")
+    # What has a large group's key is met by broadcast, so that no group is one task's work; the others are met by a shuffle.
+    large = F.col("size") >= max(LARGE_ROWS, -(-rows.count() // MAX_LARGE))
+    hot = F.broadcast(groups.filter(large))
+    cold = rows.join(hot, ["n", "sha"], "left_anti").join(groups.filter(~large), ["n", "sha"], "left")
+    out = cold.unionByName(rows.join(hot, ["n", "sha"]))
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
         F.col("id").alias(id_col),
