@@ -36,3 +36,19 @@ def permute(x: np.ndarray, n: int, key: int | np.ndarray) -> np.ndarray:
             out[todo] = (left << half) | right
             todo = todo[out[todo] >= np.uint64(n)]
     return out.astype(np.int64)
+
+
+def place_of(x: int, n: int, key: int) -> int:
+    """What permute() sends to x: the network run backwards, through the same cycle."""
+    half = max(1, ((int(n) - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    own = np.array([key], np.int64).astype(np.uint64)
+    while True:
+        left, right = x >> half, x & mask
+        for i in reversed(range(ROUNDS)):
+            with np.errstate(over="ignore"):
+                mixed = int(_mix(np.array([left], np.uint64) + own + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15))[0])
+            left, right = right ^ (mixed & mask), left
+        x = left << half | right
+        if x < n:
+            return x
