@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from podia.llm.common import materialise
+from podia.llm.common import MAX_BROADCAST_IDS, materialise
 
 #: A paragraph is a line; of a longer line each run of PARAGRAPH_WORDS words counts as one.
 PARAGRAPH_WORDS = 8
@@ -24,8 +24,8 @@ CELLS, DOUBLINGS = 9, 3
 PER_TABLE = 16
 #: Rounds after which peeling gives up; a table of 3 * CELLS cells needs fewer.
 ROUNDS = 24
-#: Documents that one window sorts, and the most runs that there are.
-RUN_ROWS, MAX_RUNS = 1000, 65_536
+#: Documents that one window sorts, and how many cuts of the ids a plan holds.
+RUN_ROWS, MAX_CUTS = 1000, 65_536
 
 _PARAGRAPH = rf"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){{0,{PARAGRAPH_WORDS - 1}}}"
 
@@ -75,8 +75,17 @@ def subtract(left: str, right: str) -> str:
     return _three(lambda t: f"zip_with({left}.t{t}, {right}.t{t}, (a, b) -> named_struct('c', a.c - b.c, 'k', a.k ^ b.k, 'h', a.h ^ b.h))")
 
 
-def peel(table_of: str, cells: int) -> str:
-    """SQL: how many digests peeling recovers from a table; null if cells are left over.
+#: What is gathered of the digests that peeling takes out, as (type, none, those of a round): how many, or d with its sign s.
+COUNT = ("int", "0", "size(pure)")
+DIGESTS = ("array<struct<d:bigint,s:int>>", "cast(array() as array<struct<d:bigint,s:int>>)", "transform(pure, y -> named_struct('d', y.d, 's', y.s))")
+
+
+def _plus(kind: tuple, a: str, b: str) -> str:
+    return f"{a} + {b}" if kind is COUNT else f"concat({a}, {b})"
+
+
+def peel(table_of: str, cells: int, kind: tuple = COUNT) -> str:
+    """SQL: how many digests peeling recovers from a table, or which; null if cells are left over.
 
     A round takes every digest that is alone in some cell out of all of its cells.
     """
@@ -84,26 +93,27 @@ def peel(table_of: str, cells: int) -> str:
     pure = f"concat(transform({alone(1)}, d -> {_entry('d', '1', cells)}), transform({alone(-1)}, d -> {_entry('d', '-1', cells)}))"
     pure = f"transform(array(concat(st.t.t0, st.t.t1, st.t.t2)), every -> {pure})[0]"
     rest = _three(lambda t: f"transform(st.t.t{t}, (x, j) -> aggregate(filter(pure, y -> y.p{t} = j), x, {_TAKE}))")
-    step = f"transform(array({pure}), pure -> if(size(pure) = 0, named_struct('t', st.t, 'n', st.n, 'go', false), named_struct('t', {rest}, 'n', st.n + size(pure), 'go', true)))[0]"
+    step = f"transform(array({pure}), pure -> if(size(pure) = 0, named_struct('t', st.t, 'n', st.n, 'go', false), named_struct('t', {rest}, 'n', {_plus(kind, 'st.n', kind[2])}, 'go', true)))[0]"
     left = "exists(concat(st.t.t0, st.t.t1, st.t.t2), x -> x.c <> 0 or x.k <> 0L or x.h <> 0)"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('t', {table_of}, 'n', 0, 'go', true), (st, i) -> if(st.go, {step}, st), st -> if({left}, cast(null as int), st.n))"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('t', {table_of}, 'n', {kind[1]}, 'go', true), (st, i) -> if(st.go, {step}, st), st -> if({left}, cast(null as {kind[0]}), st.n))"
 
 
-def _table_difference(ours: str, theirs: str) -> str:
-    """SQL: the number of differing digests of one table's share, by ever larger tables.
+def _table_difference(ours: str, theirs: str, kind: tuple) -> str:
+    """SQL: the differing digests of one table's share, or their number, by ever larger tables.
 
     Only if the largest fails too are the two lists compared themselves.
     """
     tries = []
     for k in range(DOUBLINGS + 1):
         cells = CELLS << k
-        tries.append(peel(table(f"concat({entries(ours, 1, cells)}, {entries(theirs, -1, cells)})", cells), cells))
-    tries.append(f"size(array_except({ours}, {theirs})) + size(array_except({theirs}, {ours}))")
+        tries.append(peel(table(f"concat({entries(ours, 1, cells)}, {entries(theirs, -1, cells)})", cells), cells, kind))
+    only = [(f"array_except({ours}, {theirs})", 1), (f"array_except({theirs}, {ours})", -1)]
+    tries.append(_plus(kind, *[f"size({x})" if kind is COUNT else f"transform({x}, d -> named_struct('d', d, 's', {s}))" for x, s in only]))
     return f"coalesce({', '.join(tries)})"
 
 
-def _dealt(above: str, low: str, span: str, ways: str, level: int, inner: str) -> str:
-    """SQL: the sum of `inner` over the digests of `above` (a, b), dealt by ranges of equal width, `ways` of them.
+def _dealt(above: str, low: str, span: str, ways: str, level: int, inner: str, kind: tuple) -> str:
+    """SQL: the sum (or the lists together) of `inner` over the digests of `above` (a, b), dealt by ranges of equal width, `ways` of them.
 
     Each list is sorted together with the lower ends of all ranges but the
     first, and cut there.
@@ -120,21 +130,21 @@ def _dealt(above: str, low: str, span: str, ways: str, level: int, inner: str) -
         return f"if({s}.w = 1, {s}.{side}, transform(array(if(i{level} = 0, 0, {at(f'i{level}')})), o -> slice({s}.{side}, o + 1, {stop} - o - 1))[0])"
 
     each = f"transform(array(named_struct('a', {part('a')}, 'b', {part('b')}, 'low', {s}.low + i{level} * {s}.step, 'step', {s}.step)), {g} -> {inner})[0]"
-    return f"transform(array({sorted_}), {s} -> aggregate(sequence(0, {s}.w - 1), 0, (n{level}, i{level}) -> n{level} + {each}))[0]"
+    return f"transform(array({sorted_}), {s} -> aggregate(sequence(0, {s}.w - 1), {kind[1]}, (n{level}, i{level}) -> {_plus(kind, f'n{level}', each)}))[0]"
 
 
-def difference(ours: str, theirs: str, our_sketch: str, their_sketch: str) -> str:
-    """SQL: the number of digests that only one of two texts has, from their sketches, or from larger tables if they fail.
+def difference(ours: str, theirs: str, our_sketch: str, their_sketch: str, kind: tuple = COUNT) -> str:
+    """SQL: the number of digests that only one of two texts has, or which they are, from their sketches, or from larger tables if they fail.
 
     For those the digests are dealt by ranges, to 64 tables at most at a time.
     """
     need = f"cast(greatest(1, ceil((size({ours}) + size({theirs})) / {PER_TABLE})) as int)"
-    leaf = f"if(size(g0.a) + size(g0.b) = 0, 0, {_table_difference('g0.a', 'g0.b')})"
-    inner = _dealt("g1", "g1.low", "g1.step", "t.w0", 0, leaf)
-    outer = _dealt("t", "0L", "9223372036854775807L", "t.w1", 1, inner)
+    leaf = f"if(size(g0.a) + size(g0.b) = 0, {kind[1]}, {_table_difference('g0.a', 'g0.b', kind)})"
+    inner = _dealt("g1", "g1.low", "g1.step", "t.w0", 0, leaf, kind)
+    outer = _dealt("t", "0L", "9223372036854775807L", "t.w1", 1, inner, kind)
     ways = f"transform(array({need}), n -> named_struct('a', {ours}, 'b', {theirs}, 'w1', cast(ceil(n / 64) as int), 'w0', cast(ceil(n / ceil(n / 64)) as int)))[0]"
     larger = f"transform(array({ways}), t -> {outer})[0]"
-    return f"coalesce({peel(subtract(our_sketch, their_sketch), CELLS)}, {larger})"
+    return f"coalesce({peel(subtract(our_sketch, their_sketch), CELLS, kind)}, {larger})"
 
 
 def sketch(digests: str) -> str:
@@ -156,37 +166,62 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, run, ghost): every document, and in each run a ghost of the document that follows the run.
 
     Runs are ranges of ids with about RUN_ROWS documents, cut at approximate
-    quantiles (at most MAX_RUNS numbers). In descending order the one after a
-    run's last is the first of the run below, and after the very last the very first.
+    quantiles; beyond MAX_CUTS of these, each range is cut further into equal
+    parts. Rows without an id are ranges of the text's hash, below all ids. In
+    descending order the one after a run's last is the first of the run below,
+    and after the very last the very first.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = rows.select("id").count()
-    runs = min(MAX_RUNS, max(1, n // RUN_ROWS))
-    at = [i / runs for i in range(1, runs)]
+    whole = rows.agg(F.count("id").alias("n"), F.count("*").alias("all"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    ranges = min(MAX_CUTS, max(1, whole["n"] // RUN_ROWS))
+    parts, nulls = max(1, -(-whole["n"] // (RUN_ROWS * ranges))) if ranges == MAX_CUTS else 1, (whole["all"] - whole["n"]) // RUN_ROWS + 1
+    at = [i / ranges for i in range(1, ranges)]
     cuts = (rows.agg(F.percentile_approx("id", at, 100 * 1000)).first()[0] if at else None) or []
-    cuts = sorted(set(cuts))
-    steps = max(1, len(cuts).bit_length())
-    # The number of cuts that are not above the id, by halving.
-    found = "0"
-    if cuts:
-        span = f"named_struct('lo', 0, 'hi', {len(cuts)})"
-        halve = "(s, i) -> if(s.lo >= s.hi, s, if(cuts[(s.lo + s.hi) div 2] <= id, named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2)))"
-        halve = halve.replace("(s.lo + s.hi) div 2", "cast((s.lo + s.hi) div 2 as int)")
-        found = f"if(id is null, 0, aggregate(sequence(1, {steps + 1}), {span}, {halve}, s -> s.lo))"
-    rows = rows.withColumn("cuts", F.lit(cuts).cast("array<bigint>")).withColumn("run", F.expr(found).cast("int")).drop("cuts").withColumn("tie", F.xxhash64("text"))
+    bounds = sorted({*cuts, *([whole["lo"], whole["hi"] + 1] if whole["n"] else [0, 1])})
+    # The last bound that is not above the id, by halving.
+    halve = "(s, i) -> if(s.hi - s.lo <= 1, s, if(bounds[(s.lo + s.hi) div 2] <= id, named_struct('lo', (s.lo + s.hi) div 2, 'hi', s.hi), named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2)))"
+    halve = halve.replace("(s.lo + s.hi) div 2", "cast((s.lo + s.hi) div 2 as int)")
+    share = "cast(id - bounds[s.lo] as double) / cast(bounds[s.lo + 1] - bounds[s.lo] as double)"
+    found = f"aggregate(sequence(0, {len(bounds).bit_length()}), named_struct('lo', 0, 'hi', {len(bounds) - 1}), {halve}, s -> cast(s.lo as bigint) * {parts} + least({parts} - 1, cast(floor({share} * {parts}) as bigint)))"
+    unnamed = f"least(-1, cast(floor(cast(tie as double) / 18446744073709551616D * {nulls} - {nulls} / 2) as bigint))"
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bounds", F.lit(bounds).cast("array<bigint>"))
+    rows = rows.withColumn("run", F.expr(f"if(id is null, {unnamed}, {found})").cast("long")).drop("bounds")
     first = rows.groupBy("run").agg(F.max(F.struct("id", "tie")).alias("m")).select("run", "m.id", "m.tie")
     first = materialise(first, "run-heads")
     order = Window.orderBy(F.col("run").asc())
     above = F.coalesce(F.lead("run").over(order), F.first("run").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = first.select(above.alias("to"), F.col("id").alias("head"), F.col("tie").alias("head_tie"))
-    ghosts = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["to"])
+    heads = F.broadcast(heads) if first.count() <= MAX_BROADCAST_IDS else heads
+    ghosts = rows.join(heads, F.col("id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["to"])
     ghosts = ghosts.select("id", "text", F.col("to").alias("run"), "tie", F.lit(True).alias("ghost"))
     return rows.withColumn("ghost", F.lit(False)).select("id", "text", "run", "tie", "ghost").unionByName(ghosts)
 
 
-def sketch_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `paragraphs` (distinct digests) and `sketch` (cells), for comparing versions of a text elsewhere."""
-    return docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("paragraphs", F.expr(paragraphs("__text"))).withColumn("sketch", F.expr(sketch("paragraphs"))).drop("__text")
+def sketch_docs(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with `paragraphs` (distinct digests) and `sketch` (cells), for comparing versions of a text elsewhere.
+
+    Columns of these names are replaced; the others stay. A null or empty text
+    has no paragraphs and an empty sketch; repeated rows get equal sketches; an
+    empty table stays empty.
+    """
+    text = f"coalesce(cast(`{text_col}` as string), '')"
+    out = docs.withColumn("paragraphs", F.expr(paragraphs(text)))
+    return out.withColumn("sketch", F.expr(sketch("paragraphs")))
+
+
+def differing_paragraphs(versions: DataFrame, old_col: str = "old", new_col: str = "new") -> DataFrame:
+    """versions with `gone` and `added`: the digests, in order, of the paragraphs that only the old and only the new text has.
+
+    They are what peeling recovers from the difference of the two sketches, or
+    of larger tables where it fails. Null counts as empty; columns of these
+    names are replaced; repeated rows get equal answers; an empty table stays empty.
+    """
+    texts = [f"coalesce(cast(`{c}` as string), '')" for c in (old_col, new_col)]
+    sides = versions.select(F.struct(*[F.col(c) for c in versions.columns if c not in ("gone", "added")]).alias("v"), *[F.expr(paragraphs(t)).alias(n) for t, n in zip(texts, "ab", strict=True)])
+    sides = sides.withColumn("sketch_a", F.expr(sketch("a"))).withColumn("sketch_b", F.expr(sketch("b")))
+    found = sides.select("v.*", F.expr(difference("a", "b", "sketch_a", "sketch_b", DIGESTS)).alias("__found"))
+    of = lambda sign: F.array_sort(F.transform(F.filter("__found", lambda x: x["s"] == sign), lambda x: x["d"]))
+    return found.withColumns({"gone": of(1), "added": of(-1)}).drop("__found")
 
 
 def edited_text(text: Column, after: Column) -> Column:

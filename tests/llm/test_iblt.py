@@ -16,9 +16,10 @@ def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
 
-@pytest.mark.parametrize("run_rows", [1000, 3])
-def test_matches_brute_force(spark, monkeypatch, run_rows):
+@pytest.mark.parametrize(("run_rows", "max_cuts"), [(1000, 65_536), (3, 65_536), (1, 2)])
+def test_matches_brute_force(spark, monkeypatch, run_rows, max_cuts):
     monkeypatch.setattr(iblt, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(iblt, "MAX_CUTS", max_cuts)
     docs = documents(spark)
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None), reverse=True)
     ids = [i for i, _ in rows]
@@ -38,6 +39,41 @@ def test_matches_brute_force(spark, monkeypatch, run_rows):
     assert got[4].fingerprint == got[5].fingerprint == got[6].fingerprint != got[1].fingerprint
 
 
+@pytest.mark.parametrize(("run_rows", "max_cuts"), [(1000, 65_536), (7, 65_536), (3, 4)])
+def test_each_document_meets_the_next(spark, monkeypatch, run_rows, max_cuts):
+    """Over uneven ids, negative ones and rows without an id: by descending id, then by the text's hash, then the first again."""
+    monkeypatch.setattr(iblt, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(iblt, "MAX_CUTS", max_cuts)
+    ids = [*range(-20, 30), *(3**i for i in range(20, 39)), -(2**62), *[None] * 25]
+    docs = documents(spark, [(i, f"{n} text " + "abc" * (n % 5), "en", "a") for n, i in enumerate(dict.fromkeys(ids[:-25]))] + [(None, f"{n} unnamed", "en", "a") for n in range(25)])
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie), reverse=True)
+    want = []
+    for r, nxt in zip(rows, rows[1:] + rows[:1], strict=True):
+        h = len(r.text) // 2
+        want.append((hashlib.sha256((r.text[: len(r.text) - h] + nxt.text[:h]).encode()).hexdigest(), r.doc_id))
+    got = [(r.edited_sha256, r.doc_id) for r in iblt.compare_with_edits(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_digests_that_differ_are_recovered(spark):
+    line = lambda i: f"line number {i}"
+    texts = [("", None), ("same\nlines", "same\nlines"), ("a b\nc", "c\nd"), ("\n".join(map(line, range(900))), "\n".join(map(line, range(3, 1400, 2))))]
+    df = spark.createDataFrame([(i, a, b, "x", "y") for i, (a, b) in enumerate(texts)] * 2, "id long, old string, new string, gone string, paragraphs string")
+    got = iblt.differing_paragraphs(df)
+    assert got.columns == ["id", "old", "new", "paragraphs", "gone", "added"]
+    parts = [set(PART.findall(t or "")) for pair in texts for t in pair]
+    digest = {r.p: r.d for r in spark.createDataFrame([(p,) for p in set().union(*parts)], "p string").select("p", F.shiftrightunsigned(F.xxhash64("p"), 1).alias("d")).collect()}
+    rows = got.collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        a, b = parts[2 * r.id], parts[2 * r.id + 1]
+        assert r.gone == sorted(digest[p] for p in a - b) and r.added == sorted(digest[p] for p in b - a)
+    sketches = iblt.sketch_docs(documents(spark).withColumn("sketch", F.lit("old")))
+    assert sketches.count() == documents(spark).count() and "fp" in sketches.columns
+    assert iblt.differing_paragraphs(df.limit(0)).count() == iblt.sketch_docs(empty(spark)).count() == 0
+
+
 def test_one_and_no_document(spark):
     assert iblt.compare_with_edits(empty(spark)).count() == 0
     one = iblt.compare_with_edits(documents(spark, [(3, "abc def", "en", "a")])).collect()
