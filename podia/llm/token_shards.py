@@ -26,8 +26,8 @@ from podia.llm.feistel import permute
 
 #: How byte-level BPE cuts a text before it merges bytes (a fixed value of these vocabularies).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker remembers, and the longest of them: 50 MB or so, however long words are.
-REMEMBER, LONGEST = 200_000, 64
+#: Words whose ids a worker remembers, and the longest of them: 25 MB or so, however long words are.
+REMEMBER, LONGEST = 100_000, 64
 #: Partitions that a table may have, and sequences that one may give; the permutation acts on their product.
 PARTS, PER_PART = 1 << 21, 1 << 32
 #: Bytes of text that give one id, as guessed to set the number of shards.
