@@ -30,13 +30,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that materialise() has written in this session.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(docs: DataFrame) -> None:
+    """Delete what materialise() has written so far, but for what docs itself is read from: docs is all that is still wanted.
+
+    Nothing is deleted if docs is cached, as lost blocks are computed anew.
+    """
+    if docs.is_cached:
+        return
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
+    read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
+    gone = [p for p in _written if p.rsplit("/", 1)[-1] not in read]
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _written.remove(path)
+
+
 #: Name of the column that tells rows apart, whatever their ids.
 ROW = "__row"
 

@@ -24,7 +24,7 @@ MAX_WORDS, MAX_GRAMS, LONGEST = 50_000, 20_000, 5
 #: Letters of a run that are one word at most, and how many of them the next stretch of a longer run repeats.
 LONG_RUN, OVERLAP = 64, 4
 #: Unseen words whose scores a worker remembers before it forgets them all.
-REMEMBER = 200_000
+REMEMBER = 50_000
 UNKNOWN = "und"
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 (pa.compute)
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podia.llm import golay
@@ -138,15 +138,6 @@ def _block_links(distance: int):
     return run
 
 
-def _with_group(rows: DataFrame, keys: list[str], wanted: str, *totals: Column) -> DataFrame:
-    """rows of the groups that are wanted, with their group's totals.
-
-    Totals are partial aggregates, and rows meet them by a join that AQE splits
-    where a key is hot: a window would put all rows of a key into one task.
-    """
-    return rows.join(rows.groupBy(*keys).agg(*totals).filter(wanted), keys)
-
-
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -168,14 +159,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    by_key = Window.partitionBy("key")
     keyed = nodes.select("fp").mapInArrow(_key_rows, "key long, fp long")
-    keyed = materialise(_with_group(keyed, ["key"], "n > 1", F.min("fp").alias("low"), F.count("*").alias("n")), "shared-keys")
+    keyed = keyed.withColumn("low", F.min("fp").over(by_key)).withColumn("n", F.count("*").over(by_key)).filter("n > 1")
+    keyed = materialise(keyed, "shared-keys")
 
     to_low = keyed.filter((F.col("fp") != F.col("low")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= DISTANCE))
     first = components(to_low.select(F.col("fp").alias("a"), F.col("low").alias("b")))
 
     many = keyed.filter("n > 2").select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_ = _with_group(many, ["key"], "least <> most", F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
+    open_ = many.withColumn("least", F.min("root").over(by_key)).withColumn("most", F.max("root").over(by_key)).withColumn("n", F.count("*").over(by_key)).filter("least <> most")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -270,15 +263,14 @@ def _sets(shingle: int):
 
 
 def _node_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Golay keys of each node's fingerprint (band false) and its band keys (band true)."""
+    """Golay keys of each node's fingerprint, and its band keys, which are negative."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
-            node, n, fp, bands = batch.slice(at, 4096).columns
+            node, fp, bands = batch.slice(at, 4096).columns
             keys, places = fuzzy_keys(fp.to_numpy(zero_copy_only=False).view(np.uint64))
             places = np.concatenate([places, pa.compute.list_parent_indices(bands).to_numpy(zero_copy_only=False)])
-            band = np.arange(len(places)) >= len(keys)
-            keys = np.concatenate([keys, pa.compute.list_flatten(bands).to_numpy(zero_copy_only=False)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), *(c.take(pa.array(places)) for c in (node, n, fp))], ["key", "band", "node", "n", "fp"])
+            keys = np.concatenate([keys, pa.compute.list_flatten(bands).to_numpy(zero_copy_only=False) | np.int64(-1 << 63)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), node.take(pa.array(places))], ["key", "node"])
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -305,9 +297,10 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
     nodes = sketch.groupBy("digest").agg(F.min(ROW).alias("node"))
     of_row = materialise(sketch.select(ROW, "digest").join(nodes, "digest").select(ROW, "node"), "nodes")
     single = sketch.join(of_row.filter(F.col(ROW) == F.col("node")).select(ROW), ROW).select(F.col(ROW).alias("node"), "n", "fp", "bands")
-    keys = ["key", "band"]
-    keyed = single.mapInArrow(_node_keys, "key long, band boolean, node long, n long, fp long")
-    keyed = materialise(_with_group(keyed, keys, "many > 1", F.count("*").alias("many")).drop("many"), "shared-keys")
+    by_key = Window.partitionBy("key")
+    keyed = single.select("node", "fp", "bands").mapInArrow(_node_keys, "key long, node long")
+    keyed = materialise(keyed.withColumn("many", F.count("*").over(by_key)).filter("many > 1").drop("many"), "shared-keys")
+    keyed = materialise(keyed.join(single.select("node", "n", "fp"), "node").withColumn("band", F.col("key") < 0), "shared-nodes")
     wanted = few(keyed.select("node").distinct(), "shared-nodes")
     sets = texts.join(wanted.withColumnRenamed("node", ROW), ROW, "left_semi").mapInArrow(_sets(shingle), "node long, hashes array<long>")
     sets = materialise(sets, "shingle-sets")
@@ -320,21 +313,20 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
     links, roots, open_ = None, None, keyed.withColumn("root", F.col("node"))
     for turn in range(2):
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "fp", "root")
-        star = _with_group(open_, keys, "hub is not null", F.min(order).alias("hub"))
-        star = star.select(F.struct("node", "n", "fp", "root").alias("one"), "hub", "band").filter((F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
+        star = open_.select("key", "band", F.struct("node", "n", "fp", "root").alias("one"), F.min(order).over(by_key).alias("hub"))
+        star = star.filter((F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
         star = star.select(F.least("one.node", "hub.node").alias("a"), F.greatest("one.node", "hub.node").alias("b")).distinct()
         found = materialise(_alike(star, sets, similarity), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         open_ = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = _with_group(open_, keys, "least <> most", F.min("root").alias("least"), F.max("root").alias("most")).drop("least", "most")
+        open_ = open_.withColumn("least", F.min("root").over(by_key)).withColumn("most", F.max("root").over(by_key)).filter("least <> most").drop("least", "most")
         open_ = materialise(open_, "open-keys")
 
-    dealt = _with_group(open_, keys, "blocks > 0", F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    here = dealt.select("key", "band", F.col("own").alias("block"), F.struct("node", "n", "fp", "root").alias("one"))
+    dealt = open_.withColumn("blocks", F.ceil(F.count("*").over(by_key) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    here = dealt.select("key", F.col("own").alias("block"), F.struct("node", "n", "fp", "root").alias("one"))
     there = dealt.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("node", "n", "fp", "root").alias("hub"))
-    pairs = here.join(there, ["key", "band", "block"]).filter((F.col("one.node") < F.col("hub.node")) & (F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
+    pairs = here.join(there, ["key", "block"]).filter((F.col("one.node") < F.col("hub.node")) & (F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
     pairs = pairs.select(F.col("one.node").alias("a"), F.col("hub.node").alias("b")).distinct()
     roots = components(links.unionByName(materialise(_alike(pairs, sets, similarity), "links")))
     linked = of_row.join(roots, "node", "left").select(ROW, F.coalesce("root", "node").alias("component_id"))
