@@ -56,6 +56,20 @@ def coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_platform").agg(F.count("*").alias("rows"), F.count_if(F.col("gender").isin("M", "F")).alias("gender_known"), F.count_if(~X.blank(age)).alias("age_known"))
 
 
+def shrunk_sources(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(source_platform, old_rows, new_rows): sources that have fewer rows than before, or none any more."""
+    count = lambda df, n: df.groupBy(F.coalesce("source_platform", F.lit("")).alias("source_platform")).agg(F.count("*").alias(n))
+    both = count(old, "old_rows").join(count(new, "new_rows"), "source_platform", "left")
+    return both.withColumn("new_rows", F.coalesce("new_rows", F.lit(0).cast("long"))).filter("new_rows < old_rows")
+
+
+def guarded(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The new rows, but of sources that shrank the old ones: a source that breaks takes nothing away. Sources are few, so their table is broadcast."""
+    gone = F.broadcast(shrunk_sources(old, new).select(F.col("source_platform").alias("__s")))
+    of = F.coalesce("source_platform", F.lit("")) == F.col("__s")
+    return new.join(gone, of, "left_anti").unionByName(old.join(gone, of, "left_semi"))
+
+
 def compare_builds(old: DataFrame, new: DataFrame) -> DataFrame:
     """(rk, y, state, old_rows, new_rows, lost): each race-year of two leaderboards as missing, added, changed or same.
 

@@ -122,7 +122,7 @@ def calibrated(hist: DataFrame, diff: DataFrame) -> DataFrame:
 
 
 def benchmarks(rows: DataFrame, least: int = 20) -> DataFrame:
-    """(rk, label, cohort, type, n, bp): finish times at each percentile of every cohort with enough finishers.
+    """(rk, label, cohort, type, n, bp, years): finish times at each percentile of every cohort with enough finishers, and the group's years.
 
     A finisher is of several cohorts: all, the age band, the band and gender,
     the category. The times at the 101 percentiles are picked from the
@@ -156,8 +156,9 @@ def benchmarks(rows: DataFrame, least: int = 20) -> DataFrame:
     run = run.withColumn("from", first_percentile(F.col("upto") - F.col("c"))).withColumn("to", first_percentile(F.col("upto")) - 1).filter("from <= to")
     points = run.select(*keys, "n", "t", F.explode(F.sequence("from", "to")).alias("p")).groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("p", "t"))).alias("points"))
     out = points.withColumn("bp", F.transform("points", lambda x: x["t"]))
-    kept = out.filter("cohort = 'all'").select("race_key", "label")
-    return out.join(kept, ["race_key", "label"], "left_semi").select(F.col("race_key").alias("rk"), "label", "cohort", "type", "n", "bp")
+    years = timed.select("race_key", group_label(), "year").distinct().groupBy("race_key", "label").agg(F.sort_array(F.collect_list("year")).alias("years"))
+    kept = out.filter("cohort = 'all'").select("race_key", "label").join(years, ["race_key", "label"])
+    return out.join(kept, ["race_key", "label"]).select(F.col("race_key").alias("rk"), "label", "cohort", "type", "n", "bp", "years")
 
 
 def benchmark_lookup(bench: DataFrame, race: str, seconds: int, label: str | None = None, age: str | None = None, gender: str | None = None) -> DataFrame:
@@ -238,6 +239,11 @@ def histogram(view: DataFrame, seconds: int = 600) -> DataFrame:
     return every.join(binned, "x0", "left").select("x0", (F.col("x0") + seconds).alias("x1"), F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
 
+def distance_speed(view: DataFrame) -> DataFrame:
+    """(dist, spd, rc): a point for each row of a slim view that has a distance and a speed."""
+    return view.filter("dist is not null and spd is not null").select("dist", "spd", "rc")
+
+
 def facets(view: DataFrame) -> DataFrame:
     """(facet, value): the distinct values that the view can be filtered by; years as text."""
     cols = {"year": "y", "series": "s", "class": "rc", "gender": "g", "age": "ag"}

@@ -249,7 +249,39 @@ ORACLE: dict[str, str] = {
                        WHEN finisher_delta >= 0 AND time_delta <= -5 THEN '偏易' ELSE '正常' END AS verdict FROM d""",
         _BASE, _DIFF,
     ),
-    "races_benchmarks": _q("SELECT rk, label, cohort, type, n, array_to_string(bp, ',') AS bp FROM bench", _BASE, _BENCH),
+    "races_benchmarks": _q(
+        """SELECT rk, label, cohort, type, n, array_to_string(bp, ',') AS bp, years FROM bench JOIN (
+          SELECT race_key AS rk, result_label AS label, string_agg(DISTINCT CAST(year AS STRING), ',' ORDER BY CAST(year AS STRING)) AS years
+          FROM results WHERE (status IS NULL OR status = 'FIN') AND finish_seconds IS NOT NULL GROUP BY 1, 2) USING (rk, label)""",
+        _BASE, _BENCH,
+    ),
+    "fn_names": """
+        SELECT c_custkey, CASE WHEN k % 3 = 0 THEN substr(c_name, 1, 1) || '○'
+                               WHEN k % 3 = 2 THEN substr(c_mktsegment, 1, 1) || '○ ' || substr(lower(c_mktsegment), 1, 1) || '○'
+                               WHEN length(cjk) = 1 THEN cjk WHEN length(cjk) = 2 THEN substr(cjk, 1, 1) || '○'
+                               ELSE substr(cjk, 1, 1) || repeat('○', length(cjk) - 2) || substr(cjk, -1, 1) END AS masked,
+               2009 + k % 12 AS year, '彰化經典' || CAST(k % 9 AS STRING) || 'K春' AS race_key, CAST(typed AS DOUBLE) AS seconds, typed
+        FROM (SELECT *, c_custkey AS k, substr('王大明陳小美李林', CAST(c_custkey % 5 + 1 AS INTEGER), CAST(c_custkey % 4 + 1 AS INTEGER)) AS cjk,
+                     CAST(c_custkey % 24 * 3600 + c_custkey % 60 * 60 + c_custkey % 59 AS BIGINT) AS typed FROM customer)""",
+    "fn_divisions": """
+        SELECT p_partkey, division, nullif(substr(seg, length(division) + 1), '') AS team, gender, age,
+               CASE WHEN age LIKE 'U%' THEN 'U19' WHEN age = 'MASTER' THEN age WHEN CAST(substr(age, 1, 2) AS INTEGER) BETWEEN 19 AND 29 THEN '19-29' WHEN age IS NOT NULL THEN '40-49' END AS band,
+               CASE WHEN label LIKE '%挑戰%' THEN '挑戰' WHEN label = '國中' OR division LIKE 'U%' THEN '青少年' WHEN label = 'TTT' THEN '團體計時' WHEN label = '市民' THEN '市民'
+                    WHEN label = '完賽' THEN '認證' WHEN regexp_matches(division, '^[MW][0-9]') OR division = 'MASTER' THEN '分齡' WHEN division LIKE '女子%' THEN '女子' ELSE '未分類' END AS race_class
+        FROM (SELECT *, CASE WHEN regexp_matches(division, '^W|女') THEN 'F' WHEN division LIKE 'M%' THEN 'M' END AS gender,
+                     CASE WHEN division IN ('MASTER') OR division LIKE 'U%' THEN division ELSE nullif(regexp_extract(division, '[0-9].*'), '') END AS age
+              FROM (SELECT *, regexp_extract(seg, '^(MASTER|女子組|菁英組|公開|[MW][0-9]+-[0-9]+|[MW][0-9]+|U[0-9]+)', 1) AS division
+                    FROM (SELECT p_partkey, replace(list_extract(['M24-35宜蘭隊', 'W40', '女子組 隊', 'U15青年', 'MASTER老將', '菁英組A', '公開車隊'], CAST(p_partkey % 7 + 1 AS INTEGER)), ' ', '') AS seg,
+                                 list_extract(['挑戰組', '國中', '市民', '', 'TTT', '完賽'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS label FROM part)))""",
+    "merge_masked_teams": _q("SELECT team, count(*) AS n FROM (SELECT CASE WHEN row_ord % 17 = 0 THEN substr(name_raw, 1, 1) || '○ L○' ELSE team END AS team FROM results) GROUP BY 1"),
+    "races_distance_speed": _q(
+        """SELECT laps + 50 AS dist, round((laps + 50) / (finish_seconds / 3600), 1) AS spd, race_class AS rc FROM results
+           WHERE (status IS NULL OR status = 'FIN') AND finish_seconds > 0 AND (laps + 50) / (finish_seconds / 3600) <= 80"""
+    ),
+    "quality_shrunk_sources": _q(
+        """SELECT source_platform, CAST(sum(CASE WHEN source_platform LIKE '1%' THEN 1 WHEN row_ord % 7 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS rows, count(DISTINCT row_ord) AS results
+           FROM results GROUP BY 1"""
+    ),
     "races_spread": _q("SELECT rk, y, min(t) AS winner, median(t) AS median, count(*) AS n, round(median(t) / CAST(min(t) AS DOUBLE), 6) AS ratio FROM slim WHERE t IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10", _BASE, _SLIM),
     "races_boxes": _q("SELECT ag, min(t) AS min, quantile_cont(t, 0.25) AS q1, quantile_cont(t, 0.5) AS median, quantile_cont(t, 0.75) AS q3, max(t) AS max, count(*) AS n FROM slim WHERE ag IS NOT NULL AND t IS NOT NULL GROUP BY 1 HAVING count(*) >= 8", _BASE, _SLIM),
     "races_histogram": _q(

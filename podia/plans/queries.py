@@ -109,6 +109,20 @@ def builds(spark, sf_dir):
     return quality.compare_builds(old, new).select("rk", "y", "state", "old_rows", "new_rows", "lost")
 
 
+def guarded_sources(spark, sf_dir):
+    """A new build in which the urgent source lost every fifth row and the others gained some, by source after the guard."""
+    old = results(spark, sf_dir)
+    urgent = F.col("source_platform").startswith("1")
+    new = old.filter(~urgent | (F.col("row_ord") % 5 != 0)).unionByName(old.filter(~urgent & (F.col("row_ord") % 7 == 0)))
+    return quality.guarded(old, new).groupBy("source_platform").agg(F.count("*").alias("rows"), F.count_distinct("row_ord").alias("results"))
+
+
+def course_points(spark, sf_dir):
+    """The results on courses of 50 km and some more: points of distance and speed."""
+    rows = results(spark, sf_dir).withColumn("category_raw", F.concat((F.col("laps") + 50).cast("string"), F.lit("K")))
+    return races.distance_speed(races.slim(rows))
+
+
 def masked_teams(spark, sf_dir):
     rows = results(spark, sf_dir).withColumn("team", F.when(F.col("row_ord") % 17 == 0, F.col("name_raw")).otherwise(F.col("team"))).withColumn("name_raw", F.regexp_replace("name_raw", r"\d+", "Li"))
     rows = rows.withColumn("team", F.regexp_replace("team", r"^([A-Z]+) \d+$", "$1 Li"))
@@ -157,6 +171,7 @@ QUERIES = {
     "quality_inversions": lambda s, d: quality.inversions(results(s, d).withColumn("rank_overall", F.when(F.col("bib") == 2, F.col("rank_overall") + 3).otherwise(F.col("rank_overall")))),
     "quality_coverage": lambda s, d: quality.coverage(results(s, d)),
     "compare_builds": builds,
+    "quality_shrunk_sources": guarded_sources,
     # Identity and athletes
     "identity_keys": lambda s, d: keyed(s, d).select("row_ord", "gk", I.athlete_id(F.col("gk")).alias("id")),
     "athletes_index": lambda s, d: A.index(keyed(s, d)),
@@ -184,13 +199,14 @@ QUERIES = {
     "races_crossyear": lambda s, d: races.crossyear(results(s, d)),
     "races_difficulty": lambda s, d: races.difficulty(results(s, d)),
     "races_severity": lambda s, d: races.severity(races.difficulty(results(s, d))),
-    "races_benchmarks": lambda s, d: races.benchmarks(results(s, d)).withColumn("bp", F.array_join("bp", ",")),
+    "races_benchmarks": lambda s, d: races.benchmarks(results(s, d)).withColumns({"bp": F.array_join("bp", ","), "years": F.array_join("years", ",")}),
     "races_benchmark_lookup": climb_bench,
     "races_dna": lambda s, d: races.dna(keyed(s, d)),
     "races_similar": similar,
     "races_spread": lambda s, d: races.spread(_slim(s, d)),
     "races_boxes": lambda s, d: races.boxes(_slim(s, d)),
     "races_histogram": lambda s, d: races.histogram(_slim(s, d)),
+    "races_distance_speed": course_points,
     "races_facets": lambda s, d: races.facets(_slim(s, d)),
     "races_explore": lambda s, d: races.explore_summary(races.apply_filters(_slim(s, d), y=[1997, 1998], g=["F"], rc=[])),
     "races_ridgeline": ridge,

@@ -132,6 +132,13 @@ def test_quality(spark):
     assert quality.duplicates(df).first().repeats == 1
 
 
+def test_a_source_that_shrinks_keeps_its_old_rows(spark):
+    build = lambda counts: records(spark, [row(f"{s}{i}", source_platform=s) for s, n in counts.items() for i in range(n)])
+    old, new = build({"a": 3, "b": 2, "c": 1, None: 2}), build({"a": 2, "b": 4, "d": 1, None: 2})
+    assert sorted(tuple(r) for r in quality.shrunk_sources(old, new).collect()) == [("a", 3, 2), ("c", 1, 0)]
+    assert Counter(r.source_platform for r in quality.guarded(old, new).collect()) == {"a": 3, "b": 4, "c": 1, "d": 1, None: 2}
+
+
 def test_difficulty_needs_two_full_years(spark):
     rows = [row(f"r{i}", finish_seconds=1000.0 + 100 * (y == 2023), year=y) for y in (2022, 2023) for i in range(20)] + [row("z", finish_seconds=1.0, year=2021)]
     got = {r.y: (r.baseline, r.median, r.coeff, r.n) for r in races.difficulty(records(spark, rows)).collect()}
