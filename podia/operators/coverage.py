@@ -77,6 +77,45 @@ def gaps(calendar: DataFrame, rows: DataFrame, today: str, least: float = 0.6) -
     return met.withColumn("status", status).filter("status is not null").select("race", "date", F.round("best", 6).alias("best"), F.size("years_known").cast("long").alias("years_known"), "status")
 
 
+def triage(name: Column, verdicts: list[tuple[str, str, str]]) -> Column:
+    """(status, note) of the first hand-kept verdict (part of a name, status, note) that the name holds; null if none does."""
+    met = [F.when(name.contains(part), F.struct(F.lit(status).alias("status"), F.lit(note).alias("note"))) for part, status, note in verdicts]
+    return F.coalesce(*met, F.lit(None).cast("struct<status:string,note:string>"))
+
+
+def triaged(gaps_: DataFrame, verdicts: list[tuple[str, str, str]]) -> DataFrame:
+    """gaps() with a note, where verdicts beat computed statuses; what is no gap by its verdict goes."""
+    said = gaps_.withColumn("verdict", triage(F.col("race"), verdicts))
+    kept = F.col("verdict.status").isNull() | ~((F.col("verdict.status") == "COLLECTED") | ((F.col("status") == "NOT_INGESTED") & (F.col("verdict.status") == "NO_RANKING")))
+    return said.filter(kept).select(*[c for c in gaps_.columns if c != "status"], F.coalesce("verdict.status", "status").alias("status"), F.col("verdict.note").alias("note"))
+
+
+def known_races(known: DataFrame, rows: DataFrame, seen: DataFrame, this_year: int) -> DataFrame:
+    """known (race, year, status, ...) with `done`: the hand-kept list of races held against the results.
+
+    A race of a year is done if that year has results of a race whose name
+    holds it or is held by it, unless it is EXCLUDED. Races of this year whose
+    core is in seen (c) are left to the calendar, unless they are done. Names meet by the year,
+    and each name once.
+    """
+    own = core(F.col("race"))
+    have = rows.filter("year is not null").select(F.col("year").alias("had"), core(F.col("race_name_canonical")).alias("k")).filter("k <> ''").distinct()
+    asked = known.filter("year is not null and status <> 'EXCLUDED'").select("year", own.alias("c")).distinct()
+    done = asked.join(have, (F.col("year") == F.col("had")) & (F.col("c").contains(F.col("k")) | F.col("k").contains(F.col("c")))).select(F.col("year").alias("y"), F.col("c").alias("d"), F.lit(True).alias("met")).distinct()
+    held = known.withColumn("core", own).join(done, (F.col("year") == F.col("y")) & (F.col("core") == F.col("d")) & (F.col("status") != "EXCLUDED"), "left").withColumn("done", F.coalesce("met", F.lit(False)))
+    told = held.join(seen.select(F.col("c").alias("s"), F.lit(True).alias("listed")).distinct(), F.col("core") == F.col("s"), "left")
+    left = F.coalesce(F.col("listed") & (F.col("year") == this_year), F.lit(False)) & ~F.col("done")
+    return told.filter(~left).select(*known.columns, "done")
+
+
+def carry_forward(before: DataFrame, failed: list[str], verdicts: list[tuple[str, str, str]]) -> DataFrame:
+    """The gaps of the last run for calendars that failed now, marked stale; their statuses are those of the verdicts alone."""
+    old = before.filter(F.col("calendar").isin(*failed)).withColumn("verdict", triage(F.col("race"), verdicts))
+    kept = old.filter(F.col("verdict.status").isNull() | (F.col("verdict.status") != "COLLECTED"))
+    others = [c for c in before.columns if c not in ("status", "note", "stale")]
+    return kept.select(*others, F.col("verdict.status").alias("status"), F.col("verdict.note").alias("note"), F.lit(True).alias("stale"))
+
+
 def season_board(races: DataFrame, gaps_: DataFrame, year: int, today: str) -> DataFrame:
     """(name, date, status, rows): a year's races with results, and those that are awaited, missed or still to come."""
     board = F.create_map(*[F.lit(x) for pair in BOARD.items() for x in pair])

@@ -282,6 +282,40 @@ ORACLE: dict[str, str] = {
         """SELECT source_platform, CAST(sum(CASE WHEN source_platform LIKE '1%' THEN 1 WHEN row_ord % 7 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS rows, count(DISTINCT row_ord) AS results
            FROM results GROUP BY 1"""
     ),
+    "races_summaries": _q(
+        f""", own AS (SELECT *, split_part(result_label, ' ', 1) AS lab FROM results),
+        timed AS (SELECT *, coalesce(category_raw, lab, '') AS g FROM own WHERE finish_seconds IS NOT NULL AND (status IS NULL OR status = 'FIN')),
+        grps AS (SELECT race_key AS rk, year AS y, g, count(*) AS n, median(finish_seconds) AS median, min(finish_seconds) AS winner FROM timed GROUP BY 1, 2, 3),
+        top AS (SELECT *, sum(n) OVER (PARTITION BY rk, y) AS finishers, count(*) OVER (PARTITION BY rk, y) AS gs FROM grps QUALIFY row_number() OVER (PARTITION BY rk, y ORDER BY n DESC, g) = 1),
+        comp AS (SELECT race_key AS rk, year AS y, {_UP.format("100 * round(count(*) FILTER (WHERE status = 'FIN') / CAST(count(status) AS DOUBLE), 3)")} AS rate_pct FROM own GROUP BY 1, 2),
+        pts AS (SELECT race_key AS rk, lab AS label, year AS y, CAST(round_even(quantile_cont(floor(finish_seconds), 0.5), 0) AS BIGINT) AS m, count(*) AS n FROM timed GROUP BY 1, 2, 3),
+        steps AS (SELECT *, lag(y) OVER w AS py, lag(m) OVER w AS pm, lag(n) OVER w AS pn FROM pts WINDOW w AS (PARTITION BY rk, label ORDER BY y)),
+        fit AS (SELECT *, CAST(m - pm AS DOUBLE) / pm * 100 AS pct FROM steps WHERE n >= 30 AND pn >= 30 AND n <= 2 * pn AND pn <= 2 * n),
+        chg AS (SELECT * FROM fit WHERE abs(pct) <= 15 QUALIFY row_number() OVER (PARTITION BY rk, y ORDER BY n DESC, label) = 1)
+        SELECT rk, y, CAST(coalesce(finishers, 0) AS BIGINT) AS finishers, CASE WHEN gs > 1 THEN g END AS grp, coalesce(top.n, 0) AS grp_finishers, median, winner, rate_pct,
+               label AS chg_label, py AS chg_prev_y, m - pm AS chg_seconds, CAST(floor(pct * 10 + 0.5) AS DOUBLE) / 10 AS chg_pct
+        FROM comp LEFT JOIN top USING (rk, y) LEFT JOIN chg USING (rk, y)"""
+    ),
+    "overview_trends_summary": _q(
+        f""", g AS (SELECT y, count(*) FILTER (WHERE g = 'F') AS f, count(*) AS known FROM slim WHERE g IS NOT NULL AND y < 1998 GROUP BY 1 HAVING count(*) >= 30),
+        a AS (SELECT y, ag, CAST(round_even(100 * n / CAST(sum(n) OVER (PARTITION BY y) AS DOUBLE), 0) AS BIGINT) AS pct FROM (SELECT y, ag, count(*) AS n FROM slim WHERE ag IS NOT NULL AND y < 1998 GROUP BY 1, 2)),
+        e AS (SELECT min(y) AS from_y, max(y) AS to_y FROM a HAVING min(y) < max(y)),
+        b(nr, band) AS (VALUES (0, 'U19'), (1, '19-29'), (2, '30-39'), (3, '40-49'), (4, '50-59'), (5, '60+')),
+        s AS (SELECT nr, band, from_y, to_y, coalesce(p.pct, 0) AS from_pct, coalesce(q.pct, 0) AS to_pct FROM e CROSS JOIN b LEFT JOIN a p ON p.y = from_y AND p.ag = band LEFT JOIN a q ON q.y = to_y AND q.ag = band)
+        SELECT 'women' AS what, CAST(NULL AS STRING) AS band, min(y) AS from_y, max(y) AS to_y, {_UP.format("arg_min(100 * f / CAST(known AS DOUBLE), y)")} AS from_pct, {_UP.format("arg_max(100 * f / CAST(known AS DOUBLE), y)")} AS to_pct FROM g HAVING count(*) > 1
+        UNION ALL SELECT * FROM (SELECT 'age_up', band, from_y, to_y, from_pct, to_pct FROM s ORDER BY to_pct - from_pct DESC, nr LIMIT 1)
+        UNION ALL SELECT * FROM (SELECT 'age_down', band, from_y, to_y, from_pct, to_pct FROM s ORDER BY to_pct - from_pct, nr LIMIT 1)
+        UNION ALL SELECT * FROM (SELECT 'age_top', band, from_y, to_y, from_pct, to_pct FROM s ORDER BY to_pct DESC, nr LIMIT 1)""",
+        _BASE,
+        _SLIM,
+    ),
+    "coverage_known": """
+        WITH k AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS race, CAST(1995 + p_size % 7 AS BIGINT) AS year FROM part),
+        h AS (SELECT DISTINCT replace(p_name, ' ', '') AS k, CAST(1995 + p_partkey % 5 AS BIGINT) AS had FROM part),
+        d AS (SELECT race, year, CASE WHEN length(race) % 3 = 0 THEN 'EXCLUDED' ELSE 'BLOCKED' END AS status,
+                     length(race) % 3 <> 0 AND EXISTS (SELECT 1 FROM h WHERE had = year AND (contains(k, race) OR contains(race, k))) AS done FROM k)
+        SELECT * FROM d WHERE done OR NOT (year = 2001 AND length(race) % 2 = 0)
+    """,
     "races_spread": _q("SELECT rk, y, min(t) AS winner, median(t) AS median, count(*) AS n, round(median(t) / CAST(min(t) AS DOUBLE), 6) AS ratio FROM slim WHERE t IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10", _BASE, _SLIM),
     "races_boxes": _q("SELECT ag, min(t) AS min, quantile_cont(t, 0.25) AS q1, quantile_cont(t, 0.5) AS median, quantile_cont(t, 0.75) AS q3, max(t) AS max, count(*) AS n FROM slim WHERE ag IS NOT NULL AND t IS NOT NULL GROUP BY 1 HAVING count(*) >= 8", _BASE, _SLIM),
     "races_histogram": _q(

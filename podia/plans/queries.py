@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from podia.functions import text as X
 from podia.operators import athletes as A
-from podia.operators import coverage, insights, merge, publish, quality, races, teams
+from podia.operators import coverage, insights, merge, publish, quality, races, summaries, teams
 from podia.operators import identity as I
 from podia.plans.bindings import RULES, profiles, results
 from podia.sources import readers
@@ -137,6 +137,22 @@ def calendar_gaps(spark, sf_dir):
     return coverage.gaps(cal, known, TODAY).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def race_summaries(spark, sf_dir):
+    """Summaries of race-years whose sub-events are the first words of part types."""
+    return summaries.race_summaries(results(spark, sf_dir).withColumn("result_label", F.split("result_label", " ")[0]))
+
+
+def known_races(spark, sf_dir):
+    """First words of parts' names as the list of known races, against whole names as the results'."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    word = F.split("p_name", " ")[0]
+    status = F.when(F.length(word) % 3 == 0, "EXCLUDED").otherwise("BLOCKED")
+    known = p.select(word.alias("race"), (F.lit(1995) + F.col("p_size") % 7).cast("long").alias("year"), status.alias("status")).distinct()
+    rows = p.select(F.col("p_name").alias("race_name_canonical"), (F.lit(1995) + F.col("p_partkey") % 5).cast("long").alias("year"))
+    seen = known.filter(F.length("race") % 2 == 0).select(coverage.core(F.col("race")).alias("c"))
+    return coverage.known_races(known, rows, seen, 2001)
+
+
 def page_links(spark, sf_dir):
     """Rows of the tables in raw pages: how many cells each page has."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
@@ -207,6 +223,7 @@ QUERIES = {
     "races_boxes": lambda s, d: races.boxes(_slim(s, d)),
     "races_histogram": lambda s, d: races.histogram(_slim(s, d)),
     "races_distance_speed": course_points,
+    "races_summaries": race_summaries,
     "races_facets": lambda s, d: races.facets(_slim(s, d)),
     "races_explore": lambda s, d: races.explore_summary(races.apply_filters(_slim(s, d), y=[1997, 1998], g=["F"], rc=[])),
     "races_ridgeline": ridge,
@@ -218,6 +235,7 @@ QUERIES = {
     "overview_composition": lambda s, d: races.composition(_slim(s, d)),
     "overview_gender_trend": lambda s, d: races.gender_trend(_slim(s, d)),
     "overview_age_trend": lambda s, d: races.age_trend(_slim(s, d)),
+    "overview_trends_summary": lambda s, d: summaries.trends_summary(_slim(s, d), 1998),
     "overview_sources": lambda s, d: races.by_source(_slim(s, d)),
     # Teams and series
     "teams_index": lambda s, d: teams.index(teams.team_rows(keyed(s, d))),
@@ -238,5 +256,6 @@ QUERIES = {
     "open_dataset": lambda s, d: publish.open_dataset(results(s, d)).drop("splits"),
     "manifest": manifest,
     "coverage_gaps": calendar_gaps,
+    "coverage_known": known_races,
     "page_tables": page_links,
 }
