@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from podia.operators import athletes, coverage, identity, meetings, merge, publish, quality, races
+from podia.operators import athletes, coverage, identity, meetings, merge, publish, quality, races, summaries
 from podia.operators.normalise import RECORD, enrich, make_records, union_sources
 
 
@@ -188,6 +188,60 @@ def test_gaps_and_board(spark):
     assert board == {"花東縱谷": "ok", "x": "wait", "z": "soon"}
 
 
+VERDICTS = [("環島", "NOT_HELD", "off"), ("團騎", "NO_RANKING", "a ride"), ("已收", "COLLECTED", ""), ("古道", "BLOCKED", "closed site")]
+
+
+def test_triage_and_board(spark):
+    gaps = [("環島賽", "2024-12-20", "UNKNOWN"), ("海線團騎", "2024-03-01", "NOT_INGESTED"), ("山線團騎", "2024-04-01", "UNKNOWN"), ("已收賽", "2024-05-01", "UNKNOWN"), ("古道賽", "2024-06-01", "NOT_INGESTED"), ("新賽", "2024-07-01", "UNKNOWN")]
+    told = coverage.triaged(spark.createDataFrame(gaps, "race string, date string, status string"), VERDICTS)
+    assert {r.race: (r.status, r.note) for r in told.collect()} == {"環島賽": ("NOT_HELD", "off"), "山線團騎": ("NO_RANKING", "a ride"), "古道賽": ("BLOCKED", "closed site"), "新賽": ("UNKNOWN", None)}
+    board = coverage.season_board(races.index(records(spark, [row("n", date="2024-02-01")])), told, 2024, "2024-12-01")
+    assert {r.name: r.status for r in board.collect()} == {"A": "ok", "環島賽": "soon", "古道賽": "miss"}
+    assert [r.status for r in told.select(coverage.triage(F.lit(None).cast("string"), VERDICTS).alias("v")).select("v.*").collect()] == [None] * 4
+
+
+def test_known_races_are_done_left_or_open(spark):
+    rows = records(spark, [row("n", race_name_canonical="俱樂部聯賽第二站", year=2023), row("n", race_name_canonical=None, year=2023)])
+    known = [("俱樂部聯賽", 2023, "BLOCKED"), ("俱樂部聯賽", 2022, "BLOCKED"), ("俱樂部聯賽第二站決賽", 2023, "EXCLUDED"), ("海岸賽", 2024, "BLOCKED"), ("海岸賽", 2021, "BLOCKED"), ("無年", None, "BLOCKED")]
+    known = spark.createDataFrame(known, "race string, year long, status string")
+    seen = spark.createDataFrame([("海岸賽",)], "c string")
+    got = {(r.race, r.year): r.done for r in coverage.known_races(known, rows, seen, 2024).collect()}
+    assert got == {("俱樂部聯賽", 2023): True, ("俱樂部聯賽", 2022): False, ("俱樂部聯賽第二站決賽", 2023): False, ("海岸賽", 2021): False, ("無年", None): False}
+    assert coverage.known_races(known.limit(0), rows, seen, 2024).count() == 0
+
+
+def test_gaps_of_failed_calendars_stay(spark):
+    before = [("環島賽", "a", "UNKNOWN", "old"), ("已收賽", "a", "UNKNOWN", "old"), ("新賽", "a", "UNKNOWN", "old"), ("別賽", "b", "UNKNOWN", "old")]
+    kept = coverage.carry_forward(spark.createDataFrame(before, "race string, calendar string, status string, note string"), ["a"], VERDICTS)
+    assert {r.race: (r.status, r.note, r.stale) for r in kept.collect()} == {"環島賽": ("NOT_HELD", "off", True), "新賽": (None, None, True)}
+
+
+def test_race_summary(spark):
+    field = lambda year, label, n, t, **kw: [row(f"{label}{i}", year=year, result_label=label, finish_seconds=t + i, **kw) for i in range(n)]
+    rows = field(2022, "long", 31, 1000.0) + field(2024, "long", 40, 1100.0) + field(2024, "short", 35, 500.0) + [row("x", year=2024, status="DNF"), row("y", year=2024, status="FIN"), row("z", year=2023, status="DNS")]
+    got = {r.y: r for r in summaries.race_summaries(records(spark, rows)).collect()}
+    assert tuple(got[2024])[2:] == (75, "long", 40, 1119.5, 1100.0, 50, "long", 2022, 105, 10.3)
+    assert tuple(got[2022])[2:] == (31, None, 31, 1015.0, 1000.0, None, None, None, None, None)
+    assert tuple(got[2023])[2:] == (0, None, 0, None, None, 0, None, None, None, None)
+
+
+@pytest.mark.parametrize("n,t,told", [(29, 1000.0, False), (30, 1000.0, True), (30, 1300.0, False), (61, 1000.0, False), (60, 1000.0, True)])
+def test_changes_are_guarded(spark, n, t, told):
+    points = spark.createDataFrame([("A", "l", 2020, 1000, 30), ("A", "l", 2021, int(t), n)], "rk string, label string, y long, median long, n long")
+    assert summaries.changes(points).count() == int(told)
+
+
+def test_trends_summary(spark):
+    def year(y, women, young):
+        return [(y, "F" if i < women else "M", "19-29" if i < young else "40-49") for i in range(40)]
+
+    view = spark.createDataFrame(year(2020, 10, 30) + year(2021, 0, 0)[:5] + year(2022, 20, 10) + year(2023, 40, 40), "y long, g string, ag string")
+    got = {r.what: tuple(r)[1:] for r in summaries.trends_summary(view, 2023).collect()}
+    assert got == {"women": (None, 2020, 2022, 25, 50), "age_up": ("40-49", 2020, 2022, 25, 75), "age_down": ("19-29", 2020, 2022, 75, 25), "age_top": ("40-49", 2020, 2022, 25, 75)}
+    assert summaries.trends_summary(view.filter("y = 2020"), 2023).count() == 0
+    assert summaries.trends_summary(view.limit(0), 2023).count() == 0
+
+
 @pytest.mark.parametrize("empty_of", ["index", "crossyear", "difficulty", "benchmarks", "slim"])
 def test_no_rows(spark, empty_of):
     assert getattr(races, empty_of)(records(spark, [row("a")]).limit(0)).count() == 0
