@@ -44,10 +44,13 @@ def geo(rows: DataFrame, rules=X.COUNTIES) -> DataFrame:
 
 
 def ratings(rows: DataFrame, top: int = 60) -> DataFrame:
-    """(race_key, score, med_field, editions, regular_pct, stars): races by size, age and the share of regulars."""
+    """(race_key, name, score, med_field, editions, regular_pct, years, stars): races by size, age and the share of regulars.
+
+    The name is that of the last row; editions and years leave year 0 out.
+    """
     named = rows.filter(~X.blank(F.col("name_raw")))
     regular = named.groupBy("name_raw").agg(F.count_distinct("race_key").alias("races")).filter("races >= 3").select("name_raw", F.lit(1).alias("regular"))
-    per = rows.filter(~X.blank(F.col("race_key"))).join(regular, "name_raw", "left").groupBy("race_key").agg(F.count("*").alias("finishers"), F.count("regular").alias("regulars"), F.count_distinct("year").alias("editions"))
+    per = rows.filter(~X.blank(F.col("race_key"))).join(regular, "name_raw", "left").groupBy("race_key").agg(F.count("*").alias("finishers"), F.count("regular").alias("regulars"), F.max_by(X.filled(F.col("race_name_canonical"), F.col("race_key")), "row_ord").alias("name"), F.sort_array(F.collect_set(F.when(F.col("year") != 0, F.col("year")))).alias("years")).withColumn("editions", F.size("years").cast("long"))
     fields = I.field_sizes(rows, ranked_only=True).groupBy("race_key").agg(F.floor(M.median(F.col("field"))).alias("med_field")).filter("med_field >= 20")
     share = F.round(F.col("regulars") / F.col("finishers") * 100, 1)
     size = F.least(F.log10("med_field") / F.lit(math.log10(2500)), F.lit(1.0))
@@ -56,11 +59,14 @@ def ratings(rows: DataFrame, top: int = 60) -> DataFrame:
     order, all_ = Window.orderBy(F.desc("score"), "race_key"), Window.partitionBy()
     q = (F.row_number().over(order) - 1) / F.count("*").over(all_)
     stars = F.when(q < 0.1, 5).when(q < 0.3, 4).when(q < 0.6, 3).when(q < 0.85, 2).otherwise(1).cast("long")
-    return rated.select("race_key", "score", "med_field", "editions", "regular_pct", stars.alias("stars")).orderBy(F.desc("score"), "race_key").limit(top)
+    return rated.select("race_key", "name", "score", "med_field", "editions", "regular_pct", "years", stars.alias("stars")).orderBy(F.desc("score"), "race_key").limit(top)
 
 
 def biggest_fields(rows: DataFrame, top: int = 8) -> DataFrame:
-    return I.field_sizes(rows, ranked_only=True).filter("year <> 0").orderBy(F.desc("field"), "race_key", "year").limit(top).select(F.col("race_key").alias("rk"), F.col("year").alias("y"), F.col("field").alias("n"))
+    """(rk, name, y, n): the race-years with most ranked rows; the name is that of the race's first row."""
+    best = I.field_sizes(rows, ranked_only=True).filter("year <> 0").orderBy(F.desc("field"), "race_key", "year").limit(top)
+    named = rows.join(F.broadcast(best.select("race_key").distinct()), "race_key", "left_semi").groupBy("race_key").agg(F.min_by(X.filled(F.col("race_name_canonical"), F.col("race_key")), "row_ord").alias("name"))
+    return best.join(named, "race_key", "left").select(F.col("race_key").alias("rk"), "name", F.col("year").alias("y"), F.col("field").alias("n"))
 
 
 def streaks(rows: DataFrame) -> DataFrame:

@@ -51,18 +51,18 @@ def highlights(rows: DataFrame, top: int = 10) -> DataFrame:
 
 
 def stations(keyed: DataFrame) -> DataFrame:
-    """(s, y, rk, n): the races of each series season with their field."""
+    """(s, y, rk, name, n): the races of each series season with their field; the name is that of the first row."""
     rows = keyed.filter(~X.blank(F.col("series")) & F.col("year").isNotNull() & ~X.blank(F.col("race_key")))
-    return I.with_field(rows, I.field_sizes(keyed)).groupBy(F.col("series").alias("s"), F.col("year").alias("y"), F.col("race_key").alias("rk")).agg(F.max("field").alias("n"))
+    return I.with_field(rows, I.field_sizes(keyed)).groupBy(F.col("series").alias("s"), F.col("year").alias("y"), F.col("race_key").alias("rk")).agg(F.min_by(X.filled(F.col("race_name_canonical"), F.col("race_name_raw")), "row_ord").alias("name"), F.max("field").alias("n"))
 
 
 def standings(keyed: DataFrame, least_stations: int = 2, top: int = 50) -> DataFrame:
-    """(s, y, place, id, pts, n, best, link): season totals of each rider's best percentage at every station of a series."""
+    """(s, y, place, id, nm, pts, n, best, link): season totals of each rider's best percentage at every station of a series."""
     rows = keyed.filter(~X.blank(F.col("series")) & F.col("year").isNotNull() & ~X.blank(F.col("race_key")))
     scored = I.with_field(I.resolved(rows), I.field_sizes(keyed)).filter("pct is not null")
-    best = scored.groupBy("series", "year", "gk", "race_key").agg(F.max("pct").alias("p"))
-    total = best.groupBy("series", "year", "gk").agg(F.round(F.sum("p"), 6).alias("points"), F.count("*").alias("n"), F.max("p").alias("best")).filter(F.col("n") >= least_stations)
+    best = scored.groupBy("series", "year", "gk", "race_key").agg(F.max("pct").alias("p"), F.min(F.struct("row_ord", "name_masked")).alias("first"))
+    total = best.groupBy("series", "year", "gk").agg(F.round(F.sum("p"), 6).alias("points"), F.count("*").alias("n"), F.max("p").alias("best"), F.min("first").alias("first")).filter(F.col("n") >= least_stations)
     order = Window.partitionBy("series", "year").orderBy(F.desc("points"), F.desc("n"), "id")
     ranked = total.withColumn("id", I.athlete_id(F.col("gk"))).withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= top)
     out = ranked.join(I.sizes(keyed), "gk")
-    return out.select(F.col("series").alias("s"), F.col("year").alias("y"), "place", "id", F.bround("points").cast("long").alias("pts"), "n", F.bround("best").cast("long").alias("best"), (F.col("rows") >= I.MIN_RESULTS).alias("link"))
+    return out.select(F.col("series").alias("s"), F.col("year").alias("y"), "place", "id", F.col("first.name_masked").alias("nm"), F.bround("points").cast("long").alias("pts"), "n", F.bround("best").cast("long").alias("best"), (F.col("rows") >= I.MIN_RESULTS).alias("link"))

@@ -351,11 +351,11 @@ ORACLE: dict[str, str] = {
     ),
     "teams_by_year": _q("SELECT team, year AS y, count(DISTINCT gk) AS riders, count(DISTINCT race_key) AS races FROM squad GROUP BY 1, 2", _KEYED, _TEAMS),
     "teams_highlights": _q("SELECT team, place, id, rk, y, rank, CAST(round_even(pct, 0) AS BIGINT) AS pct FROM (SELECT team, row_number() OVER (PARTITION BY team ORDER BY pct DESC, row_ord) AS place, id, race_key AS rk, year AS y, rank_overall AS rank, pct FROM squad WHERE pct IS NOT NULL) WHERE place <= 10", _KEYED, _TEAMS),
-    "series_stations": _q("SELECT series AS s, year AS y, race_key AS rk, max(field) AS n FROM full_rows WHERE series IS NOT NULL GROUP BY 1, 2, 3", _KEYED),
+    "series_stations": _q("SELECT series AS s, year AS y, race_key AS rk, arg_min(race_name_canonical, row_ord) AS name, max(field) AS n FROM full_rows WHERE series IS NOT NULL GROUP BY 1, 2, 3", _KEYED),
     "series_standings": _q(
-        """, best AS (SELECT series AS s, year AS y, id, gn, race_key, max(pct) AS p FROM full_rows WHERE series IS NOT NULL AND pct IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
-        total AS (SELECT s, y, id, gn >= 2 AS link, round(sum(p), 6) AS pts, count(*) AS n, max(p) AS best FROM best GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2)
-        SELECT s, y, place, id, CAST(round_even(pts, 0) AS BIGINT) AS pts, n, CAST(round_even(best, 0) AS BIGINT) AS best, link FROM (SELECT *, row_number() OVER (PARTITION BY s, y ORDER BY pts DESC, n DESC, id) AS place FROM total) WHERE place <= 50""",
+        """, best AS (SELECT series AS s, year AS y, id, gn, race_key, max(pct) AS p, min((row_ord, name_masked)) AS fst FROM full_rows WHERE series IS NOT NULL AND pct IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+        total AS (SELECT s, y, id, gn >= 2 AS link, round(sum(p), 6) AS pts, count(*) AS n, max(p) AS best, arg_min(fst[2], fst[1]) AS nm FROM best GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2)
+        SELECT s, y, place, id, nm, CAST(round_even(pts, 0) AS BIGINT) AS pts, n, CAST(round_even(best, 0) AS BIGINT) AS best, link FROM (SELECT *, row_number() OVER (PARTITION BY s, y ORDER BY pts DESC, n DESC, id) AS place FROM total) WHERE place <= 50""",
         _KEYED,
     ),
     "insights_age_curve": _q(
@@ -377,15 +377,15 @@ ORACLE: dict[str, str] = {
     ),
     "insights_ratings": _q(
         """, reg AS (SELECT name_raw FROM results GROUP BY 1 HAVING count(DISTINCT race_key) >= 3),
-        per AS (SELECT race_key, count(*) AS f, count(*) FILTER (WHERE name_raw IN (SELECT name_raw FROM reg)) AS r, count(DISTINCT year) AS editions FROM results GROUP BY 1),
+        per AS (SELECT race_key, count(*) AS f, count(*) FILTER (WHERE name_raw IN (SELECT name_raw FROM reg)) AS r, count(DISTINCT year) AS editions, arg_max(race_name_canonical, row_ord) AS name, array_to_string(list_sort(list(DISTINCT year)), ',') AS years FROM results GROUP BY 1),
         med AS (SELECT rk AS race_key, CAST(floor(median(field)) AS BIGINT) AS med_field FROM ranked_fields GROUP BY 1 HAVING floor(median(field)) >= 20),
-        rated AS (SELECT race_key, med_field, editions, round(r / CAST(f AS DOUBLE) * 100, 1) AS regular_pct FROM per JOIN med USING (race_key)),
+        rated AS (SELECT race_key, name, years, med_field, editions, round(r / CAST(f AS DOUBLE) * 100, 1) AS regular_pct FROM per JOIN med USING (race_key)),
         sc AS (SELECT *, CAST(round_even((0.4::DOUBLE * least(log10(med_field) / log10(2500), 1.0::DOUBLE) + 0.25::DOUBLE * least(editions / 8.0::DOUBLE, 1.0::DOUBLE) + 0.35::DOUBLE * least(regular_pct / 40, 1.0::DOUBLE)) * 100, 0) AS BIGINT) AS score FROM rated),
         q AS (SELECT *, (row_number() OVER (ORDER BY score DESC, race_key) - 1) / CAST(count(*) OVER () AS DOUBLE) AS q FROM sc)
-        SELECT race_key, score, med_field, editions, regular_pct, CAST(CASE WHEN q < 0.1 THEN 5 WHEN q < 0.3 THEN 4 WHEN q < 0.6 THEN 3 WHEN q < 0.85 THEN 2 ELSE 1 END AS BIGINT) AS stars FROM q ORDER BY score DESC, race_key LIMIT 60""",
+        SELECT race_key, name, score, med_field, editions, regular_pct, years, CAST(CASE WHEN q < 0.1 THEN 5 WHEN q < 0.3 THEN 4 WHEN q < 0.6 THEN 3 WHEN q < 0.85 THEN 2 ELSE 1 END AS BIGINT) AS stars FROM q ORDER BY score DESC, race_key LIMIT 60""",
         _KEYED,
     ),
-    "insights_biggest_fields": _q("SELECT rk, y, field AS n FROM ranked_fields ORDER BY field DESC, rk, y LIMIT 8", _KEYED),
+    "insights_biggest_fields": _q("SELECT rk, rk AS name, y, field AS n FROM ranked_fields ORDER BY field DESC, rk, y LIMIT 8", _KEYED),
     "open_dataset": _q(
         """SELECT race_key, year, date, region, series, race_name_canonical, CAST(NULL AS STRING) AS race_type, race_class, result_label, category_raw, gender, age_band, CAST(NULL AS STRING) AS age_group,
            rank_overall, finish_seconds, CAST(NULL AS STRING) AS finish_time, team, name_masked, source_platform FROM results"""

@@ -248,7 +248,7 @@ QUERIES = {
     "insights_age_curve": lambda s, d: insights.age_curve(results(s, d)),
     "insights_breakout": lambda s, d: insights.breakout(keyed(s, d), least_jump=5.0),
     "insights_geo": lambda s, d: insights.geo(results(s, d), PLACES),
-    "insights_ratings": lambda s, d: insights.ratings(results(s, d)),
+    "insights_ratings": lambda s, d: insights.ratings(results(s, d)).withColumn("years", F.array_join("years", ",")),
     "insights_biggest_fields": lambda s, d: insights.biggest_fields(results(s, d)),
     "insights_careers": lambda s, d: insights.careers(keyed(s, d)),
     "insights_boards": lambda s, d: insights.boards(insights.careers(keyed(s, d))),
