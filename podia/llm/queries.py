@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, iblt, langid, licences, mixing, sharding, simhash, token_shards, toolcalls, unigram
+from podia.llm import exact_dedup, filter_audit, iblt, langid, licences, mixing, sharding, simhash, token_shards, toolcalls, unigram
 from podia.llm.common import load, scratch
 
 #: Vocabulary files; set PODIA_PIECES and PODIA_RANKS where they lie elsewhere.
@@ -70,6 +70,10 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_slots(spark, path).withColumn("tokens_xxh64", F.xxhash64("tokens")).drop("tokens")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_shards": op10_token_shards,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE = {
@@ -92,4 +97,39 @@ ORACLE = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+        w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+        l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN w.doc_id > first THEN 'E' ELSE '' END AS fails
+            FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+        ),
+        c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT a.x || b.x || c3.x || d4.x || e.x AS filter_order FROM c a, c b, c c3, c d4, c e
+            WHERE len(list_distinct([a.x, b.x, c3.x, d4.x, e.x])) = 5
+        ),
+        s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5])::INTEGER AS step FROM o),
+        g AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM s),
+        r AS (
+            SELECT part, filter_order, step, own, f.good, f.toxic, contains(fails, own) AS fail, fails = own AS only_own,
+                   translate(fails, before, '') <> fails AS gone
+            FROM f, g
+        ),
+        k AS (
+            SELECT part, filter_order, step, own, count(*) FILTER (NOT gone AND NOT fail) AS kept, count(*) FILTER (NOT gone AND fail) AS removed,
+                   count(*) FILTER (gone AND fail) AS redundant, count(*) FILTER (only_own) AS unique_fails,
+                   count(*) FILTER (NOT gone AND fail AND good) AS good_lost, count(*) FILTER (NOT gone AND fail AND toxic) AS toxic_lost
+            FROM r GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+        FROM k
+    """,
 }
