@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, filter_audit, iblt, langid, licences, mixing, sharding, simhash, token_shards, toolcalls, unigram
+from podia.llm import exact_dedup, filter_audit, iblt, langid, licences, mixing, sharding, simhash, token_shards, toolcalls, turns, unigram
 from podia.llm.common import load, scratch
 
 #: Vocabulary files; set PODIA_PIECES and PODIA_RANKS where they lie elsewhere.
@@ -70,6 +70,10 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_slots(spark, path).withColumn("tokens_xxh64", F.xxhash64("tokens")).drop("tokens")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repairs(turns.damage(load(spark, sf_dir, "conversations")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_shards": op10_token_shards,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
 }
 
