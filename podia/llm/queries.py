@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podia.llm import exact_dedup, filter_audit, iblt, langid, licences, mixing, sharding, simhash, token_shards, toolcalls, turns, unigram
+from podia.llm import exact_dedup, filter_audit, iblt, langid, licences, metric_join, mixing, sharding, simhash, token_shards, toolcalls, turns, unigram
 from podia.llm.common import load, scratch
 
 #: Vocabulary files; set PODIA_PIECES and PODIA_RANKS where they lie elsewhere.
@@ -78,6 +78,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -91,6 +95,7 @@ QUERIES = {
     "op10_token_shards": op10_token_shards,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLE = {
@@ -137,4 +142,25 @@ ORACLE = {
                (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
         FROM k
     """,
+    "op13_near_vectors": r"""
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        ),
+        u AS MATERIALIZED (
+            SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v
+            WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda y: y * y)) > 0
+        ),
+        link AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.9
+        ),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+        ),
+        component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        links AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM component LEFT JOIN links USING (vec_id)
+    """,
 }
