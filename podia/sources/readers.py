@@ -1,8 +1,5 @@
-"""Sources of results: JSON arrays, CSV, Parquet, ORC, and HTML tables, all as records of one schema."""
+"""Sources of results as files: JSON, CSV, Parquet and ORC, all as records of one schema."""
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,62 +27,3 @@ def read_results(spark: SparkSession, path: str, fmt: str = "json", renames: dic
     if fmt == "csv":
         rows = rows.withColumn("splits", F.from_json("splits", "array<string>"))
     return make_records(rows.withColumnsRenamed(renames or {}))
-
-
-class _Tables(HTMLParser):
-    """The cells of a page's tables, row by row."""
-
-    def __init__(self):
-        super().__init__()
-        self.rows: list[list[str]] = []
-        self.open = False
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.rows.append([])
-        self.open = self.open or tag in ("td", "th")
-        if tag in ("td", "th"):
-            if not self.rows:
-                self.rows.append([])
-            self.rows[-1].append("")
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th"):
-            self.open = False
-
-    def handle_data(self, data):
-        if self.open and self.rows and self.rows[-1]:
-            self.rows[-1][-1] += data
-
-
-def html_rows(html: str | None) -> list[list[str]]:
-    parser = _Tables()
-    parser.feed(html or "")
-    return [[" ".join(c.split()) for c in r] for r in parser.rows if r]
-
-
-def html_tables(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """One row for each table row of each page: the page's other columns, `line` and `cells`."""
-
-
-    @F.pandas_udf("array<array<string>>")
-    def rows_of(pages: pd.Series) -> pd.Series:
-        return pages.map(html_rows)
-
-    others = [c for c in pages.columns if c != html_col]
-    return pages.select(*others, F.posexplode(rows_of(F.col(html_col))).alias("line", "cells"))
-
-
-def html_results(pages: DataFrame, columns: dict[str, int], html_col: str = "html") -> DataFrame:
-    """Records from table rows whose cells stand at the given places; rows that are too short (headings) go."""
-    rows = html_tables(pages, html_col).filter(F.size("cells") > max(columns.values()))
-    named = rows.select(*[c for c in rows.columns if c not in ("line", "cells")], *[F.col("cells")[i].alias(name) for name, i in columns.items()])
-    return make_records(named)
-
-
-def calendar_races(text: DataFrame, year: int, text_col: str = "text") -> DataFrame:
-    """(race, date): the lines 'M.D｜name：…' of calendar pages."""
-    line = F.explode(F.split(F.col(text_col), "\n")).alias("line")
-    part = lambda i: F.regexp_extract("line", r"^\s*(\d{1,2})[./](\d{1,2})[^｜|]*[｜|]\s*([^：:]+)", i)
-    found = text.select(line).select(part(1).alias("m"), part(2).alias("d"), part(3).alias("race")).filter("race <> ''")
-    return found.select(F.trim("race").alias("race"), F.format_string(f"{year}-%02d-%02d", F.col("m").cast("int"), F.col("d").cast("int")).alias("date"))

@@ -18,19 +18,6 @@ def test_json_csv_parquet(spark, tmp_path):
     assert [(r.year, r.name_raw) for r in readers.read_results(spark, str(tmp_path / "c.csv"), "csv", header=True).collect()] == [(7, "x")]
 
 
-def test_html(spark):
-    page = "<table><tr><th>Rank</th><th>Name</th><th>Time</th></tr><tr><td>1</td><td><b>王小明</b> </td><td>1:00:00</td></tr><tr><td>only</td></tr></table>"
-    df = spark.createDataFrame([(1, page), (2, None), (3, "<p>no table</p>")], "page_id int, html string")
-    assert readers.html_tables(df).count() == 3
-    got = readers.html_results(df, {"rank_overall": 0, "name_raw": 1, "finish_time": 2}).filter("finish_seconds is not null").collect()
-    assert [(r.rank_overall, r.name_masked, r.finish_seconds) for r in got] == [(1, "王○明", 3600.0)]
-
-
-def test_calendar(spark):
-    df = spark.createDataFrame([("3.5｜武嶺賽：100K／報名\n其他\n12.31｜跨年：x",)], "text string")
-    assert sorted((r.race, r.date) for r in readers.calendar_races(df, 2026).collect()) == [("武嶺賽", "2026-03-05"), ("跨年", "2026-12-31")]
-
-
 def _result(name, seconds, year=2026, source=0, order=0, **kw):
     return {"name_raw": name, "finish_seconds": seconds, "year": year, "date": f"{year}-03-01", "race_key": "A", "source_ord": source, "row_ord": order} | kw
 
