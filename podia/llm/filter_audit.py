@@ -111,10 +111,11 @@ def replay(flagged: DataFrame, filters: str = FILTERS) -> DataFrame:
     filter alone), good_lost, toxic_lost (of the removed), shapley (what the filter
     removes, summed over all orders). Every part has a row for each step of each order.
 
-    Each document's flags meet every order, a broadcast of at most 720 rows;
-    its first failure there is computed once and then seen from each step. Counts are
-    combined before the shuffle, which moves a row per part, order, step and task.
+    Documents of a part with the same flags and labels are one row with their
+    number, combined before they are shuffled. These rows meet every order, a broadcast
+    of at most 720 rows; the first failure there is computed once and then seen from each step.
     """
+    flagged = flagged.groupBy("part", "mask", "good", "toxic").agg(F.count("*").alias("documents"))
     table = F.broadcast(orders(flagged.sparkSession, filters))
     n = len(filters)
 
@@ -122,13 +123,13 @@ def replay(flagged: DataFrame, filters: str = FILTERS) -> DataFrame:
         return F.col("mask").bitwiseAND(F.col("bits")[k]) != 0
 
     first = F.coalesce(*[F.when(fails(k), k + 1) for k in range(n)], F.lit(n + 1))
-    runs = flagged.crossJoin(table).select("part", "filter_order", "mask", "good", "toxic", "bits", first.alias("first"))
-    steps = runs.select("part", "filter_order", "mask", "good", "toxic", "first", F.posexplode("bits").alias("place", "bit"))
+    runs = flagged.crossJoin(table).select(*flagged.columns, "filter_order", "bits", first.alias("first"))
+    steps = runs.select(*flagged.columns, "filter_order", "first", F.posexplode("bits").alias("place", "bit"))
     step, bit, first = F.col("place") + 1, F.col("bit"), F.col("first")
     here = first == step
 
     def total(which: Column) -> Column:
-        return F.sum(which.cast("long"))
+        return F.sum(F.when(which, F.col("documents")).otherwise(0))
 
     counts = steps.groupBy("part", "filter_order", step.alias("step")).agg(
         total(first > step).alias("kept"),
