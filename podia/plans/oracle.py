@@ -46,6 +46,18 @@ hist AS (
   FROM track
 )"""
 )
+_ENTRANTS = """
+numbered AS (
+  SELECT race_key || ' ' || CAST(year AS VARCHAR) AS book, year % 4 AS layout, CASE WHEN gender = 'F' THEN 0 WHEN gender = 'M' THEN 1 ELSE 2 END AS section, status, row_ord,
+         CAST(finish_seconds AS BIGINT) AS t
+  FROM results
+),
+entrants AS (
+  SELECT *, CASE section WHEN 0 THEN '女子菁英組' WHEN 1 THEN '男子青年組' ELSE '男子大師組' END AS category, CAST(n % 10000 AS VARCHAR) AS bib,
+         translate(lpad(CAST(row_ord % 10000 AS VARCHAR), 4, '0'), '0123456789', '王李張陳林黃吳劉蔡楊') AS name,
+         CASE WHEN row_ord % 11 <> 0 THEN '車隊' || CAST(row_ord % 60 AS VARCHAR) END AS team, '1000' || lpad(CAST(row_ord % 1000000 AS VARCHAR), 6, '0') AS licence
+  FROM (SELECT *, row_number() OVER (PARTITION BY book, section ORDER BY t NULLS LAST, row_ord) AS n FROM numbered)
+)"""
 _SLIM = """,
 slim AS (
   SELECT race_key AS rk, year AS y, CAST(substr(date, 6, 2) AS BIGINT) AS mon, series AS s, race_class AS rc, category_raw AS cat, gender AS g, age_band AS ag,
@@ -492,3 +504,39 @@ ORACLE["merge_cross_listed"] = _q(
     WHERE x.n >= 10 AND x.race_key <> y.race_key AND y.n > x.n AND k.k >= 0.95 * x.n""",
     _BASE,
 )
+ORACLE["text_books"] = f"""
+        WITH {_BASE}, {_ENTRANTS}
+        SELECT book, category, CAST(section * 10 + 50 AS VARCHAR) || '公里個人公路賽' AS event, CASE WHEN section = 0 THEN 'F' ELSE 'M' END AS gender,
+               bib, name, CASE WHEN t IS NOT NULL THEN n END AS rank, CASE WHEN t IS NOT NULL AND (layout = 0 OR layout = 2 AND n >= 1000) THEN licence END AS uci_id,
+               team, CASE WHEN t IS NOT NULL THEN printf('%02d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) END AS finish_time,
+               CAST(t AS DOUBLE) AS finish_seconds, CASE WHEN t IS NULL THEN status END AS status
+        FROM entrants QUALIFY row_number() OVER (PARTITION BY book, section, bib, name ORDER BY n) = 1
+    """
+ORACLE["text_books_refused"] = f"""
+        WITH {_BASE}, {_ENTRANTS}, s AS (SELECT book, count(DISTINCT section) AS k FROM entrants GROUP BY book)
+        SELECT book, 'page skipped' AS refused, 3 * k AS lines FROM s UNION ALL SELECT book, 'no rider', 4 * k FROM s
+    """
+ORACLE["page_tables"] = r"""
+        WITH items AS (
+            SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS link, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS raw,
+                   unnest(range(len(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>')))) AS i
+            FROM pages
+        ),
+        t AS (
+            SELECT page_id, CAST(i AS INTEGER) AS i, regexp_replace(trim(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), ' +', ' ', 'g') AS text,
+                   replace(link, '&amp;', '&') AS link
+            FROM items
+        ),
+        p AS (SELECT DISTINCT page_id FROM t)
+        SELECT page_id, 'raw' AS kind, 0 AS "table", i AS line, false AS header, text AS cells, '' AS heads, link AS links FROM t
+        UNION ALL SELECT page_id, 'made', 0, i + 2, false, page_id || ' end|' || text || '|' || link, 'Page|Text|Link', '' FROM t
+        UNION ALL SELECT page_id, 'made', 0, 0, true, 'Page|Item|Item', '', '' FROM p
+        UNION ALL SELECT page_id, 'made', 0, 1, true, 'Page|Text|Link', 'Page|Item|Item', '' FROM p
+        UNION ALL SELECT page_id, 'made', 1, 0, false, 'inner', '', '' FROM p
+    """
+ORACLE["calendar_pages"] = """
+        SELECT CAST(o_custkey AS VARCHAR) || '-' || CAST(year(o_orderdate - INTERVAL 6 MONTH) AS VARCHAR) AS page,
+               CASE o_custkey % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'lines' ELSE 'table' END AS layout,
+               'Order ' || CAST(o_orderkey AS VARCHAR) || ' 挑戰賽' AS race, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date
+        FROM orders
+    """

@@ -9,8 +9,9 @@ from podia.functions import text as X
 from podia.operators import athletes as A
 from podia.operators import coverage, insights, merge, publish, quality, races, summaries, teams
 from podia.operators import identity as I
+from podia.plans import renderings
 from podia.plans.bindings import RULES, profiles, results
-from podia.sources import readers
+from podia.sources import books, pages
 
 #: The athlete and the race that lookups ask for: the one with most results, and a fixed one.
 RACE, YEAR, TODAY = "Brand#7", 1998, "1999-06-30"
@@ -153,10 +154,28 @@ def known_races(spark, sf_dir):
     return coverage.known_races(known, rows, seen, 2001)
 
 
-def page_links(spark, sf_dir):
-    """Rows of the tables in raw pages: how many cells each page has."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    return readers.html_tables(pages).groupBy("page_id").agg(F.count("*").alias("lines"), F.sum(F.size("cells")).alias("cells"))
+def text_books(spark, sf_dir):
+    """The results printed as books of several layouts and read back."""
+    return books.book_rows(renderings.result_books(results(spark, sf_dir))).drop("page", "line")
+
+
+def refused_lines(spark, sf_dir):
+    """How many lines of each book were no rider's row, by reason."""
+    return books.refused_lines(renderings.result_books(results(spark, sf_dir))).groupBy("book", "refused").agg(F.count("*").alias("lines"))
+
+
+def page_tables(spark, sf_dir):
+    """Rows of the lists on raw pages, and of tables made of them."""
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    both = raw.withColumn("kind", F.lit("raw")).unionByName(renderings.item_tables(raw).withColumn("kind", F.lit("made")))
+    rows = pages.html_tables(both)
+    return rows.select("page_id", "kind", "table", "line", "header", F.array_join("cells", "|").alias("cells"), F.array_join("heads", "|").alias("heads"), F.array_join("links", "|").alias("links"))
+
+
+def calendar_pages(spark, sf_dir):
+    """Orders on calendar pages of three layouts, read back."""
+    made = renderings.calendars(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return pages.calendar_races(made, F.col("year")).select("page", "layout", "race", "date")
 
 
 def climb_bench(spark, sf_dir):
@@ -257,5 +276,9 @@ QUERIES = {
     "manifest": manifest,
     "coverage_gaps": calendar_gaps,
     "coverage_known": known_races,
-    "page_tables": page_links,
+    # Sources
+    "text_books": text_books,
+    "text_books_refused": refused_lines,
+    "page_tables": page_tables,
+    "calendar_pages": calendar_pages,
 }
