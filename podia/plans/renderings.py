@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS, FAMILY_NAMES = "0123456789", "王李張陳林黃吳劉蔡楊"
@@ -34,17 +34,18 @@ def result_books(rows: DataFrame) -> DataFrame:
     said = said.when(F.col("layout") == 3, F.array(F.concat_ws(" ", bib, "name", "team", clock, n)))
     said = said.otherwise(F.array(F.concat_ws(" ", n, bib, "name", "licence", "team", clock)))
     said = F.when(F.col("seconds").isNull() & (F.col("layout") == 3), F.array(F.concat_ws(" ", bib, "name", "team", "status"))).otherwise(said)
-    first = F.col("section") * SECTION_PAGES
-    place = (F.col("n") - 1) % PAGE_ROWS
-    riders = e.select("book", (first + F.floor((F.col("n") - 1) / PAGE_ROWS)).cast("int").alias("page"), place.alias("place"), F.posexplode(said).alias("part", "text"))
-    riders = riders.select("book", "page", (10 + 2 * F.col("place") + F.col("part")).alias("line"), "text")
+    def on(page: Column, lines: Column, first: Column | int) -> Column:
+        return F.transform(lines, lambda text, i: F.struct(page.cast("int").alias("page"), (first + i).cast("int").alias("line"), text.alias("text")))
+
+    start = F.col("section") * SECTION_PAGES
     category = F.element_at(F.array(*[F.lit(c) for _, c in SECTIONS]), F.col("section") + 1)
     header = F.element_at(F.array(*map(F.lit, HEADERS)), F.col("layout") + 1)
     title = F.concat(F.lit("全國"), "book", F.lit("公路錦標賽"))
     top = F.array(title, F.concat(category, F.lit(" "), (F.col("section") * 10 + 50).cast("string"), F.lit("公里個人公路賽")), F.lit("公告： R1"), header)
-    starts = e.filter("n = 1").select("book", "section", first.alias("page"), "layout", title.alias("title"), F.posexplode(top).alias("line", "text"))
-    summaries = e.filter("n = 1").select("book", (first + SECTION_PAGES - 1).alias("page"), F.posexplode(F.array(title, F.lit("總成績表"), F.lit("1 2 王小明 陳大文 04:05:13"))).alias("line", "text"))
-    return riders.unionByName(starts.select("book", "page", "line", "text")).unionByName(summaries)
+    summary = F.array(title, F.lit("總成績表"), F.lit("1 2 王小明 陳大文 04:05:13"))
+    own = on(start + F.floor((F.col("n") - 1) / PAGE_ROWS), said, 10 + 2 * ((F.col("n") - 1) % PAGE_ROWS))
+    printed = F.when(F.col("n") == 1, F.concat(on(start, top, 0), own, on(start + SECTION_PAGES - 1, summary, 0))).otherwise(own)
+    return e.select("book", F.inline(printed))
 
 
 def item_tables(pages: DataFrame) -> DataFrame:
