@@ -43,9 +43,15 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
     return per.select("loose", verdict.alias("verdict"), "members", "safe_cores", "total_rows")
 
 
+# Parts of a calendar's names that tell distance, season, edition or stage, and digits of years.
+NOISE = r"(?U)\d+(?:\.\d+)?\s*K\w*|春季|夏季|秋季|冬季|第[\w一二三四五六七八九十]{1,3}屆|第[\w一二三四五六七八九十]{1,3}站|Stage\s*\d+|年度系列|報名連結|&\w+;|挑戰組|經典組"
+YEAR_DIGITS = r"[\s023456]"
+
+
 def core(name: Column) -> Column:
     """The characters by which a calendar race and a known race are compared."""
-    return F.regexp_replace(X.race_key(name), "[\\s0-9]", "")
+    bare = F.regexp_replace(F.coalesce(name, F.lit("")), NOISE, "")
+    return F.regexp_replace(X.filled(X.race_key(bare), bare), YEAR_DIGITS, "")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -55,20 +61,51 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a.contains(b) | b.contains(a), 1.0).otherwise(shared)
 
 
+def overlapping(a: DataFrame, b: DataFrame, least: float, on: list[str] | None = None) -> DataFrame:
+    """(c, k, s): the pairs of a's names c and b's names k, of equal `on`, whose overlap s is at least `least`.
+
+    Of two names the one with fewer different characters must share ceil(least *
+    its characters) of them, so one of its rarest ones, as many as may be
+    missing and one more, stands in the other. Names meet by these characters
+    only: what most names hold is seldom among a name's rarest, and then only in names
+    that have nothing else. A name within another shares all, so its rarest
+    character finds it. The table of how often characters occur has a row a
+    character and is broadcast: an alphabet, whatever the names.
+    """
+    on = on or []
+
+    def letters(df: DataFrame, name: str) -> DataFrame:
+        names = df.select(*on, F.col(name).alias("name")).filter("name <> ''").distinct()
+        chars = F.filter(F.array_distinct(F.split("name", "")), lambda x: x != "")
+        return names.select(*on, "name", F.size(chars).alias("size"), F.explode(chars).alias("x"))
+
+    left, right = letters(a, "c"), letters(b, "k")
+    often = F.broadcast(left.select("x").unionByName(right.select("x")).groupBy("x").agg(F.count("*").alias("often")))
+
+    def rarest(df: DataFrame) -> DataFrame:
+        sorted_ = df.join(often, "x").groupBy(*on, "name", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("chars"))
+        spare = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+        return sorted_.select(*on, "name", "size", F.explode(F.slice("chars", 1, spare.cast("int"))).alias("char")).select(*on, "name", "size", "char.x")
+
+    def meet(small: DataFrame, large: DataFrame, strictly: bool) -> DataFrame:
+        few, many = small.withColumnsRenamed({"name": "s", "size": "n"}), large.withColumnsRenamed({"name": "l", "size": "m"})
+        return few.join(many, [*on, "x"]).filter("n < m" if strictly else "n <= m").select(*on, "s", "l")
+
+    pairs = meet(rarest(left), right, False).withColumnsRenamed({"s": "c", "l": "k"}).unionByName(meet(rarest(right), left, True).withColumnsRenamed({"s": "k", "l": "c"}))
+    return pairs.distinct().withColumn("s", overlap(F.col("c"), F.col("k"))).filter(F.col("s") >= least)
+
+
 def gaps(calendar: DataFrame, rows: DataFrame, today: str, least: float = 0.6) -> DataFrame:
     """(race, date, best, years_known, status): calendar races that the results lack.
 
     A race is known if some race's name overlaps with it in `least` of its
-    characters; a known race that was held this year but has no results of
-    this year is NOT_INGESTED. Names meet by a shared character: what two
-    names have in common is counted, pair by pair, from (character, name)
-    rows, so only names with something in common are ever paired.
+    characters, and has the years of those names that overlap most; a known race that was held but has no results of
+    its date's year is NOT_INGESTED. Of calendar races with the same characters the first by date stands
+    for all. years_known counts the years.
     """
-    cal = calendar.select("race", "date", core(F.col("race")).alias("c")).filter("c <> ''").dropDuplicates(["c"])
+    cal = calendar.select(F.struct("date", "race").alias("first"), core(F.col("race")).alias("c")).filter("c <> ''").groupBy("c").agg(F.min("first").alias("first")).select("c", "first.*")
     known = rows.filter(~X.blank(F.col("race_name_canonical"))).groupBy(core(F.col("race_name_canonical")).alias("k")).agg(F.collect_set("year").alias("years")).filter("k <> ''")
-    chars = lambda c: F.explode(F.array_distinct(F.split(c, "")))
-    pairs = cal.select("c", chars(F.col("c")).alias("x")).join(known.select("k", chars(F.col("k")).alias("x")), "x").select("c", "k").distinct()
-    scored = pairs.withColumn("s", overlap(F.col("c"), F.col("k"))).filter(F.col("s") >= least).join(known, "k")
+    scored = overlapping(cal, known, least).join(known, "k")
     best = scored.groupBy("c").agg(F.max("s").alias("best"))
     near = scored.join(best, "c").filter("s = best").groupBy("c", "best").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("years")))).alias("years_known"))
     met = cal.join(near, "c", "left")
@@ -95,13 +132,14 @@ def known_races(known: DataFrame, rows: DataFrame, seen: DataFrame, this_year: i
 
     A race of a year is done if that year has results of a race whose name
     holds it or is held by it, unless it is EXCLUDED. Races of this year whose
-    core is in seen (c) are left to the calendar, unless they are done. Names meet by the year,
-    and each name once.
+    core is in seen (c) are left to the calendar, unless they are done. Names meet by the year
+    and the rarest character of the shorter one, each name once.
     """
     own = core(F.col("race"))
     have = rows.filter("year is not null").select(F.col("year").alias("had"), core(F.col("race_name_canonical")).alias("k")).filter("k <> ''").distinct()
     asked = known.filter("year is not null and status <> 'EXCLUDED'").select("year", own.alias("c")).distinct()
-    done = asked.join(have, (F.col("year") == F.col("had")) & (F.col("c").contains(F.col("k")) | F.col("k").contains(F.col("c")))).select(F.col("year").alias("y"), F.col("c").alias("d"), F.lit(True).alias("met")).distinct()
+    pairs = overlapping(asked, have.withColumnRenamed("had", "year"), 1.0, ["year"]).filter(F.col("c").contains(F.col("k")) | F.col("k").contains(F.col("c")))
+    done = pairs.select(F.col("year").alias("y"), F.col("c").alias("d"), F.lit(True).alias("met")).distinct()
     held = known.withColumn("core", own).join(done, (F.col("year") == F.col("y")) & (F.col("core") == F.col("d")) & (F.col("status") != "EXCLUDED"), "left").withColumn("done", F.coalesce("met", F.lit(False)))
     told = held.join(seen.select(F.col("c").alias("s"), F.lit(True).alias("listed")).distinct(), F.col("core") == F.col("s"), "left")
     left = F.coalesce(F.col("listed") & (F.col("year") == this_year), F.lit(False)) & ~F.col("done")

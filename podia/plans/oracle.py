@@ -540,3 +540,47 @@ ORACLE["calendar_pages"] = """
                'Order ' || CAST(o_orderkey AS VARCHAR) || ' 挑戰賽' AS race, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date
         FROM orders
     """
+_CHARS = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂調陽雲騰致雨露結為霜"
+
+
+def _gaps(name: str, of: str) -> str:
+    """Tables name (race, date, best, years_known, status) of the parts `of` as a calendar."""
+
+    def made(shift: str) -> str:
+        return " || ".join(f"substr('{_CHARS}', CAST((p_partkey * {a} + {b} + {shift}) % {len(_CHARS)} + 1 AS BIGINT), 1)" for a, b in ((7, 0), (11, 3), (13, 5), (17, 1))) + " || '自行車賽'"
+
+    return f"""
+    {name}_cal AS (SELECT race, min(date) AS date, list_distinct(string_split(race, '')) AS x FROM (SELECT {made("0")} AS race, '1998-' || lpad(CAST(p_partkey % 12 + 1 AS VARCHAR), 2, '0') || '-15' AS date FROM part WHERE {of}) GROUP BY race),
+    {name}_known AS (SELECT race AS k, list(DISTINCT year) AS years, list_distinct(string_split(race, '')) AS y FROM (SELECT {made("p_partkey % 3")} AS race, 1993 + p_partkey % 6 AS year FROM part WHERE p_size < 4) GROUP BY race),
+    {name}_pairs AS (SELECT race, k, years, len(list_intersect(x, y)) / CAST(least(len(x), len(y)) AS DOUBLE) AS s FROM {name}_cal, {name}_known WHERE len(list_intersect(x, y)) >= 0.6 * least(len(x), len(y)) - 0.000000001),
+    {name}_best AS (SELECT race, max(s) AS best FROM {name}_pairs GROUP BY race),
+    {name}_near AS (SELECT p.race, best, list_distinct(flatten(list(years))) AS years FROM {name}_pairs p JOIN {name}_best b ON p.race = b.race AND p.s = b.best GROUP BY 1, 2),
+    {name} AS (
+      SELECT race, date, best, years_known, status FROM (
+        SELECT c.race, date, round(best, 6) AS best, CAST(len(years) AS BIGINT) AS years_known,
+               CASE WHEN best IS NULL THEN 'UNKNOWN' WHEN date < '1998-06-30' AND NOT list_contains(years, 1998) THEN 'NOT_INGESTED' END AS status
+        FROM {name}_cal c LEFT JOIN {name}_near n ON c.race = n.race)
+      WHERE status IS NOT NULL
+    )"""
+
+
+_VERDICT = """CASE WHEN contains(race, '玄') THEN ['BLOCKED', 'closed site'] WHEN contains(race, '宙') THEN ['NOT_HELD', 'not yet'] WHEN contains(race, '洪') THEN ['COLLECTED', 'another name']
+             WHEN contains(race, '日') THEN ['NO_RANKING', 'a ride'] WHEN contains(race, '月') THEN ['HELD_UNCHECKED', 'to be looked at'] END"""
+_TOLD = f"""{_gaps("gap", "p_size > 44")},
+    told AS (
+      SELECT race, date, best, years_known, coalesce(v[1], status) AS status, v[2] AS note FROM (SELECT *, {_VERDICT} AS v FROM gap)
+      WHERE v IS NULL OR NOT (v[1] = 'COLLECTED' OR status = 'NOT_INGESTED' AND v[1] = 'NO_RANKING')
+    )"""
+ORACLE["coverage_gaps"] = f"WITH {_TOLD} SELECT * FROM told"
+ORACLE["season_board"] = f"""
+    WITH {_BASE}, {_TOLD}, {_gaps("old", "p_size BETWEEN 43 AND 44")},
+    wanted AS (
+      SELECT race, date, status FROM told
+      UNION ALL SELECT race, date, v[1] FROM (SELECT *, {_VERDICT} AS v FROM old) WHERE v IS NULL OR v[1] <> 'COLLECTED'
+    )
+    SELECT race_key AS name, min(date) AS date, 'ok' AS status, count(*) FILTER (WHERE status IS NULL OR status = 'FIN') AS rows FROM results WHERE year = 1998 GROUP BY race_key
+    UNION ALL
+    SELECT race, date, CASE WHEN status IN ('NOT_INGESTED', 'HELD_UNCHECKED') THEN CASE WHEN date >= '1998-06-30' THEN 'soon' ELSE 'wait' END
+                            WHEN status = 'NOT_HELD' THEN CASE WHEN date < '1998-06-30' THEN 'wait' ELSE 'soon' END ELSE 'miss' END, NULL
+    FROM wanted WHERE status IN ('NOT_INGESTED', 'HELD_UNCHECKED', 'BLOCKED', 'NOT_HELD')
+"""

@@ -14,7 +14,7 @@ from podia.plans.bindings import RULES, profiles, results
 from podia.sources import books, pages
 
 #: The athlete and the race that lookups ask for: the one with most results, and a fixed one.
-RACE, YEAR, TODAY = "Brand#7", 1998, "1999-06-30"
+RACE, YEAR = "Brand#7", 1998
 PLACES = [("North", "Brand#1"), ("South", "Brand#2[0-4]"), ("Centre", "#5|#9")]
 
 
@@ -130,12 +130,37 @@ def masked_teams(spark, sf_dir):
     return merge.mask_teams(rows).groupBy("team").agg(F.count("*").alias("n"))
 
 
-def calendar_gaps(spark, sf_dir):
-    """Parts' brands of some sizes as a calendar against the races of the results."""
+#: Characters of the races on a made calendar, and verdicts on some of them.
+CHARS = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂調陽雲騰致雨露結為霜"
+VERDICTS = [("玄", "BLOCKED", "closed site"), ("宙", "NOT_HELD", "not yet"), ("洪", "COLLECTED", "another name"), ("日", "NO_RANKING", "a ride"), ("月", "HELD_UNCHECKED", "to be looked at")]
+SEASON, SEASON_DAY = 1998, "1998-06-30"
+
+
+def _race_names(k, shift=0):
+    """Names of four characters that follow from a number, and a word that all have."""
+    return F.concat(*[F.substring(F.lit(CHARS), (k * a + b + shift) % len(CHARS) + 1, F.lit(1)) for a, b in ((7, 0), (11, 3), (13, 5), (17, 1))], F.lit("自行車賽"))
+
+
+def _gaps(spark, sf_dir, of):
+    """Parts as calendar races of the season, some small ones as races that results are known of."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    cal = p.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(F.col("p_name").alias("race"), F.concat(F.lit("1999-0"), (F.col("k") % 9 + 1).cast("string"), F.lit("-15")).alias("date"))
-    known = p.filter("p_size < 5").select(F.concat(F.col("p_type"), F.lit(" "), F.split("p_name", " ")[1]).alias("race_name_canonical"), (F.lit(1995) + F.col("p_partkey") % 5).cast("long").alias("year"))
-    return coverage.gaps(cal, known, TODAY).groupBy("status").agg(F.count("*").alias("n"))
+    k = F.col("p_partkey")
+    cal = p.filter(of).select(_race_names(k).alias("race"), F.format_string(f"{SEASON}-%02d-15", k % 12 + 1).alias("date"))
+    known = p.filter("p_size < 4").select(_race_names(k, k % 3).alias("race_name_canonical"), (F.lit(1993) + k % 6).cast("long").alias("year"))
+    return coverage.gaps(cal, known, SEASON_DAY)
+
+
+def calendar_gaps(spark, sf_dir):
+    """Races of a calendar against those that results are known of, after triage."""
+    return coverage.triaged(_gaps(spark, sf_dir, "p_size > 44"), VERDICTS)
+
+
+def season_board(spark, sf_dir):
+    """The season: races with results, this calendar's gaps after triage, and those of a calendar that failed, carried forward."""
+    before = _gaps(spark, sf_dir, "p_size between 43 and 44").withColumns({"calendar": F.lit("old"), "note": F.lit("before")})
+    carried = coverage.carry_forward(before, ["old"], VERDICTS)
+    told = calendar_gaps(spark, sf_dir).unionByName(carried.select("race", "date", "best", "years_known", "status", "note"))
+    return coverage.season_board(races.index(results(spark, sf_dir)), told, SEASON, SEASON_DAY)
 
 
 def race_summaries(spark, sf_dir):
@@ -276,6 +301,7 @@ QUERIES = {
     "manifest": manifest,
     "coverage_gaps": calendar_gaps,
     "coverage_known": known_races,
+    "season_board": season_board,
     # Sources
     "text_books": text_books,
     "text_books_refused": refused_lines,

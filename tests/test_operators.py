@@ -188,6 +188,29 @@ def test_gaps_and_board(spark):
     assert board == {"花東縱谷": "ok", "x": "wait", "z": "soon"}
 
 
+def test_overlapping_names_are_all_found(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("天地玄黃宇宙洪荒日月盈昃") for _ in range(rng.randint(1, 7))) + rng.choice(["賽", "公路賽", ""]) for _ in range(160)] + ["賽", "賽", "", "天賽"]
+    a, b = names[:80], names[80:]
+
+    def score(c, k):
+        return 0 if not c or not k else 1.0 if c in k or k in c else len(set(c) & set(k)) / min(len(set(c)), len(set(k)))
+
+    left, right = spark.createDataFrame([(x, i % 2) for i, x in enumerate(a)], "c string, year int"), spark.createDataFrame([(x, i % 2) for i, x in enumerate(b)], "k string, year int")
+    for least in (0.6, 1.0, 0.25):
+        want = {(c, k) for c in a for k in b if score(c, k) >= least}
+        got = coverage.overlapping(left, right, least).collect()
+        assert {(r.c, r.k) for r in got} == want and len(got) == len(want)
+    want = {(i % 2, c, k) for i, c in enumerate(a) for j, k in enumerate(b) if i % 2 == j % 2 and score(c, k) >= 0.6}
+    assert {(r.year, r.c, r.k) for r in coverage.overlapping(left, right, 0.6, ["year"]).collect()} == want
+    assert coverage.overlapping(left.limit(0), right, 0.6).count() == 0
+
+
+def test_names_are_compared_without_editions(spark):
+    df = spark.createDataFrame([("第12屆 武嶺登山賽 100K挑戰組",), ("2026 武嶺登山賽",), (None,)], "n string")
+    assert [r.c for r in df.select(coverage.core(F.col("n")).alias("c")).collect()] == ["武嶺登山賽", "武嶺登山賽", ""]
+
+
 VERDICTS = [("環島", "NOT_HELD", "off"), ("團騎", "NO_RANKING", "a ride"), ("已收", "COLLECTED", ""), ("古道", "BLOCKED", "closed site")]
 
 
