@@ -133,17 +133,28 @@ def first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
-def carryover(keyed: DataFrame, published: DataFrame) -> DataFrame:
+def carryover(keyed: DataFrame, published: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(new_id, old_id): identities whose id changed keep the one that most of their results were published under, if it is free.
 
-    published has (entry, athlete_id); entries of two athletes are ambiguous and left out.
+    published has (entry, athlete_id); entries of two athletes are ambiguous and
+    left out. existing is the carry-over of the last build: its pairs stay as
+    long as the new id occurs and the old one isn't in use, and their old ids are taken. An id is in use if some
+    identity hashes to it; rows whose source hides names are pinned to published ids
+    and use none, as they follow the id that is carried over. The first
+    identity, by the place of its first row, gets an id that several want.
     """
     sure = published.groupBy("entry").agg(F.min("athlete_id").alias("old_id"), F.count_distinct("athlete_id").alias("k")).filter("k = 1").drop("k")
     entry = I.entry_key(F.col("race_key"), F.col("year"), F.col("finish_seconds"), F.col("name_masked"))
     rows = I.resolved(keyed).withColumn("new_id", I.athlete_id(F.col("gk"))).withColumn("entry", entry)
-    used = rows.select("new_id").distinct()
+    used = rows.filter(~F.col("gk").startswith("x:")).select("new_id").distinct()
+    if existing is None:
+        existing = published.select(F.lit("").alias("new_id"), F.lit("").alias("old_id")).limit(0)
+    stay = existing.select("new_id", "old_id").join(used, "new_id", "left_semi").join(used.withColumnRenamed("new_id", "old_id"), "old_id", "left_anti")
     fresh = rows.filter(~F.col("gk").rlike("^[xs]:")).join(published.select(F.col("athlete_id").alias("new_id")).distinct(), "new_id", "left_anti")
-    votes = fresh.join(sure, "entry").groupBy("new_id", "old_id").agg(F.count("*").alias("n"), F.min("row_ord").alias("first"))
-    best = votes.groupBy("new_id").agg(F.min_by(F.struct("old_id", "first"), F.struct(-F.col("n"), "first")).alias("b")).select("new_id", "b.old_id", "b.first")
-    free = best.join(used.withColumnRenamed("new_id", "old_id"), "old_id", "left_anti")
-    return free.groupBy("old_id").agg(F.min_by("new_id", "first").alias("new_id")).select("new_id", "old_id")
+    order = F.struct(F.coalesce("source_ord", F.lit(0)), "row_ord")
+    place = fresh.groupBy("new_id").agg(F.min(order).alias("first"))
+    votes = fresh.join(sure, "entry").groupBy("new_id", "old_id").agg(F.count("*").alias("n"), F.min(order).alias("seen"))
+    best = votes.groupBy("new_id").agg(F.min_by("old_id", F.struct(-F.col("n"), "seen")).alias("old_id")).join(place, "new_id")
+    free = best.join(used.withColumnRenamed("new_id", "old_id"), "old_id", "left_anti").join(stay.select("old_id"), "old_id", "left_anti")
+    won = free.groupBy("old_id").agg(F.min_by("new_id", "first").alias("new_id"))
+    return stay.join(won.select("new_id"), "new_id", "left_anti").select("new_id", "old_id").unionByName(won.select("new_id", "old_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,30 @@ def report(rows: DataFrame) -> DataFrame:
     return counts.selectExpr(f"stack({len(ISSUES)}, {stack}) as (issue, rows)")
 
 
+def samples(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(issue, place, ...): the first k rows of each issue by (source_ord, row_ord), with the columns by which to find them.
+
+    Each partition keeps k rows an issue while it streams; only these meet, k
+    times the partitions for an issue, and are ranked. Issues without rows give none.
+    """
+    shown = [c for c in ("source_ord", "row_ord", "source_platform", "race_key", "year", "name_masked", "finish_time", "finish_seconds") if c in rows.columns]
+    issues = F.filter(F.array(*[F.when(F.col(i), F.lit(i)) for i in ISSUES]), lambda x: x.isNotNull())
+    found = flags(rows).select(*shown, F.explode(issues).alias("issue"))
+    order = ["source_ord", "row_ord"]
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            both = batch if kept is None else pd.concat([kept, batch])
+            kept = both.sort_values(order, kind="stable", na_position="first").groupby("issue").head(k)
+        if kept is not None:
+            yield kept
+
+    few = found.mapInPandas(first, found.schema)
+    place = F.row_number().over(Window.partitionBy("issue").orderBy(*order))
+    return few.withColumn("place", place).filter(F.col("place") <= k).select("issue", "place", *shown)
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     """(source_platform, rows, gender_known, age_known): how complete each source is."""
     age = F.col("age_group") if "age_group" in rows.columns else F.col("age_band")
@@ -82,11 +109,3 @@ def compare_builds(old: DataFrame, new: DataFrame) -> DataFrame:
     per = both.groupBy("rk", "y").agg(F.sum("o").alias("old_rows"), F.sum("n").alias("new_rows"), F.sum(F.greatest(F.col("o") - F.col("n"), F.lit(0))).alias("lost"))
     state = F.when(F.col("new_rows") == 0, "missing").when(F.col("old_rows") == 0, "added").when((F.col("old_rows") == F.col("new_rows")) & (F.col("lost") == 0), "same").otherwise("changed")
     return per.withColumn("state", state)
-
-
-def exposed_names(texts: DataFrame, names: DataFrame, text_col: str = "text") -> DataFrame:
-    """(name, hits): real names of two to four CJK characters that occur in texts meant for publication, found by a join of text pieces with the names."""
-    run = F.regexp_extract_all(F.col(text_col), F.lit(f"{X.CJK}{{2,}}"), F.lit(0))
-    runs = texts.select(F.explode(run).alias("run"))
-    pieces = runs.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("run")))).withColumn("size", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4)))).filter(F.col("at") + F.col("size") - 1 <= F.length("run"))
-    return pieces.select(F.substring(F.col("run"), F.col("at"), F.col("size")).alias("name")).join(names.select("name").distinct(), "name").groupBy("name").agg(F.count("*").alias("hits"))

@@ -584,3 +584,30 @@ ORACLE["season_board"] = f"""
                             WHEN status = 'NOT_HELD' THEN CASE WHEN date < '1998-06-30' THEN 'wait' ELSE 'soon' END ELSE 'miss' END, NULL
     FROM wanted WHERE status IN ('NOT_INGESTED', 'HELD_UNCHECKED', 'BLOCKED', 'NOT_HELD')
 """
+ORACLE["quality_samples"] = _q(
+    """, r AS (SELECT source_ord, row_ord, unnest(list_filter([CASE WHEN finish_seconds IS NULL AND row_ord % 50 <> 0 THEN 'missing_time' END, CASE WHEN row_ord % 41 = 0 THEN 'missing_name' END,
+                 CASE WHEN row_ord % 77 = 0 THEN 'missing_race' END, CASE WHEN row_ord % 50 = 0 THEN 'time_out_of_range' END, CASE WHEN row_ord % 90 = 0 THEN 'year_mismatch' END], lambda x: x IS NOT NULL)) AS issue FROM results)
+    SELECT issue, CAST(row_number() OVER (PARTITION BY issue ORDER BY source_ord, row_ord) AS INTEGER) AS place, source_ord, row_ord FROM r QUALIFY place <= 5""",
+    _BASE,
+)
+_WORD = r"[A-Za-zÀ-ÿ''’.\-]+"
+ORACLE["quality_exposed_names"] = f"""
+    WITH n AS (
+      SELECT DISTINCT replace(lower(array_to_string(list_slice(regexp_extract_all(text, '{_WORD}'), 1, item_id % 2 + 2), ' ')), 'ß', 'ss') AS key FROM benchmark
+      WHERE len(list_slice(regexp_extract_all(text, '{_WORD}'), 1, item_id % 2 + 2)) >= 2
+    ),
+    l AS (SELECT doc_id, regexp_extract_all(unnest(regexp_split_to_array(text, '[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]')), '{_WORD}') AS w FROM documents),
+    g AS (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS i FROM l, (SELECT unnest([2, 3, 4]) AS k))
+    SELECT doc_id, key, count(*) AS hits FROM (SELECT doc_id, replace(lower(array_to_string(w[i:i + k - 1], ' ')), 'ß', 'ss') AS key FROM g) JOIN n USING (key) GROUP BY 1, 2
+"""
+ORACLE["identity_carryover"] = _q(
+    """, old AS (SELECT race_key || '|' || CAST(year AS VARCHAR) || '|' || CAST(CAST(finish_seconds AS BIGINT) AS VARCHAR) || '|' || name_masked AS entry, substr(sha1('podia-athlete-v1|n:' || name_raw), 1, 10) AS old_id, * FROM keyed),
+    published AS (SELECT entry, old_id FROM old WHERE entry IS NOT NULL),
+    sure AS (SELECT entry, min(old_id) AS old_id FROM published GROUP BY entry HAVING count(DISTINCT old_id) = 1),
+    fresh AS (SELECT id, entry, row(source_ord, row_ord) AS spot FROM old WHERE id NOT IN (SELECT old_id FROM published)),
+    votes AS (SELECT id, old_id, count(*) AS n, min(spot) AS seen FROM fresh JOIN sure USING (entry) GROUP BY 1, 2),
+    best AS (SELECT id, old_id FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, seen) = 1),
+    place AS (SELECT id, min(spot) AS first FROM fresh GROUP BY id)
+    SELECT id AS new_id, old_id FROM best JOIN place USING (id) WHERE old_id NOT IN (SELECT id FROM keyed) QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY first) = 1""",
+    _KEYED,
+)

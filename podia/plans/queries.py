@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from podia.functions import text as X
 from podia.operators import athletes as A
-from podia.operators import coverage, insights, merge, publish, quality, races, summaries, teams
+from podia.operators import coverage, insights, merge, privacy, publish, quality, races, summaries, teams
 from podia.operators import identity as I
 from podia.plans import renderings
 from podia.plans.bindings import RULES, profiles, results
@@ -69,6 +69,32 @@ def distances(spark, sf_dir):
     return p.select("p_partkey", km.cast("long").alias("km"), X.speed_kmh(km, price).alias("spd"), v.cast("long").alias("vam"), X.watts_per_kilo(v, F.lit(6.5)).alias("wkg"), X.discipline(F.col("p_name"), F.col("p_type"), RULES).alias("kind"))
 
 
+def quality_samples(spark, sf_dir):
+    """The first five rows of each issue, after some rows lost their name, race or time and some got another year."""
+    k = F.col("row_ord")
+    rows = results(spark, sf_dir).withColumns({
+        "finish_seconds": F.when(k % 50 == 0, 10.0).otherwise(F.col("finish_seconds")), "race_name_canonical": F.when(k % 77 != 0, F.col("race_name_canonical")),
+        "race_name_raw": F.when(k % 90 == 0, "2015 x").otherwise(F.col("race_name_raw")), "name_masked": F.when(k % 41 != 0, F.col("name_masked")), "name_raw": F.when(k % 41 != 0, F.col("name_raw")),
+    })
+    return quality.samples(rows).select("issue", "place", "source_ord", "row_ord")
+
+
+def exposed_names(spark, sf_dir):
+    """The first words of benchmark items, two or three of each, as names that documents may hold."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = F.slice(F.regexp_extract_all("text", F.lit(privacy.LATIN_WORD), F.lit(0)), 1, (F.col("item_id") % 2 + 2).cast("int"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return privacy.exposed_names(docs, b.select(F.array_join(words, " ").alias("name")), by=["doc_id"])
+
+
+def carried_ids(spark, sf_dir):
+    """Ids published when riders were told apart by name alone, kept for those who have licences now."""
+    rows = keyed(spark, sf_dir)
+    entry = I.entry_key(F.col("race_key"), F.col("year"), F.col("finish_seconds"), F.col("name_masked"))
+    published = rows.select(entry.alias("entry"), I.athlete_id(F.concat(F.lit("n:"), "name_raw")).alias("athlete_id")).filter("entry is not null")
+    return merge.carryover(rows, published)
+
+
 def top_athlete(spark, sf_dir):
     """The rider with the most results: the target of lookups."""
     return A.index(keyed(spark, sf_dir)).orderBy(F.desc("n"), F.desc("ny"), "id").limit(1).select("id")
@@ -227,6 +253,8 @@ QUERIES = {
     "merge_races": lambda s, d: merge.races_summary(results(s, d)),
     # Quality
     "quality_report": lambda s, d: quality.report(results(s, d)),
+    "quality_samples": quality_samples,
+    "quality_exposed_names": exposed_names,
     "quality_duplicates": lambda s, d: quality.duplicates(results(s, d)),
     "quality_inversions": lambda s, d: quality.inversions(results(s, d).withColumn("rank_overall", F.when(F.col("bib") == 2, F.col("rank_overall") + 3).otherwise(F.col("rank_overall")))),
     "quality_coverage": lambda s, d: quality.coverage(results(s, d)),
@@ -234,6 +262,7 @@ QUERIES = {
     "quality_shrunk_sources": guarded_sources,
     # Identity and athletes
     "identity_keys": lambda s, d: keyed(s, d).select("row_ord", "gk", I.athlete_id(F.col("gk")).alias("id")),
+    "identity_carryover": carried_ids,
     "athletes_index": lambda s, d: A.index(keyed(s, d)),
     "athletes_history": _history,
     "athletes_traits": lambda s, d: A.traits(keyed(s, d), RULES),

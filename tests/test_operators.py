@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from podia.operators import athletes, coverage, identity, meetings, merge, publish, quality, races, summaries
+from podia.operators import athletes, coverage, identity, meetings, merge, privacy, publish, quality, races, summaries
 from podia.operators.normalise import RECORD, enrich, make_records, union_sources
 
 
@@ -124,6 +124,53 @@ def test_carryover(spark):
     assert [r.old_id for r in merge.carryover(identity.with_group_keys(df), published).collect()] == ["old1"]
 
 
+def test_carryover_keeps_ids_of_riders_with_hidden_rows_and_of_earlier_builds(spark):
+    df = records(spark, [row("甲甲甲", finish_seconds=10.0, uci_id="5"), row("甲*", finish_seconds=20.0, year=2023), row("乙乙乙", finish_seconds=30.0, uci_id="6"), row("丙丙丙", finish_seconds=40.0)])
+    published = spark.createDataFrame([("A|2024|10|甲○甲", "old1"), ("A|2023|20|甲○", "old1"), ("A|2024|30|乙○乙", "old2")], "entry string, athlete_id string")
+    keyed = identity.with_group_keys(df, published.filter("athlete_id = 'old1'"))
+    assert "x:old1" in {r.gk for r in keyed.collect()}
+    ids = {r.name_raw: r.id for r in keyed.withColumn("id", identity.athlete_id(F.col("gk"))).collect()}
+    assert {(r.new_id, r.old_id) for r in merge.carryover(keyed, published).collect()} == {(ids["甲甲甲"], "old1"), (ids["乙乙乙"], "old2")}
+    before = spark.createDataFrame([(ids["丙丙丙"], "older"), (ids["乙乙乙"], "old1"), ("gone", "o9"), (ids["甲甲甲"], ids["乙乙乙"])], "new_id string, old_id string")
+    assert {(r.new_id, r.old_id) for r in merge.carryover(keyed, published, before).collect()} == {(ids["丙丙丙"], "older"), (ids["乙乙乙"], "old2")}
+
+
+def names(spark, *found):
+    return spark.createDataFrame([(n,) for n in found], "name string")
+
+
+def found_names(spark, text, known, is_json=None, allowed=None):
+    df = spark.createDataFrame([(1, text, is_json)], "id int, text string, js boolean")
+    return {r.key: r.hits for r in privacy.exposed_names(df, known, json_col=None if is_json is None else "js", allowed=allowed).collect()}
+
+
+def test_names_in_texts(spark):
+    known = names(spark, "王小明", "王明", "歐陽大明", "John  Smith", "mary jane o'neil Braß", "Single", None, "", "陳大文隊伍")
+    assert found_names(spark, "隊長王小明說，王明沒來；歐陽大明也是", known) == {"王小明": 1, "歐陽大明": 1}
+    assert found_names(spark, "by JOHN smith and john smith\nJohn\nSmith", known) == {"john smith": 2}
+    assert found_names(spark, "Mary Jane O'Neil BRASS single", known) == {"mary jane o'neil brass": 1}
+    assert found_names(spark, None, known) == found_names(spark, "x", names(spark)) == {}
+
+
+def test_names_in_json_and_allowed_ones(spark):
+    known = names(spark, "王小明", "John Smith")
+    text = '{"a": [{"王小明": "no name"}, "see: John Smith", "John Smith", "\\u738b\\u5c0f\\u660e/x", "說王小明好"]}'
+    assert found_names(spark, text, known, True) == {"王小明": 2, "john smith": 1}
+    assert found_names(spark, text, known, False) == {"王小明": 2, "john smith": 2}
+    sha = spark.sql("select upper(sha2('王小明', 256)) as sha")
+    assert found_names(spark, text, known, True, sha) == {"john smith": 1}
+
+
+def test_samples_are_the_first_rows_of_an_issue(spark):
+    rows = [row("a", finish_seconds=None if i % 2 else 1000.0, finish_time=None if i % 2 else "x") for i in range(40)] + [row(None, name_masked=None)]
+    df = records(spark, rows).repartition(7)
+    got = {}
+    for r in quality.samples(df, 3).orderBy("place").collect():
+        got.setdefault(r.issue, []).append(r.row_ord)
+    assert got["missing_time"] == [1, 3, 5] and len(got["missing_name"]) == 1
+    assert quality.samples(df.limit(0)).count() == 0
+
+
 def test_quality(spark):
     rows = [row("a", 1, finish_seconds=1000.0, finish_time="x", race_name_raw="2020 A"), row("b", 2, finish_seconds=900.0), row("c", 3, finish_seconds=10.0, finish_time="0:00:10"), row("a", 1, finish_seconds=1000.0, finish_time="x")]
     df = records(spark, rows)
