@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,12 @@ def test_und_and_empty_tables(spark):
         assert (r.lang_pred != "und") == letters and (letters or r.score == 0)
     assert {r.doc_id for r in langid.accept(docs, model).collect()} == {r.doc_id for r in got if r.lang_pred != "und"}
     assert langid.accept(docs, model).columns == docs.columns
+    one = langid.accept(docs, model, languages=model.langs[:1], pred_col="told", score_col="sure").collect()
+    assert {r.told for r in one} == {model.langs[0]} and 0 < len(one) < len(got)
+    assert {r.doc_id for r in langid.accept(docs, model, least=0.99).collect()} == {r.doc_id for r in got if r.lang_pred != "und" and r.score >= 0.99}
+    clash = docs.withColumnsRenamed({"id": "lang_pred", "fp": "score"})
+    assert langid.accept(clash, model).columns == clash.columns and langid.accept(clash, model).filter("lang_pred = 7").count() > 0
+    assert langid.accept(docs, model, languages=[]).count() == 0
     nothing = langid.fit(empty(spark))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(empty(spark), model).count() == 0
@@ -102,6 +109,9 @@ def test_sample_is_bounded(spark):
     assert model.predict("uno dos")[0] == "yy"
 
 
+DEFAULT = licences.Scanner(licences.NOTICES, licences.BASE)
+
+
 def brute_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()
@@ -137,16 +147,72 @@ def test_licence_errors_within_bounds_are_found():
         most = max(1, len(notice) // licences.CHARS_PER_ERROR)
         for n in range(most + 1):
             text = f"Some text. {edits(rng, notice, n)} and more"
-            found = licences.scan(text)
+            found = DEFAULT.scan(text)
             assert label in found["labels"].split(","), (notice, text)
             assert 0 < found["score"] <= 1
             assert all(text[s["start"] : s["stop"]] in text and s["edits"] <= most for s in found["spans"])
-    assert licences.scan("nothing of the kind is written here at all")["labels"] == ""
+    assert DEFAULT.scan("nothing of the kind is written here at all")["labels"] == ""
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def near_spans(line, notice, most):
+    """(edits, start, stop) of every run of whole words that is near enough."""
+    starts = [m.span() for m in re.finditer("[^ ]+", line)]
+    out = []
+    for i, (lo, _) in enumerate(starts):
+        for _, hi in starts[i:]:
+            if abs(hi - lo - len(notice)) <= most and (d := distance(line[lo:hi], notice)) <= most:
+                out.append((d, lo, hi))
+    return out
+
+
+def test_every_notice_is_found_whatever_stands_before_it():
+    rng = random.Random(12)
+    notice, most = "released under the mit license", 3
+    own = licences.Scanner({notice: "mit"}, {})
+    lines = ["released under the mitt license foo released under the mit license", "released under the mit license foo released under the mitt license", "the mit licence released under the mit license under the mit"]
+    words = notice.split()
+    for _ in range(60):
+        parts = [rng.choice([notice, edits(rng, notice, rng.randint(0, 4)), rng.choice(words), "foo", edits(rng, rng.choice(words) + "xx", 1)]) for _ in range(rng.randint(1, 6))]
+        lines.append(" ".join(" ".join(parts).split()))
+    for line in lines:
+        every = near_spans(line, notice, most)
+        found = own.matches(line)
+        assert all(distance(line[s:e], notice) == d for _, s, e, d in found), line
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:], strict=False)), line
+        for d, lo, hi in every:  # nothing near is left over, and what stands in its way is no farther
+            assert any(s < hi and lo < e and f <= d for _, s, e, f in found), (line, line[lo:hi])
+    assert len(own.matches(lines[0])) == len(own.matches(lines[1])) == 2
+
+
+def test_long_texts_take_time_in_proportion():
+    for text in ("released under the mit license. " * 32_000, "general public license " * 43_000, "x" * 1_000_000, "released under the mlt licence or " * 20_000):
+        began = time.perf_counter()
+        found = DEFAULT.scan(text)
+        assert time.perf_counter() - began < 8
+        assert found["n_words"] == len(text.split())
+    assert len(DEFAULT.scan("released under the mit license. " * 3000)["spans"]) == 3000
+
+
+def test_own_notices_and_phrases(spark):
+    docs = documents(spark, [(1, "This is OUR  Own-notise, really. plain phrase", "en", "a"), (2, None, "en", "a")])
+    got = {r.doc_id: r for r in licences.licence_scan(docs, notices={"our own notice": "own", "!!": "none"}, phrases={"Plain Phrase": "plain"}).collect()}
+    assert (got[1].labels, got[1].n_base, got[1].first_word, got[1].spans[0].edits) == ("own,plain", 1, 6, 1)
+    assert (got[2].labels, got[2].score) == ("", 0.0)
+    assert {r.labels for r in licences.licence_scan(docs, notices={}, phrases={}).collect()} == {""}
 
 
 def test_spans_are_places_of_the_text():
     text = "Ünï. © ALL rights—reserved!"
-    (span,) = licences.scan(text)["spans"]
+    (span,) = DEFAULT.scan(text)["spans"]
     assert text[span["start"] : span["stop"]] == "ALL rights—reserved"
 
 
