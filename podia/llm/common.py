@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,41 +32,56 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables that materialise() has written in this session.
-_written: list[str] = []
+#: Tables that materialise() has written in this session: the path, and a weak reference to what plans read it through.
+_written: list[tuple[str, Any]] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    relation = table._jdf.queryExecution().analyzed().collectLeaves().head().relation()
+    _written.append((path, df.sparkSession._jvm.java.lang.ref.WeakReference(relation)))
+    return table
 
 
-def discard(docs: DataFrame) -> None:
-    """Delete what materialise() has written so far, but for what docs itself is read from: docs is all that is still wanted.
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables of materialise() that nothing reads any more.
 
-    Nothing is deleted if docs is cached, as lost blocks are computed anew.
+    Every plan over such a table, cached ones too, holds the relation that the
+    table was read as; a table goes when the JVM has collected that relation, and
+    so never while a DataFrame that needs it can still be used.
     """
-    if docs.is_cached:
-        return
-    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
-    read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
-    gone = [p for p in _written if p.rsplit("/", 1)[-1] not in read]
-    for path in gone:
-        where = jvm.org.apache.hadoop.fs.Path(path)
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+    conf = spark._jsc.hadoopConfiguration()
+    for item in [x for x in _written if x[1].get() is None]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(item[0])
         where.getFileSystem(conf).delete(where, True)
-        _written.remove(path)
+        _written.remove(item)
 
 
-#: Name of the column that tells rows apart, whatever their ids.
-ROW = "__row"
+#: Names of the columns of numbered(): what tells rows apart, whatever their ids, and the row itself.
+ROW, WHOLE = "row_number", "whole"
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a number of its own for each row in ROW, written once so that every later read sees the same ones."""
-    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """(ROW, WHOLE): each row of df as a struct, so that its columns' names clash with none, and a number of its own, written once so that every later read sees the same."""
+    return materialise(df.select(F.monotonically_increasing_id().alias(ROW), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(WHOLE)), name)
+
+
+def of_whole(col: str) -> Column:
+    """A column of the row in WHOLE."""
+    return F.col(WHOLE).getField(col)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Ids that are broadcast at most (some 64 MB as a hash table); more are met by a shuffle.
@@ -90,13 +107,13 @@ def few(ids: DataFrame, name: str) -> DataFrame:
 
 
 def one_of_each(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """Numbered rows with just one of each group of named (ROW, __group, __id): one with the smallest non-null id.
+    """The rows in WHOLE of numbered rows, with just one of each group of named (ROW, group, id): one with the smallest non-null id.
 
     Rows that named doesn't hold stay.
     """
-    first = named.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", ROW)).alias("first"))
-    gone = named.join(first, "__group").filter(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW)
-    return rows.join(few(gone, "copies"), ROW, "left_anti").drop(ROW)
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first"))
+    gone = named.join(first, "group").filter(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW)
+    return rows.join(few(gone, "copies"), ROW, "left_anti").select(f"{WHOLE}.*")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podia.llm.common import ROW, SPACE_RUN, few, materialise, numbered, one_of_each
+from podia.llm.common import ROW, SPACE_RUN, few, materialise, numbered, of_whole, one_of_each
 
 PREFIX_CHARS = 256
 #: Rows of a large group of copies, and how many such groups there are at most: the bound of what is broadcast.
@@ -76,10 +76,11 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with just one row of each text: one with the smallest non-null id; all columns stay as they are.
 
     Rows are told apart by numbers written once, never by their ids, so null
-    and repeated ids cost no row its text and save none that is a copy.
+    and repeated ids cost no row its text and save none that is a copy. A row
+    is kept as a struct meanwhile, so columns may have any names.
     """
     rows = numbered(docs, "exact-rows")
-    groups = exact_groups(rows.select(F.col(ROW), F.col(text_col)), ROW, text_col).filter("group_size > 1")
-    groups = groups.select(F.col(ROW), F.col("keep_id").alias("__group"))
-    named = few(groups, "exact-groups").join(rows.select(ROW, F.col(id_col).alias("__id")), ROW)
+    groups = exact_groups(rows.select(F.col(ROW), of_whole(text_col).alias("text")), ROW, "text").filter("group_size > 1")
+    groups = groups.select(F.col(ROW), F.col("keep_id").alias("group"))
+    named = few(groups, "exact-groups").join(rows.select(ROW, of_whole(id_col).alias("id")), ROW)
     return one_of_each(rows, materialise(named, "exact-named"))

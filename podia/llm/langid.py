@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podia.llm.common import small_batches
+from podia.llm.common import free_name, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the model is fitted on, as expected by a hash of the id and dealt out evenly among the
@@ -207,6 +207,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
 
 
-def accept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language the model can't tell (`und`); columns stay as they are."""
-    return identify(docs, model, text_col, "__lang", "__score").filter(F.col("__lang") != UNKNOWN).drop("__lang", "__score")
+def accept(docs: DataFrame, model: Model, text_col: str = "text", languages: list[str] | None = None, least: float = 0.0, pred_col: str | None = None, score_col: str | None = None) -> DataFrame:
+    """docs without the rows whose predicted language isn't wanted or whose score is below `least`.
+
+    languages are the wanted ones, by default all that the model has learned;
+    `und` never is. The prediction stays with the row under pred_col and
+    score_col where these are given; else the columns stay as they are, whatever their names.
+    """
+    pred, score = pred_col or free_name(docs, "lang_pred"), score_col or free_name(docs, "score")
+    wanted = F.col(pred).isin([x for x in (model.langs if languages is None else languages) if x != UNKNOWN])
+    kept = identify(docs, model, text_col, pred, score).filter(wanted & (F.col(score) >= least))
+    return kept.drop(*[c for c, given in ((pred, pred_col), (score, score_col)) if given is None])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podia.llm.common import ROW, materialise, numbered, small_batches, words_of
+from podia.llm.common import ROW, WHOLE, materialise, numbered, of_whole, small_batches, words_of
 from podia.llm.feistel import permute, place_of
 
 #: Weights of the sources by rank, repeating; no source gives more than EPOCHS times its size.
@@ -18,12 +18,12 @@ WEIGHTS, EPOCHS = (1.0, 2.0, 3.0), 3
 BLOCK_WORDS = 512
 #: Blocks of an output shard.
 SHARD_BLOCKS = 4096
-#: Rows of a source that one window sorts.
-RUN_ROWS = 20_000
+#: Rows of a source that one window sorts, about.
+RUN_ROWS = 2_500
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, digest, row): the number of words of each row's whole text, null 0, a hash of the text, and its number if docs has one in ROW."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(id, source, size, digest, row): the number of words of each row's whole text, null 0, a hash of the text, and its number, from row_col if that is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -31,7 +31,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), batch.column(3), batch.column(4)], ["id", "source", "size", "digest", "row"])
 
     small_batches(docs.sparkSession)
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("digest"), (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"))
+    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("digest"), (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"))
     return cols.mapInArrow(run, "id long, source string, size long, digest long, row long")
 
 
@@ -63,10 +63,10 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int =
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _plan(per_source: DataFrame, block_words: int) -> DataFrame:
+def _plan(per_source: DataFrame, block_words: int, epochs: int = EPOCHS) -> DataFrame:
     """targets() with the number of blocks and the words wanted of each source: its target in whole words."""
     per = per_source.withColumn("block_words", F.lit(block_words).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-    return per.withColumn("wanted", F.least(F.round("target").cast("long"), EPOCHS * F.col("source_size")))
+    return per.withColumn("wanted", F.least(F.round("target").cast("long"), epochs * F.col("source_size")))
 
 
 def last_draw(wanted: int, size: int, blocks: int, block_words: int, key: int) -> tuple[int, int]:
@@ -95,7 +95,7 @@ def _pieces(rows: DataFrame, plan: DataFrame) -> DataFrame:
     in order of id and text; so a source with most of the rows is no single task's work.
     """
     counts = rows.groupBy("source").agg(F.count("*").alias("rows"))
-    runs = plan.join(counts, plan["source"].eqNullSafe(counts["source"])).select(plan["source"].alias("s"), "block_words", F.ceil(F.col("rows") / RUN_ROWS * 8).cast("long").alias("runs"))
+    runs = plan.join(counts, plan["source"].eqNullSafe(counts["source"])).select(plan["source"].alias("s"), "block_words", F.ceil(F.col("rows") / RUN_ROWS).cast("long").alias("runs"))
     dealt = rows.join(runs, rows["source"].eqNullSafe(runs["s"])).drop("s").withColumn("run", F.pmod(F.xxhash64("id", "digest", F.lit("run")), F.col("runs")))
     in_run = Window.partitionBy("source", "run").orderBy(F.col("id").asc_nulls_last(), "digest", "row")
     local = dealt.withColumn("end", F.sum("size").over(in_run))
@@ -119,7 +119,7 @@ def slots(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 7) -> D
     a source is cut where its target is reached.
     """
     per = plan.filter("wanted > 0").select("source", "source_size", "blocks", "block_words", "wanted", F.xxhash64("source", F.lit(seed)).alias("key"))
-    about = F.ceil(F.col("wanted") / F.col("block_words")) + EPOCHS + 1  # draws at most: each epoch has one short block
+    about = F.ceil(F.col("wanted") / F.col("block_words")) + F.ceil(F.col("wanted") / F.col("source_size")) + 1  # draws at most: each epoch has one short block
     total = per.agg(F.sum(about)).first()[0] or 0
     shards = max(1, -(-total // shard_blocks))
     # Each stretch of a source's draws is a row, so that a large source is many tasks' work.
@@ -143,7 +143,7 @@ def slots(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 7) -> D
     return per.mapInArrow(run, "shard long, source string, slot long, block long, epoch long, most long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = 7, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The parts of a mix: rows (id, row, source, size), the plan by source, and drawn pieces.
 
     Drawn pieces are (shard, source, slot, epoch, block, at, row, id, from_word,
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     have size 0 and no pieces; repeated rows are documents of their own, told
     apart by `row`; an empty table gives empty parts.
     """
-    rows = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
+    rows = materialise(sizes(docs, id_col, text_col, source_col, row_col), "sizes")
     plan = materialise(_plan(targets(rows, weights), block_words), "plan")
     pieces = _pieces(rows, plan)
     drawn = slots(plan, seed=seed).withColumnRenamed("source", "s").withColumnRenamed("block", "b")
@@ -202,17 +202,24 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its blocks, thrice at most.
     """
     rows = numbered(docs, "mix-rows")
-    drawn = mix(rows, id_col, text_col, source_col, seed=seed)[2]
-    pieces = drawn.groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("epoch", "from_word", "words")).alias("__pieces"))
+    drawn = _drawn(rows, id_col, text_col, source_col, seed)
+    pieces = drawn.groupBy("row").agg(F.collect_list(F.struct("epoch", "from_word", "words")).alias("pieces"))
 
     @F.pandas_udf("string")
     def taken(texts: pd.Series, pieces: pd.Series) -> pd.Series:
         return pd.Series([cut(t, [(p["epoch"], p["from_word"], p["words"]) for p in own]) for t, own in zip(texts, pieces, strict=True)])
 
-    met = rows.join(pieces, ROW).withColumn(text_col, taken(F.col(text_col).cast("string"), "__pieces"))
+    met = rows.join(pieces, F.col(ROW) == F.col("row")).select(WHOLE, taken(of_whole(text_col).cast("string"), "pieces").alias("text"))
+    new = {text_col: F.col("text")}
     if length_col in docs.columns:
-        met = met.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col]))
-    return met.select(docs.columns)
+        new[length_col] = F.length("text").cast(dict(docs.dtypes)[length_col])
+    return met.select(*[new.get(c, of_whole(c)).alias(c) for c in docs.columns])
+
+
+def _drawn(rows: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """The drawn pieces of numbered rows."""
+    cols = rows.select(ROW, of_whole(id_col).alias("id"), of_whole(text_col).alias("text"), of_whole(source_col).alias("source"))
+    return mix(cols, "id", "text", "source", seed=seed, row_col=ROW)[2]
 
 
 def write_mix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> None:
@@ -223,15 +230,14 @@ def write_mix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     that no text is sent more than once. Null texts have no stretches.
     """
     rows = numbered(docs.select(id_col, text_col, source_col), "mix-rows")
-    drawn = mix(rows, id_col, text_col, source_col, seed=seed)[2]
-    pieces = drawn.groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("shard", "slot", "at", "from_word", "words")).alias("pieces"))
+    pieces = _drawn(rows, id_col, text_col, source_col, seed).groupBy("row").agg(F.collect_list(F.struct("shard", "slot", "at", "from_word", "words")).alias("pieces"))
 
     @F.pandas_udf("array<string>")
     def parts(texts: pd.Series, pieces: pd.Series) -> pd.Series:
         return pd.Series([cuts(t, [(p["from_word"], p["words"]) for p in own]) for t, own in zip(texts, pieces, strict=True)])
 
-    own = rows.join(pieces, ROW).withColumn("parts", parts(F.col(text_col).cast("string"), "pieces"))
-    own = own.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.explode(F.arrays_zip("pieces", "parts")).alias("p"))
+    own = rows.join(pieces, F.col(ROW) == F.col("row")).withColumn("parts", parts(of_whole(text_col).cast("string"), "pieces"))
+    own = own.select(of_whole(source_col).alias("source"), of_whole(id_col).alias("id"), F.explode(F.arrays_zip("pieces", "parts")).alias("p"))
     own = own.select("source", "p.pieces.slot", "p.pieces.at", "id", F.col("p.parts").alias("text"), "p.pieces.shard")
     shuffled = own.repartition("shard").sortWithinPartitions("shard", F.xxhash64("source", "slot", F.lit(seed)), "source", "slot", "at")
     shuffled.write.partitionBy("shard").parquet(path)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from podia.llm.common import free_name
+
 #: The table is broadcast; this is the bound of its size (12 bytes an entry, 12 MB).
 MAX_SLOTS = 1_000_003
 
@@ -62,13 +64,21 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = 65537, out: s
     empty text goes; repeated rows each get their shard; an empty table stays
     empty. A column of df called `out` is replaced.
     """
-    df = df.drop(out).withColumn("__slot", slot_of(F.col(key), slots))
-    table = table_frame(df.sparkSession, shards, slots, out).withColumnRenamed("slot", "__slot")
-    return df.join(F.broadcast(table), "__slot").drop("__slot")
+    slot = free_name(df, f"{out}_slot")
+    table = table_frame(df.sparkSession, shards, slots, out).withColumnRenamed("slot", slot)
+    return df.withColumn(slot, slot_of(F.col(key), slots)).drop(out).join(F.broadcast(table), slot).drop(slot)
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, slots: int = 65537, split: int = 8) -> None:
-    """Write df as Parquet under path/shard=NAME, every shard in up to `split` files so that none is one task's work."""
+    """Write df as Parquet under path/shard=NAME, every shard in up to `split` files so that none is one task's work.
+
+    Rows are dealt over a shard's files by a hash of their columns, maps left
+    out; a null key has a shard like any other. A column `shard` of df is kept as shard_, as the
+    folders give the name its meaning; an empty table writes no shard.
+    """
+    if "shard" in df.columns:
+        other = free_name(df, "shard_")
+        df, key = df.withColumnRenamed("shard", other), other if key == "shard" else key
     placed = place(df, key, shards, slots)
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if dict(df.dtypes)[c].split("<")[0] != "map"]), F.lit(split))
+    part = F.pmod(F.xxhash64(F.lit(0), *[F.col(c) for c, kind in df.dtypes if "map<" not in kind]), F.lit(split))
     placed.repartition(len(shards) * split, "shard", part).write.partitionBy("shard").parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podia.llm import golay
-from podia.llm.common import ROW, few, materialise, numbered, one_of_each, small_batches
+from podia.llm.common import ROW, few, materialise, numbered, of_whole, one_of_each, small_batches
 from podia.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -337,10 +337,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with just one row of each group of similar_groups: one with the smallest non-null id.
 
     Rows are told apart by numbers written once, so null and repeated ids do no
-    harm. Texts without words are alike. All columns stay as they are.
+    harm. Texts without words are alike. All columns stay as they are, whatever their names.
     """
     rows = numbered(docs, "near-rows")
-    groups = materialise(similar_groups(rows, text_col, shingle, similarity).select(ROW, F.col("component_id").alias("__group")), "near-groups")
-    several = groups.groupBy("__group").agg(F.count("*").alias("c")).filter("c > 1").select("__group")
-    named = groups.join(several, "__group", "left_semi").join(rows.select(ROW, F.col(id_col).alias("__id")), ROW)
+    groups = similar_groups(rows.select(ROW, of_whole(text_col).alias("text")), "text", shingle, similarity).select(ROW, F.col("component_id").alias("group"))
+    groups = materialise(groups, "near-groups")
+    several = groups.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1").select("group")
+    named = groups.join(several, "group", "left_semi").join(rows.select(ROW, of_whole(id_col).alias("id")), ROW)
     return one_of_each(rows, materialise(named, "near-named"))
