@@ -4,6 +4,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,26 +12,82 @@ from pyspark.sql import functions as F
 
 from podia.llm.common import materialise, small_batches
 
+class Huge:
+    """A number that no double holds, or of more digits than are worth counting: its text, which comes back as it was."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Huge) and self.text == other.text
+
+    def __hash__(self) -> int:
+        return hash(self.text)
+
+    def __lt__(self, other) -> bool:
+        return self.text.startswith("-")
+
+    def __gt__(self, other) -> bool:
+        return not self.text.startswith("-")
+
+    __le__, __ge__ = __lt__, __gt__
+
+
+#: Digits up to which an integer is read as one.
+MOST_DIGITS = 4000
+
 _KINDS = {
     "object": lambda v: isinstance(v, dict),
     "array": lambda v: isinstance(v, list),
     "string": lambda v: isinstance(v, str),
     "boolean": lambda v: isinstance(v, bool),
     "null": lambda v: v is None,
-    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(),
-    "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool),
+    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer() or isinstance(v, Huge) and v.text.lstrip("-").isdigit(),
+    "number": lambda v: isinstance(v, int | float | Huge) and not isinstance(v, bool),
 }
-
-
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema: type, enum, lengths, pattern, bounds, items, required, properties."""
+#: The keywords that are checked, those that hold schemas, and those that say nothing of validity.
+_CHECKED = {
+    "type", "enum", "const", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf",
+    "minItems", "maxItems", "uniqueItems", "required", "minProperties", "maxProperties",
+}
+_ONE, _MANY, _NAMED = {"items", "not", "additionalProperties"}, {"anyOf", "oneOf", "allOf"}, {"properties"}
+_NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "format", "deprecated", "readOnly", "writeOnly"}
+
+
+def known_schema(schema, at: str = "$") -> None:
+    """ValueError if a schema has keywords or types that violations() doesn't know, so that none is passed over in silence."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: no schema")
+    if unknown := sorted(set(schema) - _CHECKED - _ONE - _MANY - _NAMED - _NOTES):
+        raise ValueError(f"{at}: unknown keywords {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    if wrong := [k for k in ([kinds] if isinstance(kinds, str) else kinds) if k not in _KINDS]:
+        raise ValueError(f"{at}: unknown types {wrong}")
+    for k in _ONE & set(schema):
+        known_schema(schema[k], f"{at}.{k}")
+    for k in _MANY & set(schema):
+        for i, each in enumerate(schema[k]):
+            known_schema(each, f"{at}.{k}[{i}]")
+    for k in _NAMED & set(schema):
+        for name, each in schema[k].items():
+            known_schema(each, f"{at}.{k}.{name}")
+
+
+def violations(value, schema: dict | bool, at: str = "$") -> list[str]:
+    """Where a value breaks a JSON schema, of the keywords that known_schema() lets pass; values are equal if their canonical JSON is."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: nothing is allowed"]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_KINDS[k](value) for k in kinds):
         return [f"{at}: not of type {'|'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not one of the values")
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        out.append(f"{at}: not the value")
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
             out.append(f"{at}: too short")
@@ -39,21 +96,44 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
         if "pattern" in schema and not re.search(schema["pattern"], value):
             out.append(f"{at}: no match")
     if _KINDS["number"](value):
-        if value < schema.get("minimum", value):
+        if "minimum" in schema and value < schema["minimum"] or "exclusiveMinimum" in schema and not value > schema["exclusiveMinimum"]:
             out.append(f"{at}: too small")
-        if value > schema.get("maximum", value):
+        if "maximum" in schema and value > schema["maximum"] or "exclusiveMaximum" in schema and not value < schema["exclusiveMaximum"]:
             out.append(f"{at}: too large")
-    if isinstance(value, list) and "items" in schema:
-        for i, v in enumerate(value):
-            out += violations(v, schema["items"], f"{at}[{i}]")
+        if isinstance(value, Huge):
+            out.append(f"{at}: beyond a double")
+        elif "multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+            out.append(f"{at}: no multiple")
+    if isinstance(value, list):
+        if len(value) < schema.get("minItems", 0):
+            out.append(f"{at}: too few")
+        if len(value) > schema.get("maxItems", len(value)):
+            out.append(f"{at}: too many")
+        if schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value):
+            out.append(f"{at}: repeated")
+        if "items" in schema:
+            for i, v in enumerate(value):
+                out += violations(v, schema["items"], f"{at}[{i}]")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            out.append(f"{at}: not so many properties")
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k, v in value.items():
             if k in known:
                 out += violations(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            elif others is False:
                 out.append(f"{at}.{k}: not allowed")
+            elif others is not True:
+                out += violations(v, others, f"{at}.{k}")
+    for each in schema.get("allOf", []):
+        out += violations(value, each, at)
+    if "anyOf" in schema and all(violations(value, each, at) for each in schema["anyOf"]):
+        out.append(f"{at}: none of the schemas")
+    if "oneOf" in schema and sum(not violations(value, each, at) for each in schema["oneOf"]) != 1:
+        out.append(f"{at}: not one of the schemas alone")
+    if "not" in schema and not violations(value, schema["not"], at):
+        out.append(f"{at}: what must not be")
     return out
 
 
@@ -81,6 +161,8 @@ def canonical(value) -> str:
 
 
 def _scalar(v) -> str:
+    if isinstance(v, Huge):
+        return v.text
     if isinstance(v, float) and v.is_integer() and abs(v) < 1 << 53:
         v = int(v)
     return json.dumps(v, ensure_ascii=False, allow_nan=False)
@@ -100,10 +182,20 @@ def references(value) -> list[str]:
     return out
 
 
-def _finite(number: str) -> float:
-    if math.isinf(found := float(number)):
-        raise ValueError(number)
-    return found
+def _fraction(number: str) -> "float | Huge":
+    return Huge(number) if math.isinf(found := float(number)) else found
+
+
+def _integer(number: str) -> "int | Huge":
+    return int(number) if len(number) <= MOST_DIGITS else Huge(number)
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
+def _loads(text: str):
+    return json.loads(text, parse_float=_fraction, parse_int=_integer, parse_constant=_no_number)
 
 
 #: Scalars and marks of JSON, each with the white space before it.
@@ -112,7 +204,6 @@ _TOKEN = re.compile(r'[ \t\n\r]*("(?:[^"\\\x00-\x1f]|\\.)*"|-?\d[\d.eE+-]*|true|
 
 def _deep(text: str):
     """A text as JSON, by an explicit stack: what json.loads does for texts that nest deeper than Python recurses."""
-    loads = lambda t: json.loads(t, parse_float=_finite)
     stack: list = []  # open containers; of an object with a key that waits for its value, the key after it
     root, at, wanted = None, 0, "value"  # wanted: value, first (value or end), key, first key, colon, more (comma or end), nothing
     for _ in iter(int, 1):
@@ -133,11 +224,11 @@ def _deep(text: str):
             wanted = "value"
             continue
         elif t[0] == '"' and wanted in ("key", "first key"):
-            stack.append(loads(t))
+            stack.append(_loads(t))
             wanted = "colon"
             continue
         elif wanted in ("value", "first") and t not in "}]:,":
-            value = loads(t)
+            value = _loads(t)
         else:
             raise ValueError(f"{t} at {at}")
         if not stack:
@@ -155,9 +246,9 @@ def _deep(text: str):
 
 
 def parsed(text: str):
-    """A text as JSON, however deep; ValueError if it isn't, or has a number that no JSON text can have (NaN, or beyond a double)."""
+    """A text as JSON, however deep, numbers of any size as Huge where need be; ValueError if it isn't (NaN is none)."""
     try:
-        return json.loads(text, parse_float=_finite, parse_constant=lambda name: _finite("inf"))
+        return _loads(text)
     except RecursionError:
         return _deep(text)
 
@@ -173,7 +264,8 @@ def events(text: str | None, schemas: dict[str, dict]) -> list[tuple]:
     A message with calls is an object with `tool_calls`, a list of objects with id, name
     and arguments (an object, or one as text); one with a result has
     `tool_call_id` and content. Anything else has no events. Values may nest
-    as deep as they like. Halves of surrogate pairs are escaped.
+    as deep as they like; a number beyond a double keeps its text and is a
+    violation. Halves of surrogate pairs are escaped.
     """
     if not text or not text.lstrip().startswith("{"):
         return []
@@ -263,6 +355,8 @@ def link(messages: DataFrame, schemas: dict[str, dict], conv_col: str = "conv_id
     null conversation or turn is a value like any other, null turns last; an
     empty table gives an empty result; other columns are ignored.
     """
+    for schema in schemas.values():
+        known_schema(schema)
     every = materialise(message_events(messages, schemas, conv_col, turn_col, text_col), "events")
     when = F.coalesce("turn", F.lit(2**63 - 1))
     first_call = F.min(F.struct(when.alias("at"), "pos", "turn", "name", "body", "violations", "refs")).alias("call")
@@ -323,12 +417,14 @@ DIALOGUE = {
 def as_calls(conversations: DataFrame) -> DataFrame:
     """Plain conversations as messages with calls: a user's turn calls `answer`, the assistant's next turn is the result.
 
-    A call is named by its turn and refers to the user's turn two before. Texts
+    A call is named by its turn and refers to the user's turn two before; turns
+    without a number share the name cnull, so the first of them counts. A null
+    text is an argument that is missing, a null role neither call nor result. Texts
     that are messages with calls or results already stay as they are.
     """
     turn = F.col("turn")
     is_message = F.coalesce(F.col("text"), F.lit("")).rlike(r'(?s)^\s*\{.*"(tool_calls|tool_call_id)"')
-    name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    name = lambda t: F.concat(F.lit("c"), F.coalesce(t.cast("string"), F.lit("null")))
     after = F.when(turn >= 2, F.struct(name(turn - 2).alias("$call")))
     call = F.struct(name(turn).alias("id"), F.lit("answer").alias("name"), F.struct(F.col("text"), turn.alias("turn"), after.alias("after")).alias("arguments"))
     user = F.to_json(F.struct(F.array(call).alias("tool_calls")))

@@ -3,6 +3,8 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
+
 from podia.llm import toolcalls as tc
 
 SCHEMAS = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "number", "minimum": 0}, "b": {}}, "additionalProperties": False}}
@@ -94,11 +96,11 @@ def test_awkward_messages(spark):
     ]
     df = spark.createDataFrame([(None if i % 2 else 1, i, t) for i, t in enumerate(texts)] * 2, "conv_id long, turn long, text string")
     got = {r.call_id: r for r in tc.link(df, SCHEMAS).collect()}
-    assert got["nan"].violations == got["big"].violations == got["text"].violations == ["$: not JSON"]
+    assert got["nan"].violations == got["text"].violations == ["$: not JSON"]
+    assert got["big"].violations == got["x"].violations == ["$.a: beyond a double"]
     assert got["none"].violations == ["$: no such tool"] and got["none"].n_calls == 2
     half = got["half \\ud800"]
     assert half.dangling == ["\\udc00"] and '"\\ud800":' in half.record
-    assert "x" not in got
     assert got["deep"].violations == ["$: not of type object"] and got["deep"].record.startswith('{"arguments":' + deep)
     assert got["nested"].record.endswith(f',"name":null,"result":{nested}}}')
     for r in got.values():
@@ -184,3 +186,45 @@ def test_links_match_brute_force(spark):
     want = brute_links(rows)
     assert got.keys() == want.keys()
     assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
+def test_huge_numbers_lose_no_call(spark):
+    digits = "9" * 5000
+    text = '{"tool_calls": [{"id": "a", "name": "t", "arguments": {"x": 1e400, "y": -2E999, "n": %s}}, {"id": "b", "name": "t", "arguments": "{\\"x\\": 2}"}]}' % digits
+    schemas = {"t": {"properties": {"x": {"type": "number", "maximum": 10}, "y": {"minimum": 0}, "n": {"type": "integer"}}}}
+    rows = [(1, 1, text), (1, 2, '{"tool_call_id": "b", "content": 1E400}'), (2, 1, '{"tool_calls": [{"id": "c", "arguments": NaN}]}')]
+    got = {r.call_id: r for r in tc.link(spark.createDataFrame(rows, "conv_id long, turn long, text string"), schemas).collect()}
+    assert set(got) == {"a", "b"}
+    assert got["a"].violations == ["$.x: too large", "$.x: beyond a double", "$.y: too small", "$.y: beyond a double", "$.n: beyond a double"]
+    assert got["a"].record.startswith('{"arguments":{"n":' + digits + ',"x":1e400,"y":-2E999}')
+    assert got["b"].violations == [] and got["b"].record.endswith('"result":1E400}')
+
+
+def test_turns_without_a_number_are_calls(spark):
+    rows = [(1, None, "user", "a"), (1, None, "user", "b"), (1, None, "assistant", "c"), (1, 1, None, "x"), (1, 2, "user", None)]
+    calls = tc.as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.call_id: r for r in tc.link(calls, tc.DIALOGUE).collect()}
+    assert set(got) == {"cnull", "c2"}
+    assert (got["cnull"].n_calls, got["cnull"].n_results, got["cnull"].status) == (2, 1, "linked")
+    assert "$.text: missing" in got["c2"].violations
+
+
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"const": 1}, [1, 1.0], [True, "1", 2]), ({"enum": [1, None]}, [1, None], [True, False, 0]), ({"multipleOf": 0.1}, [0.3, 2], [0.35]), ({"uniqueItems": True}, [[1, True], []], [[1, 1.0]]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, [2, "x"], [1, 3]), ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["a", 6], [4]), ({"oneOf": [{"minimum": 1}, {"maximum": 3}]}, [0, 4], [2]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 3}]}, [2], [0, 4]), ({"not": {"type": "null"}}, [0], [None]), ({"minItems": 1, "maxItems": 2}, [[1]], [[], [1, 2, 3]]),
+        ({"additionalProperties": {"type": "integer"}}, [{"a": 1}], [{"a": "b"}]), ({"properties": {"a": False}}, [{}], [{"a": 1}]), ({"minProperties": 1}, [{"a": 1}], [{}]),
+    ],
+)
+def test_schema_keywords(schema, good, bad):
+    tc.known_schema(schema)
+    assert all(tc.violations(v, schema) == [] for v in good)
+    assert all(tc.violations(v, schema) for v in bad)
+
+
+@pytest.mark.parametrize("schema", [{"if": {}}, {"type": "text"}, {"properties": {"a": {"dependentRequired": {}}}}, {"anyOf": [{"$ref": "#"}]}, 3])
+def test_unknown_keywords_are_refused(spark, schema):
+    with pytest.raises(ValueError, match="unknown|no schema"):
+        tc.link(spark.createDataFrame([], "conv_id long, turn long, text string"), {"t": schema})
