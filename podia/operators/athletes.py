@@ -125,25 +125,26 @@ def lean(climb: Column, flat: Column) -> Column:
 
 
 def _ascents(keyed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Results on known climbs with a plausible ascent rate; profiles is a curated table, small by nature."""
+    """Results on known climbs with a plausible ascent rate; profiles (race_key, elev_m, dist_km, grade, name, conf) is a curated table, small by nature."""
+    profiles = profiles.withColumnsRenamed({"name": "climb_name", "conf": "climb_conf"})
     v = X.vam(F.col("elev_m"), F.col("finish_seconds"))
     rows = keyed.join(profiles, "race_key").withColumn("vam", v).filter(F.col("vam").between(100, 3000))
     return rows.withColumn("wkg", X.watts_per_kilo(F.col("vam"), F.col("grade")))
 
 
 def climb_vam(keyed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Each athlete's best ascent rate over all known climbs: (id, nm, best_vam, best_wkg, climb, y, g)."""
+    """Each athlete's best ascent rate over all known climbs: (id, nm, best_vam, best_wkg, climb, y, conf, g); climb and conf, how sure its figures are, come from profiles."""
     rows = trackable(keyed)
-    best = _ascents(rows, profiles).groupBy("gk").agg(F.max_by(F.struct("vam", "wkg", "race_key", "year", "gender"), F.struct("vam", -F.col("row_ord"))).alias("b"))
+    best = _ascents(rows, profiles).groupBy("gk").agg(F.max_by(F.struct("vam", "wkg", F.col("climb_name").alias("climb"), "climb_conf", "year", "gender"), F.struct("vam", -F.col("row_ord"))).alias("b"))
     named = best.join(I.most_common(rows, "name_masked"), "gk", "left")
     return named.select(
         I.athlete_id(F.col("gk")).alias("id"), F.col("name_masked").alias("nm"), F.col("b.vam").cast("long").alias("best_vam"), F.col("b.wkg").alias("best_wkg"),
-        F.col("b.race_key").alias("climb"), F.col("b.year").alias("y"), F.col("b.gender").alias("g"),
+        F.col("b.climb").alias("climb"), F.col("b.year").alias("y"), F.col("b.climb_conf").alias("conf"), F.col("b.gender").alias("g"),
     )
 
 
 def course_records(keyed: DataFrame, profiles: DataFrame, top: int = 50) -> DataFrame:
-    """The fastest ascents of each known climb, one for each athlete: (rk, rank, id, nm, t, vam, wkg, y, g, cat, link, n).
+    """The fastest ascents of each known climb, one for each athlete: (rk, rank, id, nm, t, vam, wkg, y, g, cat, link, n, name, dist_km, elev_m, grade).
 
     An athlete's best is a partial aggregate, so that only as many rows as
     athletes are ranked; a climb's board keeps its first `top` before the sort.
@@ -154,11 +155,11 @@ def course_records(keyed: DataFrame, profiles: DataFrame, top: int = 50) -> Data
     board = Window.partitionBy("race_key").orderBy("b.finish_seconds", "b.row_ord")
     ranked = best.withColumn("rank", F.row_number().over(board)).filter(F.col("rank") <= top)
     size = best.groupBy("race_key").agg(F.count("*").alias("n"))
-    out = ranked.join(size, "race_key").join(I.sizes(keyed), "gk", "left")
+    out = ranked.join(size, "race_key").join(profiles, "race_key").join(I.sizes(keyed), "gk", "left")
     return out.select(
         F.col("race_key").alias("rk"), F.col("rank").cast("long").alias("rank"), I.athlete_id(F.col("gk")).alias("id"), F.col("b.name_masked").alias("nm"),
         F.floor("b.finish_seconds").alias("t"), F.col("b.vam").cast("long").alias("vam"), F.col("b.wkg").alias("wkg"), F.col("b.year").alias("y"), F.col("b.gender").alias("g"),
-        F.col("b.cat").alias("cat"), (F.col("rows") >= I.MIN_RESULTS).alias("link"), "n",
+        F.col("b.cat").alias("cat"), (F.col("rows") >= I.MIN_RESULTS).alias("link"), "n", "name", "dist_km", "elev_m", "grade",
     )
 
 

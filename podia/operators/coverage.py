@@ -31,16 +31,20 @@ def loose_core(name: Column) -> Column:
 
 
 def merge_candidates(rows: DataFrame) -> DataFrame:
-    """(loose, verdict, members, safe_cores, total_rows): race keys that look like one race.
+    """(loose, verdict, safe_cores, members, total_rows): race keys that look like one race, for review.
 
     SAFE if the names differ in nothing but editions, REJECT if they differ and
-    a mark says that they are apart, else REVIEW.
+    a mark says that they are apart, else REVIEW. members are (rk, name, rows, years), those with
+    most rows first; safe_cores what is left of their names. A cluster holds the keys of one
+    event, which are few.
     """
-    keys = rows.filter(~X.blank(F.col("race_key"))).groupBy("race_key").agg(F.count("*").alias("rows"), F.min_by(X.filled(F.col("race_name_canonical"), F.col("race_key")), "row_ord").alias("name"))
-    cores = keys.select("race_key", "rows", safe_core(F.col("name")).alias("safe"), loose_core(F.col("name")).alias("loose"), F.col("name").rlike(APART).alias("apart")).filter("loose <> ''")
-    per = cores.groupBy("loose").agg(F.count("*").alias("members"), F.count_distinct("safe").alias("safe_cores"), F.max("apart").alias("apart"), F.sum("rows").alias("total_rows")).filter("members >= 2")
-    verdict = F.when((F.col("safe_cores") > 1) & F.col("apart"), "REJECT").when(F.col("safe_cores") == 1, "SAFE").otherwise("REVIEW")
-    return per.select("loose", verdict.alias("verdict"), "members", "safe_cores", "total_rows")
+    years = F.sort_array(F.collect_set(F.when(F.col("year") != 0, F.col("year"))))
+    keys = rows.filter(~X.blank(F.col("race_key"))).groupBy("race_key").agg(F.count("*").alias("rows"), F.min_by(X.filled(F.col("race_name_canonical"), F.col("race_key")), "row_ord").alias("name"), years.alias("years"))
+    cores = keys.select("race_key", "rows", "name", "years", safe_core(F.col("name")).alias("safe"), loose_core(F.col("name")).alias("loose"), F.col("name").rlike(APART).alias("apart")).filter("loose <> ''")
+    member = F.struct((-F.col("rows")).alias("less"), F.col("race_key").alias("rk"), "name", "rows", "years")
+    per = cores.groupBy("loose").agg(F.sort_array(F.collect_set("safe")).alias("safe_cores"), F.max("apart").alias("apart"), F.sum("rows").alias("total_rows"), F.sort_array(F.collect_list(member)).alias("all")).filter(F.size("all") >= 2)
+    verdict = F.when((F.size("safe_cores") > 1) & F.col("apart"), "REJECT").when(F.size("safe_cores") == 1, "SAFE").otherwise("REVIEW")
+    return per.select("loose", verdict.alias("verdict"), "safe_cores", F.transform("all", lambda x: x.dropFields("less")).alias("members"), "total_rows")
 
 
 # Parts of a calendar's names that tell distance, season, edition or stage, and digits of years.

@@ -77,33 +77,28 @@ def streaks(rows: DataFrame) -> DataFrame:
 
 
 def careers(keyed: DataFrame) -> DataFrame:
-    """(id, n, wins, nr, streak, lrk, lyears) of athletes whose identity isn't doubtful; lrk is the race ridden in most years."""
+    """(id, nm, g, n, wins, nr, streak, lrk, lname, lyears) of athletes whose identity isn't doubtful; lrk is the race ridden in most years."""
     rows = athletes.trackable(keyed)
-    sure = athletes.index(keyed).filter("conf <> 'low'").select("id")
-    rows = rows.withColumn("id", I.athlete_id(F.col("gk"))).join(sure, "id", "left_semi")
-    per = rows.groupBy("gk", "id").agg(F.count("*").alias("n"), F.count_if(F.col("rank_overall") == 1).alias("wins"), F.count_distinct(F.coalesce("race_key", F.lit(""))).alias("nr"))
+    names = rows.filter("race_key is not null").groupBy("race_key").agg(F.min_by(X.filled(F.col("race_name_canonical"), F.col("race_key")), "row_ord").alias("lname"))
+    sure = athletes.index(keyed).filter("conf <> 'low'").select("id", "nm")
+    rows = rows.withColumn("id", I.athlete_id(F.col("gk"))).join(sure, "id")
+    per = rows.groupBy("gk", "id").agg(F.min("nm").alias("nm"), F.count("*").alias("n"), F.count_if(F.col("rank_overall") == 1).alias("wins"), F.count_distinct(F.coalesce("race_key", F.lit(""))).alias("nr"))
     loyal = rows.filter("race_key is not null and year <> 0").groupBy("gk", "race_key").agg(F.count_distinct("year").alias("years"))
-    loyal = loyal.groupBy("gk").agg(F.min_by(F.struct("race_key", "years"), F.struct(-F.col("years"), "race_key")).alias("l"))
-    out = per.join(streaks(rows), "gk", "left").join(loyal, "gk", "left")
-    return out.select("id", "n", "wins", "nr", F.coalesce("streak", F.lit(0).cast("long")).alias("streak"), F.col("l.race_key").alias("lrk"), F.coalesce("l.years", F.lit(0).cast("long")).alias("lyears"))
+    loyal = loyal.groupBy("gk").agg(F.min_by(F.struct("race_key", "years"), F.struct(-F.col("years"), "race_key")).alias("l")).select("gk", F.col("l.race_key").alias("race_key"), F.col("l.years").alias("lyears"))
+    out = per.join(streaks(rows), "gk", "left").join(I.dominant_gender(rows), "gk", "left").join(loyal.join(names, "race_key"), "gk", "left")
+    return out.select("id", "nm", "g", "n", "wins", "nr", F.coalesce("streak", F.lit(0).cast("long")).alias("streak"), F.col("race_key").alias("lrk"), "lname", F.coalesce("lyears", F.lit(0).cast("long")).alias("lyears"))
 
 
 def boards(careers_: DataFrame, top: int = 8) -> DataFrame:
-    """(board, place, id, v): the athletes with most starts, wins, races, the longest streak, and the most years at one race.
+    """(board, place, id, nm, g, rk, name, v): the athletes with most starts, wins, races, the longest streak, and the most years at one race (rk, name).
 
-    Each board is a top-k of one scan, not a sort of all athletes.
+    One pass: an athlete is a row for each board, and of a board's rows Spark
+    keeps `top` in each task before they meet.
     """
     wanted = {"most_starts": ("n", 0), "most_wins": ("wins", 0), "most_races": ("nr", 0), "longest_streak": ("streak", 0), "most_loyal": ("lyears", 1)}
-
-    def board(name: str, col: str, above: int) -> DataFrame:
-        best = careers_.filter(F.col(col) > above).orderBy(F.desc(col), "id").limit(top)
-        place = F.row_number().over(Window.orderBy(F.desc(col), "id")).cast("long")
-        return best.select(F.lit(name).alias("board"), place.alias("place"), "id", F.col(col).alias("v"))
-
-    careers_ = careers_.persist()  # read once for each board
-    frames = [board(name, *spec) for name, spec in wanted.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
+    entries = [F.when(F.col(c) > above, F.struct(F.lit(name).alias("board"), F.col(c).alias("v"))) for name, (c, above) in wanted.items()]
+    rows = careers_.select("id", "nm", "g", "lrk", "lname", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*", "id", "nm", "g", "lrk", "lname")
+    place = F.row_number().over(Window.partitionBy("board").orderBy(F.desc("v"), "id"))
+    loyal = F.col("board") == "most_loyal"
+    first = rows.withColumn("place", place).filter(F.col("place") <= top)
+    return first.select("board", F.col("place").cast("long").alias("place"), "id", "nm", "g", F.when(loyal, F.col("lrk")).alias("rk"), F.when(loyal, F.col("lname")).alias("name"), "v")

@@ -34,13 +34,25 @@ def write_open_dataset(rows: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
+#: The products, their grain, and what each is, as the manifest lists them.
+ENDPOINTS = [
+    ("races", "race-year", "Index of race-years with completion."), ("leaderboard", "result", "Results of each race-year by place."), ("crossyear", "race-year and label", "Winner and quartiles by year."),
+    ("athletes", "athlete", "Index of athletes."), ("history", "result", "Results of each athlete in order."), ("rivals", "pair of athletes", "Meetings and wins."),
+    ("climbs", "athlete", "Best ascent rate on known climbs."), ("course_records", "climb and rank", "Fastest ascents."), ("teams", "team", "Index of teams."),
+    ("series", "series and year", "Stations and standings."), ("race_dna", "race-year", "Six scores of 0 to 100."), ("difficulty", "race-year and label", "Medians against the race's usual one."),
+    ("benchmarks", "cohort", "101 break points of times."), ("insights", "facts", "Age curve, breakouts, ratings, places and boards."), ("overview", "everything", "Totals by year, month, gender, age and class."),
+    ("coverage", "gap", "Calendar races without results, and the season board."), ("dataset", "result", "The open dataset."),
+]
+
+
 def manifest(kpi: DataFrame, races: DataFrame, athletes: DataFrame, teams: DataFrame) -> DataFrame:
-    """One row of totals, from the products themselves."""
+    """One row of totals, from the products themselves, and the list of products (`endpoints`: path, kind, description)."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
     one = kpi.select("records", "races", "series", "sources", F.col("min_year").alias("year_min"), F.col("max_year").alias("year_max"), F.lit(1).alias("k"))
     for frame, name in ((races, "race_editions"), (athletes, "athletes"), (teams, "teams")):
         one = one.join(count(frame, name).withColumn("k", F.lit(1)), "k")
-    return one.drop("k")
+    listed = [F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), F.lit(what).alias("description")) for path, kind, what in ENDPOINTS]
+    return one.drop("k").withColumn("endpoints", F.array(*listed))
 
 
 def documents(flat: DataFrame, keys: list[str], name: str, order: list[str]) -> DataFrame:

@@ -35,19 +35,21 @@ def slim(rows: DataFrame) -> DataFrame:
 
 
 def index(rows: DataFrame) -> DataFrame:
-    """One row a race-year: finishers, first day, whether the race has more years or teams, and how many completed it."""
+    """One row a race-year: the race's latest name and series, finishers, first day, whether it has more years or teams, and how many completed it."""
     day = F.substring("date", 1, 10)
     st = F.col("status")
     per = rows.groupBy("race_key", "year").agg(
         F.count_if(st.isNull() | (st == "FIN")).alias("rows"), F.max(~X.blank(F.col("team"))).alias("has_team"),
         F.min(F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day)).alias("d"), F.count_if(~X.blank(st)).alias("total"), F.count_if(st == "FIN").alias("fin"),
         F.count_if(st.isin("DNF", "DQ", "SRT")).alias("not_finished"), F.count_if(st.isin("DNS", "NYS")).alias("not_started"), F.count_if(st == "NF").alias("unknown"),
-        F.min_by("race_name_canonical", "row_ord").alias("rn"),
     )
-    years = per.groupBy("race_key").agg((F.count_distinct("year") > 1).alias("multi_year"))
-    out = per.join(years.withColumnRenamed("race_key", "k"), F.col("race_key").eqNullSafe(F.col("k")))
-    return out.select(
-        F.col("race_key").alias("rk"), F.col("year").alias("y"), "rn", "rows", "multi_year", "has_team", X.race_file(F.col("race_key"), F.col("year")).alias("file"), "d",
+    series = F.col("series") if "series" in rows.columns else F.lit(None).cast("string")
+    last = F.max_by(F.struct(F.col("race_name_canonical").alias("rn"), series.alias("s")), F.struct(*[c for c in ("source_ord", "row_ord") if c in rows.columns]))
+    of_race = rows.groupBy(F.col("race_key").alias("k")).agg(last.alias("last"))
+    years = per.groupBy("race_key").agg((F.count_distinct(F.when(F.col("year") != 0, F.col("year"))) > 1).alias("multi_year"))
+    met = per.join(years.withColumnRenamed("race_key", "j"), F.col("race_key").eqNullSafe(F.col("j"))).join(of_race, F.col("race_key").eqNullSafe(F.col("k")))
+    return met.select(
+        F.col("race_key").alias("rk"), F.col("year").alias("y"), "last.rn", "last.s", "rows", "multi_year", "has_team", X.race_file(F.col("race_key"), F.col("year")).alias("file"), "d",
         "fin", "total", F.when(F.col("total") > 0, F.round(F.col("fin") / F.col("total"), 3)).alias("rate"), "not_finished", "not_started", "unknown",
     )
 

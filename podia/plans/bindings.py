@@ -68,4 +68,5 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROFILES, "race_key string, elev_m int, dist_km double, grade double")
+    known = spark.createDataFrame(PROFILES, "race_key string, elev_m int, dist_km double, grade double")
+    return known.withColumns({"name": F.concat(F.lit("Mount "), "race_key"), "conf": F.when(F.col("elev_m") > 2000, "high").otherwise("med")})

@@ -77,7 +77,7 @@ _CLIMBS = f""",
 profile(race_key, elev, grade) AS (VALUES {_PROFILES}),
 ascent AS (
   SELECT *, round(CAST(vam AS DOUBLE) / (100 * (2 + CAST(grade AS DOUBLE) / 10)), 1) AS wkg FROM (
-    SELECT f.*, p.grade, CAST(round_even(elev / (finish_seconds / 3600), 0) AS BIGINT) AS vam FROM full_rows f JOIN profile p USING (race_key) WHERE finish_seconds > 0)
+    SELECT f.*, p.grade, p.elev, CAST(round_even(elev / (finish_seconds / 3600), 0) AS BIGINT) AS vam FROM full_rows f JOIN profile p USING (race_key) WHERE finish_seconds > 0)
   WHERE vam BETWEEN 100 AND 3000
 )"""
 _INDEX = """,
@@ -180,7 +180,7 @@ ORACLE: dict[str, str] = {
     ),
     "athletes_climbs": _q(
         """SELECT id, any_value(nm) AS nm, max(vam) AS best_vam, arg_max(wkg, (vam, -row_ord)) AS best_wkg,
-                  arg_max(race_key, (vam, -row_ord)) AS climb, arg_max(year, (vam, -row_ord)) AS y, nullif(arg_max(coalesce(gender, ''), (vam, -row_ord)), '') AS g
+                  'Mount ' || arg_max(race_key, (vam, -row_ord)) AS climb, CASE WHEN arg_max(elev, (vam, -row_ord)) > 2000 THEN 'high' ELSE 'med' END AS conf, arg_max(year, (vam, -row_ord)) AS y, nullif(arg_max(coalesce(gender, ''), (vam, -row_ord)), '') AS g
            FROM ascent JOIN names USING (gk) WHERE gn >= 2 GROUP BY id""",
         _KEYED, _INDEX, _CLIMBS,
     ),
@@ -188,8 +188,8 @@ ORACLE: dict[str, str] = {
         """, best AS (SELECT race_key AS rk, gk, id, arg_min(name_masked, (finish_seconds, row_ord)) AS nm, min(finish_seconds) AS s, arg_min(row_ord, (finish_seconds, row_ord)) AS o,
                arg_min(vam, (finish_seconds, row_ord)) AS vam, arg_min(wkg, (finish_seconds, row_ord)) AS wkg, arg_min(year, (finish_seconds, row_ord)) AS y,
                arg_min(coalesce(gender, ''), (finish_seconds, row_ord)) AS g, arg_min(category_raw, (finish_seconds, row_ord)) AS cat, max(gn) >= 2 AS link FROM ascent GROUP BY 1, 2, 3)
-        SELECT rk, rank, id, nm, CAST(floor(s) AS BIGINT) AS t, vam, wkg, y, nullif(g, '') AS g, cat, link, n FROM (
-          SELECT *, row_number() OVER (PARTITION BY rk ORDER BY s, o) AS rank, count(*) OVER (PARTITION BY rk) AS n FROM best) WHERE rank <= 50""",
+        SELECT rk, rank, id, nm, CAST(floor(s) AS BIGINT) AS t, vam, wkg, y, nullif(g, '') AS g, cat, link, n, name, dist_km, elev_m, grade FROM (
+          SELECT *, row_number() OVER (PARTITION BY rk ORDER BY s, o) AS rank, count(*) OVER (PARTITION BY rk) AS n FROM best) JOIN (SELECT race_key AS rk, 'Mount ' || race_key AS name, dist_km, elev_m, CAST(grade AS DOUBLE) AS grade FROM (VALUES %s) v(race_key, elev_m, dist_km, grade)) USING (rk) WHERE rank <= 50""" % ", ".join(f"('{k}', {e}, CAST({d} AS DOUBLE), {g})" for k, e, d, g in PROFILES),
         _KEYED, _CLIMBS,
     ),
     "athletes_rivals": _q(
@@ -225,8 +225,8 @@ ORACLE: dict[str, str] = {
     ),
     "races_slim": _q("SELECT * FROM slim", _BASE, _SLIM),
     "races_index": _q(
-        """, multi AS (SELECT race_key, count(DISTINCT year) > 1 AS multi_year FROM results GROUP BY 1)
-        SELECT race_key AS rk, year AS y, race_key AS rn, count(*) FILTER (WHERE status IS NULL OR status = 'FIN') AS rows, any_value(multi_year) AS multi_year, bool_or(team IS NOT NULL) AS has_team,
+        """, multi AS (SELECT race_key, count(DISTINCT year) > 1 AS multi_year, arg_max({'s': series}, (source_ord, row_ord)).s AS s FROM results GROUP BY 1)
+        SELECT race_key AS rk, year AS y, race_key AS rn, any_value(s) AS s, count(*) FILTER (WHERE status IS NULL OR status = 'FIN') AS rows, any_value(multi_year) AS multi_year, bool_or(team IS NOT NULL) AS has_team,
                replace(race_key, '#', '-') || '__' || CAST(year AS STRING) AS file, min(date) AS d, count(*) FILTER (WHERE status = 'FIN') AS fin, count(status) AS total,
                CASE WHEN count(status) > 0 THEN round(count(*) FILTER (WHERE status = 'FIN') / CAST(count(status) AS DOUBLE), 3) END AS rate,
                count(*) FILTER (WHERE status = 'DNF') AS not_finished, count(*) FILTER (WHERE status = 'DNS') AS not_started, CAST(0 AS BIGINT) AS unknown
@@ -404,7 +404,8 @@ ORACLE: dict[str, str] = {
     ),
     "manifest": _q(
         """SELECT (SELECT count(*) FROM slim) AS records, (SELECT count(DISTINCT rk) FROM slim) AS races, (SELECT count(DISTINCT s) FROM slim) AS series, (SELECT count(DISTINCT plat) FROM slim) AS sources,
-           (SELECT min(y) FROM slim) AS year_min, (SELECT max(y) FROM slim) AS year_max, (SELECT count(*) FROM fields) AS race_editions, (SELECT count(*) FROM gsize WHERE gn >= 2) AS athletes, (SELECT count(*) FROM real) AS teams""",
+           (SELECT min(y) FROM slim) AS year_min, (SELECT max(y) FROM slim) AS year_max, (SELECT count(*) FROM fields) AS race_editions, (SELECT count(*) FROM gsize WHERE gn >= 2) AS athletes, (SELECT count(*) FROM real) AS teams,
+           'races,leaderboard,crossyear,athletes,history,rivals,climbs,course_records,teams,series,race_dna,difficulty,benchmarks,insights,overview,coverage,dataset' AS endpoints""",
         _KEYED, _SLIM, _TEAMS,
     ),
 }
@@ -414,14 +415,15 @@ runs AS (SELECT gk, y - row_number() OVER (PARTITION BY gk ORDER BY y) AS run FR
 streak AS (SELECT gk, max(n) AS streak FROM (SELECT gk, run, count(*) AS n FROM runs GROUP BY 1, 2) GROUP BY gk),
 loyal AS (SELECT gk, arg_min(race_key, (-n, race_key)) AS lrk, max(n) AS lyears FROM (SELECT gk, race_key, count(DISTINCT year) AS n FROM track GROUP BY 1, 2) GROUP BY gk),
 career AS (
-  SELECT t.id, count(*) AS n, count(*) FILTER (WHERE rank_overall = 1) AS wins, count(DISTINCT race_key) AS nr, any_value(streak) AS streak, any_value(lrk) AS lrk, any_value(lyears) AS lyears
+  SELECT t.id, any_value(a.nm) AS nm, CASE WHEN count(*) FILTER (WHERE gender = 'M') > count(*) FILTER (WHERE gender = 'F') THEN 'M' WHEN count(*) FILTER (WHERE gender = 'M') < count(*) FILTER (WHERE gender = 'F') THEN 'F' END AS g,
+         any_value(lrk) AS lname, count(*) AS n, count(*) FILTER (WHERE rank_overall = 1) AS wins, count(DISTINCT race_key) AS nr, any_value(streak) AS streak, any_value(lrk) AS lrk, any_value(lyears) AS lyears
   FROM track t JOIN athletes a ON t.id = a.id AND a.conf <> 'low' JOIN streak USING (gk) JOIN loyal USING (gk) GROUP BY t.id
 )"""
 ORACLE["insights_careers"] = _q("SELECT * FROM career", _KEYED, _INDEX, _CAREER)
 ORACLE["insights_boards"] = _q(
     "SELECT * FROM ("
     + " UNION ALL ".join(
-        f"SELECT '{name}' AS board, row_number() OVER (ORDER BY {col} DESC, id) AS place, id, {col} AS v FROM career WHERE {col} > {above} QUALIFY place <= 8"
+        f"SELECT '{name}' AS board, row_number() OVER (ORDER BY {col} DESC, id) AS place, id, nm, g, {"lrk" if col == "lyears" else "NULL"} AS rk, {"lname" if col == "lyears" else "NULL"} AS name, {col} AS v FROM career WHERE {col} > {above} QUALIFY place <= 8"
         for name, col, above in (("most_starts", "n", 0), ("most_wins", "wins", 0), ("most_races", "nr", 0), ("longest_streak", "streak", 0), ("most_loyal", "lyears", 1))
     )
     + ")",
@@ -611,3 +613,31 @@ ORACLE["identity_carryover"] = _q(
     SELECT id AS new_id, old_id FROM best JOIN place USING (id) WHERE old_id NOT IN (SELECT id FROM keyed) QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY first) = 1""",
     _KEYED,
 )
+ORACLE["increment_changed"] = _q(
+    """SELECT DISTINCT race_key, year, CASE WHEN race_key = 'Brand#2' THEN 'missing' ELSE 'changed' END AS state FROM results
+    WHERE race_key = 'Brand#2' AND year = 1996 OR race_key = 'Brand#4' AND bib = 3 AND finish_seconds IS NOT NULL"""
+)
+ORACLE["increment_counts"] = _q(
+    """, n AS (SELECT year AS y, gender AS g, floor(finish_seconds + CASE WHEN race_key = 'Brand#4' AND bib = 3 THEN 1 ELSE 0 END) AS t FROM results
+            WHERE (status IS NULL OR status = 'FIN') AND NOT (race_key = 'Brand#2' AND year = 1996))
+    SELECT y, g, count(*) AS n, round(avg(t), 6) AS mean FROM n GROUP BY 1, 2""",
+    _BASE,
+)
+_NAMED = " || ".join(f"substr('{_CHARS}', CAST((b * {x} + {y}) % {len(_CHARS)} + 1 AS BIGINT), 1)" for x, y in ((7, 0), (11, 3), (13, 5), (17, 1)))
+ORACLE["merge_candidates"] = f"""
+    WITH p AS (SELECT *, CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) AS b, p_size % 4 AS kind FROM part),
+    k AS (
+      SELECT *, CASE WHEN b % 3 = 0 THEN kind WHEN b % 3 = 1 THEN CASE WHEN kind > 1 THEN 3 ELSE kind END ELSE CASE WHEN kind > 0 THEN 1 ELSE 0 END END AS own, {_NAMED} AS base FROM p
+    ),
+    m AS (
+      SELECT p_brand || '|' || own AS rk, b, base, own, (2010 + b % 9) || ' ' || base || '自行車賽' || CASE own WHEN 0 THEN '' WHEN 1 THEN '挑戰組' WHEN 2 THEN '東部段' ELSE '第3屆' END AS name,
+             count(*) AS rows, array_to_string(list_sort(list(DISTINCT 1992 + p_partkey % 5)), '+') AS years
+      FROM k GROUP BY ALL
+    ),
+    c AS (
+      SELECT *, base || '賽' AS loose, base || '賽' || CASE own WHEN 1 THEN '組' WHEN 2 THEN '東部段' ELSE '' END AS safe FROM m
+    )
+    SELECT loose, CASE WHEN count(DISTINCT safe) > 1 AND bool_or(own = 2) THEN 'REJECT' WHEN count(DISTINCT safe) = 1 THEN 'SAFE' ELSE 'REVIEW' END AS verdict,
+           array_to_string(list_sort(list(DISTINCT safe)), ',') AS safe_cores, string_agg(rk || '/' || name || '/' || rows || '/' || years, ',' ORDER BY rows DESC, rk) AS members, CAST(sum(rows) AS BIGINT) AS total_rows
+    FROM c GROUP BY loose HAVING count(*) >= 2
+"""

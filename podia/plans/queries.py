@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from podia.functions import text as X
 from podia.operators import athletes as A
-from podia.operators import coverage, insights, merge, privacy, publish, quality, races, summaries, teams
+from podia.operators import coverage, increment, insights, merge, privacy, publish, quality, races, summaries, teams
 from podia.operators import identity as I
 from podia.plans import renderings
 from podia.plans.bindings import RULES, profiles, results
@@ -101,7 +101,7 @@ def top_athlete(spark, sf_dir):
 
 
 def doppelgangers(spark, sf_dir):
-    vectors = A.features(keyed(spark, sf_dir), RULES).persist()
+    vectors = A.features(keyed(spark, sf_dir), RULES)
     target = vectors.orderBy("id").first()
     return A.doppelgangers(vectors, target["id"] if target else "")
 
@@ -111,7 +111,7 @@ def similar(spark, sf_dir):
 
 
 def compared(spark, sf_dir):
-    h = _history(spark, sf_dir).persist()
+    h = _history(spark, sf_dir)
     two = [r["id"] for r in h.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(2).collect()]
     return A.compare(h, *two)
 
@@ -150,6 +150,42 @@ def course_points(spark, sf_dir):
     return races.distance_speed(races.slim(rows))
 
 
+def _next_build(rows):
+    """The results without one race-year, and with other times in another race."""
+    rows = rows.filter("not (race_key = 'Brand#2' and year = 1996)")
+    return rows.withColumn("finish_seconds", F.when((F.col("race_key") == "Brand#4") & (F.col("bib") == "3"), F.col("finish_seconds") + 1).otherwise(F.col("finish_seconds")))
+
+
+def changed_race_years(spark, sf_dir):
+    """The race-years that differ between two builds."""
+    old = results(spark, sf_dir)
+    return increment.changed_race_years(increment.digests(old), increment.digests(_next_build(old)))
+
+
+def summed_states(spark, sf_dir):
+    """Finishers by year and gender in the next build: old states of unchanged race-years, new ones of the others, added up."""
+    old = results(spark, sf_dir)
+    new = _next_build(old)
+    changed = increment.changed_race_years(increment.digests(old), increment.digests(new))
+    kept = old.join(changed.select("race_key", "year"), ["race_key", "year"], "left_anti")
+    both = increment.states(races.slim(kept)).unionByName(increment.states(races.slim(increment.of_race_years(new, changed))))
+    return increment.counts(both, ["y", "g"])
+
+
+def merge_candidates(spark, sf_dir):
+    """Brands of parts as races whose keys differ by edition, group or section."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    b = F.regexp_extract("p_brand", r"\d+", 0).cast("int")
+    kind = F.col("p_size") % 4
+    own = F.when(b % 3 == 0, kind).when(b % 3 == 1, F.when(kind > 1, 3).otherwise(kind)).otherwise(F.when(kind > 0, 1).otherwise(0))
+    word = F.element_at(F.array(*map(F.lit, ["", "挑戰組", "東部段", "第3屆"])), (own + 1).cast("int"))
+    name = F.concat((F.lit(2010) + b % 9).cast("string"), F.lit(" "), _race_names(b), word)
+    rows = p.select(F.concat_ws("|", "p_brand", own.cast("string")).alias("race_key"), name.alias("race_name_canonical"), (F.lit(1992) + F.col("p_partkey") % 5).cast("long").alias("year"), F.col("p_partkey").alias("row_ord"))
+    found = coverage.merge_candidates(rows)
+    member = lambda m: F.concat_ws("/", m["rk"], m["name"], m["rows"].cast("string"), F.array_join(F.transform(m["years"], lambda y: y.cast("string")), "+"))
+    return found.select("loose", "verdict", F.array_join("safe_cores", ",").alias("safe_cores"), F.array_join(F.transform("members", member), ",").alias("members"), "total_rows")
+
+
 def masked_teams(spark, sf_dir):
     rows = results(spark, sf_dir).withColumn("team", F.when(F.col("row_ord") % 17 == 0, F.col("name_raw")).otherwise(F.col("team"))).withColumn("name_raw", F.regexp_replace("name_raw", r"\d+", "Li"))
     rows = rows.withColumn("team", F.regexp_replace("team", r"^([A-Z]+) \d+$", "$1 Li"))
@@ -236,7 +272,8 @@ def climb_bench(spark, sf_dir):
 
 def manifest(spark, sf_dir):
     k = keyed(spark, sf_dir)
-    return publish.manifest(races.kpi(races.slim(k)), races.index(k), A.index(k), teams.index(teams.team_rows(k)))
+    one = publish.manifest(races.kpi(races.slim(k)), races.index(k), A.index(k), teams.index(teams.team_rows(k)))
+    return one.withColumn("endpoints", F.array_join(F.transform("endpoints", lambda e: e["path"]), ","))
 
 
 QUERIES = {
@@ -259,6 +296,8 @@ QUERIES = {
     "quality_inversions": lambda s, d: quality.inversions(results(s, d).withColumn("rank_overall", F.when(F.col("bib") == 2, F.col("rank_overall") + 3).otherwise(F.col("rank_overall")))),
     "quality_coverage": lambda s, d: quality.coverage(results(s, d)),
     "compare_builds": builds,
+    "increment_changed": changed_race_years,
+    "increment_counts": summed_states,
     "quality_shrunk_sources": guarded_sources,
     # Identity and athletes
     "identity_keys": lambda s, d: keyed(s, d).select("row_ord", "gk", I.athlete_id(F.col("gk")).alias("id")),
@@ -330,6 +369,7 @@ QUERIES = {
     "manifest": manifest,
     "coverage_gaps": calendar_gaps,
     "coverage_known": known_races,
+    "merge_candidates": merge_candidates,
     "season_board": season_board,
     # Sources
     "text_books": text_books,

@@ -221,8 +221,9 @@ def test_open_dataset_shows_no_name(spark):
 def test_merge_candidates(spark):
     names = ["第3屆 彰化經典百K", "第4屆 彰化經典百K", "環台賽東部段", "環台賽西部段", "甲地挑戰組公路", "甲地公路賽道挑戰組", "獨一"]
     df = records(spark, [row("n", race=f"k{i}", race_name_canonical=n) for i, n in enumerate(names)])
-    got = {r.verdict: r.members for r in coverage.merge_candidates(df).collect()}
-    assert got["SAFE"] == 2 and got["REJECT"] == 2
+    got = {r.verdict: r for r in coverage.merge_candidates(df).collect()}
+    assert [(m.rk, m.name, m.rows, m.years) for m in got["SAFE"].members] == [("k0", "第3屆 彰化經典百K", 1, [2024]), ("k1", "第4屆 彰化經典百K", 1, [2024])]
+    assert len(got["SAFE"].safe_cores) == 1 and len(got["REJECT"].members) == len(got["REJECT"].safe_cores) == 2 and got["REJECT"].total_rows == 2
 
 
 def test_gaps_and_board(spark):

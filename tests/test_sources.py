@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 
 from podia.operators.merge import without_copies, without_zero_times
 from podia.operators.normalise import RECORD, enrich, make_records
@@ -44,9 +45,32 @@ def test_ingest_equals_the_batch_merge(spark, tmp_path):
     ingest.ingest(spark, src, out, point).awaitTermination()
     assert ingest.read_ingested(spark, out).count() == len(got)
     again = spark.read.parquet(f"{out}/batch=2").count()
-    known = ingest.read_ingested(spark, out, before=2)
     third = enrich(make_records(spark.read.schema(RECORD).json(f"{src}/2.json")))
+    parts = [r.part for r in ingest.checked(third).select(ingest.key_part().alias("part")).distinct().collect()]
+    known = ingest.known_keys(spark, out, parts, 2)
     assert ingest.without_known(third, known).count() == again
+    opened = {f.split("part=")[1].split("/")[0] for f in known.inputFiles()}
+    assert opened <= set(parts) and len(opened) < len(os.listdir(f"{out}_keys"))
+    assert ingest.known_keys(spark, out, ["1900-3"], 9).count() == ingest.known_keys(spark, out, parts, 0).count() == 0
+
+
+def test_a_batch_that_failed_half_way_is_taken_again(spark, tmp_path):
+    """The results of a batch are lost after its keys were written: run again, it finds them new."""
+    src, out, point = (str(tmp_path / n) for n in ("in", "out", "point"))
+    os.makedirs(src)
+    rows = [_result("王小明", 3600.0 + i, order=i) for i in range(40)]
+    for i, part in enumerate((rows[:25], rows[15:])):
+        with open(f"{src}/{i}.json", "w", encoding="utf-8") as f:
+            f.write("\n".join(json.dumps(r, ensure_ascii=False) for r in part))
+        ingest.ingest(spark, src, out, point).awaitTermination()
+    assert ingest.read_ingested(spark, out).count() == 40
+    shutil.rmtree(f"{out}/batch=1")
+    os.remove(f"{point}/commits/1")
+    if os.path.exists(f"{point}/commits/.1.crc"):
+        os.remove(f"{point}/commits/.1.crc")
+    ingest.ingest(spark, src, out, point).awaitTermination()
+    assert ingest.read_ingested(spark, out).filter("batch = 1").count() == 15
+    assert ingest.read_ingested(spark, out).count() == 40
 
 
 def test_incremental_ingest(spark, tmp_path):
