@@ -641,3 +641,27 @@ ORACLE["merge_candidates"] = f"""
            array_to_string(list_sort(list(DISTINCT safe)), ',') AS safe_cores, string_agg(rk || '/' || name || '/' || rows || '/' || years, ',' ORDER BY rows DESC, rk) AS members, CAST(sum(rows) AS BIGINT) AS total_rows
     FROM c GROUP BY loose HAVING count(*) >= 2
 """
+ORACLE["fn_series"] = """
+    SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '台灣登山大滿貫(雪巴)' WHEN 1 THEN '96聯賽' WHEN 2 THEN 'TIS崇越盃系列' WHEN 3 THEN 'L''Étape 環法日月潭'
+           WHEN 4 THEN '臺灣自行車聯賽(TCL)' WHEN 5 THEN 'GravelFundo 礫石越野系列' WHEN 7 THEN '環花東國際自行車賽' END AS series FROM part
+"""
+ORACLE["merge_superseded"] = _q(
+    "SELECT source_platform, count(*) AS rows FROM results WHERE NOT (source_platform = '1-URGENT' AND race_key = 'Brand#1') AND NOT (source_platform = '2-HIGH' AND race_key = 'Brand#7' AND year = 1995) GROUP BY 1"
+)
+ORACLE["identity_legacy"] = _q(
+    """, published AS (SELECT race_key || '|' || CAST(year AS VARCHAR) || '|' || CAST(CAST(finish_seconds AS BIGINT) AS VARCHAR) || '|' || name_masked AS entry, min(id) AS aid FROM keyed WHERE finish_seconds IS NOT NULL GROUP BY 1),
+    hid AS (SELECT * REPLACE (CASE WHEN row_ord % 4 = 0 THEN substr(name_raw, 1, 1) || '*' ELSE name_raw END AS name_raw), row_ord % 4 = 0 AS hidden,
+                   race_key || '|' || CAST(year AS VARCHAR) || '|' || CAST(CAST(finish_seconds AS BIGINT) AS VARCHAR) || '|' || name_masked AS entry FROM results),
+    anchor2 AS (SELECT name_raw AS nm, CASE WHEN count(DISTINCT tsu_rider_id) = 1 THEN min(tsu_rider_id) END AS tsu, CASE WHEN count(DISTINCT uci_id) = 1 THEN min(uci_id) END AS uci FROM hid GROUP BY 1),
+    open AS (SELECT h.*, CASE WHEN tsu_rider_id IS NOT NULL THEN 't:' || tsu_rider_id WHEN uci_id IS NOT NULL THEN 'u:' || uci_id WHEN tsu IS NOT NULL THEN 't:' || tsu WHEN uci IS NOT NULL THEN 'u:' || uci ELSE 'n:' || name_raw END AS gk
+             FROM hid h LEFT JOIN anchor2 a ON h.name_raw = a.nm),
+    held AS (SELECT substr(sha1('podia-athlete-v1|' || gk), 1, 10) AS aid, arg_min(gk, row_ord) AS held_key FROM open WHERE NOT hidden GROUP BY 1)
+    SELECT row_ord, CASE WHEN NOT hidden THEN gk WHEN p.aid IS NULL THEN 's:' || CAST(row_ord AS VARCHAR) ELSE coalesce(held_key, 'x:' || p.aid) END AS gk
+    FROM open o LEFT JOIN published p ON o.hidden AND o.entry = p.entry LEFT JOIN held h ON p.aid = h.aid""",
+    _KEYED,
+)
+ORACLE["series_documents"] = f"SELECT s, y, string_agg(rk || '/' || CAST(n AS VARCHAR), ',' ORDER BY rk) AS stations FROM ({ORACLE['series_stations']}) GROUP BY s, y"
+ORACLE["json_sources"] = _q(
+    """SELECT CAST(substr(source_platform, 1, 1) AS BIGINT) - 1 AS source_ord, name_raw AS name, CASE WHEN race_key = 'Brand#1' THEN 'Brand#One' ELSE race_key END AS race_key, year, finish_seconds, name_masked
+    FROM results WHERE substr(source_platform, 1, 1) IN ('1', '2')"""
+)

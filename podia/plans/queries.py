@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from podia.functions import text as X
 from podia.operators import athletes as A
-from podia.operators import coverage, increment, insights, merge, privacy, publish, quality, races, summaries, teams
+from podia.operators import coverage, increment, insights, merge, normalise, privacy, publish, quality, races, summaries, teams
 from podia.operators import identity as I
-from podia.plans import renderings
+from podia.plans import renderings, shared
 from podia.plans.bindings import RULES, profiles, results
-from podia.sources import books, pages
+from podia.sources import books, pages, readers
 
 #: The athlete and the race that lookups ask for: the one with most results, and a fixed one.
 RACE, YEAR = "Brand#7", 1998
@@ -95,6 +95,50 @@ def carried_ids(spark, sf_dir):
     return merge.carryover(rows, published)
 
 
+def series(spark, sf_dir):
+    """The series that races' names belong to."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    words = ["登山大滿貫", "96聯賽武嶺", "TIS石門環湖", "L'Étape環法", "陽明山王", "GRAVEL FUNDO", "無名賽", "花東縱谷認證"]
+    name = F.concat(F.col("p_name"), F.lit(" "), F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % 8 + 1).cast("int")))
+    return p.select("p_partkey", X.by_pattern(name, X.SERIES).alias("series"))
+
+
+def superseded(spark, sf_dir):
+    """Results without a race that another source has better, and without one year of another, by source."""
+    rows = results(spark, sf_dir)
+    race = spark.createDataFrame([("1-URGENT", "Brand#1")], "source_platform string, race_key string")
+    year = spark.createDataFrame([("2-HIGH", "Brand#7", 1995), ("2-HIGH", "Brand#9", None)], "source_platform string, race_key string, year long")
+    return merge.without(merge.without(rows, race), year).groupBy("source_platform").agg(F.count("*").alias("rows"))
+
+
+def legacy_keys(spark, sf_dir):
+    """Identities where every fourth row hides the name: by the published results that they match."""
+    rows = keyed(spark, sf_dir)
+    entry = I.entry_key(F.col("race_key"), F.col("year"), F.col("finish_seconds"), F.col("name_masked"))
+    legacy = rows.select(entry.alias("entry"), I.athlete_id(F.col("gk")).alias("athlete_id")).filter("entry is not null").groupBy("entry").agg(F.min("athlete_id").alias("athlete_id"))
+    hidden = F.when(F.col("row_ord") % 4 == 0, F.concat(F.substring("name_raw", 1, 1), F.lit("*"))).otherwise(F.col("name_raw"))
+    return I.with_group_keys(results(spark, sf_dir).withColumn("name_raw", hidden), legacy).select("row_ord", "gk")
+
+
+def nested_series(spark, sf_dir):
+    """The stations of each series and year as one document."""
+    docs = publish.documents(teams.stations(keyed(spark, sf_dir)), ["s", "y"], "stations", ["rk"])
+    return docs.select("s", "y", F.array_join(F.transform("stations", lambda x: F.concat_ws("/", x["rk"], x["n"].cast("string"))), ",").alias("stations"))
+
+
+def json_sources(spark, sf_dir):
+    """The results of two priorities written as JSON arrays, read by pieces as two sources, united, and their races renamed."""
+    rows = results(spark, sf_dir).select("race_name_raw", "race_key", "year", "name_raw", "finish_seconds", "row_ord", F.substring("source_platform", 1, 1).alias("p")).filter("p in ('1', '2')")
+    item = F.concat(F.to_json(F.struct("race_name_raw", "race_key", "year", F.concat("name_raw", F.lit(' "}],')).alias("name"), "finish_seconds", "row_ord")), F.lit(","))
+    lines = rows.select("p", F.lit(1).alias("k"), item.alias("value"))
+    ends = spark.range(1, 3).select(F.col("id").cast("string").alias("p"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("[").alias("value")), F.struct(F.lit(2).alias("k"), F.lit("{}]").alias("value")))).alias("e")).select("p", "e.*")
+    path = shared.folder(spark, "json-sources")
+    lines.unionByName(ends).repartition("p").sortWithinPartitions("p", "k").select("p", "value").write.partitionBy("p").text(path)
+    sources = [readers.read_results(spark, f"{path}/p={p}", "json_array", {"name": "name_raw"}) for p in (1, 2)]
+    united = normalise.enrich(normalise.union_sources(sources), {"Brand#1": "Brand#One"}).filter("name_raw is not null")
+    return united.select("source_ord", F.substring_index("name_raw", ' "', 1).alias("name"), "race_key", "year", "finish_seconds", "name_masked")
+
+
 def top_athlete(spark, sf_dir):
     """The rider with the most results: the target of lookups."""
     return A.index(keyed(spark, sf_dir)).orderBy(F.desc("n"), F.desc("ny"), "id").limit(1).select("id")
@@ -281,11 +325,13 @@ QUERIES = {
     "fn_names": mask,
     "fn_divisions": divisions,
     "fn_courses": distances,
+    "fn_series": series,
     # Normalised records and merge
     "records": lambda s, d: results(s, d).select("row_ord", "race_key", "year", "gender", "age_band", "race_class", "name_masked", "rank_overall", "finish_seconds"),
     "merge_dedup": lambda s, d: merge.without_copies(merge.without_zero_times(_two_sources(s, d))).select("source_ord", "row_ord", "name_raw"),
     "merge_cross_listed": cross_listed,
     "merge_masked_teams": masked_teams,
+    "merge_superseded": superseded,
     "merge_summary": lambda s, d: merge.summary(results(s, d)),
     "merge_races": lambda s, d: merge.races_summary(results(s, d)),
     # Quality
@@ -301,6 +347,7 @@ QUERIES = {
     "quality_shrunk_sources": guarded_sources,
     # Identity and athletes
     "identity_keys": lambda s, d: keyed(s, d).select("row_ord", "gk", I.athlete_id(F.col("gk")).alias("id")),
+    "identity_legacy": legacy_keys,
     "identity_carryover": carried_ids,
     "athletes_index": lambda s, d: A.index(keyed(s, d)),
     "athletes_history": _history,
@@ -355,6 +402,7 @@ QUERIES = {
     "teams_by_year": lambda s, d: teams.by_year(teams.team_rows(keyed(s, d))),
     "teams_highlights": lambda s, d: teams.highlights(teams.team_rows(keyed(s, d))),
     "series_stations": lambda s, d: teams.stations(keyed(s, d)),
+    "series_documents": nested_series,
     "series_standings": lambda s, d: teams.standings(keyed(s, d)),
     # Insights
     "insights_age_curve": lambda s, d: insights.age_curve(results(s, d)),
@@ -372,6 +420,7 @@ QUERIES = {
     "merge_candidates": merge_candidates,
     "season_board": season_board,
     # Sources
+    "json_sources": json_sources,
     "text_books": text_books,
     "text_books_refused": refused_lines,
     "page_tables": page_tables,

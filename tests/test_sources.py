@@ -19,6 +19,30 @@ def test_json_csv_parquet(spark, tmp_path):
     assert [(r.year, r.name_raw) for r in readers.read_results(spark, str(tmp_path / "c.csv"), "csv", header=True).collect()] == [(7, "x")]
 
 
+ODD = ['a "quoted" } brace', "{[}]", "back\\\\slash\\\\", "tab\\t,", "},{", "]", "\\u007d", ""]
+
+
+def test_large_arrays_are_read_by_many_tasks(spark, tmp_path):
+    rows = [{"name_raw": ODD[i % len(ODD)] + str(i), "year": i, "splits": ["}", "x"] if i % 3 else [], "junk": {"deep": [{"a": ODD[i % 5]}, {}]}} for i in range(3000)]
+    (tmp_path / "a").mkdir()
+    for name, part, indent in (("1.json", rows[:2500], None), ("2.json", rows[2500:], 2), ("3.json", [], None), ("4.json", [{}], None)):
+        (tmp_path / "a" / name).write_text(json.dumps(part, ensure_ascii=name == "1.json", indent=indent), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = readers.json_array_records(spark, str(tmp_path / "a"))
+        assert spark.read.text(str(tmp_path / "a" / "1.json")).rdd.getNumPartitions() > 20
+        got = sorted(((r.path.rsplit("/", 1)[1], r.place, json.loads(r.record)) for r in found.collect()), key=lambda x: x[:2])
+        records = readers.read_results(spark, str(tmp_path / "a"), "json_array").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [x[2] for x in got] == [*rows, {}]
+    assert [x[1] for x in got if x[0] == "2.json"] == list(range(500))
+    in_order = sorted(records, key=lambda r: (r.source_ord, r.row_ord))
+    assert [(r.name_raw, r.year, r.splits) for r in in_order if r.source_ord < 2] == [(r["name_raw"], r["year"], r["splits"]) for r in rows]
+    assert [(r.source_ord, r.row_ord) for r in in_order[-1:]] == [(2, 0)]
+
+
 def _result(name, seconds, year=2026, source=0, order=0, **kw):
     return {"name_raw": name, "finish_seconds": seconds, "year": year, "date": f"{year}-03-01", "race_key": "A", "source_ord": source, "row_ord": order} | kw
 
