@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podia.llm import golay
-from podia.llm.common import ROW, few, materialise, numbered, of_whole, one_of_each, small_batches
+from podia.llm.common import ROW, few, materialise, numbered, of_whole, one_of_each, small_batches, sweep
 from podia.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -287,9 +287,11 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
     Candidates share a Golay key of the sets' SimHash (exact for 4 bits) or one
     of BANDS keys of minimum hashes; each link is verified on the whole sets.
     Rows with equal sets are one node. What shares a key is first compared with
-    two of the key's nodes; only keys whose nodes are then still in several
-    components are compared pair by pair, in blocks.
+    two of the key's nodes: in the first turn each node with the least by hash of all that its keys
+    offer, so that a large group of copies makes a pair a node, in the second with one for each key that is still open.
+    Only keys whose nodes are then still in several components are compared pair by pair, in blocks.
     """
+    spark = rows.sparkSession
     small_batches(rows.sparkSession)
     texts = rows.select(ROW, F.col(text_col).cast("string").alias("text"))
     sketch = texts.mapInArrow(_sketches(shingle), f"{ROW} long, digest binary, n long, fp long, bands array<long>")
@@ -301,9 +303,11 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
     keyed = single.select("node", "fp", "bands").mapInArrow(_node_keys, "key long, node long")
     keyed = materialise(keyed.withColumn("many", F.count("*").over(by_key)).filter("many > 1").drop("many"), "shared-keys")
     keyed = materialise(keyed.join(single.select("node", "n", "fp"), "node").withColumn("band", F.col("key") < 0), "shared-nodes")
+    sweep(spark)
     wanted = few(keyed.select("node").distinct(), "shared-nodes")
     sets = texts.join(wanted.withColumnRenamed("node", ROW), ROW, "left_semi").mapInArrow(_sets(shingle), "node long, hashes array<long>")
     sets = materialise(sets, "shingle-sets")
+    sweep(spark)
 
     def may(left: str, right: str) -> Column:
         """Whether sizes allow the similarity and, for Golay keys, the fingerprints are near."""
@@ -315,6 +319,8 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "fp", "root")
         star = open_.select("key", "band", F.struct("node", "n", "fp", "root").alias("one"), F.min(order).over(by_key).alias("hub"))
         star = star.filter((F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
+        if turn == 0:
+            star = star.groupBy("one").agg(F.min("hub").alias("hub"))
         star = star.select(F.least("one.node", "hub.node").alias("a"), F.greatest("one.node", "hub.node").alias("b")).distinct()
         found = materialise(_alike(star, sets, similarity), "links")
         links = found if links is None else links.unionByName(found)
@@ -322,6 +328,7 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
         open_ = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = open_.withColumn("least", F.min("root").over(by_key)).withColumn("most", F.max("root").over(by_key)).filter("least <> most").drop("least", "most")
         open_ = materialise(open_, "open-keys")
+        sweep(spark)
 
     dealt = open_.withColumn("blocks", F.ceil(F.count("*").over(by_key) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     here = dealt.select("key", F.col("own").alias("block"), F.struct("node", "n", "fp", "root").alias("one"))
