@@ -11,13 +11,18 @@ from podia.operators import identity as I
 from podia.operators.meetings import pairs
 
 FEATURE_WEIGHTS = [1.0, 1.0, 0.8, 1.3, 0.5]
+#: Columns that a history only shows.
+HISTORY = {"race_name_canonical": "string", "category_raw": "string", "gender": "string", "team": "string", "finish_seconds": "double", "result_label": "string"}
 AXES = ("climb", "flat", "tt", "overall", "age")
 
 
-def trackable(keyed: DataFrame, least: int = I.MIN_RESULTS) -> DataFrame:
-    """The rows of identities with `least` results."""
-    rows = I.resolved(keyed)
-    return rows.join(I.sizes(rows).filter(F.col("rows") >= least).select("gk"), "gk", "left_semi")
+def trackable(keyed: DataFrame, least: int = I.MIN_RESULTS, by: tuple[str, ...] = ("gk",)) -> DataFrame:
+    """The rows of identities with `least` results.
+
+    Rows meet by identity once and are counted there; aggregates and windows by gk that follow need no shuffle.
+    """
+    rows = I.resolved(keyed).withColumn("__rows", F.count("*").over(Window.partitionBy(*by)))
+    return rows.filter(F.col("__rows") >= least).drop("__rows")
 
 
 def representative_team(keyed: DataFrame) -> DataFrame:
@@ -30,24 +35,30 @@ def representative_team(keyed: DataFrame) -> DataFrame:
 def index(keyed: DataFrame) -> DataFrame:
     """One row an athlete: how much they raced, when, how well, and how sure the identity is.
 
-    One pass of partial aggregates by identity; the two most-frequent-value
-    columns come from counts by (identity, value).
+    One pass: rows meet by identity once; names are counted within it, and
+    all columns are aggregates of the same rows.
     """
+    different = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731 - of one athlete; count_distinct would shuffle all rows once more
+    spelt = Window.partitionBy("gk", "name_masked")
     rows = trackable(keyed)
+    rows = rows.withColumns({"__n": F.count("*").over(spelt), "__first": F.min("row_ord").over(spelt)})
+    team = X.stripped(F.col("team"))
+    real = ~X.blank(team) & ~team.isin(*I.NO_TEAM)
     name_length = F.length(F.regexp_replace(F.coalesce(F.min_by("name_raw", "row_ord"), F.lit("")), r"(?U)\s", ""))
     per = rows.groupBy("gk").agg(
         F.count("*").alias("n"),
-        F.count_distinct(F.when(F.col("year") != 0, F.col("year"))).alias("ny"),
-        F.count_distinct(F.coalesce("race_key", F.lit(""))).alias("nr"),
+        different(F.when(F.col("year") != 0, F.col("year"))).alias("ny"),
+        different(F.coalesce("race_key", F.lit(""))).alias("nr"),
         F.min("year").alias("y0"),
         F.max("year").alias("y1"),
         F.min(F.when(F.col("rank_overall") > 0, F.col("rank_overall"))).alias("best"),
-        F.count_distinct(F.when(~X.blank(F.col("team")), F.col("team"))).alias("teams"),
-        F.count_distinct(F.when(F.col("gender").isin("M", "F"), F.col("gender"))).alias("genders"),
+        different(F.when(~X.blank(F.col("team")), F.col("team"))).alias("teams"),
+        different(F.when(F.col("gender").isin("M", "F"), F.col("gender"))).alias("genders"),
         name_length.alias("name_length"),
+        F.min_by("name_masked", F.struct(-F.col("__n"), "__first")).alias("name_masked"),
+        F.max_by(team, F.when(real, F.struct(F.coalesce("year", F.lit(0)), "row_ord"))).alias("tm"),
     )
     anchored = F.col("gk").rlike("^[tu]:")
-    per = per.join(I.most_common(rows, "name_masked"), "gk", "left").join(representative_team(rows), "gk", "left")
     return per.select(
         I.athlete_id(F.col("gk")).alias("id"),
         F.col("name_masked").alias("nm"),
@@ -60,11 +71,16 @@ def index(keyed: DataFrame) -> DataFrame:
 
 
 def history(keyed: DataFrame) -> DataFrame:
-    """One row a result of a trackable athlete, with its place `seq` in the athlete's career."""
-    rows = I.with_field(trackable(keyed), I.field_sizes(keyed))
-    order = Window.partitionBy("gk").orderBy(F.coalesce("year", F.lit(0)), F.coalesce("date", F.lit("")), F.coalesce(F.when(F.col("rank_overall") > 0, F.col("rank_overall")), F.lit(9999)), "row_ord")
+    """One row a result of a trackable athlete, with its place `seq` in the athlete's career; columns that keyed lacks are null.
+
+    Rows are partitioned by id, so that what is made of a history by id needs no other shuffle.
+    """
+    told = keyed.select("*", *[F.lit(None).cast(t).alias(c) for c, t in HISTORY.items() if c not in keyed.columns])
+    met = told.withColumn("id", I.athlete_id(F.col("gk"))).repartition("id")
+    rows = I.with_field(trackable(met, by=("id", "gk")), I.field_sizes(keyed))
+    order = Window.partitionBy("id", "gk").orderBy(F.coalesce("year", F.lit(0)), F.coalesce("date", F.lit("")), F.coalesce(F.when(F.col("rank_overall") > 0, F.col("rank_overall")), F.lit(9999)), "row_ord")
     return rows.select(
-        I.athlete_id(F.col("gk")).alias("id"), F.row_number().over(order).cast("long").alias("seq"), F.col("year").alias("y"), F.col("race_key").alias("rk"),
+        "id", F.row_number().over(order).cast("long").alias("seq"), F.col("year").alias("y"), F.col("race_key").alias("rk"),
         F.col("race_name_canonical").alias("rn"), F.col("category_raw").alias("cat"), F.col("gender").alias("g"), "team",
         F.col("rank_overall").alias("rank"), F.col("finish_seconds").alias("t"), F.col("result_label").alias("label"), F.col("date").alias("d"), "field",
     )
@@ -81,6 +97,14 @@ def traits(keyed: DataFrame, rules=X.DISCIPLINES, least: int = 2) -> DataFrame:
     return per.filter(F.col("n") >= least).select(I.athlete_id(F.col("gk")).alias("id"), "discipline", F.round("pct", 1).alias("pct"), "n")
 
 
+def _common_age() -> Column:
+    """The middle of the age band that most rows of a group have, ties by the first row that has it: an aggregate."""
+    band = lambda b: F.col("age_band") == b
+    each = [F.struct(F.count_if(band(b)).alias("n"), (-F.min(F.when(band(b), F.col("row_ord")))).alias("first"), F.lit(float(m)).alias("age")) for b, m in X.AGE_MIDDLE.items()]
+    best = F.array_max(F.array(*each))
+    return F.when(best["n"] > 0, best["age"])
+
+
 def features(keyed: DataFrame, rules=X.DISCIPLINES, least: int = 2) -> DataFrame:
     """(id, g, climb, flat, tt, overall, age): each athlete's fingerprint, as z-scores within the gender.
 
@@ -93,10 +117,8 @@ def features(keyed: DataFrame, rules=X.DISCIPLINES, least: int = 2) -> DataFrame
     per = rows.groupBy("gk").agg(
         part(F.lit(True)).alias("overall"), F.count_if(ranked).alias("n"),
         part(d == "climb").alias("climb"), part(d.isin("road", "crit")).alias("flat"), part(d == "tt").alias("tt"),
-    ).filter(F.col("n") >= least)
-    middle = F.create_map(*[F.lit(x) for pair in X.AGE_MIDDLE.items() for x in pair])
-    age = I.most_common(rows, "age_band", F.col("age_band").isin(*X.AGE_MIDDLE)).select("gk", F.try_element_at(middle, F.col("age_band")).cast("double").alias("age"))
-    per = per.join(I.dominant_gender(rows).filter("g is not null"), "gk").join(age, "gk", "left")
+        I.more_often().alias("g"), _common_age().alias("age"),
+    ).filter((F.col("n") >= least) & F.col("g").isNotNull())
     pool = per.groupBy("g").agg(*[f(a).alias(f"{n}_{a}") for a in AXES for f, n in ((F.avg, "mean"), (F.stddev_pop, "spread"))])
 
     def z(name: str) -> Column:
@@ -128,7 +150,7 @@ def _ascents(keyed: DataFrame, profiles: DataFrame) -> DataFrame:
     """Results on known climbs with a plausible ascent rate; profiles (race_key, elev_m, dist_km, grade, name, conf) is a curated table, small by nature."""
     profiles = profiles.withColumnsRenamed({"name": "climb_name", "conf": "climb_conf"})
     v = X.vam(F.col("elev_m"), F.col("finish_seconds"))
-    rows = keyed.join(profiles, "race_key").withColumn("vam", v).filter(F.col("vam").between(100, 3000))
+    rows = keyed.join(F.broadcast(profiles), "race_key").withColumn("vam", v).filter(F.col("vam").between(100, 3000))
     return rows.withColumn("wkg", X.watts_per_kilo(F.col("vam"), F.col("grade")))
 
 
@@ -155,7 +177,9 @@ def course_records(keyed: DataFrame, profiles: DataFrame, top: int = 50) -> Data
     board = Window.partitionBy("race_key").orderBy("b.finish_seconds", "b.row_ord")
     ranked = best.withColumn("rank", F.row_number().over(board)).filter(F.col("rank") <= top)
     size = best.groupBy("race_key").agg(F.count("*").alias("n"))
-    out = ranked.join(size, "race_key").join(profiles, "race_key").join(I.sizes(keyed), "gk", "left")
+    ranked = ranked.join(F.broadcast(size), "race_key")
+    listed = F.broadcast(ranked.select("gk").distinct())  # `top` a climb
+    out = ranked.join(F.broadcast(profiles), "race_key").join(F.broadcast(I.sizes(keyed.join(listed, "gk", "left_semi"))), "gk", "left")
     return out.select(
         F.col("race_key").alias("rk"), F.col("rank").cast("long").alias("rank"), I.athlete_id(F.col("gk")).alias("id"), F.col("b.name_masked").alias("nm"),
         F.floor("b.finish_seconds").alias("t"), F.col("b.vam").cast("long").alias("vam"), F.col("b.wkg").alias("wkg"), F.col("b.year").alias("y"), F.col("b.gender").alias("g"),
@@ -224,18 +248,22 @@ def highlights(hist: DataFrame) -> DataFrame:
 
 
 def season_recap(hist: DataFrame) -> DataFrame:
-    """One row an athlete and year: races, median percentage, change on the year before, wins, podiums, busiest month."""
+    """One row an athlete and year: races, median percentage, change on the year before, wins, podiums, busiest month.
+
+    Months are counted in windows within an athlete's year and the year before is the row before, so that nothing is joined.
+    """
     p = _whole_percent(F.col("rank"), F.col("field"))
     rows = hist.filter("y is not null").withColumn("p", p).withColumn("month", X.month_of(F.col("d")))
+    monthly = Window.partitionBy("id", "y", "month")
+    rows = rows.withColumns({"n": F.count("*").over(monthly), "first": F.min("seq").over(monthly)})
     per = rows.groupBy("id", "y").agg(
         F.count("*").alias("races"), F.floor(M.median(F.col("p")) + 0.5).alias("median_pct"), F.max("p").alias("best_pct"),
         F.count_if(F.col("rank") == 1).alias("wins"), F.count_if((F.col("rank") <= 3) & (F.col("rank") > 0)).alias("podiums"),
+        F.min_by("month", F.when(F.col("month").isNotNull(), F.struct(-F.col("n"), "first"))).cast("long").alias("busiest_month"),
     )
-    months = rows.filter("month is not null").groupBy("id", "y", "month").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    busiest = months.groupBy("id", "y").agg(M.mode("month", F.col("first")).cast("long").alias("busiest_month"))
-    before = per.select("id", (F.col("y") + 1).alias("y"), F.col("median_pct").alias("last_pct"))
-    out = per.join(busiest, ["id", "y"], "left").join(before, ["id", "y"], "left")
-    return out.withColumn("delta", F.col("median_pct") - F.col("last_pct")).drop("last_pct")
+    years = Window.partitionBy("id").orderBy("y")
+    last = F.when(F.lag("y").over(years) == F.col("y") - 1, F.lag("median_pct").over(years))
+    return per.withColumn("delta", F.col("median_pct") - last)
 
 
 def compare(hist: DataFrame, a: str, b: str) -> DataFrame:

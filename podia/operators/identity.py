@@ -26,11 +26,11 @@ def with_group_keys(rows: DataFrame, legacy: DataFrame | None = None) -> DataFra
     """rows with `gk`: t:<rider id>, else u:<uci id>, else the one id that the name is ever seen with, else n:<name>.
 
     Anchors are aggregates by name, joined back: no list of names leaves the
-    cluster. Rows whose source hid the name join the athlete that the legacy
+    cluster; only rows with an id are shuffled for them. Rows whose source hid the name join the athlete that the legacy
     table (entry, athlete_id) has for their result: by that athlete's key if
     there is one (the first), else x:<id>; without a match they stand alone as s:<row>.
     """
-    given = rows.filter(~X.blank(F.col("name_raw")))
+    given = rows.filter(~X.blank(F.col("name_raw")) & (F.col("tsu_rider_id").isNotNull() | F.col("uci_id").isNotNull()))
     anchors = given.groupBy("name_raw").agg(
         F.min("tsu_rider_id").alias("tsu0"), F.max("tsu_rider_id").alias("tsu1"), F.min("uci_id").alias("uci0"), F.max("uci_id").alias("uci1")
     )
@@ -73,8 +73,11 @@ def field_sizes(rows: DataFrame, ranked_only: bool = False) -> DataFrame:
 
 
 def with_field(rows: DataFrame, fields: DataFrame) -> DataFrame:
-    """rows with their race-year's `field` and the percentage of it that they beat, `pct`; a null year is a year."""
-    f = fields.select(F.col("race_key").alias("__rk"), F.col("year").alias("__y"), "field")
+    """rows with their race-year's `field` and the percentage of it that they beat, `pct`; a null year is a year.
+
+    fields has a row a race-year and is broadcast, so that rows aren't shuffled to it.
+    """
+    f = F.broadcast(fields.select(F.col("race_key").alias("__rk"), F.col("year").alias("__y"), "field"))
     met = rows.join(f, F.col("race_key").eqNullSafe(F.col("__rk")) & F.col("year").eqNullSafe(F.col("__y")), "left").drop("__rk", "__y")
     return met.withColumn("pct", M.in_field_percent(F.col("rank_overall"), F.col("field")))
 
@@ -100,5 +103,10 @@ def most_common(keyed: DataFrame, column: str, keep: Column | None = None) -> Da
 
 def dominant_gender(keyed: DataFrame) -> DataFrame:
     """(gk, g): the gender that most of an identity's rows have, null at a tie."""
+    return keyed.groupBy("gk").agg(more_often().alias("g"))
+
+
+def more_often() -> Column:
+    """The gender that most rows of a group have, null at a tie: an aggregate."""
     m, f = F.count_if(F.col("gender") == "M"), F.count_if(F.col("gender") == "F")
-    return keyed.groupBy("gk").agg(F.when(m > f, "M").when(f > m, "F").alias("g"))
+    return F.when(m > f, "M").when(f > m, "F")

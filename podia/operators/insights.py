@@ -27,7 +27,7 @@ def age_curve(rows: DataFrame, least: int = 50) -> DataFrame:
 
 def breakout(keyed: DataFrame, least_a_year: int = 2, least_jump: float = 15.0, top: int = 40) -> DataFrame:
     """(id, from_y, to_y, from_pct, to_pct, jump): the largest rise of a yearly median from one racing year to the next."""
-    rows = _scored(keyed).join(athletes.trackable(keyed).select("gk").distinct(), "gk", "left_semi").filter("pct is not null and year <> 0")
+    rows = I.with_field(athletes.trackable(keyed), I.field_sizes(keyed, ranked_only=True)).filter("pct is not null and year <> 0")
     yearly = rows.groupBy("gk", "year").agg(M.median(F.col("pct")).alias("m"), F.count("*").alias("n")).filter(F.col("n") >= least_a_year)
     before = Window.partitionBy("gk").orderBy("year")
     steps = yearly.withColumn("from_y", F.lag("year").over(before)).withColumn("from_m", F.lag("m").over(before)).filter("from_y is not null")

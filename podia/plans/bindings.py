@@ -6,6 +6,8 @@ queries' SQL counterparts can start from the very same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +62,19 @@ RULES = [("climb", "hot"), ("crit", "ring"), ("tt", "red")]
 #: Climbs with a known course: (race, elevation in m, distance in km, grade in %).
 PROFILES = [("Brand#1", 3200, 52.0, 6.2), ("Brand#7", 2100, 31.5, 6.7), ("Brand#13", 1500, 18.0, 8.3), ("Brand#21", 900, 12.0, 7.5)]
 
+#: The joins of RESULTS as Spark makes them: riders meet the orders, a quarter of the lines, before the lines do.
+_FROM = re.compile(r"FROM \{lineitem\} l.*?(?=\n\) r)", re.S)
+_BY_SIZE = """FROM {lineitem} l
+  JOIN {part} p ON l.l_partkey = p.p_partkey
+  JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
+  JOIN ({orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+        JOIN {region} r ON n.n_regionkey = r.r_regionkey) ON l.l_orderkey = o.o_orderkey"""
+
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All results of the tables in sf_dir, normalised."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    return enrich(spark.sql(RESULTS, **tables).withColumn("name_masked", T.mask_name(F.col("name_raw"))))
+    return enrich(spark.sql(_FROM.sub(lambda _: _BY_SIZE, RESULTS), **tables).withColumn("name_masked", T.mask_name(F.col("name_raw"))))
 
 
 def profiles(spark: SparkSession) -> DataFrame:
