@@ -138,9 +138,9 @@ def _read(rows: DataFrame) -> DataFrame:
     return rows.withColumn("team", _or_null(F.regexp_replace(team, "^[ -]+|[ -]+$", "")))
 
 
-def read_lines(lines: DataFrame) -> DataFrame:
+def read_lines(lines: DataFrame, fields: str = _FIELDS) -> DataFrame:
     """Every line of lines (book, page, line, text) with what was read of it: category, event, gender, rank, bib,
-    name, uci_id, team, finish_time, finish_seconds, status; and `refused`, why it is no row of a rider, or null.
+    name, uci_id, team, finish_time, finish_seconds, status (or the named ones of these); and `refused`, why it is no row of a rider, or null.
 
     Books are text lines of printed result lists. A page's first lines may name
     category and event and hold a header; both carry over to following pages.
@@ -171,8 +171,10 @@ def read_lines(lines: DataFrame) -> DataFrame:
     )
     gender = F.when(F.col("category").contains("女"), "F").when(F.col("category").contains("男"), "M")
     read = met.withColumn("gender", gender).withColumn("refused", refused)
-    taken = [F.when(F.col("refused").isNull(), F.col(c)).alias(c) for c in _FIELDS.split(", ")]
-    return read.select("book", "page", "line", "text", *taken, "refused")
+    taken = [F.when(F.col("refused").isNull(), F.col(c)).alias(c) for c in fields.split(", ") if c]
+    # As one generated row: a filter on `refused` would else go below, and read each line some hundred times.
+    one = F.array(F.struct("book", "page", "line", "text", *taken, "refused"))
+    return read.select(F.inline(one))
 
 
 def book_rows(lines: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def book_rows(lines: DataFrame) -> DataFrame:
 
 def refused_lines(lines: DataFrame) -> DataFrame:
     """(book, page, line, text, refused): what read_lines couldn't take as a row, with the reason, for review."""
-    return read_lines(lines).filter("refused is not null and refused <> 'joined'").select("book", "page", "line", "text", "refused")
+    return read_lines(lines, "").filter("refused is not null and refused <> 'joined'").select("book", "page", "line", "text", "refused")
 
 
 def book_records(lines: DataFrame) -> DataFrame:

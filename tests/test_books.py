@@ -88,3 +88,10 @@ def test_repeated_rows_nulls_and_records(spark):
 @pytest.mark.parametrize("text", ["1 304", "王小明 304 1 00:10:00", "1 x9y 王小明 00:10:00", "1 304 王小明明明 00:10:00", "1 304 王小明", "a 3 王小明 00:10:00"])
 def test_lines_that_are_no_rows(spark, text):
     assert read(spark, [*TWO_CLOCKS[:3], "名次 號碼 姓名 成績", text]) == []
+
+
+def test_lines_are_read_once_whatever_is_filtered(spark):
+    lines = spark.createDataFrame([("b", 1, 1, "x")], "book string, page int, line int, text string")
+    for rows in (books.book_rows(lines), books.refused_lines(lines)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp") + plan.count("RLIKE") < 150
