@@ -1,6 +1,7 @@
 import random
 
 from podia.operators import athletes, identity
+from podia.plans.queries import QUERIES
 from tests.test_operators import records, row
 
 
@@ -27,3 +28,9 @@ def test_recap_takes_the_busiest_month_and_the_year_before(spark):
     rows = [row("n", rank=i % 2 + 1, race=f"r{i}", year=y, date=d) for i, (y, d) in enumerate([(2020, "2020-05-01"), (2020, "2020-03-01"), (2021, None), (2023, "2023-02-01"), (2023, "2023-02-09"), (2023, "2023-01-01")])]
     got = {r.y: (r.busiest_month, r.delta is None) for r in athletes.season_recap(athletes.history(identity.with_group_keys(records(spark, rows)))).collect()}
     assert got == {2020: (3, True), 2021: (None, False), 2023: (2, True)}
+
+
+def test_tables_are_joined_once(spark):
+    for name in ("increment_counts", "insights_careers", "merge_cross_listed", "athletes_calibrated"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan
