@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 #: Meetings counted and rows held by one task, about; and meetings counted at once within it.
 TASK_MEETS, TASK_ROWS, AT_ONCE = 20_000_000, 1_000_000, 4_000_000
+#: With top: rows of a block, about, and blocks that the number of meetings alone may ask for.
+BLOCK_ROWS, MOST_BLOCKS = 3_000_000, 8
+#: Athletes of either side whose common races are multiplied at once, pairs counted at once, and cells of a table by athlete and race.
+ROWS_AT_ONCE, COLUMNS_AT_ONCE, PAIRS_AT_ONCE, MOST_CELLS = 256, 8192, 100_000, 64_000_000
+#: Cells that a product passes in the time in which one meeting is counted.
+CELLS_A_MEETING = 500
 
 
 def _met(left: pd.DataFrame, right: pd.DataFrame, same: bool, least: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -64,6 +70,92 @@ def _best(me: np.ndarray, other: np.ndarray, wins: np.ndarray, meets: np.ndarray
     return me[kept], other[kept], wins[kept], meets[kept]
 
 
+class _Side:
+    """Athletes of a block with their rows by athlete, and how many rows each has in which race."""
+
+    def __init__(self, frame: pd.DataFrame, races: int):
+        frame = frame.sort_values(["who", "race"], kind="stable")
+        self.who, at = np.unique(frame["who"].to_numpy(), return_inverse=True)
+        self.race, self.rank = frame["race"].to_numpy(), frame["rank"].to_numpy()
+        self.n = np.bincount(at, minlength=len(self.who))
+        self.start = np.cumsum(self.n) - self.n
+        cell, first, times = np.unique(at * races + self.race, return_index=True, return_counts=True)
+        self.times, self.first = np.zeros((len(self.who), races), np.float32), np.zeros((len(self.who), races), np.int32)
+        self.times.ravel()[cell], self.first.ravel()[cell] = times, first
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n[i] things, i and the thing's place."""
+    whose = np.repeat(np.arange(len(n)), n)
+    return whose, np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _counted(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wins of a's athletes i over b's athletes j, and their meetings; equal ranks are none."""
+    wins, meets = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for lo in range(0, len(i), PAIRS_AT_ONCE):
+        some = slice(lo, lo + PAIRS_AT_ONCE)
+        pair, place = _spread(a.n[i[some]])
+        row = a.start[i[some]][pair] + place
+        times = b.times[j[some][pair], a.race[row]].astype(np.int64)
+        met, place = _spread(times)
+        lead = b.rank[b.first[j[some][pair], a.race[row]][met] + place] - a.rank[row][met]
+        meets[some] = np.bincount(pair[met[lead != 0]], minlength=len(i[some]))
+        wins[some] = np.bincount(pair[met[lead > 0]], minlength=len(i[some]))
+    return wins, meets
+
+
+def _nearest(a: _Side, b: _Side, least: int, top: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(me, other, wins, meets) with the first `top` of b's athletes for each of a's, by _best().
+
+    A product of two tables by athlete and race gives how often two athletes
+    were in one race: no fewer than they met. Only pairs for which that isn't
+    less than the meetings of the `top`-th best so far are counted themselves.
+    """
+    for lo in range(0, len(a.who), ROWS_AT_ONCE):
+        mine = a.times[lo : lo + ROWS_AT_ONCE]
+        enough = np.full(len(mine), least, np.float32)
+        best = (np.zeros(0, np.int64),) * 4
+        for at in range(0, len(b.who), COLUMNS_AT_ONCE):
+            both = mine @ b.times[at : at + COLUMNS_AT_ONCE].T
+            if a is b:
+                own = np.arange(lo, lo + len(mine)) - at
+                inside = (own >= 0) & (own < both.shape[1])
+                both[inside, own[inside]] = -1
+            if at == 0 and both.shape[1] > 4 * top:
+                i, j = np.repeat(np.arange(len(mine)), 2 * top), np.argpartition(-both, 2 * top, axis=1)[:, : 2 * top].ravel()
+                met = np.sort(_counted(a, b, i + lo, j)[1].reshape(len(mine), 2 * top), axis=1)
+                enough = np.maximum(enough, met[:, -top])
+            i, j = np.nonzero(both >= enough[:, None])
+            wins, meets = _counted(a, b, i + lo, j + at)
+            kept = meets >= least
+            found = (i[kept], b.who[j[kept] + at], wins[kept], meets[kept])
+            best = _best(*(np.concatenate(x) for x in zip(best, found, strict=True)), top)
+            n = np.bincount(best[0], minlength=len(mine))
+            full = n == top
+            enough[full] = np.maximum(enough[full], best[3][np.cumsum(n)[full] - 1])
+        yield a.who[lo + best[0]], *best[1:]
+
+
+def _top(left: pd.DataFrame, right: pd.DataFrame, same: bool, least: int, top: int) -> tuple[np.ndarray, ...]:
+    """(a, b, a_wins, meets): of the meetings of two blocks, or of one, the first `top` of each athlete, by the cheaper of two ways."""
+    races, codes = np.unique(np.concatenate([left["race"], right["race"]]), return_inverse=True)
+    in_left, in_right = (np.bincount(x, minlength=len(races)).astype(float) for x in (codes[: len(left)], codes[len(left) :]))
+    n_left, n_right = left["who"].nunique(), right["who"].nunique()
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+    if max(n_left, n_right) * len(races) <= MOST_CELLS and float(n_left) * n_right * len(races) <= CELLS_A_MEETING * (in_left @ in_right):
+        one = _Side(left.assign(race=codes[: len(left)]), len(races))
+        two = one if same else _Side(right.assign(race=codes[len(left) :]), len(races))
+        for x, y in [(one, two)] if same else [(one, two), (two, one)]:
+            found += _nearest(x, y, least, top)
+    else:
+        for a, b, wins, meets in _met(left, right, same, least):
+            found += [_best(a, b, wins, meets, top), _best(b, a, meets - wins, meets, top)]
+            if sum(len(x[0]) for x in found[1:]) > AT_ONCE:
+                found = [_best(*(np.concatenate(x) for x in zip(*found, strict=True)), top)]
+    return _best(*(np.concatenate(x) for x in zip(*found, strict=True)), top)
+
+
 def pairs(rows: DataFrame, least: int, top: int | None = None) -> DataFrame:
     """Of rows (who, race, rank): (a, b, a_wins, meets) for those who met at least `least` times; equal ranks are no meeting.
 
@@ -71,36 +163,41 @@ def pairs(rows: DataFrame, least: int, top: int | None = None) -> DataFrame:
     and of each task only those that can be among the first `top` of a.
 
     Athletes are dealt to K blocks by hash, and each two blocks are one task,
-    which so has every meeting of its pairs: each row is sent K times, and
-    pairs never are. A large race is dealt with its riders over all tasks, as
-    is a rider who is in many. K follows from the number of meetings and rows,
-    such that a task has TASK_MEETS and TASK_ROWS, about.
+    which so has every meeting of its pairs: each athlete is sent K times, as one row, and
+    pairs never are. A large race is dealt with its riders over all tasks.
+    Without top, K follows from the number of meetings and rows, such that a task has TASK_MEETS and TASK_ROWS, about. With
+    top a task keeps little of what it counts, so that K follows from the rows alone, BLOCK_ROWS each, but for
+    the MOST_BLOCKS that many meetings are dealt to at least.
     """
     fields = rows.groupBy("race").agg(F.count("*").alias("n"))
     whole = fields.agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * F.col("n")).alias("meets")).first()
-    k = max(1, math.ceil(math.sqrt((whole["meets"] or 0) / TASK_MEETS)), math.ceil(2 * (whole["rows"] or 0) / TASK_ROWS))
+    by_meets = max(1, math.ceil(math.sqrt((whole["meets"] or 0) / TASK_MEETS)))
+    if top is None:
+        k = max(by_meets, math.ceil(2 * (whole["rows"] or 0) / TASK_ROWS))
+    else:
+        k = max(min(by_meets, MOST_BLOCKS), math.ceil((whole["rows"] or 0) / BLOCK_ROWS))
     own = F.pmod(F.xxhash64("who"), F.lit(k)).cast("int")
-    dealt = rows.select("who", F.xxhash64("race").alias("race"), F.col("rank").cast("long").alias("rank"), own.alias("own"))
+    packed = rows.select("who", F.struct(F.xxhash64("race").alias("race"), F.col("rank").cast("long").alias("rank")).alias("r")).groupBy("who").agg(F.collect_list("r").alias("r"))
+    dealt = packed.select("who", F.col("r.race").alias("race"), F.col("r.rank").alias("rank"), own.alias("own"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    dealt = dealt.select("who", "race", "rank", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select("who", "race", "rank", (hi * (hi + 1) / 2 + lo).cast("int").alias("task"), (F.col("own") == F.col("other")).alias("same"), (F.col("own") > F.col("other")).alias("right"))
 
-    def met(key: tuple[int, int], frame: pd.DataFrame) -> pd.DataFrame:
+    def met(frame: pd.DataFrame) -> pd.DataFrame:
         codes, names = pd.factorize(frame["who"], sort=True)
         names = np.asarray(names, object)
-        side = pd.DataFrame({"race": frame["race"], "rank": frame["rank"], "who": codes, "right": frame["right"]}).sort_values("race", kind="stable")
-        same = key[0] == key[1]
+        n = frame["race"].map(len).to_numpy()
+        side = pd.DataFrame({"race": np.concatenate(frame["race"].to_numpy()), "rank": np.concatenate(frame["rank"].to_numpy()), "who": np.repeat(codes, n), "right": np.repeat(frame["right"].to_numpy(bool), n)})
+        side, same = side.sort_values("race", kind="stable"), bool(frame["same"].iloc[0])
         left, right = (side, side) if same else (side[~side["right"]], side[side["right"]])
-        found = []
-        for a, b, wins, meets in _met(left, right, same, least):
-            if top is None:
+        if top is not None:
+            a, b, wins, meets = _top(left, right, same, least, top)
+        else:
+            found = [(np.zeros(0, np.int64),) * 4]
+            for a, b, wins, meets in _met(left, right, same, least):
                 low, high = np.minimum(a, b), np.maximum(a, b)
                 found.append((low, high, np.where(a < b, wins, meets - wins), meets))
-            else:
-                found += [_best(a, b, wins, meets, top), _best(b, a, meets - wins, meets, top)]
-        none = np.zeros(0, np.int64)
-        a, b, wins, meets = (np.concatenate([none, *x]) for x in zip(*found, strict=True)) if found else (none,) * 4
-        if top is not None:
-            a, b, wins, meets = _best(a, b, wins, meets, top)
+            a, b, wins, meets = (np.concatenate(x) for x in zip(*found, strict=True))
         return pd.DataFrame({"a": names[a], "b": names[b], "a_wins": wins, "meets": meets})
 
-    return dealt.groupBy("lo", "hi").applyInPandas(met, "a string, b string, a_wins long, meets long")
+    return dealt.repartitionById(k * (k + 1) // 2, F.col("task")).groupBy("task").applyInPandas(met, "a string, b string, a_wins long, meets long")
