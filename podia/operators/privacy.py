@@ -35,21 +35,19 @@ def _runs(size: Column, n: int, piece) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), piece)).otherwise(F.array().cast("array<string>"))
 
 
-def _grams(words: Column, n: int) -> Column:
-    return _runs(F.size(words), n, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-
 def _cuts(run: Column, n: int) -> Column:
     return _runs(F.length(run), n, lambda i: F.substring(run, i, F.lit(n)))
 
 
-def _in_text(text: Column) -> Column:
-    """Stretches of running text that may be a name."""
+def _in_text(text: Column) -> tuple[Column, Column]:
+    """Stretches of running text that may be a name: CJK ones, and runs of as many Latin words as a name may have, in the form of latin_key, one for each word that another follows."""
     cjk = F.regexp_extract_all(text, F.lit(f"{X.CJK}{{3,}}"), F.lit(0))
     latin = F.transform(F.split(text, LINE_ENDS), lambda line: F.regexp_extract_all(line, F.lit(LATIN_WORD), F.lit(0)))
     latin = F.filter(latin, lambda words: F.size(words) > 1)
-    found = [F.flatten(F.transform(cjk, lambda run: F.concat(*[_cuts(run, n) for n in CJK_LENGTHS])))]
-    return F.concat(*found, F.flatten(F.transform(latin, lambda words: F.concat(*[_grams(words, n) for n in LATIN_WORDS]))))
+    latin = F.transform(latin, lambda words: F.split(latin_key(F.array_join(words, " ")), " "))
+    most = LATIN_WORDS[-1]
+    runs = F.transform(latin, lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, most), " ")))
+    return F.flatten(F.transform(cjk, lambda run: F.concat(*[_cuts(run, n) for n in CJK_LENGTHS]))), F.flatten(runs)
 
 
 def _in_json(text: Column) -> Column:
@@ -68,18 +66,31 @@ def exposed_names(texts: DataFrame, names: DataFrame, text_col: str = "text", js
     (sha: SHA-256 of the name in hex) are passed over. A null text holds nothing; empty tables give none.
 
     Stretches that may be a name pass a filter of one bit per hash of a name before
-    they are shuffled to meet the names: FILTER_BITS / 64 rows at most, whatever the number of names.
+    they are shuffled to meet the names: FILTER_BITS / 64 rows at most, whatever the number of names. Latin words
+    pass it by the first two words of names, once for each word; only what passes is tried as names of each length.
     """
     by = by or []
     keys = name_keys(names)
     if allowed is not None:
         keys = keys.join(allowed.select(F.lower("sha").alias("sha")).distinct(), F.sha2("key", 256) == F.col("sha"), "left_anti")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    stretches = _in_text(text) if json_col is None else F.when(F.col(json_col), _in_json(text)).otherwise(_in_text(text))
-    found = texts.select(*by, F.explode(stretches).alias("stretch")).select(*by, F.when(F.col("stretch").rlike(CJK_NAME), F.col("stretch")).otherwise(latin_key(F.col("stretch"))).alias("key"))
-
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    none = F.array().cast("array<string>")
+    cjk, latin = _in_text(text)
+    if json_col is None:
+        whole, runs = cjk, latin
+    else:
+        of_json = F.col(json_col)
+        whole, runs = F.when(of_json, _in_json(text)).otherwise(cjk), F.when(of_json, none).otherwise(latin)
+    stretch = lambda c, run: F.transform(c, lambda x: F.struct(x.alias("stretch"), F.lit(run).alias("run")))
+    found = texts.select(*by, F.explode(F.concat(stretch(whole, False), stretch(runs, True))).alias("f")).select(*by, "f.*")
+    key = F.when(F.col("run") | F.col("stretch").rlike(CJK_NAME), F.col("stretch")).otherwise(latin_key(F.col("stretch")))
+    found = found.select(*by, "run", key.alias("key"))
+
+    start = F.substring_index("key", " ", 2)
+    bit = F.pmod(F.xxhash64(start), F.lit(FILTER_BITS))
     word, place = F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(63).cast("int").alias("place")
     known = keys.select(word, place).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
     passed = found.select("*", word, place).join(F.broadcast(known), "word").filter("getbit(bits, place) = 1")
+    each = F.when(F.col("run"), F.filter(F.array(*[F.when(F.size(F.split("key", " ")) >= n, F.substring_index("key", " ", n)) for n in LATIN_WORDS]), lambda x: x.isNotNull())).otherwise(F.array("key"))
+    passed = passed.select(*by, F.explode(each).alias("key"))
     return passed.groupBy(*by, "key").agg(F.count("*").alias("hits")).join(keys, "key").select(*by, "key", "hits")
