@@ -25,6 +25,8 @@ MAX_WORDS, MAX_GRAMS, LONGEST = 50_000, 20_000, 5
 LONG_RUN, OVERLAP = 64, 4
 #: Unseen words whose scores a worker remembers before it forgets them all.
 REMEMBER = 50_000
+#: Different words or n-grams that a worker counts, about, before it hands its counts on, to be added up by Spark.
+MOST_KEYS = 20_000
 UNKNOWN = "und"
 
 
@@ -93,24 +95,35 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def _emitted(found: Counter, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    """A count's keys and numbers as rows; the count is emptied."""
+    columns = [*zip(*found), list(found.values())] if found else [[] for _ in names]
+    found.clear()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, types = ["lang", "word", "n"], [pa.string(), pa.string(), pa.int64()]
+    found: Counter[tuple[str, str]] = Counter()
     for batch in batches:
-        found: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             found.update((lang, w) for w in runs(text.as_py()))
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+            if len(found) > MOST_KEYS:
+                yield _emitted(found, names, types)
+    yield _emitted(found, names, types)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, types = ["lang", "size", "word", "n"], [pa.string(), pa.int32(), pa.string(), pa.int64()]
+    found: Counter[tuple[str, int, str]] = Counter()
     for batch in batches:
-        found: Counter[tuple[str, int, str]] = Counter()
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for size in range(1, LONGEST + 1):
                 for g in grams(word, size):
                     found[lang, size, g] += n
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "size", "word", "n"])
+            if len(found) > MOST_KEYS:
+                yield _emitted(found, names, types)
+    yield _emitted(found, names, types)
 
 
 def quotas(by_lang: dict[str, int], rows: int) -> dict[str, float]:
@@ -149,6 +162,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     only max_words words and max_grams n-grams of each length with their counts
     by language: those with the largest share of a language's own.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not by_lang:
