@@ -4,7 +4,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,14 @@ def runs(text: str) -> list[str]:
     return [w[i : i + LONG_RUN] for w in found for i in range(0, max(1, len(w) - OVERLAP), step)]
 
 
+class _Places(dict):
+    """Places of words in a table; a word asked for the first time gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 @dataclass
 class Model:
     """Log frequencies by language of words, and of n-grams by length."""
@@ -60,22 +69,34 @@ class Model:
     word_scores: np.ndarray
     grams: dict[int, dict[str, int]]
     gram_scores: dict[int, np.ndarray]
-    seen: dict[str, int] = field(default_factory=dict)
+    places: _Places | None = None
     rows: np.ndarray | None = None
 
-    def of_unseen(self, word: str) -> np.ndarray:
-        """The mean over the word's longest known n-grams; zeros if none is known."""
+    def __post_init__(self) -> None:
+        """All n-grams' scores in one table, shorter ones first, and where a length begins in it; the last row, of zeros, is no n-gram's."""
+        sizes = [n for n in range(1, LONGEST + 1) if n in self.grams]
+        self._starts = dict(zip(sizes, np.cumsum([0, *(len(self.gram_scores[n]) for n in sizes)]).tolist(), strict=False))
+        self._all_grams = np.vstack([*(self.gram_scores[n].reshape(-1, len(self.langs)) for n in sizes), np.zeros((1, len(self.langs)))])
+
+    def _known_grams(self, word: str) -> list[int]:
+        """Rows of the word's longest known n-grams; that of zeros if none is known."""
+        framed = f"<{word}>"
         for n in range(LONGEST, 0, -1):
-            known = [self.grams[n][g] for g in grams(word, n) if g in self.grams[n]]
+            line, at, start = framed if n > 1 else word, self.grams[n], self._starts[n]
+            known = [at[g] + start for i in range(len(line) - n + 1) if (g := line[i : i + n]) in at]
             if known:
-                return self.gram_scores[n][known].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return known
+        return [len(self._all_grams) - 1]
+
+    def of_all_unseen(self, words: list[str]) -> np.ndarray:
+        """of_unseen() of each word, summed up in one go: most unseen words come just once."""
+        known = [self._known_grams(w) for w in words]
+        many = np.array([len(k) for k in known])
+        return np.add.reduceat(self._all_grams.take(list(chain.from_iterable(known)), axis=0), np.cumsum(many) - many) / many[:, None]
 
-    def _row(self, word: str) -> int:
-        """Remember an unseen word's scores."""
-        row = self.seen[word] = len(self.words) + len(self.seen)
-        self.rows[row] = self.of_unseen(word)
-        return row
+    def of_unseen(self, word: str) -> np.ndarray:
+        """The mean over the word's longest known n-grams; zeros if none is known."""
+        return self.of_all_unseen([word])[0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood of all; `und` and 0 for null and texts without a letter."""
@@ -85,12 +106,15 @@ class Model:
         total = self.prior.copy()
         for at in range(0, len(found), REMEMBER // 4):
             part = found[at : at + REMEMBER // 4]
-            if self.rows is None or len(self.seen) + len(part) > REMEMBER:
-                self.rows = np.vstack([self.word_scores, np.zeros((REMEMBER, len(self.langs)))])
-                self.seen.clear()
-            words, seen, row = self.words, self.seen, self._row
-            at_rows = [words[w] if w in words else seen[w] if w in seen else row(w) for w in part]
-            total += self.rows[at_rows].sum(axis=0)
+            if self.rows is None or len(self.places) + len(part) > len(self.rows):
+                if self.rows is None:
+                    self.rows = np.vstack([self.word_scores, np.zeros((REMEMBER, len(self.langs)))])
+                self.places = _Places(self.words)
+            before = len(self.places)
+            at_rows = np.fromiter(map(self.places.__getitem__, part), np.intp, len(part))
+            if new := list(islice(reversed(self.places), len(self.places) - before)):
+                self.rows[before : len(self.places)] = self.of_all_unseen(new[::-1])
+            total += self.rows.take(at_rows, axis=0).sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 

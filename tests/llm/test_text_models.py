@@ -328,3 +328,22 @@ def test_every_letter_of_a_long_run_counts(spark):
     model = langid.fit(documents(spark, rows))
     assert model.langs == ["xx", "yy"]
     assert model.predict("abcde" * 10 + "vwxyz" * 60)[0] == "yy"
+
+
+def test_unseen_words_of_a_text_are_scored_together(spark, monkeypatch):
+    """Scores are read a few times a text, however many words are unseen, also when a worker forgets; each word gets the mean of its own n-grams."""
+    model = langid.fit(documents(spark, corpus()))
+    words = [f"{a}{b}{c}" for a in ("alp", "cua", "йо", "q") for b in "aeiouктл" for c in ("ta", "tro", "м", "zzz")]
+    assert not set(words) & set(model.words)
+    for w in words:
+        n = next((n for n in range(langid.LONGEST, 0, -1) if any(g in model.grams[n] for g in langid.grams(w, n))), None)
+        mean = model.gram_scores[n][[model.grams[n][g] for g in langid.grams(w, n) if g in model.grams[n]]].mean(axis=0) if n else np.zeros(len(model.langs))
+        assert model.of_unseen(w).tolist() == mean.tolist()
+    want = [model.predict(" ".join(words[i:] + words[:i])) for i in range(0, len(words), 10)]
+    again = langid.Model(model.langs, model.prior, model.words, model.word_scores, model.grams, model.gram_scores)
+    calls, scored = [], langid.Model.of_all_unseen
+    monkeypatch.setattr(langid, "REMEMBER", 40)
+    monkeypatch.setattr(langid.Model, "of_all_unseen", lambda self, new: calls.append(new) or scored(self, new))
+    got = [again.predict(" ".join(words[i:] + words[:i])) for i in range(0, len(words), 10)]
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    assert 0 < len(calls) <= len(got) * -(-len(words) // 10) and len(again.places) <= len(again.words) + 40
