@@ -303,23 +303,25 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
     keyed = materialise(keyed.withColumn("many", F.count("*").over(by_key)).filter("many > 1").drop("many"), "shared-keys")
     keyed = materialise(keyed.join(single.select("node", "n", "fp"), "node").withColumn("band", F.col("key") < 0), "shared-nodes")
     sweep(spark)
-    wanted = few(keyed.select("node").distinct(), "shared-nodes")
-    sets = texts.join(wanted.withColumnRenamed("node", ROW), ROW, "left_semi").mapInArrow(_sets(shingle), "node long, hashes array<long>")
-    sets = materialise(sets, "shingle-sets")
-    sweep(spark)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike; only what is in a pair has its set made, so that keys shared by chance cost no set."""
+        pairs = materialise(pairs, "pairs")
+        paired = few(pairs.select(F.col("a").alias(ROW)).unionByName(pairs.select(F.col("b").alias(ROW))).distinct(), "paired-nodes")
+        sets = materialise(texts.join(paired, ROW, "left_semi").mapInArrow(_sets(shingle), "node long, hashes array<long>"), "shingle-sets")
+        return materialise(_alike(pairs, sets, similarity), "links")
 
     def may(left: str, right: str) -> Column:
         """Whether sizes allow the similarity and, for Golay keys, the fingerprints are near."""
         size = F.least(f"{left}.n", f"{right}.n") >= F.lit(similarity) * F.greatest(f"{left}.n", f"{right}.n")
         return size & (F.col("band") | (F.bit_count(F.col(f"{left}.fp").bitwiseXOR(F.col(f"{right}.fp"))) <= DISTANCE))
 
-    links, roots, open_ = None, None, keyed.withColumn("root", F.col("node"))
+    links, open_ = None, keyed.withColumn("root", F.col("node"))
     for turn in range(2):
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "fp", "root")
         star = open_.select("key", "band", F.struct("node", "n", "fp", "root").alias("one"), F.min(order).over(by_key).alias("hub"))
         star = star.filter((F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
-        star = star.select(F.least("one.node", "hub.node").alias("a"), F.greatest("one.node", "hub.node").alias("b")).distinct()
-        found = materialise(_alike(star, sets, similarity), "links")
+        found = verified(star.select(F.least("one.node", "hub.node").alias("a"), F.greatest("one.node", "hub.node").alias("b")).distinct())
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         open_ = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -332,7 +334,7 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
     there = dealt.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("node", "n", "fp", "root").alias("hub"))
     pairs = here.join(there, ["key", "block"]).filter((F.col("one.node") < F.col("hub.node")) & (F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
     pairs = pairs.select(F.col("one.node").alias("a"), F.col("hub.node").alias("b")).distinct()
-    roots = components(links.unionByName(materialise(_alike(pairs, sets, similarity), "links")))
+    roots = components(links.unionByName(verified(pairs)))
     linked = of_row.join(roots, "node", "left").select(ROW, F.coalesce("root", "node").alias("component_id"))
     return linked
 

@@ -18,7 +18,7 @@ MARKER = "▁"
 #: A run of markers and what follows up to the next marker: no piece goes beyond one.
 UNIT = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 #: Distinct units whose pieces a worker remembers before it forgets them all.
-REMEMBER = 250_000
+REMEMBER = 100_000
 #: Characters of text that are encoded together, and cells of the Viterbi table.
 TEXT_AT_ONCE, CELLS = 2_000_000, 500_000
 #: Units longer than this (bytes) are encoded one at a time.

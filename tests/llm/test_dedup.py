@@ -206,3 +206,19 @@ def test_near_copies_by_five_word_similarity(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
     far = [bin(simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(t.encode())).count("1") for t in texts[1:5]]
     assert max(far) > simhash.DISTANCE
+
+
+def test_only_what_is_in_a_pair_has_its_set_made(spark, monkeypatch):
+    """A key that two texts share costs no set if their sizes rule the similarity out."""
+    made, write = [], simhash.materialise
+
+    def counted(df, name):
+        table = write(df, name)
+        made.extend([(name, table.count())] if name in ("shared-nodes", "shingle-sets") else [])
+        return table
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    words = [f"w{i}" for i in range(100)]
+    docs = documents(spark, [(1, " ".join(words[:74]), "en", "s"), (2, " ".join(words), "en", "s")])
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {1, 2}
+    assert dict(made)["shared-nodes"] > 0 and sum(n for name, n in made if name == "shingle-sets") == 0
