@@ -165,21 +165,27 @@ def climb_vam(keyed: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def course_records(keyed: DataFrame, profiles: DataFrame, top: int = 50) -> DataFrame:
+def course_records(rows: DataFrame, profiles: DataFrame, top: int = 50) -> DataFrame:
     """The fastest ascents of each known climb, one for each athlete: (rk, rank, id, nm, t, vam, wkg, y, g, cat, link, n, name, dist_km, elev_m, grade).
 
-    An athlete's best is a partial aggregate, so that only as many rows as
-    athletes are ranked; a climb's board keeps its first `top` before the sort.
+    rows have no keys yet: only those on a climb get theirs row by row, the
+    others are counted by name and ids first. An athlete's best is a partial
+    aggregate, so that only as many rows as athletes are ranked; a climb's
+    board keeps its first `top` before the sort.
     """
-    rows = _ascents(I.resolved(keyed), profiles)
+    climbs = rows.join(F.broadcast(profiles.select("race_key").distinct()), "race_key", "left_semi")
+    ascents = _ascents(I.resolved(I.with_group_keys(climbs, seen=rows)), profiles)
     pick = F.min_by(F.struct("finish_seconds", "row_ord", "name_masked", "vam", "wkg", "year", "gender", X.filled(F.col("category_raw"), F.col("result_label")).alias("cat")), F.struct("finish_seconds", "row_ord"))
-    best = rows.groupBy("race_key", "gk").agg(pick.alias("b"))
+    best = ascents.groupBy("race_key", "gk").agg(pick.alias("b"))
     board = Window.partitionBy("race_key").orderBy("b.finish_seconds", "b.row_ord")
     ranked = best.withColumn("rank", F.row_number().over(board)).filter(F.col("rank") <= top)
     size = best.groupBy("race_key").agg(F.count("*").alias("n"))
     ranked = ranked.join(F.broadcast(size), "race_key")
     listed = F.broadcast(ranked.select("gk").distinct())  # `top` a climb
-    out = ranked.join(F.broadcast(profiles), "race_key").join(F.broadcast(I.sizes(keyed.join(listed, "gk", "left_semi"))), "gk", "left")
+    alone = F.when(X.is_source_masked(F.col("name_raw")), F.col("row_ord")).alias("row_ord")  # rows with a hidden name have keys of their own
+    counted = rows.groupBy("name_raw", "tsu_rider_id", "uci_id", alone).agg(F.count("*").alias("rows"))
+    sizes = I.with_group_keys(counted, seen=rows).join(listed, "gk", "left_semi").groupBy("gk").agg(F.sum("rows").alias("rows"))
+    out = ranked.join(F.broadcast(profiles), "race_key").join(F.broadcast(sizes), "gk", "left")
     return out.select(
         F.col("race_key").alias("rk"), F.col("rank").cast("long").alias("rank"), I.athlete_id(F.col("gk")).alias("id"), F.col("b.name_masked").alias("nm"),
         F.floor("b.finish_seconds").alias("t"), F.col("b.vam").cast("long").alias("vam"), F.col("b.wkg").alias("wkg"), F.col("b.year").alias("y"), F.col("b.gender").alias("g"),

@@ -22,15 +22,17 @@ def entry_key(race: Column, year: Column, seconds: Column, masked: Column) -> Co
     return F.when(race.isNotNull() & year.isNotNull() & seconds.isNotNull() & ~X.blank(masked), whole)
 
 
-def with_group_keys(rows: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+def with_group_keys(rows: DataFrame, legacy: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """rows with `gk`: t:<rider id>, else u:<uci id>, else the one id that the name is ever seen with, else n:<name>.
 
     Anchors are aggregates by name, joined back: no list of names leaves the
     cluster; only rows with an id are shuffled for them. Rows whose source hid the name join the athlete that the legacy
     table (entry, athlete_id) has for their result: by that athlete's key if
     there is one (the first), else x:<id>; without a match they stand alone as s:<row>.
+    seen: the rows that names and ids are learned from, if rows are only some of them.
     """
-    given = rows.filter(~X.blank(F.col("name_raw")) & (F.col("tsu_rider_id").isNotNull() | F.col("uci_id").isNotNull()))
+    seen = rows if seen is None else seen
+    given = seen.filter(~X.blank(F.col("name_raw")) & (F.col("tsu_rider_id").isNotNull() | F.col("uci_id").isNotNull()))
     anchors = given.groupBy("name_raw").agg(
         F.min("tsu_rider_id").alias("tsu0"), F.max("tsu_rider_id").alias("tsu1"), F.min("uci_id").alias("uci0"), F.max("uci_id").alias("uci1")
     )

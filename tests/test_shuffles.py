@@ -34,3 +34,11 @@ def test_tables_are_joined_once(spark):
     for name in ("increment_counts", "insights_careers", "merge_cross_listed", "athletes_calibrated"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "l_orderkey" not in plan
+
+
+def test_course_records_send_other_races_rows_counted(spark):
+    """Only rows on a climb are joined one by one, and no rank is made; hidden names stand alone, links count all of an athlete's rows."""
+    rows = [row("n", rank=1, race="r1", finish_seconds=9000.0), row("n", rank=2, race="r2"), row("m", rank=2, race="r1", finish_seconds=9100.0), row("o*", rank=3, race="r1", finish_seconds=9200.0), row("o*", rank=3, race="r2")]
+    climbs = spark.createDataFrame([("r1", 3200, 52.0, 6.2, "Mount r1", "high")], "race_key string, elev_m int, dist_km double, grade double, name string, conf string")
+    got = athletes.course_records(records(spark, rows).drop("rank_overall"), climbs).orderBy("rank").collect()
+    assert [(r.rank, r.link, r.n) for r in got] == [(1, True, 3), (2, False, 3), (3, False, 3)]
