@@ -280,6 +280,38 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _several_roots(keyed: DataFrame) -> DataFrame:
+    """The rows (key, root, ...) of keys that hold several roots."""
+    by_key = Window.partitionBy("key")
+    return keyed.withColumn("least", F.min("root").over(by_key)).withColumn("most", F.max("root").over(by_key)).filter("least <> most").drop("least", "most")
+
+
+def _shared_by_two(sets: DataFrame) -> DataFrame:
+    """(a, b, rare): how many hashes just the sets of nodes a and b have; with a = b, those that one set alone has."""
+    by_hash = sets.select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b"))
+    return by_hash.filter("c <= 2").groupBy("a", "b").agg(F.count("*").alias("rare"))
+
+
+def _hopeful(keyed: DataFrame, rare: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """keyed (key, band, node, n, own, root, ...) without the rows that can link with nothing of their band key, and
+    the pairs (a, b) that rare allows, to be compared apart; in rows of band keys, own is how many hashes of a node rare counts.
+
+    Of its n hashes a set shares n - own at most with one that rare has no pair of; so with a set of m it has a
+    similarity of (n - own) / (own + m) at most, m being the key's least size or n - own. So edited copies of one text
+    that are too far from each other don't meet in pairs. rare is _shared_by_two of all nodes in band keys.
+    """
+    own = rare.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node"), "rare").groupBy("node").agg(F.sum("rare").alias("counted"))
+    known = keyed.join(own, "node", "left").withColumn("own", F.when(F.col("band"), F.coalesce("counted", F.lit(0))).otherwise(F.col("own"))).drop("counted")
+    most = F.col("n") - F.col("own")
+    rows = known.withColumn("least", F.min("n").over(Window.partitionBy("key")))
+    rows = rows.filter(~F.col("band") | (most >= F.lit(similarity) * (F.col("own") + F.greatest("least", most)))).drop("least")
+    each = known.filter("band").select("node", F.struct("n", "own", "root").alias("s")).distinct()
+    met = rare.filter("a < b").join(each.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(each.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own")) + F.col("rare")
+    met = met.filter((F.col("x.root") != F.col("y.root")) & (both >= F.lit(similarity) * (F.col("x.n") + F.col("y.n") - both)))
+    return rows, met.select("a", "b")
+
+
 def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """(ROW, component_id) of numbered rows: texts whose sets of word shingles have a Jaccard similarity of at least
     similarity link; a component is named by the number of one of its rows.
@@ -287,7 +319,8 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
     Candidates share a Golay key of the sets' SimHash (exact for 4 bits) or one
     of BANDS keys of minimum hashes; each link is verified on the whole sets.
     Rows with equal sets are one node. What shares a key is first compared with
-    two of the key's nodes; only keys whose nodes are then still in several
+    two of the key's nodes, and after each what can link with nothing of a
+    band key leaves it (_hopeful); only keys whose nodes are then still in several
     components are compared pair by pair, in blocks.
     """
     spark = rows.sparkSession
@@ -301,8 +334,10 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
     by_key = Window.partitionBy("key")
     keyed = single.select("node", "fp", "bands").mapInArrow(_node_keys, "key long, node long")
     keyed = materialise(keyed.withColumn("many", F.count("*").over(by_key)).filter("many > 1").drop("many"), "shared-keys")
-    keyed = materialise(keyed.join(single.select("node", "n", "fp"), "node").withColumn("band", F.col("key") < 0), "shared-nodes")
+    keyed = keyed.join(single.select("node", "n", "fp"), "node").withColumns({"band": F.col("key") < 0, "own": F.lit(0).cast("long")})
+    keyed = materialise(keyed, "shared-nodes")
     sweep(spark)
+    parts = ("node", "n", "fp", "own", "root")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are alike; only what is in a pair has its set made, so that keys shared by chance cost no set."""
@@ -312,28 +347,36 @@ def similar_groups(rows: DataFrame, text_col: str, shingle: int, similarity: flo
         return materialise(_alike(pairs, sets, similarity), "links")
 
     def may(left: str, right: str) -> Column:
-        """Whether sizes allow the similarity and, for Golay keys, the fingerprints are near."""
-        size = F.least(f"{left}.n", f"{right}.n") >= F.lit(similarity) * F.greatest(f"{left}.n", f"{right}.n")
+        """Whether sizes, without hashes that just two sets have (what these allow is met), allow the similarity and, for Golay keys, the fingerprints are near."""
+        most = F.least(F.col(f"{left}.n") - F.col(f"{left}.own"), F.col(f"{right}.n") - F.col(f"{right}.own"))
+        size = most >= F.lit(similarity) * (F.col(f"{left}.n") + F.col(f"{right}.n") - most)
         return size & (F.col("band") | (F.bit_count(F.col(f"{left}.fp").bitwiseXOR(F.col(f"{right}.fp"))) <= DISTANCE))
 
-    links, open_ = None, keyed.withColumn("root", F.col("node"))
+    links, met, open_ = None, None, keyed.withColumn("root", F.col("node"))
     for turn in range(2):
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "fp", "root")
-        star = open_.select("key", "band", F.struct("node", "n", "fp", "root").alias("one"), F.min(order).over(by_key).alias("hub"))
+        order = F.struct((F.col("own") / F.col("n")).alias("share"), F.xxhash64("node", F.lit(turn)).alias("h"), *parts)  # first by chance, then what edited copies come from
+        star = open_.select("key", "band", F.struct(*parts).alias("one"), F.min(order).over(by_key).alias("hub"))
         star = star.filter((F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
-        found = verified(star.select(F.least("one.node", "hub.node").alias("a"), F.greatest("one.node", "hub.node").alias("b")).distinct())
+        star = star.select(F.least("one.node", "hub.node").alias("a"), F.greatest("one.node", "hub.node").alias("b"))
+        found = verified((star if met is None else star.unionByName(met)).distinct())
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         open_ = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = open_.withColumn("least", F.min("root").over(by_key)).withColumn("most", F.max("root").over(by_key)).filter("least <> most").drop("least", "most")
-        open_ = materialise(open_, "open-keys")
+        open_ = materialise(_several_roots(open_), "open-keys")
+        sweep(spark)
+        banded = few(open_.filter("band").select(F.col("node").alias(ROW)).distinct(), "banded-nodes")
+        sets = texts.join(banded, ROW, "left_semi").mapInArrow(_sets(shingle), "node long, hashes array<long>")
+        rare = materialise(_shared_by_two(sets), "rare-shingles")
+        hopeful, met = _hopeful(open_, rare, similarity)
+        open_, met = materialise(_several_roots(hopeful), "hopeful-keys"), materialise(met, "met-pairs")
+        keyed = open_.drop("root")
         sweep(spark)
 
     dealt = open_.withColumn("blocks", F.ceil(F.count("*").over(by_key) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    here = dealt.select("key", F.col("own").alias("block"), F.struct("node", "n", "fp", "root").alias("one"))
-    there = dealt.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("node", "n", "fp", "root").alias("hub"))
+    here = dealt.select("key", F.col("own").alias("block"), F.struct(*parts).alias("one"))
+    there = dealt.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct(*parts).alias("hub"))
     pairs = here.join(there, ["key", "block"]).filter((F.col("one.node") < F.col("hub.node")) & (F.col("one.root") != F.col("hub.root")) & may("one", "hub"))
-    pairs = pairs.select(F.col("one.node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    pairs = pairs.select(F.col("one.node").alias("a"), F.col("hub.node").alias("b")).unionByName(met).distinct()
     roots = components(links.unionByName(verified(pairs)))
     linked = of_row.join(roots, "node", "left").select(ROW, F.coalesce("root", "node").alias("component_id"))
     return linked

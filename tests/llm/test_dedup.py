@@ -222,3 +222,27 @@ def test_only_what_is_in_a_pair_has_its_set_made(spark, monkeypatch):
     docs = documents(spark, [(1, " ".join(words[:74]), "en", "s"), (2, " ".join(words), "en", "s")])
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {1, 2}
     assert dict(made)["shared-nodes"] > 0 and sum(n for name, n in made if name == "shingle-sets") == 0
+
+
+def test_edited_copies_of_one_text_do_not_meet_in_pairs(spark, monkeypatch):
+    """Copies of a text with few edits link with it, those with more link with nothing; pairs grow with the texts, not their square."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    words, texts = [word() for _ in range(150)], []
+    for edits in [0] + [1, 2, 4, 5] * 40:
+        other = list(words)
+        for at in rng.sample(range(0, 150, 6), edits):
+            other[at] = word()
+        texts.append(" ".join(other))
+    made, write = [], simhash.materialise
+
+    def counted(df, name):
+        table = write(df, name)
+        made.extend([table.count()] if name == "pairs" else [])
+        return table
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    want = {i for i, top in enumerate(jaccard_components(texts)) if i == top}
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want and 1 < len(want) < len(texts)
+    assert made[0] < 10 * len(texts) and sum(made[1:]) < len(texts)
