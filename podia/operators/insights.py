@@ -25,10 +25,17 @@ def age_curve(rows: DataFrame, least: int = 50) -> DataFrame:
     return per.filter(F.col("n") >= least)
 
 
-def breakout(keyed: DataFrame, least_a_year: int = 2, least_jump: float = 15.0, top: int = 40) -> DataFrame:
-    """(id, from_y, to_y, from_pct, to_pct, jump): the largest rise of a yearly median from one racing year to the next."""
-    rows = I.with_field(athletes.trackable(keyed), I.field_sizes(keyed, ranked_only=True)).filter("pct is not null and year <> 0")
-    yearly = rows.groupBy("gk", "year").agg(M.median(F.col("pct")).alias("m"), F.count("*").alias("n")).filter(F.col("n") >= least_a_year)
+def breakout(rows: DataFrame, least_a_year: int = 2, least_jump: float = 15.0, top: int = 40) -> DataFrame:
+    """(id, from_y, to_y, from_pct, to_pct, jump): the largest rise of a yearly median from one racing year to the next.
+
+    rows have no group keys yet: they get them when only their percentage, year and name are left, and of an
+    identity's year a task sends its percentages together. A year of MIN_RESULTS ranked rows makes its identity trackable.
+    """
+    ranked = _scored(rows).filter("pct is not null and year <> 0").withColumn("row_ord", F.when(X.is_source_masked(F.col("name_raw")), F.col("row_ord")))
+    keyed = I.resolved(I.with_group_keys(ranked.select("row_ord", "name_raw", "uci_id", "tsu_rider_id", "year", "pct"), seen=rows))
+    if least_a_year < I.MIN_RESULTS:
+        keyed = keyed.join(I.sizes(I.with_group_keys(rows)).filter(F.col("rows") >= I.MIN_RESULTS).select("gk"), "gk", "left_semi")
+    yearly = keyed.groupBy("gk", "year").agg(M.median(F.col("pct")).alias("m"), F.count("*").alias("n")).filter(F.col("n") >= least_a_year)
     before = Window.partitionBy("gk").orderBy("year")
     steps = yearly.withColumn("from_y", F.lag("year").over(before)).withColumn("from_m", F.lag("m").over(before)).filter("from_y is not null")
     jump = F.col("m") - F.col("from_m")

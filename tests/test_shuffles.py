@@ -1,6 +1,6 @@
 import random
 
-from podia.operators import athletes, identity
+from podia.operators import athletes, identity, insights
 from podia.plans.queries import QUERIES
 from tests.test_operators import records, row
 
@@ -42,3 +42,14 @@ def test_course_records_send_other_races_rows_counted(spark):
     climbs = spark.createDataFrame([("r1", 3200, 52.0, 6.2, "Mount r1", "high")], "race_key string, elev_m int, dist_km double, grade double, name string, conf string")
     got = athletes.course_records(records(spark, rows).drop("rank_overall"), climbs).orderBy("rank").collect()
     assert [(r.rank, r.link, r.n) for r in got] == [(1, True, 3), (2, False, 3), (3, False, 3)]
+
+
+def test_breakout_sends_percentages_by_identity_together(spark):
+    """No window over an identity's rows, which are shuffled by gk as percentages and then as years; hidden names stand alone, and few results a year still need two in all."""
+    rows = [row(f"x{y}{i}", rank=i, year=y) for y in (2020, 2021) for i in range(3, 9)]
+    rows += [row("n", rank=r, year=y) for y, r in ((2020, 9), (2020, 10), (2021, 1), (2021, 2))] + [row("o*", rank=r, year=y) for y, r in ((2020, 1), (2020, 2), (2021, 9), (2021, 10))]
+    found = insights.breakout(records(spark, rows))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__rows" not in plan and shuffled(found, "gk") == 2
+    assert [(r.from_y, r.to_y, r.from_pct, r.to_pct, r.jump) for r in found.collect()] == [(2020, 2021, 5.0, 85.0, 80.0)]
+    assert [r.jump for r in insights.breakout(records(spark, rows), least_a_year=1).collect()] == [80.0]
