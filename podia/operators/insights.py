@@ -12,17 +12,24 @@ from podia.functions import text as X
 from podia.operators import athletes
 from podia.operators import identity as I
 
+#: Bins of a percent in which percentages are counted before quantiles are looked for.
+PCT_BINS = 1000
+
 
 def _scored(rows: DataFrame) -> DataFrame:
     return I.with_field(rows, I.field_sizes(rows, ranked_only=True))
 
 
 def age_curve(rows: DataFrame, least: int = 50) -> DataFrame:
-    """(band, g, n, p25, p50, p75): the percentage of the field beaten, by age band, over all and by gender."""
+    """(band, g, n, p25, p50, p75): the percentage of the field beaten, by age band, over all and by gender.
+
+    Equal percentages of a band are counted first; quantiles are then found in bins of a PCT_BINS-th of a percent.
+    """
     known = _scored(rows).filter(F.col("pct").isNotNull() & F.col("age_band").isin(*X.AGE_MIDDLE))
-    each = known.select(F.col("age_band").alias("band"), "pct", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("gender").isin("M", "F"), F.col("gender"))))).alias("g"))
-    per = each.groupBy("band", "g").agg(F.count("*").alias("n"), *[F.round(M.quantile(F.col("pct"), q), 1).alias(n) for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
-    return per.filter(F.col("n") >= least)
+    counted = known.groupBy(F.col("age_band").alias("band"), F.when(F.col("gender").isin("M", "F"), F.col("gender")).alias("gender"), "pct").agg(F.count("*").alias("c"))
+    each = counted.select("band", F.explode(F.array_compact(F.array(F.lit("all"), "gender"))).alias("g"), "pct", "c")
+    per = M.quantiles(each, ["band", "g"], "pct", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, PCT_BINS).filter(F.col("n") >= least)
+    return per.select("band", "g", "n", *[F.round(p, 1).alias(p) for p in ("p25", "p50", "p75")])
 
 
 def breakout(rows: DataFrame, least_a_year: int = 2, least_jump: float = 15.0, top: int = 40) -> DataFrame:
