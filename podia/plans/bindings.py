@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from podia.functions import text as T
@@ -71,10 +71,34 @@ _BY_SIZE = """FROM {lineitem} l
         JOIN {region} r ON n.n_regionkey = r.r_regionkey) ON l.l_orderkey = o.o_orderkey"""
 
 
+#: The rows of RESULTS before they are ranked.
+_UNRANKED = re.compile(r"FROM \(\s*(SELECT .*)\n\) r", re.S)
+#: The columns that ranks follow from.
+RANKED_BY = ["race_key", "year", "result_label", "finish_seconds", "row_ord"]
+
+
+def _normalised(spark: SparkSession, sf_dir: str, ranked: bool) -> DataFrame:
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    sql = _FROM.sub(lambda _: _BY_SIZE, RESULTS)
+    return enrich(spark.sql(sql if ranked else _UNRANKED.search(sql)[1], **tables).withColumn("name_masked", T.mask_name(F.col("name_raw"))))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All results of the tables in sf_dir, normalised."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    return enrich(spark.sql(_FROM.sub(lambda _: _BY_SIZE, RESULTS), **tables).withColumn("name_masked", T.mask_name(F.col("name_raw"))))
+    return _normalised(spark, sf_dir, ranked=True)
+
+
+def digested(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Of results(): race_key, year, finish_seconds, rank_overall, some more columns, and `rest`, a hash of all that don't follow from these.
+
+    For digests of results: a row's texts are hashed before it is ranked, so that ranking moves the hash and not them.
+    """
+    rows = _normalised(spark, sf_dir, ranked=False)
+    rest = F.xxhash64(*sorted(set(rows.columns) - set(more)))
+    short = rows.select(*dict.fromkeys([*RANKED_BY, *more]), rest.alias("rest"))
+    group = Window.partitionBy("race_key", "year", "result_label", F.col("finish_seconds").isNull()).orderBy("finish_seconds", "row_ord")
+    ranked = short.withColumn("rank_overall", F.when(F.col("finish_seconds").isNotNull(), F.row_number().over(group).cast("long")))
+    return ranked.select(*dict.fromkeys(["race_key", "year", "finish_seconds", "rank_overall", *more]), "rest")
 
 
 def profiles(spark: SparkSession) -> DataFrame:
