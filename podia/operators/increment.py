@@ -30,8 +30,13 @@ def changed_race_years(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def of_race_years(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of the wanted race-years (race_key, year)."""
-    return rows.alias("r").join(wanted.select("race_key", "year").alias("w"), _same("r", "w"), "left_semi")
+    """The rows of the wanted race-years (race_key, year), which are broadcast: a row a race-year."""
+    return rows.alias("r").join(F.broadcast(wanted.select("race_key", "year")).alias("w"), _same("r", "w"), "left_semi")
+
+
+def other_race_years(rows: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """The rows of all other race-years than the unwanted (race_key, year), which are broadcast."""
+    return rows.alias("r").join(F.broadcast(unwanted.select("race_key", "year")).alias("w"), _same("r", "w"), "left_anti")
 
 
 def folder_of(race: Column, year: Column) -> Column:

@@ -24,8 +24,9 @@ def group_label() -> Column:
 
 
 def slim(rows: DataFrame) -> DataFrame:
-    """One short row a finisher, for interactive filters."""
-    km = X.distance_km(F.col("category_raw"), F.col("result_label"), F.col("race_name_raw"))
+    """One short row a finisher, for interactive filters; its distance is looked for in the race's name too if rows have that."""
+    name = F.col("race_name_raw") if "race_name_raw" in rows.columns else F.lit(None).cast("string")
+    km = X.distance_km(F.col("category_raw"), F.col("result_label"), name)
     t = F.col("finish_seconds")
     return finishers(rows).select(
         F.col("race_key").alias("rk"), F.col("year").alias("y"), X.month_of(F.col("date")).cast("long").alias("mon"), F.col("series").alias("s"), F.col("race_class").alias("rc"),
