@@ -103,11 +103,6 @@ def most_common(keyed: DataFrame, column: str, keep: Column | None = None) -> Da
     return counted.groupBy("gk").agg(M.mode(column, F.col("first")).alias(column))
 
 
-def dominant_gender(keyed: DataFrame) -> DataFrame:
-    """(gk, g): the gender that most of an identity's rows have, null at a tie."""
-    return keyed.groupBy("gk").agg(more_often().alias("g"))
-
-
 def more_often() -> Column:
     """The gender that most rows of a group have, null at a tie: an aggregate."""
     m, f = F.count_if(F.col("gender") == "M"), F.count_if(F.col("gender") == "F")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podia.functions import measures as M
 from podia.functions import text as X
-from podia.operators import athletes
 from podia.operators import identity as I
 
 #: Bins of a percent in which percentages are counted before quantiles are looked for.
@@ -83,24 +82,62 @@ def biggest_fields(rows: DataFrame, top: int = 8) -> DataFrame:
     return best.join(named, "race_key", "left").select(F.col("race_key").alias("rk"), "name", F.col("year").alias("y"), F.col("field").alias("n"))
 
 
-def streaks(rows: DataFrame) -> DataFrame:
-    """(gk, streak): the longest run of consecutive years with a result."""
-    years = rows.filter("year <> 0").select("gk", "year").distinct()
-    runs = years.withColumn("run", F.col("year") - F.row_number().over(Window.partitionBy("gk").orderBy("year")))
-    return runs.groupBy("gk", "run").agg(F.count("*").alias("n")).groupBy("gk").agg(F.max("n").alias("streak"))
+def _streak(years: Column) -> Column:
+    """The longest run of consecutive years in a sorted array of different ones."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
 
+    def step(so_far: Column, year: Column) -> Column:
+        run = F.when(so_far["last"] == year - 1, so_far["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(year.alias("last"), run.alias("run"), F.greatest(so_far["best"], run).alias("best"))
 
-def careers(keyed: DataFrame) -> DataFrame:
-    """(id, nm, g, n, wins, nr, streak, lrk, lname, lyears) of athletes whose identity isn't doubtful; lrk is the race ridden in most years."""
-    rows = athletes.trackable(keyed)
+    return F.aggregate(years, start, step, lambda x: x["best"])
+
+
+def _loyal(rode: Column) -> Column:
+    """(race_key, years): the race with most different years in a sorted array of (race_key, year); of several the first by name."""
+    start = F.struct(F.lit(None).cast("string").alias("race"), F.lit(None).cast("long").alias("year"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("race_key"), F.lit(0).cast("long").alias("years"))
+
+    def step(so_far: Column, x: Column) -> Column:
+        more = F.when(so_far["year"] == x["year"], so_far["n"]).otherwise(so_far["n"] + 1)
+        n = F.when(so_far["race"] == x["race_key"], more).otherwise(F.lit(1).cast("long"))
+        ahead = n > so_far["years"]
+        return F.struct(x["race_key"].alias("race"), x["year"].alias("year"), n.alias("n"), F.when(ahead, x["race_key"]).otherwise(so_far["race_key"]).alias("race_key"), F.greatest(n, so_far["years"]).alias("years"))
+
+    return F.aggregate(rode, start, step, lambda x: F.struct(x["race_key"].alias("race_key"), x["years"].alias("years")))
+
+
+def careers(rows: DataFrame) -> DataFrame:
+    """(id, nm, g, n, wins, nr, streak, lrk, lname, lyears) of athletes whose identity isn't doubtful; lrk is the race ridden in most years, lname its first row's name.
+
+    rows have no group keys yet: they meet by name, once, and become one row for each name and its ids; these
+    get keys and meet by identity. Rows whose source hid the name stand alone, those with neither name nor id are nobody's.
+    """
+    alone = F.when(X.is_source_masked(F.col("name_raw")), F.col("row_ord"))
+    named = rows.filter(~(X.blank(F.col("name_raw")) & X.blank(F.col("tsu_rider_id")) & X.blank(F.col("uci_id"))))
+    who = ["name_raw", "name_masked", "tsu_rider_id", "uci_id"]
+    met = named.select(*who, alone.alias("row_ord"), F.col("row_ord").alias("place"), "team", "gender", "race_key", "year", (F.col("rank_overall") == 1).alias("won")).repartition("name_raw")
+    groups = met.groupBy(*who, "row_ord").agg(
+        F.count("*").alias("n"), F.min("place").alias("first"), F.count_if(F.col("won")).alias("wins"), F.count_if(F.col("gender") == "M").alias("men"), F.count_if(F.col("gender") == "F").alias("women"),
+        F.collect_set(F.when(~X.blank(F.col("team")), F.col("team"))).alias("teams"), F.collect_set(F.struct("race_key", "year")).alias("rode"),
+    )
+    spelt = Window.partitionBy("gk", "name_masked")
+    keyed = I.resolved(I.with_group_keys(groups, seen=rows)).repartition("gk").withColumns({"__n": F.sum("n").over(spelt), "__first": F.min("first").over(spelt)})
+    per = keyed.groupBy("gk").agg(
+        F.min_by("name_masked", F.struct(-F.col("__n"), "__first")).alias("nm"), F.min_by("name_raw", "first").alias("name_raw"),
+        *[F.sum(c).alias(c) for c in ("n", "wins", "men", "women")], *[F.flatten(F.collect_list(c)).alias(c) for c in ("teams", "rode")],
+    )
+    length = F.length(F.regexp_replace(F.coalesce("name_raw", F.lit("")), r"(?U)\s", ""))
+    conf = I.confidence(F.col("gk").rlike("^[tu]:"), F.size(F.array_distinct("teams")), length, (F.col("men") > 0) & (F.col("women") > 0))
+    sure = per.filter(F.col("n") >= I.MIN_RESULTS).filter(conf != "low")
+    dated = F.filter("rode", lambda x: x["year"] != 0)
+    sure = sure.withColumn("l", _loyal(F.sort_array(F.filter(dated, lambda x: x["race_key"].isNotNull()))))
+    different = F.size(F.array_distinct(F.transform("rode", lambda x: F.coalesce(x["race_key"], F.lit(""))))).cast("long")
+    streak = _streak(F.sort_array(F.array_distinct(F.transform(dated, lambda x: x["year"]))))
     names = rows.filter("race_key is not null").groupBy("race_key").agg(F.min_by(X.filled(F.col("race_name_canonical"), F.col("race_key")), "row_ord").alias("lname"))
-    sure = athletes.index(keyed).filter("conf <> 'low'").select("id", "nm")
-    rows = rows.withColumn("id", I.athlete_id(F.col("gk"))).join(sure, "id")
-    per = rows.groupBy("gk", "id").agg(F.min("nm").alias("nm"), F.count("*").alias("n"), F.count_if(F.col("rank_overall") == 1).alias("wins"), F.count_distinct(F.coalesce("race_key", F.lit(""))).alias("nr"))
-    loyal = rows.filter("race_key is not null and year <> 0").groupBy("gk", "race_key").agg(F.count_distinct("year").alias("years"))
-    loyal = loyal.groupBy("gk").agg(F.min_by(F.struct("race_key", "years"), F.struct(-F.col("years"), "race_key")).alias("l")).select("gk", F.col("l.race_key").alias("race_key"), F.col("l.years").alias("lyears"))
-    out = per.join(streaks(rows), "gk", "left").join(I.dominant_gender(rows), "gk", "left").join(loyal.join(names, "race_key"), "gk", "left")
-    return out.select("id", "nm", "g", "n", "wins", "nr", F.coalesce("streak", F.lit(0).cast("long")).alias("streak"), F.col("race_key").alias("lrk"), "lname", F.coalesce("lyears", F.lit(0).cast("long")).alias("lyears"))
+    g = F.when(F.col("men") > F.col("women"), "M").when(F.col("women") > F.col("men"), "F")
+    out = sure.select(I.athlete_id(F.col("gk")).alias("id"), "nm", g.alias("g"), "n", "wins", different.alias("nr"), streak.alias("streak"), F.col("l.race_key").alias("lrk"), F.col("l.years").alias("lyears"))
+    out = out.join(F.broadcast(names.withColumnRenamed("race_key", "lrk")), "lrk", "left")  # a row a race
+    return out.select("id", "nm", "g", "n", "wins", "nr", "streak", "lrk", "lname", "lyears")
 
 
 def boards(careers_: DataFrame, top: int = 8) -> DataFrame:
