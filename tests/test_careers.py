@@ -64,3 +64,10 @@ def test_an_identitys_rows_meet_by_name_and_once_by_key(rows):
     found = insights.careers(rows)
     assert shuffled(found, "gk") == 1 and shuffled(found, "name_raw") == 2 and shuffled(found, "id") == 0
     assert "__rows" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boards_need_no_other_look_at_the_rows(rows):
+    found = insights.boards(insights.careers(rows))
+    assert shuffled(found, "gk") == 1 and shuffled(found, "id") == 0 and shuffled(found, "name_raw") == 2
+    starts = [(r.nm, r.v) for r in found.orderBy("place").collect() if r.board == "most_starts"]
+    assert starts == [(r.nm, r.n) for r in insights.careers(rows).orderBy("n", "id", ascending=[False, True]).limit(8).collect()]
