@@ -26,7 +26,8 @@ def entrants(rows: DataFrame) -> DataFrame:
 def result_books(rows: DataFrame) -> DataFrame:
     """(book, page, line, text): results as printed lists; the layout changes with the year, and every section ends with a summary page."""
     e = entrants(rows).withColumn("layout", F.col("year") % 4)
-    clock = F.format_string("%d:%02d:%02d", F.floor(F.col("seconds") / 3600), F.floor(F.col("seconds") % 3600 / 60), F.col("seconds") % 60)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    clock = F.concat_ws(":", F.floor(F.col("seconds") / 3600).cast("string"), two(F.floor(F.col("seconds") % 3600 / 60)), two(F.col("seconds") % 60))
     n, bib = F.col("n").cast("string"), F.col("bib")
     said = F.when(F.col("seconds").isNull(), F.array(F.concat_ws(" ", "status", bib, "name", "team")))
     said = said.when(F.col("layout") == 1, F.array(F.concat_ws(" ", n, bib, "name", "team", F.lit("08:00:00 20:00:00"), clock, F.lit("39.95"))))

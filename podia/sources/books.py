@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podia.functions.text import let
 from podia.operators.normalise import make_records
 
 # The words and forms by which pages and lines are told, as the published books have them.
@@ -36,6 +38,12 @@ NOT_TEAM = [
     r"\bR\d{7}\b|\d{9,11}", CLOCK, r"\b(?:" + "|".join(STATUSES) + r")\b",
 ]
 
+#: What ends a team's text; and any of the texts that are taken out of it: without one it stays as it is.
+_LAST_NUMBER, _LAST_PLACE, _EDGES = r" (\d{9,11})$", r" +\d{1,2}$", "^[ -]+|[ -]+$"
+_ANY_NOT_TEAM = "|".join(f"(?:{p})" for p in [_LAST_NUMBER, *NOT_TEAM, "  ", _LAST_PLACE, _EDGES])
+#: A run of white space that isn't one blank.
+_UNEVEN = r"[\t\n\x0B\f\r\x{00a0}\x{3000}]|  "
+
 _STATUS = "(?i:" + "|".join(STATUSES) + ")"
 _ROW = rf"^(?:(\d+|{_STATUS}) )?([A-Za-z]?\d{{1,4}}) ({NAME})(?: (.*))?$"
 _FIELDS = "category, event, gender, rank, bib, name, uci_id, team, finish_time, finish_seconds, status"
@@ -77,19 +85,21 @@ def _pages(lines: DataFrame) -> DataFrame:
     pages = pages.withColumn("category", F.when(known, category)).withColumn("event", F.when(known & F.col("category").isNotNull(), event)).withColumn("table", F.when(~known, none).when(F.col("header").isNotNull(), table))
     so_far = Window.partitionBy("book").orderBy("page")
     carried = [F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("table", "category", "event")]
-    return pages.select("book", "page", "skipped", *carried)
+    return pages.select("book", "page", "skipped", *carried).withColumn("of_teams", F.col("event").rlike(TEAM_EVENT))
 
 
 def _rejoined(lines: DataFrame) -> DataFrame:
     """Lines in which a number on its own is put behind the rank that starts the next line, and `;` between digits is a colon."""
     page = Window.partitionBy("book", "page").orderBy("line")
-    tidy = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s\x{00a0}\x{3000}]+", " ")), r"(\d);(\d)", "$1:$2")
+    given = F.coalesce("text", F.lit(""))
+    even = F.trim(F.when(given.rlike(_UNEVEN), F.regexp_replace(given, r"[\s\x{00a0}\x{3000}]+", " ")).otherwise(given))
+    tidy = F.when(given.contains(";"), F.regexp_replace(even, r"(\d);(\d)", "$1:$2")).otherwise(even)
     lines = lines.select("book", "page", "line", tidy.alias("text"))
     lines = lines.withColumns({"place": F.row_number().over(page), "next": F.lead("text").over(page), "back": F.lag("text").over(page)})
     ranked = rf"^(\d{{1,3}}) ({NAME} .*)$"
-    alone = r"^\d{1,4}$"
-    joins = F.coalesce(F.col("text").rlike(alone) & F.col("next").rlike(ranked), F.lit(False))
-    used = F.coalesce(F.col("back").rlike(alone) & F.col("text").rlike(ranked), F.lit(False))
+    alone = lambda c: (F.length(c) <= 5) & F.col(c).rlike(r"^\d{1,4}$")  # noqa: E731 - a line's end may follow the digits
+    joins = F.coalesce(alone("text") & F.col("next").rlike(ranked), F.lit(False))
+    used = F.coalesce(alone("back") & F.col("text").rlike(ranked), F.lit(False))
     both = F.concat(F.regexp_extract("next", ranked, 1), F.lit(" "), "text", F.lit(" "), F.regexp_extract("next", ranked, 2))
     return lines.withColumn("used", used).withColumn("row", F.when(joins, both).otherwise(F.col("text")))
 
@@ -104,8 +114,17 @@ def _clock(text: Column) -> Column:
 def _as_time(seconds: Column, text: Column) -> Column:
     """hh:mm:ss with the decimals that text has."""
     whole = F.floor(seconds).cast("int")
-    decimals = F.regexp_extract(text, r"\.(\d+)$", 1)
-    return F.concat(F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60), F.when(decimals != "", F.concat(F.lit("."), decimals)).otherwise(""))
+    decimals = F.when(text.contains("."), F.regexp_extract(text, r"\.(\d+)$", 1)).otherwise("")
+    two = lambda n: F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+    clock = F.concat_ws(":", two(F.floor(whole / 3600)), two(F.floor(whole % 3600 / 60)), two(whole % 60))
+    return F.concat(clock, F.when(decimals != "", F.concat(F.lit("."), decimals)).otherwise(""))
+
+
+def _team(left: Column) -> Column:
+    """A team's text without what stands around it."""
+    team = reduce(lambda t, p: F.regexp_replace(t, p, " " if p in NOT_TEAM[5:] else ""), NOT_TEAM, F.regexp_replace(left, _LAST_NUMBER, ""))
+    team = F.regexp_replace(F.trim(F.regexp_replace(team, " +", " ")), _LAST_PLACE, "")
+    return F.regexp_replace(team, _EDGES, "")
 
 
 def _read(rows: DataFrame) -> DataFrame:
@@ -113,9 +132,11 @@ def _read(rows: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace("row", _ROW, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
     rows = rows.withColumn("parts", F.when(F.col("row").rlike(_ROW), parts))
     rows = rows.withColumns({"lead": _or_null(F.col("parts")[0]), "bib": F.col("parts")[1], "name": F.col("parts")[2], "rest": F.col("parts")[3]})
-    told = F.filter(F.split(F.upper("rest"), " "), lambda x: x.isin(STATUSES))
-    status = F.coalesce(F.try_element_at(told, F.lit(-1)), F.when(F.upper("lead").isin(STATUSES), F.upper("lead")))
-    rows = rows.withColumns({"status": status, "times": F.regexp_extract_all("rest", F.lit(CLOCK), F.lit(0)), "between": F.split("rest", CLOCK), "staged": F.col("rest").rlike(STAGE_TIME)})
+    upper = F.upper("rest")
+    told = F.filter(F.split(upper, " "), lambda x: x.isin(STATUSES))
+    told = F.when(reduce(or_, [upper.contains(x) for x in STATUSES]), F.try_element_at(told, F.lit(-1)))
+    status = F.coalesce(told, F.when(F.upper("lead").isin(STATUSES), F.upper("lead")))
+    rows = rows.withColumns({"status": status, "times": F.regexp_extract_all("rest", F.lit(CLOCK), F.lit(0)), "between": F.split("rest", CLOCK), "staged": F.col("rest").contains("m") & F.col("rest").contains("s") & F.col("rest").rlike(STAGE_TIME)})
     before = F.col("table.before")
     clock = F.get("times", before)
     hours, minutes, seconds = (_or_null(F.regexp_extract("rest", STAGE_TIME, i)) for i in (1, 2, 3))
@@ -125,17 +146,15 @@ def _read(rows: DataFrame) -> DataFrame:
     behind = F.get(F.split(F.trim(F.get("between", before + 1)), " "), 0)
     lead = F.when(F.col("lead").rlike(r"^\d+$"), F.col("lead"))
     trailing = F.when(F.col("status").isNull() & ~F.col("staged") & (F.size("times") > before) & behind.rlike(r"^\d+$"), behind)
-    cut = F.when(F.col("staged") & (F.size("times") == 0), F.split("rest", STAGE_TIME, 2)[0]).when(F.col("staged") | (F.size("times") > before), F.split("rest", CLOCK, 2)[0]).otherwise(F.col("rest"))
+    cut = F.when(F.col("staged") & (F.size("times") == 0), F.split("rest", STAGE_TIME, 2)[0]).when(F.col("staged") | (F.size("times") > before), F.get("between", F.lit(0))).otherwise(F.col("rest"))
     rows = rows.withColumns({"finish_seconds": F.when(timed, F.col("seconds")), "finish_time": F.when(timed, _as_time(F.col("seconds"), F.col("clock"))), "rank": F.coalesce(lead, trailing).cast("long"), "middle": F.trim(cut)})
     licensed, latin = F.col("middle").rlike(LICENCE), F.col("middle").rlike(LATIN_NAME)
     number = F.when(licensed, F.regexp_replace(F.regexp_extract("middle", LICENCE, 1), " ", "")).when(latin, F.regexp_extract("middle", LATIN_NAME, 1))
     left = F.when(licensed, F.regexp_extract("middle", LICENCE, 2)).when(latin, F.regexp_extract("middle", LATIN_NAME, 2)).otherwise(F.col("middle"))
     rows = rows.withColumns({"number": F.when(number.rlike(r"^\d{9,11}$"), number), "left": left})
-    last = r" (\d{9,11})$"
-    rows = rows.withColumn("uci_id", F.coalesce("number", _first_of(F.col("left"), [last], 1)))
-    team = reduce(lambda t, p: F.regexp_replace(t, p, " " if p in NOT_TEAM[5:] else ""), NOT_TEAM, F.regexp_replace("left", last, ""))
-    team = F.regexp_replace(F.trim(F.regexp_replace(team, " +", " ")), r" +\d{1,2}$", "")
-    return rows.withColumn("team", _or_null(F.regexp_replace(team, "^[ -]+|[ -]+$", "")))
+    ending = F.when(F.col("left").contains(" "), _first_of(F.col("left"), [_LAST_NUMBER], 1))
+    rows = rows.withColumn("uci_id", F.coalesce("number", ending))
+    return rows.withColumn("team", _or_null(F.when(F.col("left").rlike(_ANY_NOT_TEAM), let(F.col("left"), _team)).otherwise(F.col("left"))))
 
 
 def read_lines(lines: DataFrame, fields: str = _FIELDS) -> DataFrame:
@@ -163,7 +182,7 @@ def read_lines(lines: DataFrame, fields: str = _FIELDS) -> DataFrame:
     refused = (
         F.when(F.col("skipped"), "page skipped")
         .when(~F.col("table.open"), "no table")
-        .when(F.col("event").rlike(TEAM_EVENT), "team event")
+        .when(F.col("of_teams"), "team event")
         .when(F.col("used"), "joined")
         .when(F.col("parts").isNull() | few, "no rider")
         .when(F.col("lead").isNull() & F.col("table.rank_first") & F.col("status").isNull(), "no rank")
