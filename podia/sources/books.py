@@ -59,17 +59,19 @@ def _first_of(text: Column, patterns: list[str], group: int = 0) -> Column:
 
 
 def _pages(lines: DataFrame) -> DataFrame:
-    """(book, page, state): what holds on each page, from its own first lines or carried on from earlier pages.
+    """(at, state): what holds on each page, from its own first lines or carried on from earlier pages.
 
     A page with a header starts a table; a page to be skipped, or the header of
     a table of teams, ends it. Category, event and gender come from the last
     page that names a category.
     """
-    top = lines.filter(F.col("place") <= HEADER_LINES).groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("top"))
+    # No filter on place: below the shuffle it would make another one, and the lines anew, beside that of all lines.
+    first = F.when(F.col("place") <= HEADER_LINES, F.struct("place", "text"))
+    top = lines.groupBy("at").agg(F.array_sort(F.collect_list(first)).alias("top"))
     texts = F.transform("top", lambda x: x["text"])
-    pages = top.select("book", "page", F.array_join(F.slice(texts, 1, MARK_LINES), "\n").alias("marks"), F.regexp_replace(F.array_join(F.slice(texts, 1, TITLE_LINES), ""), " ", "").alias("title"), F.get(F.filter(texts, lambda x: reduce(lambda a, b: a & b, [x.rlike(p) for p in HEADER])), 0).alias("header"))
+    pages = top.select("at", F.array_join(F.slice(texts, 1, MARK_LINES), "\n").alias("marks"), F.regexp_replace(F.array_join(F.slice(texts, 1, TITLE_LINES), ""), " ", "").alias("title"), F.get(F.filter(texts, lambda x: reduce(lambda a, b: a & b, [x.rlike(p) for p in HEADER])), 0).alias("header"))
     untitled = F.regexp_replace("title", TITLE, "")
-    pages = pages.select("book", "page", "header", F.col("marks").rlike(SKIPPED_PAGE).alias("skipped"), F.coalesce(_or_null(untitled), "title").alias("title"))
+    pages = pages.select("at", "header", F.col("marks").rlike(SKIPPED_PAGE).alias("skipped"), F.coalesce(_or_null(untitled), "title").alias("title"))
     stage, km = (_first_of(F.col("title"), [p], 1) for p in (STAGE, STAGE_KM))
     event = F.coalesce(
         F.concat(F.lit("Stage "), stage, F.coalesce(F.concat(F.lit(" "), km, F.lit("km")), F.lit(""))),
@@ -83,18 +85,21 @@ def _pages(lines: DataFrame) -> DataFrame:
     table = F.struct((~F.col("header").rlike(TEAM_HEADER)).alias("open"), times.alias("before"), F.col("header").rlike(RANK_FIRST).alias("rank_first"))
     none = F.struct(F.lit(False).alias("open"), F.lit(0).alias("before"), F.lit(True).alias("rank_first"))
     pages = pages.withColumn("category", F.when(known, category)).withColumn("event", F.when(known & F.col("category").isNotNull(), event)).withColumn("table", F.when(~known, none).when(F.col("header").isNotNull(), table))
-    so_far = Window.partitionBy("book").orderBy("page")
+    so_far = Window.partitionBy("at.book").orderBy("at.page")
     carried = [F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("table", "category", "event")]
-    return pages.select("book", "page", "skipped", *carried).withColumn("of_teams", F.col("event").rlike(TEAM_EVENT))
+    return pages.select("at", "skipped", *carried).withColumn("of_teams", F.col("event").rlike(TEAM_EVENT))
 
 
 def _rejoined(lines: DataFrame) -> DataFrame:
-    """Lines in which a number on its own is put behind the rank that starts the next line, and `;` between digits is a colon."""
-    page = Window.partitionBy("book", "page").orderBy("line")
+    """Lines in which a number on its own is put behind the rank that starts the next line, and `;` between digits is a colon.
+
+    `at` is the line's book and page as one key, in which nulls are equal: windows, groups and joins by it share one shuffle.
+    """
+    page = Window.partitionBy("at").orderBy("line")
     given = F.coalesce("text", F.lit(""))
     even = F.trim(F.when(given.rlike(_UNEVEN), F.regexp_replace(given, r"[\s\x{00a0}\x{3000}]+", " ")).otherwise(given))
     tidy = F.when(given.contains(";"), F.regexp_replace(even, r"(\d);(\d)", "$1:$2")).otherwise(even)
-    lines = lines.select("book", "page", "line", tidy.alias("text"))
+    lines = lines.select(F.struct("book", "page").alias("at"), "line", tidy.alias("text"))
     lines = lines.withColumns({"place": F.row_number().over(page), "next": F.lead("text").over(page), "back": F.lag("text").over(page)})
     ranked = rf"^(\d{{1,3}}) ({NAME} .*)$"
     alone = lambda c: (F.length(c) <= 5) & F.col(c).rlike(r"^\d{1,4}$")  # noqa: E731 - a line's end may follow the digits
@@ -167,14 +172,13 @@ def read_lines(lines: DataFrame, fields: str = _FIELDS) -> DataFrame:
     number, or a number alone, then a name of two to four characters, and from there team, licence and
     times. A number alone on its line belongs to the next one, and is `joined` then.
 
-    Pages of a book meet in a window, lines of a page in another; nothing else
-    hangs on an order. A null text is an empty line; a null book or page is a
+    Pages of a book meet in a window, lines of a page in another, for which lines
+    are shuffled once; nothing else hangs on an order. A null text is an empty line; a null book or page is a
     book or page like any other; repeated lines are read each. An empty table gives an
     empty result; other columns are ignored.
     """
     lines = _rejoined(lines)
-    pages = _pages(lines)
-    met = lines.join(pages.withColumnsRenamed({"book": "b", "page": "p"}), F.col("book").eqNullSafe(F.col("b")) & F.col("page").eqNullSafe(F.col("p")), "left")
+    met = lines.join(_pages(lines), "at", "left")
     none = F.struct(F.lit(False).alias("open"), F.lit(0).alias("before"), F.lit(True).alias("rank_first"))
     met = _read(met.withColumn("table", F.coalesce("table", none)))
     no_result = F.col("finish_time").isNull() & F.col("status").isNull()
@@ -192,7 +196,7 @@ def read_lines(lines: DataFrame, fields: str = _FIELDS) -> DataFrame:
     read = met.withColumn("gender", gender).withColumn("refused", refused)
     taken = [F.when(F.col("refused").isNull(), F.col(c)).alias(c) for c in fields.split(", ") if c]
     # As one generated row: a filter on `refused` would else go below, and read each line some hundred times.
-    one = F.array(F.struct("book", "page", "line", "text", *taken, "refused"))
+    one = F.array(F.struct("at.book", "at.page", "line", "text", *taken, "refused"))
     return read.select(F.inline(one))
 
 

@@ -95,3 +95,20 @@ def test_lines_are_read_once_whatever_is_filtered(spark):
     for rows in (books.book_rows(lines), books.refused_lines(lines)):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp") + plan.count("RLIKE") < 150
+
+
+def test_lines_are_shuffled_once_and_null_books_and_pages_are_like_others(spark):
+    """Lines are shuffled by book and page for their windows only: pages and the join back to them take the same shuffle."""
+    more = ["2 305 陳大文 10139673113 新社高中 00:02:30 00:20:00.000 00 17:30.000 39.0 km/hr", None, "x"]
+    rows = [(book, page, i, text) for book, pages in (("b", (1, 2)), (None, (1, 2)), (None, (None, 1)), ("c", (None, 3))) for page, texts in zip(pages, (TWO_CLOCKS, more)) for i, text in enumerate(texts)]
+    table = spark.createDataFrame(rows, "book string, page int, line int, text string")
+    read = books.read_lines(table)
+    got = sorted((str(r.book), str(r.page), r.bib, r.category, r.finish_seconds) for r in read.collect() if r.refused is None)
+    first, second, third = ("304", "女子青年組", 1009.375), ("316", "女子青年組", None), ("305", "女子青年組", 1050.0)
+    # Book None has page 1 twice, once as a first and once as a second page: its lines are those of one page.
+    assert [x for x in got if x[0] == "b"] == [("b", "1", *first), ("b", "1", *second), ("b", "2", *third)]
+    assert [x for x in got if x[0] == "c"] == [("c", "3", *third), ("c", "None", *first), ("c", "None", *second)]
+    assert [x for x in got if x[0] == "None"] == [("None", "1", *first), ("None", "1", *third), ("None", "1", *second), ("None", "2", *third), ("None", "None", *first), ("None", "None", *second)]
+    assert read.count() == len(rows)
+    plan = read._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan and plan.count("ReusedExchange") == 1
