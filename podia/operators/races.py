races_benchmarks: finishers are counted before they are told apart by cohort

Symptom: races_benchmarks spilled 33.4 MB to disk (503 MB of memory) on 12 times sf0.1 in a heap of 800 MB with 2 tasks at once and 20 partitions, and 369.2 MB (5375 MB) in 1800 MB with 4 tasks at once, 5 partitions a stage.
Evidence: each finisher was made four rows, one a cohort, before the count by time, so the map of the partial aggregate beside the order join held nearly as many rows as that made (15.9 million out of 17); it was the largest task of all (172 MB, 352 MB) and 228 of the 369 MB spilled. The same rows were made twice more, for the cohort of all and for the years.
Fix: finishers are counted by race, label, year, band, gender, category and time first; windows over one shuffle and one sort sum these up by time for each cohort, and only such sums are told apart by cohort. Years and sizes come from the same counts, by a reused shuffle. The type is read off the cohort instead of being a key.
Effect: at 1 GB of input CPU 3753 -> 2321 s, shuffle 3.81 -> 2.70 GB, spill 0.78 -> 0.00 GB, read 1.63 -> 0.85 GB, longest task 110 -> 85 s, most memory of a task 940 -> 772 MB; at 6 GB of input CPU 16932 -> 9474 s, shuffle 28.77 -> 20.72 GB, spill 3.89 -> 0.72 GB, read 10.79 -> 5.85 GB, longest task 80 -> 110 s, most memory of a task 906 -> 940 MB; with hot keys, at 1 GB of input CPU 3238 -> 2029 s, shuffle 3.28 -> 2.45 GB, spill 0.66 -> 0.00 GB, read 1.59 -> 0.83 GB, longest task 106 -> 65 s, most memory of a task 1007 -> 654 MB.

@@ -128,23 +128,32 @@ def benchmarks(rows: DataFrame, least: int = 20) -> DataFrame:
     """(rk, label, cohort, type, n, bp, years): finish times at each percentile of every cohort with enough finishers, and the group's years.
 
     A finisher is of several cohorts: all, the age band, the band and gender,
-    the category. The times at the 101 percentiles are picked from the
-    cohort's distinct times by running counts, so that no cohort is gathered into a list.
+    the category. Finishers are counted by all that tells cohorts, and only these counts, summed up
+    over a time's rows, are told apart by cohort: no task holds a row for each finisher
+    and cohort. The times at the 101 percentiles are picked from the
+    cohort's times by running counts, so that no cohort is gathered into a list.
     """
     timed = finishers(rows).filter("race_key is not null and finish_seconds is not null")
     band, g, cat = F.col("age_band"), F.col("gender"), F.col("category_raw")
-    cohort = lambda key, kind: F.struct(key.alias("cohort"), F.lit(kind).alias("type"))
+    telling = ["age_band", "gender", "category_raw"]
+    cells = timed.groupBy("race_key", group_label(), "year", *telling, F.floor("finish_seconds").alias("t")).agg(F.count("*").alias("c"))
+    told = cells
+    for i in range(len(telling) + 1):
+        # How many have the time and the first i of what tells cohorts, in one row of these: four windows of one shuffle and sort.
+        alike = Window.partitionBy("race_key", "label", "t", *telling[:i]).orderBy(*telling[i:], "year")
+        every = F.sum("c").over(alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        told = told.withColumn(f"n{i}", F.when(F.row_number().over(alike) == 1, every))
+    cohort = lambda key, n: F.when(F.col(n).isNotNull(), F.struct(key.alias("cohort"), F.col(n).alias("c")))
     cohorts = F.array_compact(
         F.array(
-            cohort(F.lit("all"), "all"),
-            F.when(~X.blank(band), cohort(F.concat(F.lit("age:"), band), "age")),
-            F.when(~X.blank(band) & g.isin("M", "F"), cohort(F.concat(F.lit("age:"), band, F.lit("|g:"), g), "age")),
-            F.when(~X.blank(cat), cohort(F.concat(F.lit("cat:"), cat), "cat")),
+            cohort(F.lit("all"), "n0"),
+            F.when(~X.blank(band), cohort(F.concat(F.lit("age:"), band), "n1")),
+            F.when(~X.blank(band) & g.isin("M", "F"), cohort(F.concat(F.lit("age:"), band, F.lit("|g:"), g), "n2")),
+            F.when(~X.blank(cat), cohort(F.concat(F.lit("cat:"), cat), "n3")),
         )
     )
-    each = timed.select("race_key", group_label(), F.floor("finish_seconds").alias("t"), F.explode(cohorts).alias("c")).select("race_key", "label", "c.cohort", "c.type", "t")
-    keys = ["race_key", "label", "cohort", "type"]
-    times = each.groupBy(*keys, "t").agg(F.count("*").alias("c"))
+    times = told.select("race_key", "label", "t", F.explode(cohorts).alias("x")).select("race_key", "label", "t", "x.*")
+    keys = ["race_key", "label", "cohort"]
     of = Window.partitionBy(*keys).orderBy("t")
     run = times.withColumn("n", F.sum("c").over(of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("upto", F.sum("c").over(of.rowsBetween(Window.unboundedPreceding, 0)))
     run = run.filter(F.col("n") >= least)
@@ -159,9 +168,9 @@ def benchmarks(rows: DataFrame, least: int = 20) -> DataFrame:
     run = run.withColumn("from", first_percentile(F.col("upto") - F.col("c"))).withColumn("to", first_percentile(F.col("upto")) - 1).filter("from <= to")
     points = run.select(*keys, "n", "t", F.explode(F.sequence("from", "to")).alias("p")).groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("p", "t"))).alias("points"))
     out = points.withColumn("bp", F.transform("points", lambda x: x["t"]))
-    years = timed.select("race_key", group_label(), "year").distinct().groupBy("race_key", "label").agg(F.sort_array(F.collect_list("year")).alias("years"))
-    kept = out.filter("cohort = 'all'").select("race_key", "label").join(years, ["race_key", "label"])
-    return out.join(kept, ["race_key", "label"]).select(F.col("race_key").alias("rk"), "label", "cohort", "type", "n", "bp", "years")
+    a_year = cells.groupBy("race_key", "label", "year").agg(F.sum("c").alias("c"))
+    kept = a_year.groupBy("race_key", "label").agg(F.sort_array(F.collect_list("year")).alias("years"), F.sum("c").alias("timed")).filter(F.col("timed") >= least)
+    return out.join(kept, ["race_key", "label"]).select(F.col("race_key").alias("rk"), "label", "cohort", F.substring_index("cohort", ":", 1).alias("type"), "n", "bp", "years")
 
 
 def benchmark_lookup(bench: DataFrame, race: str, seconds: int, label: str | None = None, age: str | None = None, gender: str | None = None) -> DataFrame:
